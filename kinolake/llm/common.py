@@ -97,7 +97,7 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for j in range(k):
-        h += mix64(words[j : j + n]) * _ODD[j]
+        h += words[j : j + n] * _ODD[j]
     return mix64(h)
 
 
