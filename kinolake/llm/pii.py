@@ -114,15 +114,19 @@ def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     held = near.groupBy("kind", "entity").agg(F.countDistinct(key).alias("n_e"), F.countDistinct("ctx").alias("n_ctx")).where(F.col("n_ctx") >= SUPPORT)
     seen = near.join(held, ["kind", "entity"]).select("kind", "entity", "n_e", "doc_id", "h", "ctx", F.explode(F.array_distinct("terms")).alias("term"))
     both = seen.groupBy("kind", "entity", "n_e", "term").agg(F.countDistinct(key).alias("n_et"), F.countDistinct("ctx").alias("n_ctx")).where(F.col("n_ctx") >= SUPPORT)
-    both = stored(both, "pairs")
+    total = docs.agg(F.count("*").alias("n_all"))
+    both = both.join(total)  # one row of totals
+    ic = F.log2(F.col("n_all") / F.col("n_e"))
+    # PMI >= GENERALISE * IC means n_t <= n_et * 2 ** ((1 - GENERALISE) * IC); a term that the contexts alone show in more documents can't reach it
+    around = near.select("doc_id", "h", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.countDistinct(key).alias("n_near"))
+    both = both.join(around, "term").where((ic > 0) & (F.col("n_near") <= F.col("n_et") * F.pow(F.lit(2.0), (1 - GENERALISE) * ic) + 1e-6))
+    both = stored(both.drop("n_near"), "pairs")
     # documents of each candidate term, over all whole texts
     words = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(text_of(docs)), F.lit(TERM), F.lit(0)))).alias("term"))
     n_t = words.join(both.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n_all"))
-    rows = both.join(n_t, "term").join(total)  # one row of totals
-    ic = F.log2(F.col("n_all") / F.col("n_e"))
+    rows = both.join(n_t, "term")
     pmi = F.log2(F.col("n_et") * F.col("n_all") / (F.col("n_e") * F.col("n_t")))
-    part = F.when(ic > 0, pmi / ic)
+    part = pmi / ic
     return rows.where(part >= GENERALISE).select("kind", "entity", "term", F.when(part >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
