@@ -1 +1 @@
-"""functions."""
+"""Column expressions: intervals, times, vectors, labels."""

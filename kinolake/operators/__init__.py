@@ -1 +1 @@
-"""operators."""
+"""DataFrame operators over videos, annotations, features, models and predictions."""

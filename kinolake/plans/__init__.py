@@ -1 +1,18 @@
-"""plans."""
+"""Registered queries with their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import choice_queries, video_queries  # noqa: F401  they register
+from .registry import ORACLES, QUERIES
+
+
+def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def all_oracles() -> dict[str, str]:
+    return dict(ORACLES)

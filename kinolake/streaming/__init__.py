@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming forms of the stateful operators."""
