@@ -32,9 +32,10 @@ TRAIN_ROWS = 20_000
 ROUNDS = 2
 SMOOTH = 0.05
 UNKNOWN = 1e-7
-LONGEST = 16
-#: A worker's words start anew beyond so many.
+LONGEST = 12
 CACHE = 400_000
+#: Texts whose new tokens are scored together.
+TOGETHER = 500
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 
@@ -80,63 +81,79 @@ def learn(counts: Counter, pieces: list[str], rounds: int = ROUNDS) -> np.ndarra
     return np.log(p)
 
 
-class Scorer(dict):
-    """White-space token (bytes) to a row of `table`: the token's log probability under each language, and its number of letter runs."""
+class Scorer:
+    """Log probabilities of texts under each language. White-space tokens are scored once and kept, in a newer and an older half of
+    CACHE tokens each; words of one length are scored together."""
 
     def __init__(self, pieces: list[str], logs: np.ndarray):
-        super().__init__()
         self.n = logs.shape[0]
-        self.index = dict(zip(pieces, map(tuple, np.exp(logs).T.tolist()), strict=True))
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.table, self.used = np.zeros((1024, self.n + 1)), 0
-
-    def word(self, word: str) -> list[float]:
-        n, get, unknown = len(word), self.index.get, (UNKNOWN,) * self.n
-        fwd: list = [None] * (n + 1)
-        fwd[0] = (1.0,) * self.n
-        scale = [0.0] * self.n
+        self.index = {p: i for i, p in enumerate(pieces)}
+        # the last two rows: no piece, and a single character that is no piece
+        self.prob = np.concatenate((np.exp(logs).T, np.zeros((1, self.n)), np.full((1, self.n), UNKNOWN)))
+        self.none, self.unknown = len(pieces), len(pieces) + 1
+        self.known, self.older = {}, {}
+        self.table, self.old_table = np.zeros((1024, self.n + 1)), None
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of words (with their start mark) of one length, summed over all segmentations."""
+        n, get, none = len(words[0]), self.index.get, self.none
+        spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)]
+        ids = np.array([get(w[i:j], none) for w in words for i, j in spans], np.int64).reshape(len(words), len(spans))
+        single = np.array([j == i + 1 for i, j in spans])
+        ids[(ids == none) & single] = self.unknown
+        fwd, scale = [np.ones((len(words), self.n))], np.zeros((len(words), self.n))
+        k = 0
         for j in range(1, n + 1):
-            total = [0.0] * self.n
+            total = np.zeros((len(words), self.n))
             for i in range(max(0, j - LONGEST), j):
-                p = get(word[i:j])
-                if p is None:
-                    if i < j - 1:
-                        continue
-                    p = unknown
-                a = fwd[i]
-                total = [t + x * y for t, x, y in zip(total, a, p, strict=True)]
-            fwd[j] = total
+                total += fwd[i] * self.prob[ids[:, k]]
+                k += 1
+            fwd.append(total)
             if j % 16 == 0:  # keep the last values away from underflow
-                for c in range(self.n):
-                    f = fwd[j][c] or 1e-300
-                    scale[c] += math.log(f)
-                    for b in range(max(0, j - LONGEST + 1), j + 1):
-                        row = list(fwd[b])
-                        row[c] = row[c] / f
-                        fwd[b] = row
-        return [math.log(x or 1e-300) + s for x, s in zip(fwd[n], scale, strict=True)]
-
-    def __missing__(self, token: bytes) -> int:
-        runs = words_of(token.decode("utf-8", "replace"))
-        row = np.zeros(self.n + 1)
-        for w in runs:
-            row[:-1] += self.word(w)
-        row[-1] = len(runs)
-        if self.used == len(self.table):
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        self.table[self.used] = row
-        self[token] = self.used
-        self.used += 1
-        return self.used - 1
+                scale += np.log(total)
+                for b in range(max(0, j - LONGEST + 1), j + 1):
+                    fwd[b] = fwd[b] / total
+        return np.log(fwd[n]) + scale
+
+    def learn_tokens(self, tokens: set[bytes]) -> None:
+        new = tokens.difference(self.known)
+        if not new:
+            return
+        if len(self.known) > CACHE:
+            self.older, self.old_table, self.known, self.table = self.known, self.table, {}, np.zeros((1024, self.n + 1))
+            new = tokens
+        back = [t for t in new if t in self.older]
+        fresh = [t for t in new if t not in self.older]
+        runs = [words_of(t.decode("utf-8", "replace")) for t in fresh]
+        by_length: dict[int, list[str]] = {}
+        for w in {w for r in runs for w in r}:
+            by_length.setdefault(len(w), []).append(w)
+        score: dict[str, np.ndarray] = {}
+        for n, words in by_length.items():
+            step = max(1, 400_000 // (n * min(n, LONGEST)))
+            for at in range(0, len(words), step):
+                score.update(zip(words[at : at + step], self.words(words[at : at + step]), strict=True))
+        first, rows = len(self.known), np.zeros((len(fresh), self.n + 1))
+        for k, r in enumerate(runs):
+            if len(r) == 1:
+                rows[k, :-1] = score[r[0]]
+                rows[k, -1] = 1
+            elif r:
+                rows[k, :-1] = np.sum([score[w] for w in r], axis=0)
+                rows[k, -1] = len(r)
+        if back:
+            rows = np.concatenate((rows, self.old_table[[self.older[t] for t in back]]))
+        size = first + len(rows)
+        if size > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros((max(size, 2 * len(self.table)) - len(self.table), self.n + 1))))
+        self.table[first:size] = rows
+        self.known.update(zip([*fresh, *back], range(first, size), strict=True))
 
     def score(self, text: bytes) -> np.ndarray:
-        if len(self) > CACHE:
-            self.reset()
+        """The text's log probability under each language, and its number of letter runs."""
         tokens = text.split()
-        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        self.learn_tokens(set(tokens))
+        at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
         return self.table[at].sum(axis=0)
 
 
@@ -176,8 +193,10 @@ def language_id(docs: DataFrame, **kw) -> DataFrame:
             _SCORERS[key] = Scorer(model.value[1], model.value[2])
         scorer, names = _SCORERS[key], model.value[0]
         for batch in batches:
-            preds, scores = [], []
-            for text in byte_texts(batch.column("text")):
+            preds, scores, texts = [], [], byte_texts(batch.column("text"))
+            for k, text in enumerate(texts):
+                if names and k % TOGETHER == 0:
+                    scorer.learn_tokens({t for x in texts[k : k + TOGETHER] for t in x.split()})
                 s = scorer.score(text) if names else np.zeros(1)
                 if not names or s[-1] == 0:
                     preds.append("und")
