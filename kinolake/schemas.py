@@ -7,8 +7,16 @@ from pyspark.sql import types as T
 SECONDS = T.DecimalType(18, 3)
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "float": T.FloatType(), "string": T.StringType(), "timestamp": T.TimestampType()}
+
+
+def _type(name: str) -> T.DataType:
+    return T.ArrayType(_type(name[6:-1])) if name.startswith("array<") else _TYPES[name]
+
+
+def _struct(fields: str) -> T.StructType:
+    """From 'name type, ...', without a session."""
+    return T.StructType([T.StructField(name, _type(kind)) for name, kind in (f.split(" ") for f in fields.split(", "))])
 
 
 VIDEOS = _struct("vid bigint, vpath string, vstart timestamp, vduration double, thumbpath string")
