@@ -1,0 +1,77 @@
+"""Simulated labelling (LB01-03): rounds in which a coordinator shows windows, an oracle labels them and clusters pass labels on."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import models as M
+from . import propagate as P
+from .select import farthest, shuffled
+
+#: A coordinator: (rows, round, k) to the fids shown next. rows: fid, vid, start_time, end_time, feature, cluster, distance, truth, hard_label.
+Coordinator = Callable[[DataFrame, int, int], list[int]]
+
+
+def _first(rows: DataFrame, k: int, *order) -> list[int]:
+    return [r["fid"] for r in rows.where("hard_label is null").orderBy(*order).limit(k).select("fid").collect()]
+
+
+def random_rows(rows: DataFrame, step: int, k: int) -> list[int]:
+    return _first(rows, k, shuffled(step, "fid"), "fid")
+
+
+def cluster_centres(rows: DataFrame, step: int, k: int) -> list[int]:
+    """LB03: centres of the clusters ranked by size among those with unlabeled rows."""
+    stats = P.cluster_stats(rows).where("unlabeled > 0").orderBy(F.desc("size"), "cluster").limit(k)
+    return [r["centre"] for r in P.centre_element(rows.join(F.broadcast(stats.select("cluster")), "cluster", "left_semi")).collect()]  # one row a cluster, k at most
+
+
+def far_rows(rows: DataFrame, step: int, k: int) -> list[int]:
+    """LB02: the rows farthest from all labeled ones; by chance in the first round."""
+    shown = rows.where("hard_label is not null")
+    if shown.isEmpty():
+        return random_rows(rows, step, k)
+    return _first(farthest(rows, shown), k, F.desc("min_dist"), "fid")
+
+
+def uncertain_rows(rows: DataFrame, step: int, k: int, share: float = 0.01) -> list[int]:
+    """LB02: the rows that a classifier on the labeled ones is least sure of; by chance until a share is labeled."""
+    n, done, classes = rows.agg(F.count("*"), F.count("hard_label"), F.countDistinct("hard_label")).first()
+    if done <= share * n or classes < 2:
+        return random_rows(rows, step, k)
+    model, names = M.fit_linear(rows.where("hard_label is not null").withColumn("labels", F.col("hard_label")), max_iter=20)
+    top = M.infer(model, names, rows.where("hard_label is null").select("fid", "vid", "start_time", "end_time", "feature"), 0)
+    best = top.groupBy("vid", "start_time", "end_time").agg(F.max("probability").alias("top"))
+    return _first(rows.join(best, ["vid", "start_time", "end_time"]), k, "top", "fid")
+
+
+COORDINATORS: dict[str, Coordinator] = {"random": random_rows, "kmeans": cluster_centres, "coresets": far_rows, "uncertainty": uncertain_rows}
+
+
+def simulated(rows: DataFrame, coordinator: str, rounds: int, k: int, checkpoint_every: int = 5) -> DataFrame:
+    """LB01: per round the windows shown, those that have a label then (shown or passed on), and how many of these are right. The oracle gives `truth`."""
+    stats = []
+    rows = rows.withColumn("hard_label", F.lit(None).cast("string"))
+    for step in range(rounds):
+        shown = COORDINATORS[coordinator](rows, step, k)
+        rows = rows.withColumn("hard_label", F.when(F.col("fid").isin(shown), F.col("truth")).otherwise(F.col("hard_label")))
+        if (step + 1) % checkpoint_every == 0 and rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+            rows = rows.checkpoint()
+        out = P.propagated(rows).agg(F.count("hard_label").alias("shown"), F.count("label").alias("labeled"), F.sum((F.col("label") == F.col("truth")).cast("int")).alias("correct")).first()
+        stats.append((step, out["shown"], out["labeled"], out["correct"] or 0))
+    return rows.sparkSession.createDataFrame(stats, "round int, shown bigint, labeled bigint, correct bigint")
+
+
+def reclustered(rows: DataFrame, cluster: int, parts: int, next_id: int, dims: int = 8, seed: int = 0) -> DataFrame:
+    """LB07, LB08: one cluster's rows split by KMeans on their principal components; new clusters are numbered from next_id."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA
+
+    own = M.vectorised(rows.where(F.col("cluster") == cluster))
+    flat = PCA(k=dims, inputCol="x", outputCol="z").fit(own).transform(own)
+    split = KMeans(featuresCol="z", predictionCol="_c", k=parts, seed=seed).fit(flat).transform(flat)
+    new = split.withColumn("cluster", (F.col("_c") + next_id).cast(rows.schema["cluster"].dataType)).select(*rows.columns)
+    return rows.where(F.col("cluster") != cluster).unionByName(new)

@@ -463,3 +463,87 @@ def _(t):
     rows = t.spark.createDataFrame([("r3d_18_ap",), ("clip_vitb32",), ("pot_hog",), ("x",)], "name string")
     return rows.select("name", L.extractor(F.col("name")).alias("extractor"))
 
+
+
+# --- the façade, simulation and extraction ---
+
+
+def store(t):
+    from ..operators.explore import Store
+
+    return Store(t.vm, t.ann.where("aid % 20 = 0"), {"r3d": t.feat}, t.models.where("mid = 1"), t.pred.where("vid % 2 = 0"))
+
+
+@query("ex05_cluster_coreset")
+def _(t):
+    return store(t).explore("clustercoreset", 3, 60.0, "r3d", step=1)
+
+
+@query("ex06_explored_margin")
+def _(t):
+    return store(t).explore("clustermargin", 3, 60.0, "r3d", step=20)
+
+
+@query("ex09_random_if_uniform")
+def _(t):
+    return store(t).explore("randomifuniform", 3, 60.0, "r3d")
+
+
+@query("ex14_explored_uncertainty")
+def _(t):
+    return store(t).explore("uncertainty", 3, 60.0, "r3d", label="click")
+
+
+@query("ex15_watched", "vm pred", "select v.vid, v.vpath, count(p.vid)::int as n from vm v left join pred p on p.vid = v.vid and p.start_time < v.vduration where v.vid in (2, 4, 6) group by all")
+def _(t):
+    return store(t).watch([2, 4, 6], 1).select("vid", "vpath", F.size("predictions").alias("n"))
+
+
+@query("ag19_progress", "vm feat", "select 'r3d' as feature, (select count(distinct vid) from feat) as done, (select count(*) from vm) as total")
+def _(t):
+    return t.spark.createDataFrame([(k, *v) for k, v in store(t).progress().items()], "feature string, done bigint, total bigint")
+
+
+@query("ag17_bag_of_words", "feat", """with b as (select fid::int as word, feature::double[] as centre from feat where fid in (0, 3, 6)),
+    n as (select f.vid, min_by(b.word, (list_distance(f.feature::double[], b.centre), b.word)) as word from feat f cross join b group by f.vid, f.fid)
+    select vid, count(*) filter (where word = 0) as w0, count(*) filter (where word = 3) as w3, count(*) filter (where word = 6) as w6 from n group by vid""")
+def _(t):
+    from ..operators.extract import bag_of_words
+
+    book = t.feat.where("fid in (0, 3, 6)").select(F.col("fid").cast("int").alias("word"), V.doubles(F.col("feature")).alias("centre"))
+    h = bag_of_words(t.feat, book)
+    return h.select("vid", *[F.element_at("histogram", i).cast("bigint").alias(f"w{w}") for i, w in ((1, 0), (2, 3), (3, 6))])
+
+
+@query("fn26_percentiles_ranks", "feat", """select fid, round(quantile_cont(x, 0.25), 6) as q1, round(quantile_cont(x, 0.5), 6) as q2, max(x) as top, sum((x < f1)::int)::int as rank1
+    from (select fid, unnest(feature)::double as x, feature[1]::double as f1 from feat) group by fid""")
+def _(t):
+    from ..operators.extract import grid_ranks, spread
+
+    x = V.doubles(F.col("feature"))
+    return t.feat.select("fid", spread(x).alias("p"), F.element_at(grid_ranks(x), 1).alias("rank1")).select("fid", F.round(F.col("p")[1], 6).alias("q1"), F.round(F.col("p")[2], 6).alias("q2"), F.col("p")[4].alias("top"), "rank1")
+
+
+@query("vx05_extracted", "feat", "select fid as vid, 0.0::double as start_time, round(feature[1]::double, 5) as x from feat where fid < 50")
+def _(t):
+    import numpy as np
+
+    from ..operators.extract import extracted
+
+    files = t.feat.where("fid < 50").select(F.col("fid").alias("vid"), F.encode(F.format_string("%.9f", F.element_at("feature", 1).cast("double")), "UTF-8").alias("content"))
+    got = extracted(files, lambda content: [(0.0, 1.0, np.array([float(content.decode())]))])
+    return got.select("vid", "start_time", F.round(F.element_at("feature", 1).cast("double"), 5).alias("x"))
+
+
+@query("lb01_simulated_rounds")
+def _(t):
+    from ..operators.simulate import simulated
+
+    return simulated(marked(t).withColumn("truth", F.coalesce("hard_label", F.lit("none"))), "kmeans", 2, 3)
+
+
+@query("lb07_reclustered")
+def _(t):
+    from ..operators.simulate import reclustered
+
+    return reclustered(t.clustered, 0, 3, 100).groupBy("cluster").agg(F.count("*").alias("n"))
