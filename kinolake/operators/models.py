@@ -181,3 +181,48 @@ def cross_validated(labeled: DataFrame, n_splits: int = 3, threshold: float = 0.
 def medians(results: DataFrame) -> DataFrame:
     """AG08."""
     return results.agg(*[F.median(c).alias(c) for c in results.columns])
+
+
+def fit_tuned(labeled: DataFrame, holdout: float = 0.2, seed: int = 0, least_rows: int = 10, **kw):
+    """ML05: a classifier and the threshold of the best mean F1 on held-out videos' rows (on all rows if there are few); returns (model, classes, threshold)."""
+    share = max(2, round(1 / holdout))
+    parts = folds(labeled, share, seed)
+    train, test = parts.where("fold <> 0").drop("fold"), parts.where("fold = 0").drop("fold")
+    if labeled.limit(least_rows).count() < least_rows or test.isEmpty() or train.select("labels").distinct().count() < 2:
+        train = test = labeled
+    model, classes = fit_linear(train, **kw)
+    scored = truth(infer(model, classes, test.drop("labels"), 0), test)
+    return model, classes, float(best_threshold(scored).first()["threshold"])
+
+
+def fit_cross_validated(labeled: DataFrame, grid: tuple[float, ...] = (1e-3, 1e-2, 1e-1), n_folds: int = 3, seed: int = 0):
+    """ML14: a logistic regression on standardised vectors whose regularisation cross-validation chooses."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import StandardScaler, StringIndexer
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    rows = vectorised(labeled.withColumn("label", F.element_at(L.pieces(F.col("labels")), 1)))
+    lr = LogisticRegression(featuresCol="z", labelCol="y", family="multinomial", maxIter=30, probabilityCol="p")
+    pipe = Pipeline(stages=[StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), StandardScaler(inputCol="x", outputCol="z", withMean=True), lr])
+    judge = MulticlassClassificationEvaluator(labelCol="y", metricName="f1")
+    best = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, list(grid)).build(), evaluator=judge, numFolds=n_folds, seed=seed).fit(rows).bestModel
+    return best, list(best.stages[0].labels)
+
+
+def needs_training(models: DataFrame, annotations: DataFrame, feature_name: str, allow_stale: bool = True, least_labels: int = 15) -> bool:
+    """ML12: whether a model has to be trained: there are labels enough, and no model of the feature yet, or newer labels than its and stale ones don't do."""
+    n, newest = annotations.agg(F.count("*"), F.max("label_time")).first()
+    made = models.where(F.col("feature_name") == feature_name).agg(F.max("creation_time")).first()[0]
+    return n >= least_labels and (made is None or (not allow_stale and newest is not None and newest > made))
+
+
+def predictions_of_all(features: DataFrame, stored: DataFrame, mid: int, run) -> DataFrame:
+    """ML10, ML11: predictions of every video, made for those without any: one job, whatever their number."""
+    return predicted(features, stored, mid, run)
+
+
+def saved_results(results: DataFrame, path: str) -> None:
+    """SNK06: results appended as Parquet."""
+    results.write.mode("append").parquet(path)

@@ -547,3 +547,45 @@ def _(t):
     from ..operators.simulate import reclustered
 
     return reclustered(t.clustered, 0, 3, 100).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("ml05_tuned_threshold")
+def _(t):
+    rows = LB.with_columns_of(labeled(t), t.feat).where("labels <> 'none'")
+    _, classes, threshold = M.fit_tuned(rows, max_iter=10)
+    return t.spark.createDataFrame([(c, threshold) for c in classes], "label string, threshold double")
+
+
+@query("ml12_needs_training")
+def _(t):
+    made = [(stale, M.needs_training(t.models, t.ann, "r3d", allow_stale=stale)) for stale in (True, False)]
+    return t.spark.createDataFrame(made, "allow_stale boolean, train boolean")
+
+
+@query("flt14_missing_thumbnails", "vm", "select vid from vm where vid % 3 <> 1")
+def _(t):
+    from ..sources.videos import missing_thumbnails
+
+    return missing_thumbnails(t.vm, t.vm.where("vid % 3 = 1").select(F.col("thumbpath").alias("path"))).select("vid")
+
+
+@query("jn09_temporal_join", "vm labeled", """select f.vid, f.start_time from labeled f join vm v on f.vid = v.vid where labels = 'none' order by v.vstart, f.start_time, f.vid, f.fid limit 30""")
+def _(t):
+    free = labeled(t).where("labels = 'none'").join(t.vm.select("vid", "vstart"), "vid")
+    return free.orderBy("vstart", "start_time", "vid", "fid").limit(30).select("vid", "start_time")
+
+
+@query("fn04_milliseconds", "vm", "select vid, (epoch_us(vstart + to_seconds(vduration::bigint)) - epoch_us(vstart)) // 1000 / 1000.0::double as s from vm")
+def _(t):
+    end = F.timestamp_micros(F.unix_micros("vstart") + I.rounded(F.col("vduration")) * 1_000_000)
+    return t.vm.select("vid", (F.timestamp_diff("MILLISECOND", F.col("vstart"), end) / F.lit(1000.0)).alias("s"))
+
+
+@query("fn08_list_concat_null", "feat", "select fid, len(list_concat(feature, case when fid % 2 = 0 then feature end))::int as n from feat")
+def _(t):
+    return t.feat.select("fid", F.size(V.concat(F.col("feature"), F.when(F.col("fid") % 2 == 0, F.col("feature")))).alias("n"))
+
+
+@query("fn27_gaussian_weights", "", "select d::int as d, round(exp(-d * d / 50.0::double), 9) as w from (select unnest(range(15)) as d)")
+def _(t):
+    return t.spark.range(15).select(F.col("id").cast("int").alias("d"), F.round(V.gaussian_weight(F.col("id").cast("double")), 9).alias("w"))

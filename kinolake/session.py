@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 #: UTC makes wall-clock arithmetic equal to naive timestamps; AQE coalesces partitions and splits skewed joins at run time.
@@ -20,3 +23,20 @@ def session(master: str | None = None, app: str = "kinolake", **conf: str) -> Sp
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+#: Scheduler pools of a front end (STM07): answers to the user first, then predictions and training, then eager extraction.
+POOLS = ("user", "background", "chore")
+
+
+@contextmanager
+def pool(spark: SparkSession, name: str) -> Iterator[None]:
+    """Jobs of this thread run in the named FAIR pool (spark.scheduler.mode=FAIR)."""
+    if name not in POOLS:
+        raise ValueError(f"no pool {name}")
+    before = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", before)
