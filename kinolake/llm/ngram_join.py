@@ -12,7 +12,7 @@ as much as one document.
    one. Rare tokens are keys by themselves. Frequent ones of sets of up to PAIRED shingles are keys in
    combinations of two of the extended prefix; those of sets of at least t * PAIRED are keys by themselves, so any two linkable sets
    have a common form. Sets of unshared shingles only have no key.
-3. Rounds: of each key, a leader (later LEADERS of them) is paired with the other members that aren't in its component
+3. Rounds: of each key, a leader (then LEADERS of them, then MORE times as many each round) is paired with the other members that aren't in its component
    yet and whose sizes allow a link; pairs are verified by their whole intersections; components are joined; a leader has
    then met every member and leaves the key; a key whose rest is one component is done. Pairs stay linear in a key's members each round,
    and no link between components can be missed: a key ends only when no two of its members' components differ.
@@ -37,7 +37,7 @@ from .common import WordHashes, byte_texts, components, partitions, shingles, st
 PERCENT = 75
 FREQUENT = 32
 PAIRED = 64
-LEADERS = 16
+LEADERS, MORE = 32, 8
 #: Postings and documents of one packed run.
 RUN_POSTINGS, RUN_DOCS = 1_500_000, 60_000
 _EMPTY = np.empty(0, np.uint64)
@@ -263,13 +263,13 @@ def links(candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
     held = stored(held.join(several, "key").select("key", "name", "n", "comp", "leader"), "keys")
     edges, roots = None, None
     can = (F.lit(100) * F.least("n", "ln") >= F.lit(percent) * F.greatest("n", "ln"))
-    first = True
+    leaders = 1
     while not held.isEmpty():
-        if first:
+        if leaders == 1:
             lead = held.where("name = leader").select("key", F.col("name").alias("a"), F.col("n").alias("ln"), F.col("comp").alias("lc"))
         else:
             order = F.row_number().over(Window.partitionBy("key").orderBy("name"))
-            lead = held.select("key", F.col("name").alias("a"), F.col("n").alias("ln"), F.col("comp").alias("lc"), order.alias("nth")).where(F.col("nth") <= LEADERS).drop("nth")
+            lead = held.select("key", F.col("name").alias("a"), F.col("n").alias("ln"), F.col("comp").alias("lc"), order.alias("nth")).where(F.col("nth") <= leaders).drop("nth")
         met = held.join(lead, "key").where((F.col("name") != F.col("a")) & (F.col("comp") != F.col("lc")) & can)
         pairs = met.select(F.least("a", "name").alias("a"), F.greatest("a", "name").alias("b")).distinct()
         new = _verified(pairs, candidates, percent)
@@ -279,7 +279,8 @@ def links(candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
         rest = rest.join(roots.withColumnRenamed("node", "name"), "name", "left").select("key", "name", "n", F.coalesce("root", "name").alias("comp"))
         rest = stored(rest, "rest")
         open_ = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        held, first = stored(rest.join(open_, "key", "left_semi"), "open"), False
+        held = stored(rest.join(open_, "key", "left_semi"), "open")
+        leaders = LEADERS if leaders == 1 else leaders * MORE
     return roots if roots is not None else spark.createDataFrame([], "node bigint, root bigint")
 
 
