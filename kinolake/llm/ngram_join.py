@@ -235,16 +235,21 @@ def sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
 
 
 def keys(candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, name, n): rare prefix tokens, frequent ones, and combinations of two frequent ones of the extended prefix."""
+    """(name, n, shared, key, left): rare prefix tokens, frequent ones, and combinations of two frequent ones of the extended prefix."""
     n, own, rare = F.col("n"), F.col("own"), F.col("rare")
     prefix = n - F.ceil(F.lit(percent) * n / 100).cast("int") + 1
     base = candidates.select("*", (prefix - own).alias("reach"))
-    singles = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.least(rare, F.col("reach"))))
-    frequent = F.slice("tokens", rare + 1, F.greatest(F.lit(0), F.col("reach") - rare))
-    frequent = F.when(n * 100 >= percent * PAIRED, frequent).otherwise(F.array().cast("array<bigint>"))
-    wide = F.when(n <= PAIRED, F.slice("tokens", rare + 1, F.greatest(F.lit(0), F.col("reach") + 1 - rare))).otherwise(F.array().cast("array<bigint>"))
-    pairs = F.flatten(F.transform(wide, lambda x, i: F.transform(F.slice(wide, i + 2, F.greatest(F.lit(0), F.size(wide) - i - 1)), lambda y: F.xxhash64(x, y))))
-    return base.select("name", "n", F.explode(F.concat(singles, frequent, pairs)).alias("key"))
+    size, none = F.size("tokens"), F.array().cast("array<struct<key:bigint,left:int>>")
+    # left: shared tokens from the key's place on, which bound an overlap that begins there
+    at = lambda tokens, first: F.transform(tokens, lambda x, i: F.struct(x.alias("key"), (size - first - i).alias("left")))
+    singles = at(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.least(rare, F.col("reach")))), F.lit(0))
+    frequent = at(F.slice("tokens", rare + 1, F.greatest(F.lit(0), F.col("reach") - rare)), rare)
+    frequent = F.when(n * 100 >= percent * PAIRED, frequent).otherwise(none)
+    wide = F.slice("tokens", rare + 1, F.greatest(F.lit(0), F.col("reach") + 1 - rare))
+    after = lambda i: F.slice(wide, i + 2, F.greatest(F.lit(0), F.size(wide) - i - 1))
+    pairs = F.flatten(F.transform(wide, lambda x, i: F.transform(after(i), lambda y: F.struct(F.xxhash64(x, y).alias("key"), (size - rare - i).alias("left")))))
+    pairs = F.when(n <= PAIRED, pairs).otherwise(none)
+    return base.select("name", "n", size.alias("shared"), F.explode(F.concat(singles, frequent, pairs)).alias("k")).select("name", "n", "shared", "k.key", "k.left")
 
 
 def _verified(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
@@ -258,25 +263,28 @@ def _verified(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFram
 def links(candidates: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root): components of classes."""
     spark = candidates.sparkSession
-    held = keys(candidates, percent).withColumn("comp", F.col("name"))
-    several = held.groupBy("key").agg(F.count("*").alias("m"), F.min("name").alias("leader")).where("m > 1")
-    held = stored(held.join(several, "key").select("key", "name", "n", "comp", "leader"), "keys")
+    # a leader should be central: the fewer of its shingles are its own, the more it may have in common with others
+    held = keys(candidates, percent).withColumns({"comp": F.col("name"), "odd": F.floor(1000 * (F.col("n") - F.col("shared")) / F.col("n"))})
+    several = held.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("odd", "name"))["name"].alias("leader")).where("m > 1")
+    held = stored(held.join(several, "key"), "keys")
     edges, roots = None, None
-    can = (F.lit(100) * F.least("n", "ln") >= F.lit(percent) * F.greatest("n", "ln"))
+    # sizes that differ too much can't link; a pair that links does so by the key of its first common token, behind which both have tokens enough
+    can = (F.lit(100) * F.least("n", "ln") >= F.lit(percent) * F.greatest("n", "ln")) & ((100 + percent) * F.least("left", "ll") >= F.lit(percent) * (F.col("n") + F.col("ln")))
+    led = [F.col("key"), F.col("name").alias("a"), F.col("n").alias("ln"), F.col("left").alias("ll"), F.col("comp").alias("lc")]
     leaders = 1
     while not held.isEmpty():
         if leaders == 1:
-            lead = held.where("name = leader").select("key", F.col("name").alias("a"), F.col("n").alias("ln"), F.col("comp").alias("lc"))
+            lead = held.where("name = leader").select(*led)
         else:
-            order = F.row_number().over(Window.partitionBy("key").orderBy("name"))
-            lead = held.select("key", F.col("name").alias("a"), F.col("n").alias("ln"), F.col("comp").alias("lc"), order.alias("nth")).where(F.col("nth") <= leaders).drop("nth")
+            order = F.row_number().over(Window.partitionBy("key").orderBy("odd", "name"))
+            lead = held.select(*led, order.alias("nth")).where(F.col("nth") <= leaders).drop("nth")
         met = held.join(lead, "key").where((F.col("name") != F.col("a")) & (F.col("comp") != F.col("lc")) & can)
         pairs = met.select(F.least("a", "name").alias("a"), F.greatest("a", "name").alias("b")).distinct()
         new = _verified(pairs, candidates, percent)
         edges = stored(new if edges is None else edges.union(new), "links")
         roots = stored(components(edges), "roots")
-        rest = held.join(lead.select("key", F.col("a").alias("name")), ["key", "name"], "left_anti").select("key", "name", "n")
-        rest = rest.join(roots.withColumnRenamed("node", "name"), "name", "left").select("key", "name", "n", F.coalesce("root", "name").alias("comp"))
+        rest = held.join(lead.select("key", F.col("a").alias("name")), ["key", "name"], "left_anti").select("key", "name", "n", "left", "odd")
+        rest = rest.join(roots.withColumnRenamed("node", "name"), "name", "left").select("key", "name", "n", "left", "odd", F.coalesce("root", "name").alias("comp"))
         rest = stored(rest, "rest")
         open_ = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         held = stored(rest.join(open_, "key", "left_semi"), "open")
