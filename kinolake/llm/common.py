@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from pathlib import Path
 
@@ -44,11 +46,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kinolake-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
+def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors. With free, shuffle files of finished stages go."""
+    spark, schema = df.sparkSession, df.schema
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df  # with its plan
+    if free:
+        release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Spark removes a finished stage's shuffle files when the driver collects its garbage, which may be hours later; this asks for it after
+    stages whose shuffles are large. The first collection clears what holds the plan, the second finds the shuffles unreachable."""
+    for pause in (0.4, 0.4):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -35,17 +35,17 @@ from pyspark.sql import functions as F
 from .common import WordHashes, byte_texts, components, partitions, shingles, stored
 
 PERCENT = 75
-FREQUENT = 32
+FREQUENT = 32  # at most 255
 PAIRED = 64
 LEADERS, MORE = 32, 8
 #: Postings and documents of one packed run.
 RUN_POSTINGS, RUN_DOCS = 1_500_000, 60_000
 _EMPTY = np.empty(0, np.uint64)
 
-_RUN = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("tokens", pa.binary()), ("sets", pa.binary()), ("names", pa.binary()), ("sizes", pa.binary()), ("docs", pa.list_(pa.int64()))])
-_RUN_SQL = "bucket int, kind int, tokens binary, sets binary, names binary, sizes binary, docs array<bigint>"
-#: Kinds of packed runs: documents; postings to count; tokens frequent for certain; postings of such tokens.
-_DOCS, _COUNT, _CERTAIN, _DIRECT = range(4)
+_RUN = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("tokens", pa.binary()), ("sets", pa.binary()), ("names", pa.binary()), ("sizes", pa.binary()), ("docs", pa.list_(pa.int64())), ("counts", pa.binary())])
+_RUN_SQL = "bucket int, kind int, tokens binary, sets binary, names binary, sizes binary, docs array<bigint>, counts binary"
+#: Kinds of packed runs: documents; postings to count; tokens frequent for certain; postings of such tokens; counted postings.
+_DOCS, _COUNT, _CERTAIN, _DIRECT, _SHARED = range(5)
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -82,10 +82,10 @@ def _pack_by(bucket: np.ndarray, kind: int, tokens: np.ndarray, at: np.ndarray,
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
         own, place = np.unique(at[a:b], return_inverse=True)
-        yield int(bucket[a]), kind, _squeeze(tokens[a:b]), place.astype("<u2").tobytes(), names[own].tobytes(), sizes[own].astype("<u4").tobytes(), None
+        yield int(bucket[a]), kind, _squeeze(tokens[a:b]), place.astype("<u2").tobytes(), names[own].tobytes(), sizes[own].astype("<u4").tobytes(), None, None
 
 
-def _post(buckets: int):
+def _post(buckets: int, frequent: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = WordHashes(), set()
         held: list[np.ndarray] = []
@@ -98,13 +98,13 @@ def _post(buckets: int):
             order = np.argsort(tokens, kind="stable")
             tokens, at, named = tokens[order], at[order], np.array(names, np.uint64)
             first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-            often = np.diff(np.append(first, len(tokens))) >= FREQUENT
+            often = np.diff(np.append(first, len(tokens))) >= frequent
             direct = np.repeat(often, np.diff(np.append(first, len(tokens))))
             if often.any():
                 certain = tokens[first[often]]
                 where = _bucket(certain, buckets)
                 cuts = np.flatnonzero(np.diff(where)) + 1
-                yield _batch([(int(where[a]), _CERTAIN, _squeeze(certain[a:b]), b"", b"", b"", None) for a, b in zip([0, *cuts], [*cuts, len(where)], strict=True)])
+                yield _batch([(int(where[a]), _CERTAIN, _squeeze(certain[a:b]), b"", b"", b"", None, None) for a, b in zip([0, *cuts], [*cuts, len(where)], strict=True)])
                 home = (named[at[direct]] % np.uint64(buckets)).astype(np.int32)
                 o = np.lexsort((tokens[direct], home))
                 yield _batch(list(_pack_by(home[o], _DIRECT, tokens[direct][o], at[direct][o], named, sizes)))
@@ -130,7 +130,7 @@ def _post(buckets: int):
                     yield from run()
                     held, names, total = [], [], 0
             if ids:
-                yield _batch([((who[0] + len(ids)) % buckets, _DOCS, None, None, np.array(who, np.uint64).tobytes(), np.array(sizes, "<u4").tobytes(), ids)])
+                yield _batch([((who[0] + len(ids)) % buckets, _DOCS, None, None, np.array(who, np.uint64).tobytes(), np.array(sizes, "<u4").tobytes(), ids, None)])
         if held:
             yield from run()
 
@@ -148,14 +148,14 @@ def _unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, names, sizes.astype(np.int64)
 
 
-def _count(buckets: int):
+def _count(buckets: int, frequent: int):
     """Per bucket of tokens: shared postings, packed by the home of their class, with the count where it is below FREQUENT."""
 
     def count(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         tokens, names, sizes = _unpack([r for r in rows if r["kind"] == _COUNT])
         sure = [_expand(r["tokens"]) for r in rows if r["kind"] == _CERTAIN]
-        out = [(r["bucket"], r["kind"], r["tokens"], r["sets"], r["names"], r["sizes"], r["docs"]) for r in rows if r["kind"] in (_DOCS, _DIRECT)]
+        out = [(r["bucket"], r["kind"], r["tokens"], r["sets"], r["names"], r["sizes"], r["docs"], None) for r in rows if r["kind"] in (_DOCS, _DIRECT)]
         if len(tokens):
             order = np.lexsort((names, tokens))
             tokens, names, sizes = tokens[order], names[order], sizes[order]
@@ -163,23 +163,23 @@ def _count(buckets: int):
             tokens, names, sizes = tokens[fresh], names[fresh], sizes[fresh]
             first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
             times = np.diff(np.append(first, len(tokens)))
-            df = np.minimum(times, FREQUENT)
+            df = np.minimum(times, frequent)
             if sure:
-                df[np.isin(tokens[first], np.concatenate(sure))] = FREQUENT
+                df[np.isin(tokens[first], np.concatenate(sure))] = frequent
             df = np.repeat(df, times)
             shared = df > 1
             tokens, names, sizes, df = tokens[shared], names[shared], sizes[shared], df[shared]
             home = (names % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((tokens, df, home))
-            tokens, names, sizes, df, home = tokens[order], names[order], sizes[order], df[order], home[order]
-            cuts = np.flatnonzero((np.diff(home) != 0) | (np.diff(df) != 0)) + 1
+            order = np.lexsort((tokens, home))
+            tokens, names, sizes, df, home = tokens[order], names[order], sizes[order], df[order].astype(np.uint8), home[order]
+            cuts = np.flatnonzero(np.diff(home)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(home)], strict=True) if len(home) else ():
                 own, place = np.unique(names[a:b], return_inverse=True)
                 size = np.zeros(len(own), np.int64)
                 size[place] = sizes[a:b]
                 for lo in range(0, len(own), 65536):  # places are two bytes
                     inside = (place >= lo) & (place < lo + 65536)
-                    out.append((int(home[a]), 100 + int(df[a]), _squeeze(tokens[a:b][inside]), (place[inside] - lo).astype("<u2").tobytes(), own[lo : lo + 65536].tobytes(), size[lo : lo + 65536].astype("<u4").tobytes(), None))
+                    out.append((int(home[a]), _SHARED, _squeeze(tokens[a:b][inside]), (place[inside] - lo).astype("<u2").tobytes(), own[lo : lo + 65536].tobytes(), size[lo : lo + 65536].astype("<u4").tobytes(), None, df[a:b][inside].tobytes()))
         return pa.Table.from_batches([_batch(out)] if out else [], schema=_RUN)
 
     return count
@@ -193,7 +193,7 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-(percent * n) // 100) + 1
 
 
-def _gather(percent: int):
+def _gather(percent: int, frequent: int):
     """Per home bucket: the documents, and of each class whose prefix reaches shared tokens those tokens, rare first."""
 
     def gather(t: pa.Table) -> pa.Table:
@@ -205,7 +205,7 @@ def _gather(percent: int):
                 out.append(pa.RecordBatch.from_arrays([pa.array(r["docs"], pa.int64()), pa.array(np.frombuffer(r["names"], "<u8").view(np.int64)), pa.array(np.frombuffer(r["sizes"], "<u4").astype(np.int32)), *[pa.nulls(k, f.type) for f in list(_SET)[3:]]], schema=_SET))
         posts = [r for r in rows if r["kind"] != _DOCS]
         if posts:
-            df = np.concatenate([np.full(len(r["sets"]) // 2, FREQUENT if r["kind"] == _DIRECT else r["kind"] - 100, np.int64) for r in posts])
+            df = np.concatenate([np.full(len(r["sets"]) // 2, frequent, np.int64) if r["kind"] == _DIRECT else np.frombuffer(r["counts"], np.uint8).astype(np.int64) for r in posts])
             tokens, names, sizes = _unpack(posts)
             order = np.lexsort((tokens, df, names))
             tokens, names, sizes, df = tokens[order], names[order], sizes[order], df[order]
@@ -214,7 +214,7 @@ def _gather(percent: int):
             start = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
             stop = np.append(start[1:], len(names))
             n, shared = sizes[start], stop - start
-            rare = np.add.reduceat((df < FREQUENT).astype(np.int64), start)
+            rare = np.add.reduceat((df < frequent).astype(np.int64), start)
             keep = np.flatnonzero(_prefix(n, percent) + 1 > n - shared)  # the extended prefix reaches a shared token
             if len(keep):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(shared[keep]))), pa.int32()), pa.array(np.concatenate([tokens[a:b] for a, b in zip(start[keep], stop[keep], strict=True)]).view(np.int64)))
@@ -228,9 +228,9 @@ def sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]
     """(documents: doc_id, name, n; candidates: name, n, own (unshared shingles), rare (shared ones below FREQUENT), tokens)."""
     buckets = partitions(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    posted = rows.mapInArrow(_post(buckets), _RUN_SQL)
-    counted = posted.groupBy("bucket").applyInArrow(_count(buckets), _RUN_SQL)
-    both = stored(counted.groupBy("bucket").applyInArrow(_gather(percent), _SET_SQL), "sets")
+    posted = rows.mapInArrow(_post(buckets, FREQUENT), _RUN_SQL)
+    counted = posted.groupBy("bucket").applyInArrow(_count(buckets, FREQUENT), _RUN_SQL)
+    both = stored(counted.groupBy("bucket").applyInArrow(_gather(percent, FREQUENT), _SET_SQL), "sets", free=True)
     return both.where("tokens is null").select("doc_id", "name", "n"), both.where("tokens is not null").drop("doc_id")
 
 
