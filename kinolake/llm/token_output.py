@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 COUNTS = tuple(60 // b for b in WIDTHS)
 ESCAPE = 15
 _PER_WORD = np.array([*COUNTS, 0, 1], np.int64)
-#: The cache of encoded words starts anew beyond so many.
+#: Encoded words kept in each of the cache's two halves.
 CACHE = 400_000
 
 
@@ -51,27 +52,26 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     escapes = v[wide]
     small = np.where(wide, np.uint64(0), v)
     bits = np.maximum(1, np.frexp(small.astype(np.float64))[1])  # rounding up of large values can only widen
-    bits = np.where(wide, 61, np.minimum(bits, 60))
-    choice = np.full(n, ESCAPE, np.int8)
-    for k in range(len(WIDTHS) - 1, -1, -1):
+    bits = np.where(wide, 61, np.minimum(bits, 60)).astype(np.uint8)
+    choice = np.where(wide, np.uint8(ESCAPE), np.uint8(len(WIDTHS) - 1))
+    have, widest = 1, bits  # of each place, the widest of so many values from it on
+    for k in range(len(WIDTHS) - 2, -1, -1):
         per = COUNTS[k]
         if per > n:
-            continue
-        over = bits > WIDTHS[k]
-        if per == 1:
-            choice[~over] = k
-            continue
-        if over.all():
             break
-        seen = np.concatenate(([0], np.cumsum(over, dtype=np.int32)))
-        choice[: n - per + 1][seen[per:] == seen[: n - per + 1]] = k
-    following = (np.arange(n) + _PER_WORD[choice]).tolist()
+        while have < per:
+            step = min(have, per - have)
+            widest = np.maximum(widest[: len(widest) - step], widest[step:])
+            have += step
+        fits = widest <= WIDTHS[k]
+        choice[: len(fits)] = np.where(fits, np.uint8(k), choice[: len(fits)])
+    steps = _PER_WORD.astype(np.uint8)[choice].tobytes()
     at, starts = 0, []
     while at < n:
         starts.append(at)
-        at = following[at]
+        at += steps[at]
     s = np.array(starts)
-    sel = choice[s]
+    sel = choice[s].astype(np.int8)
     words = sel.astype(np.uint64) << np.uint64(60)
     for k in np.unique(sel):
         rows = np.flatnonzero(sel == k)
@@ -108,16 +108,22 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
 
     def __call__(self, text: bytes) -> bytes:
         words, known = text.split(), self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) > CACHE:
-                known.clear()
-                new = list(set(words))
+        new = set(words).difference(known)
+        if new:
+            if len(known) > CACHE:  # words that come back are taken over from the older half
+                self.known, self.older, new = {}, known, set(words)
+                known = self.known
+            older = self.older
+            for w in new:
+                if (ids := older.get(w)) is not None:
+                    known[w] = ids
+            new = [w for w in new if w not in known]
             for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                known[w] = array("I", e.ids).tobytes()
         return b"".join(map(known.__getitem__, words))
 
 
