@@ -17,6 +17,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ COUNTS = tuple(60 // b for b in WIDTHS)
 ESCAPE = 15
 _PER_WORD = np.array([*COUNTS, 0, 1], np.int64)
 #: Encoded words kept in each of the cache's two halves.
-CACHE = 400_000
+CACHE = 500_000
 
 
 def vocabulary() -> str:
@@ -100,31 +101,61 @@ def unpack(words: bytes, escapes: bytes) -> np.ndarray:
     return out
 
 
+#: ASCII punctuation that never joins with a letter before it (an apostrophe may).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below this (Latin, Greek, Cyrillic, Armenian) are the same letters to every Unicode version.
+_OLD_LETTERS = "\u0590"
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a letter: itself if printable in Latin-1, else the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of texts as little-endian uint32 bytes. The tokenizer never joins over ASCII white space, so the parts
-    between are encoded once and looked up."""
+    """Ids of texts as little-endian uint32 bytes. The tokenizer never joins over ASCII white space, nor a letter with punctuation behind it,
+    so those parts are encoded once and looked up, in a newer and an older half of CACHE entries each. It lower-cases, so A-Z are lowered first (unless a
+    special token may be in the text). Plain lower-case words go straight to its BPE model."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.known, self.older = {}, {}
+
+    def piece(self, key: bytes, text: str) -> bytes:
+        ids = self.known.get(key) or self.older.get(key)
+        if ids is None:
+            if text.isalpha() and text == text.lower() and (text.isascii() or max(text) < _OLD_LETTERS and is_normalized("NFC", text)):
+                written = text if text.isascii() else key.decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            else:
+                ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.known[key] = ids
+        return ids
+
+    def word(self, key: bytes) -> bytes:
+        text = key.decode()
+        stem = text.rstrip(_MARKS)
+        if stem and stem != text and stem[-1].isalpha() and stem[-1] == stem[-1].lower() and stem[-1] < _OLD_LETTERS and "<|" not in text:
+            at = len(stem.encode())
+            return self.piece(key[:at], stem) + self.piece(key[at:], text[len(stem) :])
+        return self.piece(key, text)
 
     def __call__(self, text: bytes) -> bytes:
-        words, known = text.split(), self.known
-        new = set(words).difference(known)
+        words = (text if b"<|" in text else text.lower()).split()
+        new = set(words).difference(self.known)
         if new:
-            if len(known) > CACHE:  # words that come back are taken over from the older half
-                self.known, self.older, new = {}, known, set(words)
-                known = self.known
-            older = self.older
+            if len(self.known) > CACHE:
+                self.known, self.older, new = {}, self.known, set(words)
+            older, known = self.older, self.known
             for w in new:
-                if (ids := older.get(w)) is not None:
-                    known[w] = ids
-            new = [w for w in new if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return b"".join(map(known.__getitem__, words))
+                known[w] = older.get(w) or self.word(w)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -163,8 +194,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     ordered.mapInArrow(encode, schema).write.option("compression", "zstd").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids (little-endian uint32 bytes)."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, and with_ids the ids (little-endian uint32 bytes)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,23 +204,21 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(x["counts"])
                 starts = ends - np.array(x["counts"])
                 n = len(ends)
-                yield pa.record_batch({"part": pa.array([x["part"]] * n, pa.int32()), "block": pa.array([x["block"]] * n, pa.int32()), "doc_id": pa.array(x["doc_ids"], pa.int64()), "at": pa.array(starts, pa.int64()), "n_tokens": pa.array(x["counts"], pa.int64()), "ids": pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())})
+                each = [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+                out = {"part": pa.array([x["part"]] * n, pa.int32()), "block": pa.array([x["block"]] * n, pa.int32()), "doc_id": pa.array(x["doc_ids"], pa.int64()), "at": pa.array(starts, pa.int64()), "n_tokens": pa.array(x["counts"], pa.int64()), "ids_crc32": pa.array(map(zlib.crc32, each), pa.int64())}
+                yield pa.record_batch(out | ({"ids": pa.array(each, pa.binary())} if with_ids else {}))
 
     blocks = spark.read.schema("part int, block int, doc_ids array<bigint>, counts array<bigint>, words binary, escapes binary").parquet(path)
     sizes = blocks.select("part", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", earlier(Window.orderBy("part")).alias("base"))
     offsets = sizes.select("part", "block", earlier(Window.partitionBy("part").orderBy("block")).alias("inside")).join(parts, "part").select("part", "block", (F.col("base") + F.col("inside")).alias("offset"))
-    docs = blocks.mapInArrow(decode, "part int, block int, doc_id bigint, at bigint, n_tokens bigint, ids binary")
-    return docs.join(offsets, ["part", "block"]).select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids")
+    docs = blocks.mapInArrow(decode, "part int, block int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
+    return docs.join(offsets, ["part", "block"]).select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def token_output(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Writes all documents to the shared folder and reads the files back: doc_id, start, n_tokens, ids_crc32."""
     path = scratch(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer)
-    return read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc32_of(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
+    return read_tokens(docs.sparkSession, path, with_ids=False)
