@@ -4,9 +4,10 @@ Every byte covered by a string of LENGTH bytes that also starts in a document wi
 
 1. Texts become runs once, written to the shared folder and bucketed by run, so later passes move none of them. Each string of LENGTH bytes has
    anchors: its GRAM-byte grams of the smallest hash. The content alone determines them, so equal strings have equal anchors.
-2. Runs send their distinct anchor hashes to owners and learn by bitmap which occur in more than one document. Only around those can
-   strings repeat; an anchor in a third of all documents is one entry a run.
-3. Around a repeated anchor, a run cuts the segment of all strings that have it (under 2 * LENGTH bytes), collapses equal segments to the
+2. Runs send their distinct anchor hashes to owners and learn which occur in more than one document. Only around those can
+   strings repeat; an anchor in a third of all documents is one entry a run. Anchors in HOT documents of one run, or in HOT runs, are
+   hot: their strings are settled one by one, each a hash that its own owner compares, so no task gathers a hot anchor's surroundings.
+3. Around any other repeated anchor, a run cuts the segment of all strings that have it (under 2 * LENGTH bytes), collapses equal segments to the
    smallest doc_id, and sends them to the anchor's owner. The owner collapses equal segments of all runs. Anchors with one
    segment are settled. The others' segments are a shard for each run: its suffixes are sorted and its
    Burrows-Wheeler transform taken; the shards' transforms are merged by interleave refinement: the interleave starts as the shards in a
@@ -38,6 +39,9 @@ LENGTH = 50
 GRAM = 26
 WINDOWS = LENGTH - GRAM + 1
 RUN_BYTES = 6_000_000
+HOT = 64
+#: Segments merged at once; anchors are never cut apart.
+MERGE = 20_000
 _NULL = np.iinfo(np.int64).max
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -158,14 +162,34 @@ class _Run:
         self.hashes = _grams(self.text, self.places)
         self.doc_of = np.searchsorted(np.cumsum(self.lens), self.places, "right")
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted distinct hashes, whether one occurs in more than one document)."""
-        order = np.argsort(self.hashes, kind="stable")
-        h, d = self.hashes[order], self.docs[self.doc_of[order]]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-        if not len(h):
-            return h, np.empty(0, bool)
-        return h[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct hashes, whether one occurs in more than one document, whether in HOT or more)."""
+        if not len(self.hashes):
+            return self.hashes, np.empty(0, bool), np.empty(0, bool)
+        order = np.lexsort((self.doc_of, self.hashes))
+        h, d = self.hashes[order], self.doc_of[order]
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        first = np.flatnonzero(new)
+        docs = np.add.reduceat((new | np.concatenate(([True], d[1:] != d[:-1]))).astype(np.int64), first)
+        ids = self.docs[d]
+        return h[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first), docs >= HOT
+
+    def windows(self, hot: np.ndarray):
+        """Strings of hot anchors: (starts, distinct string of each, hashes of the distinct ones in order, smallest doc_id of each)."""
+        use = np.flatnonzero(np.isin(self.hashes, hot))
+        counts = self.low[use] - self.high[use] + 1
+        first = np.cumsum(counts) - counts
+        starts = np.unique(np.repeat(self.places[use] - self.low[use], counts) + np.arange(counts.sum()) - np.repeat(first, counts))
+        if not len(starts):
+            return starts, starts, np.empty(0, np.uint64), starts
+        n = len(self.text)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.text * _powers(_R_INVERSE, n), dtype=np.uint64)))
+        h = mix64((sums[starts + LENGTH] - sums[starts]) * _powers(_R, n)[starts])
+        docs = self.docs[np.searchsorted(np.cumsum(self.lens), starts, "right")]
+        names, which = np.unique(h, return_inverse=True)
+        least = np.full(len(names), _NULL, np.int64)
+        np.minimum.at(least, which, docs)
+        return starts, which, names, least
 
     def segments(self, repeated: np.ndarray):
         """(anchors, segment of each, segments' hash, start, length, smallest doc_id), segments in the order of anchor hash, then content."""
@@ -190,25 +214,26 @@ def _send_anchors(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                h, several = _Run(row).distinct()
+                h, several, many = _Run(row).distinct()
                 bucket = _owner(h, buckets)
-                yield from _table([(int(bucket[a]), row["run"], h[a:b].astype("<u8").tobytes(), np.packbits(several[a:b]).tobytes(), b"", b"", b"") for a, b in _cuts(bucket)], _SENT).to_batches()
+                yield from _table([(int(bucket[a]), row["run"], h[a:b].astype("<u8").tobytes(), np.packbits(several[a:b]).tobytes(), b"", np.packbits(many[a:b]).tobytes(), b"") for a, b in _cuts(bucket)], _SENT).to_batches()
 
     return send
 
 
 def _own_anchors(t: pa.Table) -> pa.Table:
+    """Answers of kind 0: the run's repeated anchors that aren't hot; of kind 2: its hot ones."""
     rows = t.to_pylist()
     h = [np.frombuffer(r["hashes"], "<u8") for r in rows]
-    every = np.concatenate(h)
-    several = np.concatenate([np.unpackbits(np.frombuffer(r["marks"], np.uint8))[: len(x)] for r, x in zip(rows, h, strict=True)]).astype(bool)
-    order = np.argsort(every, kind="stable")
-    same = every[order][1:] == every[order][:-1]
-    hot = np.zeros(len(every), bool)
-    hot[order[1:][same]] = hot[order[:-1][same]] = True
-    hot |= np.isin(every, every[several])
+    bits = lambda name: np.concatenate([np.unpackbits(np.frombuffer(r[name], np.uint8))[: len(x)] for r, x in zip(rows, h, strict=True)]).astype(bool)
+    names, which, runs = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+    several, many = np.zeros(len(names), bool), runs >= HOT
+    several[which[bits("marks")]] = True
+    many[which[bits("bytes")]] = True
+    repeated = (runs > 1) | several
+    kind = np.where(repeated & many, 2, np.where(repeated, 0, -1))[which]
     ends = np.cumsum([len(x) for x in h])
-    return _table([(r["run"], 0, r["bucket"], x[hot[e - len(x) : e]].tobytes()) for r, x, e in zip(rows, h, ends, strict=True)], _BACK)
+    return _table([(r["run"], k, r["bucket"], x[kind[e - len(x) : e] == k].tobytes()) for r, x, e in zip(rows, h, ends, strict=True) for k in (0, 2)], _BACK)
 
 
 def _send_segments(buckets: int):
@@ -218,6 +243,9 @@ def _send_segments(buckets: int):
         _, _, h, start, size, least = run.segments(_answers(right, 0))
         bucket = _owner(h, buckets)
         whole, out = run.text.tobytes(), []
+        _, _, names, firsts = run.windows(_answers(right, 2))
+        for a, b in _cuts(_owner(names, buckets)):
+            out.append((int(_owner(names[a : a + 1], buckets)[0]), row["run"], names[a:b].astype("<u8").tobytes(), b"", b"", b"", firsts[a:b].astype("<i8").tobytes()))
         for a, b in _cuts(bucket):
             text = b"".join([whole[s : s + n] for s, n in zip(start[a:b].tolist(), size[a:b].tolist(), strict=True)])
             out.append((int(bucket[a]), row["run"], h[a:b].astype("<u8").tobytes(), b"", size[a:b].astype(np.uint8).tobytes(), text, least[a:b].astype("<i8").tobytes()))
@@ -228,7 +256,8 @@ def _send_segments(buckets: int):
 
 def _answers(t: pa.Table, kind: int) -> np.ndarray:
     rows = sorted((r for r in t.to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
-    return np.concatenate([np.frombuffer(r["answer"], "<u8" if kind == 0 else "<u4") for r in rows]) if rows else np.empty(0, np.uint64 if kind == 0 else np.uint32)
+    form = {0: "<u8", 1: "<u4", 2: "<u8", 3: "u1"}[kind]
+    return np.concatenate([np.frombuffer(r["answer"], form) for r in rows]) if rows else np.empty(0, form)
 
 
 def shard_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,8 +325,27 @@ def merged_least(strings: list[bytes], docs: np.ndarray, shard: np.ndarray) -> n
     return least
 
 
+def _own_windows(rows: list[dict]) -> list[tuple]:
+    """Answers of kind 3: whether each of a run's strings starts in a smaller document elsewhere."""
+    if not rows:
+        return []
+    h, docs = ([np.frombuffer(r[name], form) for r in rows] for name, form in (("hashes", "<u8"), ("docs", "<i8")))
+    names, which = np.unique(np.concatenate(h), return_inverse=True)
+    every = np.concatenate(docs)
+    least = np.full(len(names), _NULL, np.int64)
+    np.minimum.at(least, which, every)
+    smaller = (least[which] < every).astype(np.uint8)
+    ends = np.cumsum([len(x) for x in h])
+    return [(r["run"], 3, r["bucket"], smaller[e - len(x) : e].tobytes()) for r, x, e in zip(rows, h, ends, strict=True)]
+
+
 def _own_segments(t: pa.Table) -> pa.Table:
-    rows = t.to_pylist()
+    """Answers of kind 1: for each of a run's segments, which of its strings start in a smaller document."""
+    every = t.to_pylist()
+    out = _own_windows([r for r in every if not r["lens"]])
+    rows = [r for r in every if r["lens"]]
+    if not rows:
+        return _table(out, _BACK)
     h = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows])
     size = np.concatenate([np.frombuffer(r["lens"], np.uint8) for r in rows]).astype(np.int64)
     docs = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows])
@@ -313,19 +361,30 @@ def _own_segments(t: pa.Table) -> pa.Table:
     new = np.concatenate(([True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])))
     first, whole = np.flatnonzero(new), np.empty(len(h), np.int64)
     whole[order] = np.cumsum(new) - 1
-    least = np.repeat(docs[order][first][:, None], WINDOWS, axis=1)
+    of_all = docs[order][first]
+    # strings of distinct segments that start in a smaller document than the segment's own smallest, one bit each
+    earlier = np.zeros(len(first), np.uint32)
     # anchors with several segments: their strings may overlap in part
-    names, times = np.unique(hs[first], return_counts=True)
-    ragged = np.flatnonzero((times > 1)[np.searchsorted(names, hs[first])])
-    if len(ragged):
-        at = order[first][ragged]
-        strings = [text[s : s + n] for s, n in zip(start[at].tolist(), size[at].tolist(), strict=True)]
-        found = merged_least(strings, docs[at], run[at])
-        least[ragged] = np.minimum(least[ragged], found)
-    smaller = least[whole] < docs[:, None]
-    mask = (smaller.astype(np.uint32) << np.arange(WINDOWS, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    group = np.cumsum(np.concatenate(([True], hs[first][1:] != hs[first][:-1]))) - 1
+    times = np.bincount(group)
+    ragged = np.flatnonzero(times[group] > 1)
+    bits = np.arange(WINDOWS, dtype=np.uint32)
+    at = 0
+    while at < len(ragged):
+        to = min(len(ragged), at + MERGE)
+        while to < len(ragged) and group[ragged[to]] == group[ragged[to - 1]]:
+            to += 1
+        part = ragged[at:to]
+        mine = order[first][part]
+        strings = [text[s : s + n] for s, n in zip(start[mine].tolist(), size[mine].tolist(), strict=True)]
+        found = merged_least(strings, docs[mine], run[mine])
+        earlier[part] = ((found < docs[mine][:, None]).astype(np.uint32) << bits).sum(axis=1, dtype=np.uint32)
+        at = to
+    # a copy of a segment in a larger document has all its strings in the smaller one
+    mask = np.where(of_all[whole] < docs, np.uint32((1 << WINDOWS) - 1), earlier[whole]).astype("<u4")
     ends = np.cumsum([len(r["lens"]) for r in rows])
-    return _table([(r["run"], 1, r["bucket"], mask[e - len(r["lens"]) : e].astype("<u4").tobytes()) for r, e in zip(rows, ends, strict=True)], _BACK)
+    out += [(r["run"], 1, r["bucket"], mask[e - len(r["lens"]) : e].tobytes()) for r, e in zip(rows, ends, strict=True)]
+    return _table(out, _BACK)
 
 
 _OUT_SQL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
@@ -349,6 +408,12 @@ def _cut(with_bytes: bool):
                 at = run.places[use][hit] - low[hit] + o
                 np.add.at(step, at, 1)
                 np.add.at(step, at + LENGTH, -1)
+        starts, string, _, least = run.windows(_answers(right, 2))
+        if len(starts):
+            docs = run.docs[np.searchsorted(np.cumsum(run.lens), starts, "right")]
+            at = starts[(docs > least[string]) | _answers(right, 3).astype(bool)[string]]
+            np.add.at(step, at, 1)
+            np.add.at(step, at + LENGTH, -1)
         gone = np.cumsum(step[:n]) > 0
         ends = np.cumsum(run.lens)
         out = []
@@ -366,7 +431,7 @@ def _cut(with_bytes: bool):
 
 def suffix_dedup(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_bytes the kept bytes."""
-    buckets = partitions(docs.sparkSession)
+    buckets = 2 * partitions(docs.sparkSession)
     runs = _runs(docs)
     hot = stored(runs.mapInArrow(_send_anchors(buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_own_anchors, _BACK_SQL), "anchors")
     sent = runs.groupBy("run").cogroup(hot.groupBy("run")).applyInArrow(_send_segments(buckets), _SENT_SQL)
