@@ -7,14 +7,14 @@ Every byte covered by a string of LENGTH bytes that also starts in a document wi
 2. Runs send their distinct anchor hashes to owners and learn which occur in more than one document. Only around those can
    strings repeat; an anchor in a third of all documents is one entry a run. Anchors in HOT documents of one run, or in HOT runs, are
    hot: their strings are settled one by one, each a hash that its own owner compares, so no task gathers a hot anchor's surroundings.
-3. Around any other repeated anchor, a run cuts the segment of all strings that have it (under 2 * LENGTH bytes), collapses equal segments to the
-   smallest doc_id, and sends them to the anchor's owner. The owner collapses equal segments of all runs. Anchors with one
-   segment are settled. The others' segments are a shard for each run: its suffixes are sorted and its
-   Burrows-Wheeler transform taken; the shards' transforms are merged by interleave refinement: the interleave starts as the shards in a
-   row, and each round deals its positions by the character before them, keeping order, which sorts the suffixes by one more character
-   (Holt and McMillan). Positions whose blocks split in round k have a common prefix of k - 1; after LENGTH rounds the blocks are the
+3. Around any other repeated anchor, a run takes the segment of all strings that have it (under 2 * LENGTH bytes), collapses equal segments to the
+   smallest doc_id, and sends their hashes to the anchor's owner, which answers whether an equal segment is in a smaller document, and whether the
+   anchor has several segments. Only of those are the bytes sent, each once, by the run of its smallest document. They are a shard for each run: its
+   suffixes are sorted and its Burrows-Wheeler transform taken; the shards' transforms are merged by interleave refinement: the interleave starts as
+   the shards in a row, and each round deals its positions by the character before them, keeping order, which sorts the suffixes by one more
+   character (Holt and McMillan). Positions whose blocks split in round k have a common prefix of k - 1; after LENGTH rounds the blocks are the
    repeated intervals of LCP >= LENGTH. No suffix of the union is compared again. The smallest doc_id in an interval decides.
-4. Runs get one bit for each string of each segment, and cut the covered bytes.
+4. Runs get one bit for each string of each such segment, and cut the covered bytes.
 
 Null text is empty. A null doc_id counts as larger than all others, so it never causes a removal; rows of one doc_id cause none in each
 other. Matches never cross documents; extra columns change nothing; an empty table gives an empty result. Anchors, and segments inside a
@@ -43,6 +43,8 @@ HOT = 64
 #: Segments merged at once; anchors are never cut apart.
 MERGE = 20_000
 _NULL = np.iinfo(np.int64).max
+_ALL, _SEVERAL = 1, 2
+_EVERY = np.uint32((1 << WINDOWS) - 1)
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
@@ -78,14 +80,6 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return _POWERS[int(base)][:n]
 
 
-def _grams(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of the grams that start at the given places."""
-    h = np.zeros(len(at), np.uint64)
-    for j in range(GRAM):
-        h = h * _R + text[at + j]
-    return mix64(h)
-
-
 def _sliding(x: np.ndarray, k: int, best) -> np.ndarray:
     """best (np.minimum or np.maximum) over each k consecutive values."""
     done, out = 1, x
@@ -101,9 +95,9 @@ def anchors(text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     none = np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.uint8)
     if len(text) < LENGTH:
         return none
-    # sums of bytes times R ** -place; a gram's difference of two, times R ** (place + GRAM - 1), is its hash as _grams has it
+    # sums of bytes times R ** -place; a gram's difference of two, times R ** place, is a hash of its bytes alone
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(text * _powers(_R_INVERSE, len(text)), dtype=np.uint64)))
-    h = (sums[GRAM:] - sums[:-GRAM]) * _powers(_R, len(text) + GRAM)[GRAM - 1 : GRAM - 1 + len(text) - GRAM + 1]
+    h = (sums[GRAM:] - sums[:-GRAM]) * _powers(_R, len(text))[: len(text) - GRAM + 1]
     h = np.maximum(mix64(h), np.uint64(1))
     least = _sliding(h, WINDOWS, np.minimum)  # of the string that starts here
     ends = np.cumsum(lens)
@@ -159,11 +153,16 @@ class _Run:
         self.ids = row["docs"]
         self.places = np.flatnonzero(np.unpackbits(np.frombuffer(row["anchors"], np.uint8)))[: len(row["low"])]
         self.low, self.high = np.frombuffer(row["low"], np.uint8).astype(np.int64), np.frombuffer(row["high"], np.uint8).astype(np.int64)
-        self.hashes = _grams(self.text, self.places)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.text * _powers(_R_INVERSE, len(self.text)), dtype=np.uint64)))
+        self.hashes = self.hash(self.places, GRAM)
         self.doc_of = np.searchsorted(np.cumsum(self.lens), self.places, "right")
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted distinct hashes, whether one occurs in more than one document, whether in HOT or more)."""
+    def hash(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Hashes of the bytes at start alone."""
+        return mix64((self.sums[start + size] - self.sums[start]) * _powers(_R, len(self.text) + 1)[start])
+
+    def distinct(self, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct hashes, whether one occurs in more than one document, whether in `hot` or more)."""
         if not len(self.hashes):
             return self.hashes, np.empty(0, bool), np.empty(0, bool)
         order = np.lexsort((self.doc_of, self.hashes))
@@ -172,7 +171,7 @@ class _Run:
         first = np.flatnonzero(new)
         docs = np.add.reduceat((new | np.concatenate(([True], d[1:] != d[:-1]))).astype(np.int64), first)
         ids = self.docs[d]
-        return h[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first), docs >= HOT
+        return h[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first), docs >= hot
 
     def windows(self, hot: np.ndarray):
         """Strings of hot anchors: (starts, distinct string of each, hashes of the distinct ones in order, smallest doc_id of each)."""
@@ -182,9 +181,7 @@ class _Run:
         starts = np.unique(np.repeat(self.places[use] - self.low[use], counts) + np.arange(counts.sum()) - np.repeat(first, counts))
         if not len(starts):
             return starts, starts, np.empty(0, np.uint64), starts
-        n = len(self.text)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.text * _powers(_R_INVERSE, n), dtype=np.uint64)))
-        h = mix64((sums[starts + LENGTH] - sums[starts]) * _powers(_R, n)[starts])
+        h = self.hash(starts, LENGTH)
         docs = self.docs[np.searchsorted(np.cumsum(self.lens), starts, "right")]
         names, which = np.unique(h, return_inverse=True)
         least = np.full(len(names), _NULL, np.int64)
@@ -192,60 +189,72 @@ class _Run:
         return starts, which, names, least
 
     def segments(self, repeated: np.ndarray):
-        """(anchors, segment of each, segments' hash, start, length, smallest doc_id), segments in the order of anchor hash, then content."""
+        """(anchors, segment of each, segments' anchor hash, content hash, start, length, smallest doc_id), segments in the order of anchor hash, then content."""
         use = np.flatnonzero(np.isin(self.hashes, repeated))
         start = self.places[use] - self.low[use]
         size = self.low[use] - self.high[use] + LENGTH
-        content = size.astype(np.uint64) + (self.low[use] << 8).astype(np.uint64)
-        for j in range(LENGTH + WINDOWS - 1):
-            here = j < size
-            content[here] = content[here] * _R + self.text[start[here] + j]
-        content = mix64(content)
+        content = self.hash(start, size) ^ (size * 256 + self.low[use]).astype(np.uint64)
         order = np.lexsort((content, self.hashes[use]))
         use, start, size, content = use[order], start[order], size[order], content[order]
         h = self.hashes[use]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (content[1:] != content[:-1]))) if len(use) else np.empty(0, bool)
         first = np.flatnonzero(new)
         least = np.minimum.reduceat(self.docs[self.doc_of[use]], first) if len(use) else np.empty(0, np.int64)
-        return use, np.cumsum(new) - 1, h[first], start[first], size[first], least
+        return use, np.cumsum(new) - 1, h[first], content[first], start[first], size[first], least
 
 
-def _send_anchors(buckets: int):
+def _send_anchors(buckets: int, hot: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                h, several, many = _Run(row).distinct()
+                h, several, many = _Run(row).distinct(hot)
                 bucket = _owner(h, buckets)
                 yield from _table([(int(bucket[a]), row["run"], h[a:b].astype("<u8").tobytes(), np.packbits(several[a:b]).tobytes(), b"", np.packbits(many[a:b]).tobytes(), b"") for a, b in _cuts(bucket)], _SENT).to_batches()
 
     return send
 
 
-def _own_anchors(t: pa.Table) -> pa.Table:
-    """Answers of kind 0: the run's repeated anchors that aren't hot; of kind 2: its hot ones."""
-    rows = t.to_pylist()
-    h = [np.frombuffer(r["hashes"], "<u8") for r in rows]
-    bits = lambda name: np.concatenate([np.unpackbits(np.frombuffer(r[name], np.uint8))[: len(x)] for r, x in zip(rows, h, strict=True)]).astype(bool)
-    names, which, runs = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
-    several, many = np.zeros(len(names), bool), runs >= HOT
-    several[which[bits("marks")]] = True
-    many[which[bits("bytes")]] = True
-    repeated = (runs > 1) | several
-    kind = np.where(repeated & many, 2, np.where(repeated, 0, -1))[which]
-    ends = np.cumsum([len(x) for x in h])
-    return _table([(r["run"], k, r["bucket"], x[kind[e - len(x) : e] == k].tobytes()) for r, x, e in zip(rows, h, ends, strict=True) for k in (0, 2)], _BACK)
+def _own_anchors(hot: int):
+    def own(t: pa.Table) -> pa.Table:
+        """Answers of kind 0: the run's repeated anchors that aren't hot; of kind 2: its hot ones."""
+        rows = t.to_pylist()
+        h = [np.frombuffer(r["hashes"], "<u8") for r in rows]
+        bits = lambda name: np.concatenate([np.unpackbits(np.frombuffer(r[name], np.uint8))[: len(x)] for r, x in zip(rows, h, strict=True)]).astype(bool)
+        names, which, runs = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+        several, many = np.zeros(len(names), bool), runs >= hot
+        several[which[bits("marks")]] = True
+        many[which[bits("bytes")]] = True
+        repeated = (runs > 1) | several
+        kind = np.where(repeated & many, 2, np.where(repeated, 0, -1))[which]
+        ends = np.cumsum([len(x) for x in h])
+        return _table([(r["run"], k, r["bucket"], x[kind[e - len(x) : e] == k].tobytes()) for r, x, e in zip(rows, h, ends, strict=True) for k in (0, 2)], _BACK)
+
+    return own
 
 
 def _send_segments(buckets: int):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
-        run = _Run(row)
-        _, _, h, start, size, least = run.segments(_answers(right, 0))
-        bucket = _owner(h, buckets)
-        whole, out = run.text.tobytes(), []
+        run, out = _Run(row), []
+        _, _, h, content, _, _, least = run.segments(_answers(right, 0))
         _, _, names, firsts = run.windows(_answers(right, 2))
-        for a, b in _cuts(_owner(names, buckets)):
-            out.append((int(_owner(names[a : a + 1], buckets)[0]), row["run"], names[a:b].astype("<u8").tobytes(), b"", b"", b"", firsts[a:b].astype("<i8").tobytes()))
+        for keys, more, docs in ((h, content, least), (names, None, firsts)):
+            bucket = _owner(keys, buckets)
+            for a, b in _cuts(bucket):
+                out.append((int(bucket[a]), row["run"], keys[a:b].astype("<u8").tobytes(), b"" if more is None else more[a:b].astype("<u8").tobytes(), b"", b"", docs[a:b].astype("<i8").tobytes()))
+        return _table(out, _SENT)
+
+    return send
+
+
+def _send_bytes(buckets: int):
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = left.to_pylist()
+        run, out = _Run(row), []
+        _, _, h, _, start, size, least = run.segments(_answers(right, 0))
+        wanted = np.flatnonzero(_answers(right, 1) == _SEVERAL)
+        h, start, size, least = h[wanted], start[wanted], size[wanted], least[wanted]
+        bucket, whole = _owner(h, buckets), run.text.tobytes()
         for a, b in _cuts(bucket):
             text = b"".join([whole[s : s + n] for s, n in zip(start[a:b].tolist(), size[a:b].tolist(), strict=True)])
             out.append((int(bucket[a]), row["run"], h[a:b].astype("<u8").tobytes(), b"", size[a:b].astype(np.uint8).tobytes(), text, least[a:b].astype("<i8").tobytes()))
@@ -255,8 +264,8 @@ def _send_segments(buckets: int):
 
 
 def _answers(t: pa.Table, kind: int) -> np.ndarray:
-    rows = sorted((r for r in t.to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
-    form = {0: "<u8", 1: "<u4", 2: "<u8", 3: "u1"}[kind]
+    rows = sorted((r for r in t.select(["kind", "bucket", "answer"]).to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
+    form = {0: "<u8", 1: "u1", 2: "<u8", 3: "u1", 4: "<u4"}[kind]
     return np.concatenate([np.frombuffer(r["answer"], form) for r in rows]) if rows else np.empty(0, form)
 
 
@@ -325,68 +334,64 @@ def merged_least(strings: list[bytes], docs: np.ndarray, shard: np.ndarray) -> n
     return least
 
 
-def _own_windows(rows: list[dict]) -> list[tuple]:
-    """Answers of kind 3: whether each of a run's strings starts in a smaller document elsewhere."""
-    if not rows:
-        return []
-    h, docs = ([np.frombuffer(r[name], form) for r in rows] for name, form in (("hashes", "<u8"), ("docs", "<i8")))
-    names, which = np.unique(np.concatenate(h), return_inverse=True)
-    every = np.concatenate(docs)
-    least = np.full(len(names), _NULL, np.int64)
-    np.minimum.at(least, which, every)
-    smaller = (least[which] < every).astype(np.uint8)
-    ends = np.cumsum([len(x) for x in h])
-    return [(r["run"], 3, r["bucket"], smaller[e - len(x) : e].tobytes()) for r, x, e in zip(rows, h, ends, strict=True)]
+def _split(values: np.ndarray, rows: list[dict], kind: int) -> list[tuple]:
+    """One answer for each row, as long as its docs."""
+    ends = np.cumsum([len(r["docs"]) // 8 for r in rows])
+    return [(r["run"], kind, r["bucket"], values[e - len(r["docs"]) // 8 : e].tobytes()) for r, e in zip(rows, ends, strict=True)]
 
 
 def _own_segments(t: pa.Table) -> pa.Table:
-    """Answers of kind 1: for each of a run's segments, which of its strings start in a smaller document."""
-    every = t.to_pylist()
-    out = _own_windows([r for r in every if not r["lens"]])
-    rows = [r for r in every if r["lens"]]
-    if not rows:
-        return _table(out, _BACK)
-    h = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows])
-    size = np.concatenate([np.frombuffer(r["lens"], np.uint8) for r in rows]).astype(np.int64)
-    docs = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows])
-    run = np.repeat(np.arange(len(rows)), [len(r["lens"]) for r in rows])
-    text = b"".join(r["bytes"] for r in rows)
-    flat, start = np.frombuffer(text, np.uint8), np.cumsum(size) - size
-    content = size.astype(np.uint64)
-    for j in range(LENGTH + WINDOWS - 1):
-        here = j < size
-        content[here] = content[here] * _R + flat[start[here] + j]
-    order = np.lexsort((docs, content, h))
-    hs, cs = h[order], content[order]
-    new = np.concatenate(([True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])))
-    first, whole = np.flatnonzero(new), np.empty(len(h), np.int64)
-    whole[order] = np.cumsum(new) - 1
-    of_all = docs[order][first]
-    # strings of distinct segments that start in a smaller document than the segment's own smallest, one bit each
-    earlier = np.zeros(len(first), np.uint32)
-    # anchors with several segments: their strings may overlap in part
-    group = np.cumsum(np.concatenate(([True], hs[first][1:] != hs[first][:-1]))) - 1
-    times = np.bincount(group)
-    ragged = np.flatnonzero(times[group] > 1)
-    bits = np.arange(WINDOWS, dtype=np.uint32)
-    at = 0
-    while at < len(ragged):
-        to = min(len(ragged), at + MERGE)
-        while to < len(ragged) and group[ragged[to]] == group[ragged[to - 1]]:
-            to += 1
-        part = ragged[at:to]
-        mine = order[first][part]
-        strings = [text[s : s + n] for s, n in zip(start[mine].tolist(), size[mine].tolist(), strict=True)]
-        found = merged_least(strings, docs[mine], run[mine])
-        earlier[part] = ((found < docs[mine][:, None]).astype(np.uint32) << bits).sum(axis=1, dtype=np.uint32)
-        at = to
-    # a copy of a segment in a larger document has all its strings in the smaller one
-    mask = np.where(of_all[whole] < docs, np.uint32((1 << WINDOWS) - 1), earlier[whole]).astype("<u4")
-    ends = np.cumsum([len(r["lens"]) for r in rows])
-    out += [(r["run"], 1, r["bucket"], mask[e - len(r["lens"]) : e].tobytes()) for r, e in zip(rows, ends, strict=True)]
+    """Answers of kind 1: for each segment of a run, _ALL if an equal one is in a smaller document, else _SEVERAL if its anchor has several segments, else
+    0; of kind 3: for each string of a hot anchor, 1 if it starts in a smaller document elsewhere."""
+    every, out = t.to_pylist(), []
+    for kind in (1, 3):
+        rows = [r for r in every if bool(r["marks"]) == (kind == 1)]
+        if not rows:
+            continue
+        h = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows])
+        docs = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows])
+        content = np.concatenate([np.frombuffer(r["marks"], "<u8") for r in rows]) if kind == 1 else h
+        order = np.lexsort((docs, content, h))
+        hs, cs = h[order], content[order]
+        new_h = np.concatenate(([True], hs[1:] != hs[:-1]))
+        new = new_h | np.concatenate(([True], cs[1:] != cs[:-1]))
+        least = docs[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        answer = np.where(least < docs[order], _ALL, 0)
+        if kind == 1:
+            group = np.cumsum(new_h) - 1
+            answer = np.where((answer == 0) & (np.bincount(group, weights=new)[group] > 1), _SEVERAL, answer)
+        back = np.empty(len(h), np.uint8)
+        back[order] = answer
+        out += _split(back, rows, kind)
     return _table(out, _BACK)
 
 
+def _own_bytes(merge: int):
+    def own(t: pa.Table) -> pa.Table:
+        """Answers of kind 4: for each segment, which of its strings start in a smaller document."""
+        rows = t.to_pylist()
+        h = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows])
+        size = np.concatenate([np.frombuffer(r["lens"], np.uint8) for r in rows]).astype(np.int64)
+        docs = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows])
+        run = np.repeat(np.arange(len(rows)), [len(r["lens"]) for r in rows])
+        text = b"".join(r["bytes"] for r in rows)
+        start = np.cumsum(size) - size
+        order = np.argsort(h, kind="stable")
+        mask, bits, at = np.zeros(len(h), np.uint32), np.arange(WINDOWS, dtype=np.uint32), 0
+        while at < len(order):
+            to = min(len(order), at + merge)
+            while to < len(order) and h[order[to]] == h[order[to - 1]]:
+                to += 1
+            mine = order[at:to]
+            strings = [text[s : s + n] for s, n in zip(start[mine].tolist(), size[mine].tolist(), strict=True)]
+            found = merged_least(strings, docs[mine], run[mine])
+            mask[mine] = ((found < docs[mine][:, None]).astype(np.uint32) << bits).sum(axis=1, dtype=np.uint32)
+            at = to
+        return _table(_split(mask.astype("<u4"), rows, 4), _BACK)
+
+    return own
+
+
 _OUT_SQL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
@@ -394,14 +399,16 @@ def _cut(with_bytes: bool):
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
         run = _Run(row)
-        use, which, _, _, _, least = run.segments(_answers(right, 0))
-        mask = _answers(right, 1)
+        use, which, _, _, _, _, least = run.segments(_answers(right, 0))
+        verdict = _answers(right, 1)
+        mask = np.where(verdict == _ALL, _EVERY, np.uint32(0))
+        mask[verdict == _SEVERAL] = _answers(right, 4)
         n = len(run.text)
         step = np.zeros(n + 1, np.int32)
         if len(use):
             # a document with a larger doc_id than its segment's smallest has every string of it from before
             later = run.docs[run.doc_of[use]] > least[which]
-            bits = np.where(later, np.uint32((1 << WINDOWS) - 1), mask[which])
+            bits = np.where(later, _EVERY, mask[which])
             low, span = run.low[use], run.low[use] - run.high[use]
             for o in range(WINDOWS):
                 hit = ((bits >> np.uint32(o)) & np.uint32(1)).astype(bool) & (o <= span)
@@ -433,8 +440,10 @@ def suffix_dedup(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_bytes the kept bytes."""
     buckets = 2 * partitions(docs.sparkSession)
     runs = _runs(docs)
-    hot = stored(runs.mapInArrow(_send_anchors(buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_own_anchors, _BACK_SQL), "anchors")
-    sent = runs.groupBy("run").cogroup(hot.groupBy("run")).applyInArrow(_send_segments(buckets), _SENT_SQL)
-    masks = stored(sent.groupBy("bucket").applyInArrow(_own_segments, _BACK_SQL), "masks")
-    out = runs.groupBy("run").cogroup(hot.union(masks).groupBy("run")).applyInArrow(_cut(with_bytes), _OUT_SQL)
+    hot = stored(runs.mapInArrow(_send_anchors(buckets, HOT), _SENT_SQL).groupBy("bucket").applyInArrow(_own_anchors(HOT), _BACK_SQL), "anchors", free=True)
+    answers = hot
+    for send, own, name in ((_send_segments, _own_segments, "segments"), (_send_bytes, _own_bytes(MERGE), "masks")):
+        sent = runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(send(buckets), _SENT_SQL)
+        answers = answers.union(stored(sent.groupBy("bucket").applyInArrow(own, _BACK_SQL), name, free=True))
+    out = runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_cut(with_bytes), _OUT_SQL)
     return out if with_bytes else out.drop("kept")
