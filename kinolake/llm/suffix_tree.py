@@ -35,7 +35,7 @@ MIN_CONTEXT = 16
 GAIN = 2.0
 PRIOR = 4.0
 ALPHA = 0.1
-RUN_TOKENS = 1_000_000
+RUN_TOKENS = 1_200_000
 END = np.uint64(0x8D12E5A7C34F96B1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -60,6 +60,15 @@ def _planes(h: np.ndarray, n: int = 6) -> bytes:
     return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - n :].T.tobytes()
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in one byte each, or in four where some don't fit."""
+    return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
+
+
+def _widened(code: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(code, np.uint8 if len(code) == n else "<u4").astype(np.int64)
+
+
 def _from_planes(code: bytes, n: int = 6) -> np.ndarray:
     wide = np.zeros((len(code) // n, 8), np.uint8)
     wide[:, 8 - n :] = np.frombuffer(code, np.uint8).reshape(n, -1).T
@@ -179,7 +188,7 @@ def _send(n: int, v: int, order: int, buckets: int):
             for a, b in _cuts(_owner(contexts, buckets)):
                 first = np.flatnonzero(np.concatenate(([True], group[a + 1 : b] != group[a : b - 1])))
                 sizes = np.diff(np.append(first, b - a)).astype("<u4")
-                out.append((int(_owner(contexts[a : a + 1], buckets)[0]), run["run"], contexts[a:b][first].astype("<u8").tobytes(), sizes.tobytes(), _planes(words[a:b]), counts[a:b].tobytes(), parents[a:b].tobytes()))
+                out.append((int(_owner(contexts[a : a + 1], buckets)[0]), run["run"], contexts[a:b][first].astype("<u8").tobytes(), sizes.tobytes(), _planes(words[a:b]), _narrow(counts[a:b]), parents[a:b].tobytes()))
 
         tokens.climb(order, meet)
         return _table(out, _SENT)
@@ -226,7 +235,7 @@ def _own_contexts(order: int):
         names, which = np.unique(np.concatenate(ctx), return_inverse=True)
         group = np.repeat(which, np.concatenate(sizes))
         nxt = np.concatenate([_from_planes(r["next"]) for r in rows])
-        counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]).astype(np.int64)
+        counts = np.concatenate([_widened(r["counts"], len(r["parents"])) for r in rows])
         parents = np.concatenate([np.frombuffer(r["parents"], np.uint8) for r in rows])
         sort = np.lexsort((nxt, group))
         g, x = group[sort], nxt[sort]
@@ -269,12 +278,12 @@ def _score(n: int, v: int, orders: int, buckets: int):
 
 def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    buckets = partitions(docs.sparkSession)
+    buckets = 2 * partitions(docs.sparkSession)
     runs = _runs(docs)
-    words = stored(runs.mapInArrow(_count_words(buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_own_words, _BACK_SQL), "words")
+    words = stored(runs.mapInArrow(_count_words(buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_own_words, _BACK_SQL), "words", free=True)
     n, v = words.where("run is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     answers = words.where("run is not null")
     for k in range(1, order + 1):
         sent = runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_send(int(n), int(v), k, buckets), _SENT_SQL)
-        answers = answers.union(stored(sent.groupBy("bucket").applyInArrow(_own_contexts(k), _BACK_SQL), f"order{k}"))
+        answers = answers.union(stored(sent.groupBy("bucket").applyInArrow(_own_contexts(k), _BACK_SQL), f"order{k}", free=True))
     return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_score(int(n), int(v), order, buckets), _SCORES_SQL)
