@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinolake.llm.common import scratch, table
+from kinolake.llm.common import importable, scratch, table
 from kinolake.llm.decontaminate import decontaminate
 from kinolake.llm.language_id import language_id
 from kinolake.llm.mixing import mix
@@ -32,17 +32,20 @@ def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language with a score of LEAST_SCORE or more."""
+    importable(spark)
     found = language_id(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return _kept(docs, found)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram Jaccard join, the document with the smallest doc_id."""
+    importable(spark)
     return _kept(docs, ngram_join(docs).where("doc_id = component_id")).dropDuplicates(["doc_id"])
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    importable(spark)
     return _kept(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")))
 
 
@@ -63,6 +66,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files of the mix, as read back: doc_id, start, n_tokens, ids_crc32."""
+    importable(spark)
     return token_output(docs)
 
 
