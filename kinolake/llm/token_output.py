@@ -33,8 +33,10 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 COUNTS = tuple(60 // b for b in WIDTHS)
 ESCAPE = 15
 _PER_WORD = np.array([*COUNTS, 0, 1], np.int64)
+#: Bits of each 16-bit value, at least one.
+_BITS = np.maximum(1, np.frexp(np.arange(1 << 16, dtype=np.float64))[1]).astype(np.uint8)
 #: Encoded words kept in each of the cache's two halves.
-CACHE = 500_000
+CACHE = 900_000
 
 
 def vocabulary() -> str:
@@ -52,8 +54,11 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     wide = v >= np.uint64(1 << 60)
     escapes = v[wide]
     small = np.where(wide, np.uint64(0), v)
-    bits = np.maximum(1, np.frexp(small.astype(np.float64))[1])  # rounding up of large values can only widen
-    bits = np.where(wide, 61, np.minimum(bits, 60)).astype(np.uint8)
+    if n and small.max() < len(_BITS):
+        bits = _BITS[small.astype(np.uint16)]
+    else:
+        bits = np.clip(np.frexp(small.astype(np.float64))[1], 1, 60).astype(np.uint8)  # rounding up of large values can only widen
+    bits[wide] = 61
     choice = np.where(wide, np.uint8(ESCAPE), np.uint8(len(WIDTHS) - 1))
     have, widest = 1, bits  # of each place, the widest of so many values from it on
     for k in range(len(WIDTHS) - 2, -1, -1):
@@ -114,7 +119,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of texts as little-endian uint32 bytes. The tokenizer never joins over ASCII white space, nor a letter with punctuation behind it,
     so those parts are encoded once and looked up, in a newer and an older half of CACHE entries each. It lower-cases, so A-Z are lowered first (unless a
     special token may be in the text). Plain lower-case words go straight to its BPE model."""
@@ -123,39 +128,38 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.known, self.older = {}, {}
+        self.model, self.letters, self.older = self.tokenizer.model, byte_letters(), {}
 
     def piece(self, key: bytes, text: str) -> bytes:
-        ids = self.known.get(key) or self.older.get(key)
+        ids = self.get(key) or self.older.get(key)
         if ids is None:
             if text.isalpha() and text == text.lower() and (text.isascii() or max(text) < _OLD_LETTERS and is_normalized("NFC", text)):
                 written = text if text.isascii() else key.decode("latin-1").translate(self.letters)
                 ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
             else:
                 ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        self.known[key] = ids
+        self[key] = ids
         return ids
 
-    def word(self, key: bytes) -> bytes:
+    def __missing__(self, key: bytes) -> bytes:
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+        if (ids := self.older.get(key)) is not None:
+            self[key] = ids
+            return ids
         text = key.decode()
         stem = text.rstrip(_MARKS)
         if stem and stem != text and stem[-1].isalpha() and stem[-1] == stem[-1].lower() and stem[-1] < _OLD_LETTERS and "<|" not in text:
             at = len(stem.encode())
-            return self.piece(key[:at], stem) + self.piece(key[at:], text[len(stem) :])
+            self[key] = ids = self.piece(key[:at], stem) + self.piece(key[at:], text[len(stem) :])
+            return ids
         return self.piece(key, text)
 
     def __call__(self, text: bytes) -> bytes:
-        words = (text if b"<|" in text else text.lower()).split()
-        new = set(words).difference(self.known)
-        if new:
-            if len(self.known) > CACHE:
-                self.known, self.older, new = {}, self.known, set(words)
-            older, known = self.older, self.known
-            for w in new:
-                known[w] = older.get(w) or self.word(w)
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 _ENCODERS: dict[str, Encoder] = {}
