@@ -269,11 +269,12 @@ def _answers(t: pa.Table, kind: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["answer"], form) for r in rows]) if rows else np.empty(0, form)
 
 
-def shard_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(transform, string of each suffix, its offset) in suffix order, the ends first; characters are bytes + 1, 0 stands for an end."""
+def shard_bwt(strings: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, transform): suffix numbers count on from first[i] for string i, its end included; the transform has the character before each,
+    as byte + 1 (UTF-8 has no byte 255), 0 where a string begins."""
     lens = np.array([len(s) for s in strings], np.int64)
     width = int(lens.max())
-    flat = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
+    flat = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
     base = np.cumsum(lens) - lens
     which = np.repeat(np.arange(len(strings)), lens)
     offset = np.arange(len(flat)) - base[which]
@@ -281,56 +282,50 @@ def shard_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     suffix = np.lib.stride_tricks.sliding_window_view(padded, width)[: len(flat)].copy()
     suffix[np.arange(width) >= (lens[which] - offset)[:, None]] = 0
     order = np.argsort(suffix.view(f"S{width}").ravel(), kind="stable")
-    which, offset = np.concatenate((np.arange(len(strings)), which[order])), np.concatenate((lens, offset[order]))
-    before = np.where(offset > 0, flat[np.minimum(base[which] + np.maximum(offset - 1, 0), len(flat) - 1)], 0).astype(np.uint8)
-    return before, which, offset
-
-
-def merge_bwts(shards: list[np.ndarray], ends: list[int], rounds: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(shard at each place of the merged suffix order, block of each place): places of one block share their first `rounds` characters.
-
-    ends: strings of each shard; the first places of a transform are its ends."""
-    sizes = [len(s) for s in shards]
-    chars = np.concatenate(shards)
-    n, m = len(chars), sum(ends)
-    kind = np.uint16 if len(shards) < 1 << 16 else np.uint32
-    inner = [np.full(k - e, i, kind) for i, (k, e) in enumerate(zip(sizes, ends, strict=True))]
-    z = np.concatenate([np.repeat(np.arange(len(shards), dtype=kind), ends), *inner])
-    block = np.zeros(n, np.int64)  # nothing is known before the first round, not even where strings end
+    ends = np.arange(len(strings))
+    which, offset = np.concatenate((ends, which[order])), np.concatenate((lens, offset[order]))
+    before = np.where(offset > 0, flat[np.maximum(base[which] + offset - 1, 0)], 0).astype(np.uint8)
+    return first[which] + offset, before
+
+
+def merge_bwts(shards: list[tuple[np.ndarray, np.ndarray]], total: int, rounds: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated intervals of the union: (suffixes, block of each), those that share their first `rounds` characters with another.
+
+    The interleave starts as the shards in a row. A round deals its places by the character before them, keeping order: that is the order of the
+    suffixes one character longer. Places alone in their block are settled, and so is what lies before them: they leave."""
+    place = np.concatenate([s for s, _ in shards])
+    before = np.empty(total, np.uint8)
+    before[place] = np.concatenate([b for _, b in shards])
+    block = np.zeros(len(place), np.int64)
     for _ in range(rounds):
-        by_shard = np.argsort(z, kind="stable")
-        c = np.empty(n, np.uint8)
-        c[by_shard] = chars
+        c = before[place]
         rest = np.flatnonzero(c)
         order = rest[np.argsort(c[rest], kind="stable")]
-        new = np.ones(n - m, bool)
-        new[1:] = (c[order][1:] != c[order][:-1]) | (block[order][1:] != block[order][:-1])
-        z[m:] = z[order]
-        block[:m] = np.arange(m)
-        block[m:] = m - 1 + np.cumsum(new)
-        if block[-1] == n - 1:
+        c, place, block = c[order], place[order] - 1, block[order]
+        if not len(place):
             break
-    return z, block
+        new = np.concatenate(([True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(place)))
+        several = np.repeat(size > 1, size)
+        place, block = place[several], (np.cumsum(new) - 1)[several]
+    return place, block
 
 
 def merged_least(strings: list[bytes], docs: np.ndarray, shard: np.ndarray) -> np.ndarray:
     """For each string and each of its places (WINDOWS columns), the smallest document that holds its next LENGTH bytes."""
-    least = np.full((len(strings), WINDOWS), _NULL, np.int64)
-    parts, names = [], []
+    least = np.repeat(docs[:, None], WINDOWS, axis=1)
+    lens = np.array([len(s) + 1 for s in strings], np.int64)
+    first = np.cumsum(lens) - lens
+    parts = []
     for s in np.unique(shard):
         own = np.flatnonzero(shard == s)
-        parts.append(shard_bwt([strings[i] for i in own.tolist()]))
-        names.append(own)
-    z, block = merge_bwts([p[0] for p in parts], [len(x) for x in names])
-    place = np.argsort(z, kind="stable")
-    which, offset = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
-    which[place] = np.concatenate([own[p[1]] for own, p in zip(names, parts, strict=True)])
-    offset[place] = np.concatenate([p[2] for p in parts])
-    whole = np.array([len(s) for s in strings])[which] - offset >= LENGTH
-    which, offset, block = which[whole], offset[whole], block[whole]
-    first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    smallest = np.repeat(np.minimum.reduceat(docs[which], first), np.diff(np.append(first, len(block))))
-    least[which, offset] = smallest
+        parts.append(shard_bwt([strings[i] for i in own.tolist()], first[own]))
+    place, block = merge_bwts(parts, int(lens.sum()))
+    if len(place):
+        which = np.searchsorted(first, place, "right") - 1
+        start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        least[which, place - first[which]] = np.repeat(np.minimum.reduceat(docs[which], start), np.diff(np.append(start, len(place))))
     return least
 
 
@@ -444,6 +439,7 @@ def suffix_dedup(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     answers = hot
     for send, own, name in ((_send_segments, _own_segments, "segments"), (_send_bytes, _own_bytes(MERGE), "masks")):
         sent = runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(send(buckets), _SENT_SQL)
-        answers = answers.union(stored(sent.groupBy("bucket").applyInArrow(own, _BACK_SQL), name, free=True))
+        dealt = sent.repartition(partitions(docs.sparkSession), "bucket")  # small rows with much work: not to be put together
+        answers = answers.union(stored(dealt.groupBy("bucket").applyInArrow(own, _BACK_SQL), name, free=True))
     out = runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_cut(with_bytes), _OUT_SQL)
     return out if with_bytes else out.drop("kept")
