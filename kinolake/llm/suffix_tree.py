@@ -1,7 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of up to ORDER words before a word (a document's first word follows an end). A context is a candidate if
-training saw it MIN_CONTEXT times, and is retained if a divergence test says so: the log likelihood that its own
+States are contexts of up to ORDER words before a word (a document's first word follows an end). A context is a candidate if it makes
+up P_MIN of the training tokens (and was seen MIN_CONTEXT times), and is retained if a divergence test says so: the log likelihood that its own
 next-word distribution gains over its parent's (the context without its oldest word) on the words seen after it is at least GAIN
 nats for each next word it stores. Distributions are smoothed by their parents: next words seen twice or
 more are stored, the mass of those seen once (and PRIOR more) goes to the parent; the root is the base unigram
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import WordHashes, byte_texts, mix64, partitions, scratch, stored
 
 ORDER = 2
-MIN_CONTEXT = 16
+P_MIN, MIN_CONTEXT = 1e-6, 16
 GAIN = 2.0
-PRIOR = 4.0
+PRIOR = 4
 ALPHA = 0.1
 RUN_TOKENS = 1_200_000
 END = np.uint64(0x8D12E5A7C34F96B1)
@@ -61,12 +61,14 @@ def _planes(h: np.ndarray, n: int = 6) -> bytes:
 
 
 def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in one byte each, or in four where some don't fit."""
-    return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
+    """Counts in one, four or eight bytes each, the width before them."""
+    most = int(counts.max(initial=0))
+    width = 1 if most < 1 << 8 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
-def _widened(code: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(code, np.uint8 if len(code) == n else "<u4").astype(np.int64)
+def _widened(code: bytes) -> np.ndarray:
+    return np.frombuffer(code, f"<u{code[0]}", offset=1).astype(np.int64)
 
 
 def _from_planes(code: bytes, n: int = 6) -> np.ndarray:
@@ -110,20 +112,25 @@ def _runs(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def _least(n: int) -> int:
+    """Occurrences that make a context a candidate, of n training tokens."""
+    return max(MIN_CONTEXT, int(np.ceil(P_MIN * n)))
+
+
 class _Tokens:
     """A run's tokens with what the owners have answered so far."""
 
-    def __init__(self, run: dict, answers: list[dict], n: int, v: int, buckets: int):
+    def __init__(self, run: dict, answers: list[dict], n: int, v: int):
         self.words = np.frombuffer(run["words"], "<u8")
         self.ids = np.frombuffer(run["ids"], "<u4").astype(np.int64)
         self.lens = np.array(run["lens"], np.int64)
         self.train = ~np.repeat(np.array(run["held"], bool), self.lens)
         self.first = np.cumsum(self.lens) - self.lens
-        self.buckets = buckets
+        self.least = _least(n)
         by = sorted(answers, key=lambda a: (a["order"], a["bucket"]))
         self.answers = [[a for a in by if a["order"] == k] for k in range(max((a["order"] for a in by), default=-1) + 1)]
         if self.answers:
-            self.c = np.concatenate([np.frombuffer(a["totals"], "<i8") for a in self.answers[0]])
+            self.c = np.concatenate([_widened(a["totals"]) for a in self.answers[0]])
             self.base = ((self.c + ALPHA) / (n + ALPHA * (v + 1)))[self.ids]
             self.known = (self.c > 0)[self.ids]
 
@@ -147,7 +154,7 @@ class _Tokens:
         prev = np.empty(len(self.ids), np.int64)
         prev[1:] = self.ids[:-1]
         prev[self.first] = np.searchsorted(self.words, END)
-        live = (self.c >= MIN_CONTEXT)[prev]  # a context of one word is alive by that word's count
+        live = (self.c >= self.least)[prev]  # a context of one word is alive by that word's count
         for k in range(1, orders + 1):
             contexts, inside = self.before(k)
             rows = np.flatnonzero(live & inside)
@@ -162,14 +169,14 @@ class _Tokens:
             if meet and k == orders:
                 meet(p, rows, pair, at, group, c[at], w[rows][at])
                 break
-            totals, held, spare = (np.concatenate([np.frombuffer(a[name], kind) for a in self.answers[k]]) for name, kind in (("totals", "<i8"), ("stored", "<f8"), ("spare", "<f8")))
+            totals, held, spare = (np.concatenate([_widened(a[name]) for a in self.answers[k]]) for name in ("totals", "stored", "spare"))
             use = (spare > 0)[group][pair]
             g, t, own = group[pair][use], np.where(totals >= 2, totals, 0)[pair][use], rows[use]
             p = p.copy()
             p[own] = (t + spare[g] * p[own]) / (held[g] + spare[g])
             # the next order's context at a token is the pair that ends right before it: alive if that was seen often enough
             often = np.zeros(len(self.ids), bool)
-            often[rows] = totals[pair] >= MIN_CONTEXT
+            often[rows] = totals[pair] >= self.least
             live = np.zeros(len(self.ids), bool)
             live[1:] = often[:-1]
             live[self.first] = False
@@ -179,7 +186,7 @@ class _Tokens:
 def _send(n: int, v: int, order: int, buckets: int):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         (run,) = left.to_pylist()
-        tokens = _Tokens(run, right.to_pylist(), n, v, buckets)
+        tokens = _Tokens(run, right.to_pylist(), n, v)
         out = []
 
         def meet(p, rows, pair, at, group, contexts, words) -> None:
@@ -209,7 +216,7 @@ def _count_words(buckets: int):
                 words = np.frombuffer(run["words"], "<u8")
                 train = ~np.repeat(np.array(run["held"], bool), run["lens"])
                 counts = np.bincount(np.frombuffer(run["ids"], "<u4")[train], minlength=len(words)).astype("<u4")
-                rows = [(int(_owner(words[a : a + 1], buckets)[0]), run["run"], words[a:b].tobytes(), b"", b"", counts[a:b].tobytes(), b"") for a, b in _cuts(_owner(words, buckets))]
+                rows = [(int(_owner(words[a : a + 1], buckets)[0]), run["run"], words[a:b].tobytes(), b"", b"", _narrow(counts[a:b]), b"") for a, b in _cuts(_owner(words, buckets))]
                 yield from _table(rows, _SENT).to_batches()
 
     return send
@@ -219,13 +226,13 @@ def _own_words(t: pa.Table) -> pa.Table:
     rows = t.to_pylist()
     words = [np.frombuffer(r["contexts"], "<u8") for r in rows]
     every, at = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]), minlength=len(every)).astype("<i8")
+    total = np.bincount(at, weights=np.concatenate([_widened(r["counts"]) for r in rows]), minlength=len(every)).astype(np.int64)
     ends = np.cumsum([len(w) for w in words])
-    out = [(r["run"], 0, r["bucket"], total[at[e - len(w) : e]].tobytes(), b"", b"", None, None) for r, w, e in zip(rows, words, ends, strict=True)]
+    out = [(r["run"], 0, r["bucket"], _narrow(total[at[e - len(w) : e]]), b"", b"", None, None) for r, w, e in zip(rows, words, ends, strict=True)]
     return _table([*out, (None, 0, rows[0]["bucket"], b"", b"", b"", int(total.sum()), int((total > 0).sum()))], _BACK)
 
 
-def _own_contexts(order: int):
+def _own_contexts(order: int, least: int):
     """Counts pairs, tests contexts, and answers each run: totals of its pairs; stored and spare mass of its contexts, spare 0 if not retained."""
 
     def own(t: pa.Table) -> pa.Table:
@@ -235,7 +242,7 @@ def _own_contexts(order: int):
         names, which = np.unique(np.concatenate(ctx), return_inverse=True)
         group = np.repeat(which, np.concatenate(sizes))
         nxt = np.concatenate([_from_planes(r["next"]) for r in rows])
-        counts = np.concatenate([_widened(r["counts"], len(r["parents"])) for r in rows])
+        counts = np.concatenate([_widened(r["counts"]) for r in rows])
         parents = np.concatenate([np.frombuffer(r["parents"], np.uint8) for r in rows])
         sort = np.lexsort((nxt, group))
         g, x = group[sort], nxt[sort]
@@ -250,12 +257,12 @@ def _own_contexts(order: int):
         own_p = (np.where(many, total, 0) + spare[g] * parent) / (held[g] + spare[g])
         gain = np.bincount(g, weights=total * np.log(own_p / parent), minlength=len(names))
         n_stored = np.bincount(g, weights=many, minlength=len(names))
-        keep = (held + once >= MIN_CONTEXT) & (n_stored > 0) & (gain >= GAIN * n_stored)
-        spare = np.where(keep, spare, 0.0)
+        keep = (held + once >= least) & (n_stored > 0) & (gain >= GAIN * n_stored)
+        spare = np.where(keep, spare, 0)
         each = np.empty(len(group), np.int64)
         each[sort] = total[np.cumsum(new) - 1]
         pair_ends, ctx_ends = np.cumsum([s.sum() for s in sizes]), np.cumsum([len(c) for c in ctx])
-        out = [(r["run"], order, r["bucket"], each[int(pe) - int(s.sum()) : int(pe)].astype("<i8").tobytes(), held[which[ce - len(c) : ce]].astype("<f8").tobytes(), spare[which[ce - len(c) : ce]].astype("<f8").tobytes(), None, None) for r, c, s, pe, ce in zip(rows, ctx, sizes, pair_ends, ctx_ends, strict=True)]
+        out = [(r["run"], order, r["bucket"], _narrow(each[int(pe) - int(s.sum()) : int(pe)]), _narrow(held[which[ce - len(c) : ce]]), _narrow(spare[which[ce - len(c) : ce]]), None, None) for r, c, s, pe, ce in zip(rows, ctx, sizes, pair_ends, ctx_ends, strict=True)]
         return _table(out, _BACK)
 
     return own
@@ -265,10 +272,10 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
 _SCORES_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _score(n: int, v: int, orders: int, buckets: int):
+def _score(n: int, v: int, orders: int):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         (run,) = left.to_pylist()
-        tokens = _Tokens(run, right.to_pylist(), n, v, buckets)
+        tokens = _Tokens(run, right.to_pylist(), n, v)
         p = tokens.climb(orders)
         per = lambda x: np.add.reduceat(x, tokens.first)
         return pa.table([pa.array(run["docs"], pa.int64()), pa.array(run["held"], pa.bool_()), pa.array(tokens.lens), pa.array(per(tokens.known.astype(np.int64))), pa.array(np.full(len(tokens.lens), n, np.int64)), pa.array(per(np.log10(tokens.base))), pa.array(per(np.log10(p)))], schema=_SCORES)
@@ -285,5 +292,5 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     answers = words.where("run is not null")
     for k in range(1, order + 1):
         sent = runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_send(int(n), int(v), k, buckets), _SENT_SQL)
-        answers = answers.union(stored(sent.groupBy("bucket").applyInArrow(_own_contexts(k), _BACK_SQL), f"order{k}", free=True))
-    return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_score(int(n), int(v), order, buckets), _SCORES_SQL)
+        answers = answers.union(stored(sent.groupBy("bucket").applyInArrow(_own_contexts(k, _least(int(n))), _BACK_SQL), f"order{k}", free=True))
+    return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_score(int(n), int(v), order), _SCORES_SQL)
