@@ -1,7 +1,7 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of up to ORDER words before a word (a document's first word follows an end). A context is a candidate if it makes
-up P_MIN of the training tokens (and was seen MIN_CONTEXT times), and is retained if a divergence test says so: the log likelihood that its own
+States are contexts of up to ORDER words before a word (a document's first word follows an end). A context is a candidate if
+training saw it MIN_CONTEXT times, at every size of the corpus, and is retained if a divergence test says so: the log likelihood that its own
 next-word distribution gains over its parent's (the context without its oldest word) on the words seen after it is at least GAIN
 nats for each next word it stores. Distributions are smoothed by their parents: next words seen twice or
 more are stored, the mass of those seen once (and PRIOR more) goes to the parent; the root is the base unigram
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, byte_texts, mix64, partitions, scratch, stored
 
 ORDER = 2
-P_MIN, MIN_CONTEXT = 1e-6, 16
+MIN_CONTEXT = 16
 GAIN = 2.0
 PRIOR = 4
 ALPHA = 0.1
@@ -61,14 +61,16 @@ def _planes(h: np.ndarray, n: int = 6) -> bytes:
 
 
 def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in one, four or eight bytes each, the width before them."""
-    most = int(counts.max(initial=0))
-    width = 1 if most < 1 << 8 else 4 if most < 1 << 32 else 8
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    """Counts in one byte each, how many there are before them; from 255 on, in eight bytes behind them."""
+    counts = counts.astype("<i8")
+    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].tobytes()
 
 
 def _widened(code: bytes) -> np.ndarray:
-    return np.frombuffer(code, f"<u{code[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(code[:8], "little")
+    counts = np.frombuffer(code, np.uint8, n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(code[8 + n :], "<i8")
+    return counts
 
 
 def _from_planes(code: bytes, n: int = 6) -> np.ndarray:
@@ -112,11 +114,6 @@ def _runs(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def _least(n: int) -> int:
-    """Occurrences that make a context a candidate, of n training tokens."""
-    return max(MIN_CONTEXT, int(np.ceil(P_MIN * n)))
-
-
 class _Tokens:
     """A run's tokens with what the owners have answered so far."""
 
@@ -126,7 +123,6 @@ class _Tokens:
         self.lens = np.array(run["lens"], np.int64)
         self.train = ~np.repeat(np.array(run["held"], bool), self.lens)
         self.first = np.cumsum(self.lens) - self.lens
-        self.least = _least(n)
         by = sorted(answers, key=lambda a: (a["order"], a["bucket"]))
         self.answers = [[a for a in by if a["order"] == k] for k in range(max((a["order"] for a in by), default=-1) + 1)]
         if self.answers:
@@ -154,7 +150,7 @@ class _Tokens:
         prev = np.empty(len(self.ids), np.int64)
         prev[1:] = self.ids[:-1]
         prev[self.first] = np.searchsorted(self.words, END)
-        live = (self.c >= self.least)[prev]  # a context of one word is alive by that word's count
+        live = (self.c >= MIN_CONTEXT)[prev]  # a context of one word is alive by that word's count
         for k in range(1, orders + 1):
             contexts, inside = self.before(k)
             rows = np.flatnonzero(live & inside)
@@ -176,7 +172,7 @@ class _Tokens:
             p[own] = (t + spare[g] * p[own]) / (held[g] + spare[g])
             # the next order's context at a token is the pair that ends right before it: alive if that was seen often enough
             often = np.zeros(len(self.ids), bool)
-            often[rows] = totals[pair] >= self.least
+            often[rows] = totals[pair] >= MIN_CONTEXT
             live = np.zeros(len(self.ids), bool)
             live[1:] = often[:-1]
             live[self.first] = False
@@ -232,8 +228,9 @@ def _own_words(t: pa.Table) -> pa.Table:
     return _table([*out, (None, 0, rows[0]["bucket"], b"", b"", b"", int(total.sum()), int((total > 0).sum()))], _BACK)
 
 
-def _own_contexts(order: int, least: int):
-    """Counts pairs, tests contexts, and answers each run: totals of its pairs; stored and spare mass of its contexts, spare 0 if not retained."""
+def _own_contexts(order: int):
+    """Counts pairs, tests contexts, and answers each run: totals of its pairs, 0 where neither its context nor the next order uses them;
+    stored and spare mass of its contexts, 0 if not retained."""
 
     def own(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -257,8 +254,9 @@ def _own_contexts(order: int, least: int):
         own_p = (np.where(many, total, 0) + spare[g] * parent) / (held[g] + spare[g])
         gain = np.bincount(g, weights=total * np.log(own_p / parent), minlength=len(names))
         n_stored = np.bincount(g, weights=many, minlength=len(names))
-        keep = (held + once >= least) & (n_stored > 0) & (gain >= GAIN * n_stored)
-        spare = np.where(keep, spare, 0)
+        keep = (held + once >= MIN_CONTEXT) & (n_stored > 0) & (gain >= GAIN * n_stored)
+        held, spare = np.where(keep, held, 0), np.where(keep, spare, 0)
+        total = np.where((total >= MIN_CONTEXT) | (many & keep[g]), total, 0)
         each = np.empty(len(group), np.int64)
         each[sort] = total[np.cumsum(new) - 1]
         pair_ends, ctx_ends = np.cumsum([s.sum() for s in sizes]), np.cumsum([len(c) for c in ctx])
@@ -292,5 +290,5 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     answers = words.where("run is not null")
     for k in range(1, order + 1):
         sent = runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_send(int(n), int(v), k, buckets), _SENT_SQL)
-        answers = answers.union(stored(sent.groupBy("bucket").applyInArrow(_own_contexts(k, _least(int(n))), _BACK_SQL), f"order{k}", free=True))
+        answers = answers.union(stored(sent.groupBy("bucket").applyInArrow(_own_contexts(k), _BACK_SQL), f"order{k}", free=True))
     return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_score(int(n), int(v), order), _SCORES_SQL)

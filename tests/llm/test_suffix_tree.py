@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from kinolake.llm import suffix_tree as S
 
 
@@ -71,3 +73,24 @@ def test_as_reference_model(documents):
 
 def test_empty_table(documents):
     assert S.score_texts(documents([])).count() == 0
+
+
+def test_rare_contexts_live_in_a_large_corpus(documents):
+    """A context seen MIN_CONTEXT times is a state however many tokens there are, here 20 million."""
+    trains = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10]
+    rare, large = trains[: S.MIN_CONTEXT], trains[S.MIN_CONTEXT : S.MIN_CONTEXT + 20]
+    rows = [(i, "p q") for i in rare] + [(i, "x " * 1_000_000) for i in large]
+    got = {r["doc_id"]: r for r in S.score_texts(documents(rows), 1).where("n_tokens = 3").collect()}
+    n, docs = 20_000_000 + 20 + 3 * S.MIN_CONTEXT, 20 + S.MIN_CONTEXT
+    base = lambda c: (c + S.ALPHA) / (n + S.ALPHA * 5)
+    after = lambda count, held, c: (count + S.PRIOR * base(c)) / (held + S.PRIOR)
+    want = math.log10(after(16, docs, 16)) + math.log10(after(16, 16, 16)) + math.log10(after(16, 16, docs))
+    assert len(got) == S.MIN_CONTEXT
+    for r in got.values():
+        assert r["train_tokens"] == n and math.isclose(r["score"], want, rel_tol=1e-9)
+
+
+def test_narrow_counts():
+    counts = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
+    assert S._widened(S._narrow(counts)).tolist() == counts.tolist()
+    assert S._widened(S._narrow(counts[:0])).tolist() == []
