@@ -2,12 +2,14 @@
 
 Words become template tokens: numbers, names (capitalised inside a sentence) and units give way to typed placeholders, other words
 lose case and outer punctuation. Windows of WINDOW tokens, hashed together with which of their placeholders hold equal values,
-are hash-joined with the benchmark's windows. Windows with under LITERALS plain words say too little and are not used.
+are hash-joined with the benchmark's windows. Windows with under LITERALS plain words say too little as templates; all windows are joined
+by their exact words (case and outer punctuation apart) too, so verbatim copies match whatever they are made of.
 For each item and shift (place in the document minus place in the item) the slots must be consistent: over all windows of that shift, each value
 of the item goes with one value of the document and the other way round, so re-parameterised questions match and chance does not.
-A document is contaminated by an item if its consistent windows cover SPAN tokens running, or all windows of a shorter item.
+A document is contaminated by an item if its consistent windows cover SPAN tokens running, or all windows of a shorter item; with
+templates alone, windows run over those of the item that have LITERALS plain words.
 
-The benchmark's windows are collected and sent to the executors only while there are at most BROADCAST_WINDOWS of them; beyond that the
+The benchmark's windows are collected and sent to the executors only while there are at most BROADCAST_WINDOWS of them (templates and exact words apart); beyond that the
 documents' windows are shuffled to them. Null texts, texts or items with fewer than WINDOW words match nothing; repeated rows get equal
 rows; null item_ids are dropped; null doc_ids are kept; extra columns are ignored; empty tables give no match.
 """
@@ -35,6 +37,7 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/-]*(%|[a-zµ°]{1,3})?", re.I)
 _KIND, _END = np.uint64(3), np.uint64(4)
 _PLAIN = np.uint64(0xFFFFFFFFFFFFFFF8)
 _PLACES = np.array([0, 0x1F83D9ABFB41BD68, 0x5BE0CD19137E2178, 0x3C6EF372FE94F828], np.uint64)
+_EXACT = np.uint64(0x5851F42D4C957F2D)
 _PAIRS = [(a, b) for b in range(WINDOW) for a in range(b)]
 
 
@@ -53,8 +56,8 @@ class TemplateWords(dict):
         return h
 
 
-def template(text: bytes, cache: TemplateWords) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, slots): template tokens, and the value's hash where a token is a placeholder, else 0."""
+def template(text: bytes, cache: TemplateWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, slots, words): template tokens, the value's hash where a token is a placeholder, else 0, and the hashes of the plain forms."""
     words = text.split()
     x = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     kind = x & _KIND
@@ -64,7 +67,7 @@ def template(text: bytes, cache: TemplateWords) -> tuple[np.ndarray, np.ndarray]
         name[1:] &= (x[:-1] & _END) == 0
     kind = np.where((kind == 3) & ~name, np.uint64(0), kind)
     plain = x & _PLAIN
-    return np.where(kind > 0, _PLACES[kind], plain), np.where(kind > 0, plain | np.uint64(1), np.uint64(0))
+    return np.where(kind > 0, _PLACES[kind], plain), np.where(kind > 0, plain | np.uint64(1), np.uint64(0)), plain
 
 
 def windows(tokens: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +88,22 @@ def windows(tokens: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, filled <= WINDOW - LITERALS
 
 
+def exact_windows(words: np.ndarray) -> np.ndarray:
+    return window_hashes(words, WINDOW) ^ _EXACT
+
+
+def item_windows(text: bytes, cache: TemplateWords) -> tuple[np.ndarray, ...]:
+    """(hashes, places, ranks, slots, usable windows): an item's windows as templates and by their exact words. Ranks count the usable windows; -1 for exact words."""
+    tokens, slots, words = template(text, cache)
+    h, usable = windows(tokens, slots)
+    at, every = np.flatnonzero(usable), np.arange(len(h))
+    values = slots[every[:, None] + np.arange(WINDOW)]
+    return (
+        np.concatenate((h[at], exact_windows(words))), np.concatenate((at, every)), np.concatenate((np.arange(len(at)), np.full(len(h), -1))),
+        np.concatenate((values[at], values)), len(at),
+    )
+
+
 def consistent(item_slots: np.ndarray, doc_slots: np.ndarray) -> bool:
     """Whether the values, paired by place, go one to one."""
     both = item_slots > 0
@@ -107,65 +126,91 @@ def matched(n_item_windows: int, places: list[int]) -> bool:
 
 
 def judge(hits: list[tuple]) -> list[int]:
-    """Items that contaminate a document, from its hits (item, windows of the item, place in item, place in document, item's slots, document's slots)."""
+    """Items that contaminate a document, from its hits (item, windows of the item, usable ones, place in item, rank, place in document, item's slots,
+    document's slots). Where all hits together aren't consistent, those of the templates or of the exact words may be."""
     by: dict[tuple, list] = {}
     for hit in hits:
-        by.setdefault((hit[0], hit[3] - hit[2]), []).append(hit)
+        by.setdefault((hit[0], hit[5] - hit[3]), []).append(hit)
     out = set()
     for (item, _), group in by.items():
-        if item not in out and matched(group[0][1], [g[2] for g in group]):
-            whole = [np.concatenate([np.asarray(g[k], np.uint64) for g in group]) for k in (4, 5)]
-            if consistent(*whole):
-                out.add(item)
+        if item in out:
+            continue
+        same = [g for g in group if g[4] < 0]
+        like = [g for g in group if g[4] >= 0]
+        n, usable = group[0][1:3]
+        tries = [(group, n, 3), (like, usable, 4), (same, n, 3)] if same and like else [(like, usable, 4)] if like else [(same, n, 3)]
+        if any(matched(most, [g[k] for g in some]) and _one_to_one(some) for some, most, k in tries):
+            out.add(item)
     return sorted(out)
 
 
-_WINDOW_SCHEMA = "h bigint, {key} bigint, n int, at int, slots array<bigint>"
+def _one_to_one(group: list[tuple]) -> bool:
+    own = np.concatenate([np.asarray(g[6], np.uint64) for g in group])
+    return consistent(own, np.concatenate([np.asarray(g[6] if g[4] < 0 else g[7], np.uint64) for g in group]))
 
 
-def _window_rows(df: DataFrame, key: str, carry: list[str]) -> DataFrame:
-    fields = {"h": pa.int64(), key: pa.int64(), "n": pa.int32(), "at": pa.int32(), "slots": pa.list_(pa.int64())}
+_LISTS = pa.list_(pa.int64())
 
+
+def _item_rows(items: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = TemplateWords()
         for batch in batches:
-            for i, text in enumerate(byte_texts(batch.column("text"))):
-                tokens, slots = template(text, cache)
+            for item, text in zip(batch.column("item_id").to_pylist(), byte_texts(batch.column("text")), strict=True):
+                h, at, rank, slots, usable = item_windows(text, cache)
+                if len(h):
+                    same = lambda x: pa.array(np.full(len(h), x), pa.int32())  # noqa: E731, B023
+                    yield pa.record_batch({"h": pa.array(h.view(np.int64)), "item_id": pa.array([item] * len(h), pa.int64()), "n": same(at.max() + 1), "usable": same(usable), "at": pa.array(at, pa.int32()), "rank": pa.array(rank, pa.int32()), "slots": pa.array(list(slots.view(np.int64)), _LISTS)})
+
+    return items.mapInArrow(rows, "h bigint, item_id bigint, n int, usable int, at int, rank int, slots array<bigint>")
+
+
+def _document_rows(docs: DataFrame) -> DataFrame:
+    """Windows as templates with their slots, and by their exact words without."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = TemplateWords()
+        for batch in batches:
+            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), byte_texts(batch.column("text")), strict=True):
+                tokens, slots, words = template(text, cache)
                 h, usable = windows(tokens, slots)
-                at = np.flatnonzero(usable)
-                if not len(at):
+                if not len(h):
                     continue
-                values = slots.view(np.int64)[at[:, None] + np.arange(WINDOW)]
-                own = {"h": pa.array(h[at].view(np.int64)), "n": pa.array(np.full(len(at), len(at)), pa.int32()), "at": pa.array(at, pa.int32()), "slots": pa.array(list(values), pa.list_(pa.int64()))}
-                own |= {c: pa.array([batch.column(c)[i].as_py()] * len(at), pa.int64()) for c in (key, *carry)}
-                yield pa.record_batch({c: own[c] for c in (*fields, *carry)})
+                at = np.flatnonzero(usable)
+                values = [*slots.view(np.int64)[at[:, None] + np.arange(WINDOW)], *[None] * len(h)]
+                places, n = np.concatenate((at, np.arange(len(h)))), len(at) + len(h)
+                yield pa.record_batch({"h": pa.array(np.concatenate((h[at], exact_windows(words))).view(np.int64)), "doc_id": pa.array([doc] * n, pa.int64()), "key": pa.array([key] * n, pa.int64()), "doc_at": pa.array(places, pa.int32()), "doc_slots": pa.array(values, _LISTS)})
 
-    return df.mapInArrow(rows, _WINDOW_SCHEMA.format(key=key) + "".join(f", {c} bigint" for c in carry))
+    return docs.mapInArrow(rows, "h bigint, doc_id bigint, key bigint, doc_at int, doc_slots array<bigint>")
 
 
 class Items:
     """The benchmark's windows as arrays sorted by hash, with a bitmap in front."""
 
-    def __init__(self, h: np.ndarray, item: np.ndarray, n: np.ndarray, at: np.ndarray, slots: np.ndarray):
+    def __init__(self, h: np.ndarray, *columns: np.ndarray):
         order = np.argsort(h, kind="stable")
-        self.h, self.item, self.n, self.at, self.slots = h[order], item[order], n[order], at[order], slots[order]
+        self.h = h[order]
+        self.item, self.n, self.usable, self.at, self.rank, self.slots = (c[order] for c in columns)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.h >> np.uint64(42)).astype(np.int64)] = True
 
     def hits(self, text: bytes, cache: TemplateWords) -> list[tuple]:
-        tokens, slots = template(text, cache)
+        tokens, slots, words = template(text, cache)
         h, usable = windows(tokens, slots)
         if not len(h) or not len(self.h):
             return []
+        return [*self._found(h, usable, slots), *self._found(exact_windows(words), True, slots)]
+
+    def _found(self, h: np.ndarray, usable: np.ndarray | bool, slots: np.ndarray) -> list[tuple]:
         at = np.flatnonzero(self.seen[(h >> np.uint64(42)).astype(np.int64)] & usable)
         lo, hi = np.searchsorted(self.h, h[at], "left"), np.searchsorted(self.h, h[at], "right")
-        return [(int(self.item[k]), int(self.n[k]), int(self.at[k]), int(p), self.slots[k], slots[p : p + WINDOW]) for p, a, b in zip(at, lo, hi, strict=True) for k in range(a, b)]
+        return [(int(self.item[k]), int(self.n[k]), int(self.usable[k]), int(self.at[k]), int(self.rank[k]), int(p), self.slots[k], slots[p : p + WINDOW]) for p, a, b in zip(at, lo, hi, strict=True) for k in range(a, b)]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids (sorted)."""
     items = benchmark.where(benchmark["item_id"].isNotNull()).select(benchmark["item_id"].cast("long").alias("item_id"), text_of(benchmark).alias("text"))
-    ref = stored(_window_rows(items, "item_id", []), "windows")
+    ref = stored(_item_rows(items), "windows")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     if ref.count() <= broadcast_windows:
         return _by_broadcast(rows, ref)
@@ -175,7 +220,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
 def _by_broadcast(rows: DataFrame, ref: DataFrame) -> DataFrame:
     got = ref.toArrow().combine_chunks()
     slots = np.array(got["slots"].to_pylist(), np.int64).reshape(-1, WINDOW).view(np.uint64)
-    sent = rows.sparkSession.sparkContext.broadcast((got["h"].to_numpy().view(np.uint64), got["item_id"].to_numpy(), got["n"].to_numpy(), got["at"].to_numpy(), slots))
+    sent = rows.sparkSession.sparkContext.broadcast((got["h"].to_numpy().view(np.uint64), *(got[c].to_numpy() for c in ("item_id", "n", "usable", "at", "rank")), slots))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ref_items, cache = Items(*sent.value), TemplateWords()
@@ -188,15 +233,14 @@ def _by_broadcast(rows: DataFrame, ref: DataFrame) -> DataFrame:
 
 def _by_shuffle(rows: DataFrame, ref: DataFrame) -> DataFrame:
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    theirs = _window_rows(keyed, "doc_id", ["key"]).select("h", "doc_id", "key", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
-    hits = theirs.join(ref, "h").dropDuplicates(["doc_id", "key", "doc_at", "item_id", "at"]).withColumn("shift", F.col("doc_at") - F.col("at"))
+    hits = _document_rows(keyed).join(ref, "h").dropDuplicates(["doc_id", "key", "doc_at", "item_id", "at", "rank"]).withColumn("shift", F.col("doc_at") - F.col("at"))
 
     def verdict(t: pa.Table) -> pa.Table:
         x = t.to_pylist()
-        good = judge([(r["item_id"], r["n"], r["at"], r["doc_at"], np.array(r["slots"], np.int64).view(np.uint64), np.array(r["doc_slots"], np.int64).view(np.uint64)) for r in x])
+        good = judge([(r["item_id"], r["n"], r["usable"], r["at"], r["rank"], r["doc_at"], np.array(r["slots"], np.int64).view(np.uint64), np.array(r["doc_slots"] or [], np.int64).view(np.uint64)) for r in x])
         return pa.table({"key": pa.array([x[0]["key"]] * len(good), pa.int64()), "item_id": pa.array(good, pa.int64())})
 
-    # one group is one item at one shift of one document: at most as many windows as the item has
+    # one group is one item at one shift of one document: at most twice as many windows as the item has
     pairs = hits.groupBy("doc_id", "key", "item_id", "shift").applyInArrow(verdict, "key bigint, item_id bigint").distinct()
     found = pairs.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     out = keyed.select("doc_id", "key").join(found, "key", "left")

@@ -32,3 +32,22 @@ def test_empty_tables(documents, spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert C.decontaminate(documents([(1, ITEM)]), none).first()["contaminated"] is False
     assert C.decontaminate(documents([]), spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")).count() == 0
+
+
+TITLE = "The Quick Brown Fox Jumps Over The Lazy Dog And Runs Back To Its Den"
+NUMBERS = "Compute 3 7 12 19 28 39 52 67 84 103 124 147 172 199 228"
+#: Usable windows of two runs of under six each, between names and numbers.
+BROKEN_RUNS = "we see that some old men took Anna Bob Carl Dora Emil 5 6 7 8 and then their new boat went away"
+
+
+def test_verbatim_copies_of_few_literals(documents, spark):
+    tokens, slots, _ = C.template(BROKEN_RUNS.encode(), C.TemplateWords())
+    usable = C.windows(tokens, slots)[1]
+    assert usable.sum() >= 6 and C.longest_run([int(i) for i in usable.nonzero()[0]]) < 6
+    items = [(1, TITLE), (2, NUMBERS), (3, BROKEN_RUNS)]
+    rows = [(i, f"Before it. {text} and after") for i, text in items]
+    rows += [(11, f"as said, {TITLE.lower()} it was"), (12, "Before it. " + " ".join(TITLE.split()[:12])), (13, "Before it. " + NUMBERS.replace("84", "85"))]
+    rows += [(14, f"Before it. {BROKEN_RUNS.replace('Carl', 'Otto').replace(' 7 ', ' 9 ')} and after")]
+    near, far = run(documents, spark, rows, items), run(documents, spark, rows, items, broadcast_windows=0)
+    assert near == far
+    assert {doc: ids for (doc, _), ids in near.items()} == {1: [1], 2: [2], 3: [3], 11: [1], 14: [3]}
