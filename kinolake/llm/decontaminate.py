@@ -3,7 +3,8 @@
 Words become template tokens: numbers, names (capitalised inside a sentence) and units give way to typed placeholders, other words
 lose case and outer punctuation. Windows of WINDOW tokens, hashed together with which of their placeholders hold equal values,
 are hash-joined with the benchmark's windows. Windows with under LITERALS plain words say too little as templates; all windows are joined
-by their exact words (case and outer punctuation apart) too, so verbatim copies match whatever they are made of.
+by their exact words (case and outer punctuation apart) too, so verbatim copies match whatever they are made of. An item's first word may
+be a name inside a document: its first window stands for both.
 For each item and shift (place in the document minus place in the item) the slots must be consistent: over all windows of that shift, each value
 of the item goes with one value of the document and the other way round, so re-parameterised questions match and chance does not.
 A document is contaminated by an item if its consistent windows cover SPAN tokens running, or all windows of a shorter item; with
@@ -56,14 +57,15 @@ class TemplateWords(dict):
         return h
 
 
-def template(text: bytes, cache: TemplateWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, slots, words): template tokens, the value's hash where a token is a placeholder, else 0, and the hashes of the plain forms."""
+def template(text: bytes, cache: TemplateWords, first_name: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, slots, words): template tokens, the value's hash where a token is a placeholder, else 0, and the hashes of the plain forms.
+    With first_name, a capitalised first word is a name."""
     words = text.split()
     x = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     kind = x & _KIND
     name = kind == 3
     if len(x):
-        name[0] = False
+        name[0] &= first_name
         name[1:] &= (x[:-1] & _END) == 0
     kind = np.where((kind == 3) & ~name, np.uint64(0), kind)
     plain = x & _PLAIN
@@ -93,14 +95,19 @@ def exact_windows(words: np.ndarray) -> np.ndarray:
 
 
 def item_windows(text: bytes, cache: TemplateWords) -> tuple[np.ndarray, ...]:
-    """(hashes, places, ranks, slots, usable windows): an item's windows as templates and by their exact words. Ranks count the usable windows; -1 for exact words."""
+    """(hashes, places, ranks, slots, usable windows): an item's windows as templates, the first one also with its first word as a name, and by
+    their exact words. Ranks count the usable windows; -1 for exact words."""
     tokens, slots, words = template(text, cache)
     h, usable = windows(tokens, slots)
     at, every = np.flatnonzero(usable), np.arange(len(h))
+    named = template(b" ".join(text.split()[:WINDOW]), cache, first_name=True) if len(h) and usable[0] else None
+    h0, usable0 = windows(*named[:2]) if named and named[1][0] != slots[0] else (h[:0], usable[:0])
+    again = np.zeros(int(usable0.sum()), np.int64)
     values = slots[every[:, None] + np.arange(WINDOW)]
+    first = named[1][None] if len(again) else values[:0]
     return (
-        np.concatenate((h[at], exact_windows(words))), np.concatenate((at, every)), np.concatenate((np.arange(len(at)), np.full(len(h), -1))),
-        np.concatenate((values[at], values)), len(at),
+        np.concatenate((h[at], h0[usable0], exact_windows(words))), np.concatenate((at, again, every)), np.concatenate((np.arange(len(at)), again, np.full(len(h), -1))),
+        np.concatenate((values[at], first, values)), len(at),
     )
 
 

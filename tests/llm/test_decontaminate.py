@@ -51,3 +51,13 @@ def test_verbatim_copies_of_few_literals(documents, spark):
     near, far = run(documents, spark, rows, items), run(documents, spark, rows, items, broadcast_windows=0)
     assert near == far
     assert {doc: ids for (doc, _), ids in near.items()} == {1: [1], 2: [2], 3: [3], 11: [1], 14: [3]}
+
+
+def test_first_word_may_be_a_name_inside_a_document(documents, spark):
+    plain = "Nine quite plain little words stand here for testing"
+    slots = "Paul quickly counts 5 red balls beside the garden wall"
+    items = [(1, plain), (2, slots)]
+    rows = [(1, f"so {plain} it goes"), (2, f"a heading\n{plain}"), (3, f"then, {slots.replace('5', '7')} again"), (4, slots.replace("Paul", "Anna")), (5, f"so {plain.replace('testing', 'nothing')} it goes")]
+    near, far = run(documents, spark, rows, items), run(documents, spark, rows, items, broadcast_windows=0)
+    assert near == far
+    assert {doc: ids for (doc, _), ids in near.items()} == {1: [1], 2: [1], 3: [2]}
