@@ -286,7 +286,7 @@ def _(t):
 def _(t):
     rows = LB.with_columns_of(LB.label_join(slim(t), t.vm, t.ann), t.feat).where("labels <> 'none'")
     model, classes = M.fit_linear(rows, max_iter=20)
-    return M.infer(model, classes, t.feat.limit(200), 7)
+    return M.infer(model, classes, t.feat, 7)
 
 
 # --- labelling ---
@@ -471,7 +471,7 @@ def _(t):
 def store(t):
     from ..operators.explore import Store
 
-    return Store(t.vm, t.ann.where("aid % 20 = 0"), {"r3d": t.feat}, t.models.where("mid = 1"), t.pred.where("vid % 2 = 0"))
+    return Store(t.vm, t.ann, {"r3d": t.feat}, t.models.where("mid = 1"), t.pred)
 
 
 @query("ex05_cluster_coreset")
