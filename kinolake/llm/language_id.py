@@ -32,7 +32,7 @@ TRAIN_ROWS = 20_000
 ROUNDS = 2
 SMOOTH = 0.05
 UNKNOWN = 1e-7
-LONGEST = 12
+LONGEST = 16
 CACHE = 400_000
 #: Texts whose new tokens are scored together.
 TOGETHER = 500

@@ -50,3 +50,14 @@ def test_held_out_accuracy_and_edges(documents):
 def test_nothing_to_learn_and_empty_table(documents):
     assert {r["lang_pred"] for r in G.language_id(documents([(1, "text", None), (2, None, "en")])).collect()} == {"und"}
     assert G.language_id(documents([])).count() == 0
+
+
+def test_no_lower_case_piece_is_left_out():
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = [p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)) and (p := sp.id_to_piece(i)) == p.lower()]
+    pieces = set(G.vocabulary())
+    assert max(map(len, plain)) <= G.LONGEST
+    assert {"▁relationship", "▁professional", "▁international"} <= pieces and max(map(len, pieces)) > 12
