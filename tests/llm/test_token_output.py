@@ -43,3 +43,17 @@ def test_files_hold_every_document_in_order(documents, spark, monkeypatch):
         left.remove(match)
         at += r["n_tokens"]
     assert T.token_output(documents([])).count() == 0
+
+
+def test_texts_together_equal_texts_alone(monkeypatch):
+    """Small slices and a table that starts anew again and again change no id."""
+    random.seed(5)
+    texts = [" ".join("".join(random.choice("abcdeé.,'(-1\n") for _ in range(random.randint(1, 90))) for _ in range(random.randint(0, 60))) for _ in range(300)]
+    texts += ["", "   ", "x" * 5000, "a <|endoftext|> B", "end"]
+    tokenizer = Tokenizer.from_file(T.vocabulary())
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(T, "TOGETHER", 700)
+    monkeypatch.setattr(T, "CACHE", 200)
+    ids, counts = T.Encoder(T.vocabulary()).many([t.encode() for t in texts])
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [x for w in want for x in w]
