@@ -63,3 +63,77 @@ def test_disclosing_terms_go_and_clean_documents_stay(documents):
 
 def test_empty_table(documents):
     assert pii.detect(documents([])).count() == 0
+
+
+def brute_spans(texts, around=pii.CONTEXT):
+    """Added spans of each text, by plain loops: {index: {(kind, start, end)}}."""
+    import math
+
+    contexts = []
+    for i, text in enumerate(texts):
+        text = text or ""
+        for k, p in PATTERNS.items():
+            for m in re.finditer(p, text):
+                if good(k, m[0]):
+                    lo, hi = max(0, m.start() - around), m.end() + around
+                    terms = [(t[0].lower(), lo + t.start(), lo + t.end()) for t in re.finditer(r"\w{2,}", text[lo : m.start()])]
+                    terms += [(t[0].lower(), m.end() + t.start(), m.end() + t.end()) for t in re.finditer(r"\w{2,}", text[m.end() : hi])]
+                    terms = [t for t in terms if (t[1] > lo or t[1] == 0) and t[2] < hi]
+                    contexts.append((i, (k, m[0].lower()), text[lo : m.start()] + "\0" + text[m.end() : hi], terms))
+    n, out = len(texts), {}
+    holds = {}
+    for i, text in enumerate(texts):
+        for t in set(re.findall(r"\w{2,}", (text or "").lower())):
+            holds.setdefault(t, set()).add(i)
+    for entity in {c[1] for c in contexts}:
+        own = [c for c in contexts if c[1] == entity]
+        n_e = len({c[0] for c in own})
+        if len({c[2] for c in own}) < pii.SUPPORT or n_e == n:
+            continue
+        for term in {t[0] for c in own for t in c[3]}:
+            hold = [c for c in own if any(t[0] == term for t in c[3])]
+            if len({c[2] for c in hold}) < pii.SUPPORT:
+                continue
+            part = math.log2(len({c[0] for c in hold}) * n / (n_e * len(holds[term]))) / math.log2(n / n_e)
+            if part >= pii.GENERALISE:
+                for c in hold:
+                    for t in c[3]:
+                        if t[0] == term:
+                            out.setdefault(c[0], {}).setdefault(t[1:], set()).add("remove" if part >= pii.REMOVE else "generalise")
+    for i, places in out.items():
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute(texts[i])]
+        out[i] = {(max(kinds), a, b) for (a, b), kinds in places.items() if not any(x < b and a < y for x, y in base)}
+    return out
+
+
+def test_added_spans_as_brute_force(documents):
+    import random
+
+    random.seed(11)
+    people = [("ann@a.example", "Quill"), ("10.1.2.3", "rackname"), ("+49 30 123456", "Hotline9"), ("bob.b@b.example", "1984")]
+    texts = []
+    for i in range(120):
+        words = [random.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + random.choice(["", "x", str(i)]) for _ in range(random.randint(0, 40))]
+        for _ in range(random.randint(0, 3)):
+            entity, term = random.choice(people)
+            at = random.randint(0, len(words))
+            words[at:at] = random.choice([[entity, term], [term, "of", entity], [entity], [entity, "and", "10.1.2.3", term]])
+        if random.random() < 0.02:
+            words.append("rackname")
+        texts.append(" ".join(words))
+    want = brute_spans(texts)
+    assert sum(map(len, want.values())) > 20
+    for r in pii.detect(documents(list(enumerate(texts)))).collect():
+        got = {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k in ("remove", "generalise")}
+        assert got == want.get(r["doc_id"], set()), texts[r["doc_id"]]
+
+
+def test_a_text_of_thirty_thousand_entities_among_ordinary_rows(documents):
+    big = " ".join(f"user{i}@mail{i % 97}.example from 10.{i % 200}.{i % 250}.7" for i in range(15_000))
+    plain = [(i, f"boss@corp.example wrote word{i % 50} to Quillfeather {i}") for i in range(300)]
+    got = {r["doc_id"]: r for r in pii.sanitise(documents([*plain, (1000, big), (1001, None)])).collect()}
+    assert got[1000]["text"].count("<EMAIL>") == got[1000]["text"].count("<IP>") == 15_000
+    row = pii.detect(documents([*plain, (1000, big)])).where("doc_id = 1000").first()
+    assert (row["n_email"], row["n_ip"]) == (15_000, 15_000)
+    assert row["base_sha256"] == hashlib.sha256(",".join(brute(big)).encode()).hexdigest()
+    assert "<EMAIL>" in got[0]["text"] and got[1001]["text"] == ""
