@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
 import time
 import uuid
 from pathlib import Path
@@ -34,10 +36,13 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset, as in tests, our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own on a master of one machine, as in
+    tests; on a cluster an error, as no machine's own folder would do."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/kinolake-shared"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="kinolake-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
@@ -57,6 +62,16 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """Writes df to the shared folder in as many buckets of column `by` as there are shuffle partitions and reads it back, so that grouping by it moves
+    nothing. Buckets need a table's name while they are written; it leaves the catalogue at once, the files stay."""
+    spark, table_name = df.sparkSession, f"kinolake_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(partitions(spark), by).option("compression", "zstd").option("path", scratch(spark, name)).saveAsTable(table_name)
+    out = spark.table(table_name).select("*")
+    spark.sql(f"DROP TABLE {table_name}")
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Spark removes a finished stage's shuffle files when the driver collects its garbage, which may be hours later; this asks for it after
     stages whose shuffles are large. The first collection clears what holds the plan, the second finds the shuffles unreachable."""
@@ -128,16 +143,19 @@ def shingles(text: bytes, cache: WordHashes, k: int = 5) -> np.ndarray:
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of (a, b) links as (node, root), root the smallest node; only nodes with a link.
 
-    Rounds of contraction: every node points to its smallest neighbour (or itself), links move to the
-    nodes pointed at, loops and repeats go. Nodes and links stay distributed; each round is written
-    to the shared folder. The number of rounds grows with the logarithm of a component's diameter.
+    Rounds of contraction: every node points to that of its neighbours and itself which comes first in the order of a hash, a new one each round, links
+    move to the nodes pointed at, loops and repeats go. On random orders the nodes with links left fall by a constant factor a round,
+    whatever the shape and the numbering, so the number of rounds grows with the logarithm of the nodes. Nodes and links stay distributed; each round is
+    written to the shared folder. At the end the smallest node of each component is its root.
     """
     spark = edges.sparkSession
     links = stored(edges.select("a", "b").where("a <> b").distinct(), name)
     steps: list[DataFrame] = []
     while not links.isEmpty():
-        both = links.union(links.select("b", "a"))
-        point = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")), name)
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), c.alias("node"))  # noqa: E731, B023
+        both = links.union(links.select("b", "a")).select(F.col("a").alias("node"), rank(F.col("b")).alias("other"))
+        point = both.groupBy("node").agg(F.min("other").alias("other"))
+        point = stored(point.select("node", F.least("other", rank(F.col("node")))["node"].alias("to")), name)
         hop = point.select(F.col("node").alias("to"), F.col("to").alias("to2"))
         point = stored(point.join(hop, "to", "left").select("node", F.coalesce("to2", "to").alias("to")), name)
         steps.append(point)
@@ -145,10 +163,9 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         links = stored(links.join(pa_, "a").join(pb, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct(), name)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    out = steps[-1].toDF("node", "root")
+    out = steps[-1].toDF("node", "end")
     for point in reversed(steps[:-1]):
-        nxt = out.toDF("to", "root")
-        out = point.join(nxt, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    return out
-
-
+        nxt = out.toDF("to", "end")
+        out = point.join(nxt, "to", "left").select("node", F.coalesce("end", "to").alias("end"))
+    out = stored(out, name)
+    return out.join(out.groupBy("end").agg(F.min("node").alias("root")), "end").select("node", "root")

@@ -24,7 +24,6 @@ run or owner, are told apart by 64-bit hashes; strings in the merge by their byt
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, mix64, partitions, scratch, stored
+from .common import bucketed, byte_texts, mix64, partitions, stored
 
 LENGTH = 50
 GRAM = 26
@@ -140,9 +139,7 @@ def _runs(docs: DataFrame) -> DataFrame:
             yield row()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    spark, name = docs.sparkSession, f"kinolake_bytes_{uuid.uuid4().hex}"
-    rows.mapInArrow(runs, _RUN_SQL).write.bucketBy(partitions(spark), "run").option("compression", "zstd").option("path", scratch(spark, "bytes")).saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows.mapInArrow(runs, _RUN_SQL), "bytes", "run")
 
 
 class _Run:

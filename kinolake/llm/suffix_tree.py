@@ -19,7 +19,6 @@ Words are told apart by 64-bit hashes, next words within one context by 48 bits
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_texts, mix64, partitions, scratch, stored
+from .common import WordHashes, bucketed, byte_texts, mix64, partitions, stored
 
 ORDER = 2
 MIN_CONTEXT = 16
@@ -108,10 +107,7 @@ def _runs(docs: DataFrame) -> DataFrame:
 
     key = F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.crc32(key) % 10 == 0).alias("held_out"), docs["text"].cast("string").alias("text"))
-    spark, name = docs.sparkSession, f"kinolake_runs_{uuid.uuid4().hex}"
-    path = scratch(spark, "runs")
-    rows.mapInArrow(runs, _RUN_SQL).write.bucketBy(partitions(spark), "run").option("compression", "zstd").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows.mapInArrow(runs, _RUN_SQL), "runs", "run")
 
 
 class _Tokens:

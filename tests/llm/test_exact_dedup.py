@@ -38,3 +38,19 @@ def test_as_brute_force(documents):
 
 def test_empty_table(documents):
     assert X.exact_dedup(documents([])).count() == 0
+
+
+def test_small_blocks_and_several_owners_find_every_repeat(documents):
+    """Copies inside blocks, across blocks and with hashes at the owners' borders."""
+    rows = [(i, f"text {i % 37}" if i % 3 else f"own {i}") for i in range(200)]
+    df = documents(rows)
+    want = sorted(map(repr, X.exact_dedup(df).collect()))
+    for size, owners in ((1, 3), (7, 64), (1000, 1)):
+        assert sorted(map(repr, X.exact_dedup(df, size, owners).collect())) == want
+    sizes = {r["doc_id"]: r["group_size"] for r in X.exact_dedup(df, 7, 5).collect()}
+    texts = dict(rows)
+    assert sizes == {i: sum(t == u for u in texts.values()) for i, t in rows}
+    for owners in (1, 3, 7, 64, 1000):
+        for o in range(owners):
+            first = X._first(o, owners)
+            assert X._owner(np.array([first]), owners)[0] == o and (not o or X._owner(np.array([first - np.uint64(1)]), owners)[0] == o - 1)
