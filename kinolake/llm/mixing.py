@@ -6,7 +6,9 @@ target shares; it takes the next equal-token block of the source whose share hol
 are ranked per source in two steps (counts per run of slots, then ranks inside a run), so a source with a
 third of all slots is no single task. Inside a source, documents lie in the order of md5(doc_id), and
 their words, end to end, are cut into blocks; blocks go round again after the last one. Sources that
-the slots leave short of their target get closing slots, the last block of a source is cut at its target.
+the slots leave short of their target get closing slots behind all others, the last block of a source is cut at its target. So targets are met to a word,
+and the sequence of points decides the order of the mix: a document's first_slot is the earliest slot whose block holds words of it.
+The sources themselves pass one task (a row each), so there should be no more than some millions.
 
 Null text has size 0; a null source is a source, placed last; null doc_ids come first in the order and
 repeated rows are ordered by text hash; fully equal rows share their places evenly only as the sort puts
@@ -15,7 +17,7 @@ them (same totals). Extra columns are ignored. An empty table, or one without wo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stored, text_of
@@ -25,7 +27,7 @@ SHARE = 1.5
 CAP = 2
 BLOCK = 1024
 #: Slots or documents of one run in the two-step ranks.
-RUN = 16384
+RUN = 4096
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -68,15 +70,19 @@ def ranked(df: DataFrame, keys: list[str], run: str, order: list, size: str | No
     return local.join(runs, on).withColumn("before", F.col("offset") + F.col("inside")).drop("inside", "offset", "_run", *[f"_{k}" for k in keys])
 
 
+def point(slot: Column, bits: int) -> Column:
+    """The van der Corput point (base 2) of a slot below 2 ** bits: its bits mirrored behind the point."""
+    return F.conv(F.reverse(F.lpad(F.bin(slot), bits, "0")), 2, 10).cast("double") / F.lit(float(1 << bits))
+
+
 def schedule(per: DataFrame, block: int = BLOCK) -> DataFrame:
-    """slot, source, block (its rank among the source's slots), words (of that block that the mix takes)."""
+    """slot, source, block (its rank among the source's slots), words (of that block that the mix takes). Closing slots have the last numbers."""
     spark = per.sparkSession
     (total,) = per.agg(F.coalesce(F.sum("words"), F.lit(0))).first()
     n = -(-int(total) // block)
     bits = max(1, n.bit_length())
     cells = 1 << min(12, bits)
-    point = F.conv(F.reverse(F.lpad(F.bin("id"), bits, "0")), 2, 10).cast("double") / F.lit(float(1 << bits))
-    slots = spark.range(n).select(F.col("id").alias("slot"), (point * F.lit(float(total))).alias("at"))
+    slots = spark.range(n).select(F.col("id").alias("slot"), (point(F.col("id"), bits) * F.lit(float(total))).alias("at"))
     slots = slots.select("*", F.floor(F.col("at") * cells / F.lit(float(max(1, total)))).cast("int").alias("cell"))
     width = total / cells if total else 1.0
     spans = per.where("words > 0").select("source", "words", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / F.lit(width)).cast("int"), F.floor(F.col("hi") / F.lit(width)).cast("int"))).alias("cell"))
@@ -85,24 +91,26 @@ def schedule(per: DataFrame, block: int = BLOCK) -> DataFrame:
     used = placed.where(F.col("block") * block < F.col("words"))
     had = used.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("n"))
     short = per.join(had, per["source"].eqNullSafe(had["_s"]), "left").select("source", "words", F.coalesce("n", F.lit(0)).alias("n"), F.ceil(F.col("words") / block).alias("need")).where("need > n")
-    closing = short.select(F.lit(None).cast("long").alias("slot"), "source", "words", F.explode(F.sequence(F.col("n"), F.col("need") - 1)).alias("block"))
+    closing = short.select("source", "words", F.explode(F.sequence(F.col("n"), F.col("need") - 1)).alias("block"))
+    # a few for each source: the points' discrepancy grows with the logarithm of the slots
+    closing = closing.select((F.lit(n) + F.row_number().over(Window.orderBy("block", F.col("source").asc_nulls_last())) - 1).cast("long").alias("slot"), "source", "words", "block")
     return used.unionByName(closing).select("slot", "source", "block", F.least(F.lit(block).cast("long"), F.col("words") - F.col("block") * block).alias("words"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, **kw) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, source, size, source_size, target, taken, first_slot (null if nothing is taken)."""
     base = stored(sizes(docs), "sizes")
     per = stored(targets(base, **kw), "targets")
     keyed = base.join(per, base["source"].eqNullSafe(per["source"])).select(base["doc_id"], base["source"], "size", "source_size", "target", "words", "spot", "tie", F.floor(F.conv(F.substring("spot", 1, 8), 16, 10).cast("double") * F.ceil(F.col("n_docs") / RUN) / F.lit(2.0**32)).alias("run"))
     placed = stored(ranked(keyed, ["source"], "run", ["spot", F.col("doc_id").asc_nulls_first(), "tie"], "size").withColumn("row", F.monotonically_increasing_id()), "places")
     # the source's words lie on a ring; a block is [block * b, block * b + words) on the line that winds around it
-    slots = stored(schedule(per, block), "slots").drop("slot")
+    slots = stored(schedule(per, block), "slots")
     pieces = placed.where("size > 0 and words > 0").select("row", F.col("source").alias("_s"), "size", F.explode(F.array(F.col("before"), F.col("before") + F.col("source_size"))).alias("a"), F.col("words").alias("most")).where("a < most")
     pieces = pieces.select("*", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.least(F.col("a") + F.col("size"), F.col("most")) - 1) / block))).alias("_b"))
     hit = pieces.join(slots, [pieces["_s"].eqNullSafe(slots["source"]), pieces["_b"] == slots["block"]])
     part = F.least(F.col("a") + F.col("size"), F.col("block") * block + F.col("words")) - F.greatest(F.col("a"), F.col("block") * block)
-    got = hit.groupBy("row").agg(F.sum(part).alias("taken"))
-    return placed.join(got, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    got = hit.groupBy("row").agg(F.sum(part).alias("taken"), F.min("slot").alias("first_slot"))
+    return placed.join(got, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 ORACLE = r"""
@@ -118,10 +126,20 @@ filled as (select *, coalesce(sum(most) over (order by most / weight, source asc
 lev as (select *, (1.5 * size_all::double - full_before::double) / (w_all - w_full)::double as at_level from filled),
 pick as (select min_by(at_level, full_before) filter (where most / weight >= at_level) as level from lev),
 tgt as (select source, source_size, least(most::double, coalesce(weight * level, most::double)) as target, n_docs from lev cross join pick),
-place as (select s.doc_id, s.size, t.source_size, t.target, floor(t.target)::bigint as words,
-         coalesce(sum(s.size) over (partition by s.source order by spot, s.doc_id rows between unbounded preceding and 1 preceding), 0) as a
+wrd as (select source, floor(target)::bigint as words from tgt),
+span as (select source, words, sum(words) over (order by source asc nulls last) - words as lo, sum(words) over (order by source asc nulls last) as hi, sum(words) over () as all_words from wrd),
+total as (select max(all_words)::bigint as w, ceil(max(all_words) / 1024.0)::bigint as n, length(bin(ceil(max(all_words) / 1024.0)::bigint)) as bits from span),
+point as (select i as slot, list_sum(list_transform(range(bits), lambda k: ((i >> k) & 1) * pow(2, bits - 1 - k))) / pow(2, bits) * w::double as spot from total, range(0, (select n from total)) r(i)),
+dealt as (select slot, source, words, row_number() over (partition by source order by slot) - 1 as block from point join span on spot >= lo and spot < hi),
+used as (select * from dealt where block * 1024 < words),
+missing as (select s.source, unnest(range(coalesce(u.n, 0), ceil(s.words / 1024.0)::bigint)) as block from span s left join (select source, count(*) as n from used group by source) u on s.source is not distinct from u.source),
+slots as (select slot, source, block from used union all
+          select (select n from total) + row_number() over (order by block, source asc nulls last) - 1, source, block from missing),
+place as (select s.doc_id, s.source, s.size, t.source_size, t.target, floor(t.target)::bigint as words,
+         coalesce(sum(s.size) over (partition by s.source order by spot, s.doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as a
          from sized s join tgt t on s.source is not distinct from t.source)
 select doc_id, size, source_size, target,
-       (greatest(0, least(a + size, words) - a) + greatest(0, least(a + source_size + size, words) - (a + source_size)))::bigint as taken
-from place
+       (greatest(0, least(a + size, words) - a) + greatest(0, least(a + source_size + size, words) - (a + source_size)))::bigint as taken,
+       case when size > 0 and a < words then slot end as first_slot
+from place left join slots on place.source is not distinct from slots.source and slots.block = a // 1024
 """

@@ -52,3 +52,18 @@ def test_schedule_is_low_discrepancy(documents, spark):
 def test_no_words_and_empty_table(documents):
     assert [r["taken"] for r in M.mix(documents([(1, "", "en", "a"), (2, None, "en", None)])).collect()] == [0, 0]
     assert M.mix(documents([])).count() == 0
+
+
+def test_the_points_decide_the_order(documents, monkeypatch):
+    """Slots in plain counting order give other first slots; targets are met either way."""
+    rows = [(i, "w " * 30, "en", "abc"[i % 3]) for i in range(400)]
+    own = {r["doc_id"]: (r["first_slot"], r["taken"]) for r in M.mix(documents(rows), block=64).collect()}
+    monkeypatch.setattr(M, "point", lambda slot, bits: slot.cast("double") / float(1 << bits))
+    plain = {r["doc_id"]: (r["first_slot"], r["taken"]) for r in M.mix(documents(rows), block=64).collect()}
+    assert {i: t for i, (_, t) in own.items()} == {i: t for i, (_, t) in plain.items()}
+    assert sum(own[i][0] != plain[i][0] for i in own) > len(own) / 2
+    # any stretch of the order holds the sources near their shares; counting order holds one source at a time
+    first = sorted((slot, i) for i, (slot, taken) in own.items() if taken)
+    head = [i % 3 for _, i in first[: len(first) // 4]]
+    assert all(head.count(k) > 0 for k in range(3))
+    assert all((slot is None) == (taken == 0) for slot, taken in own.values())
