@@ -1,11 +1,11 @@
 """Content-addressed WARC archive: payload bytes once by verified digest, record headers apart, records rebuilt by joins.
 
-The payload store has one row per distinct payload, grouped by digest and bytes, so equal digests of
-different bytes would show as two rows and stop the write. The header store has each record's exact header
-block. A record is header + payload (none for a revisit) + two line ends. Of records with equal
-payloads of at least `least` bytes that with the largest page_id is the response and the others revisit it;
+The payload store is keyed by SHA-256 and has one row per distinct payload, grouped by digest and bytes, so equal digests of
+different bytes would show as two rows and stop the write. SHA-1 is only a field of the header: payloads that clash in it are two payloads.
+The header store has each record's exact header block and the key of its payload. A record is header + payload (none for a revisit) + two line
+ends. Of records with equal payloads of at least `least` bytes that with the largest page_id is the response and the others revisit it;
 rows that share the largest page_id are all responses, null page_ids count as smallest. Null html is the
-empty payload; a null url is written as an empty target. Empty tables write empty stores; extra columns are ignored.
+empty payload; a null url is written as an empty target. Empty tables write empty stores; payloads of any length are whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST, date: str = D
     """Writes path/payloads and path/headers."""
     spark = pages.sparkSession
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce(pages["url"].cast("string"), F.lit("")).alias("url"), _payload(pages).alias("payload"))
-    rows = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("length"))
-    payloads = rows.groupBy("digest", "payload").agg(F.max("page_id").alias("first_id"))
-    payloads.select("digest", "first_id", F.octet_length("payload").cast("long").alias("length"), "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
-    index = spark.read.parquet(f"{path}/payloads").select("digest", "first_id")
-    clash = index.groupBy("digest").count().where("count > 1").limit(1)
+    rows = rows.select("*", F.sha2("payload", 256).alias("key"), F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("length"))
+    payloads = rows.groupBy("key", "payload").agg(F.max("page_id").alias("first_id"))
+    payloads.select("key", "first_id", F.octet_length("payload").cast("long").alias("length"), "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    index = spark.read.parquet(f"{path}/payloads").select("key", "first_id")
+    clash = index.groupBy("key").count().where("count > 1").limit(1)
     if not clash.isEmpty():
         raise ValueError("two payloads have one digest")
-    named = rows.drop("payload").join(index, "digest")
+    named = rows.drop("payload").join(index, "key")
     response = (F.col("length") < least) | F.col("page_id").eqNullSafe(F.col("first_id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
@@ -49,20 +49,19 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST, date: str = D
         line("Content-Length", F.when(response, F.col("length")).otherwise(F.lit(0)).cast("string")),
         F.lit("\r\n"),
     )
-    named.select("digest", header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    named.select("key", header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def read_records(spark: SparkSession, path: str, with_bytes: bool = True) -> DataFrame:
     """One row per record, fields parsed from its header and from the payload that the store holds: page_id, url,
     record_type, refers_to, payload_bytes and payload_digest (taken again from the bytes read), and with_bytes the exact record."""
     store = spark.read.parquet(f"{path}/payloads")
-    again = F.sha1("payload")
-    checked = F.when(again == F.col("digest"), again).otherwise(F.raise_error(F.lit("a stored payload doesn't match its digest")).cast("string"))
-    held = store.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), checked.alias("payload_digest"), *(["payload"] if with_bytes else []))
+    checked = F.when(F.sha2("payload", 256) == F.col("key"), F.sha1("payload")).otherwise(F.raise_error(F.lit("a stored payload doesn't match its digest")).cast("string"))
+    held = store.select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), checked.alias("payload_digest"), *(["payload"] if with_bytes else []))
     heads = spark.read.parquet(f"{path}/headers")
     field = lambda name, value="([^\r]*)": F.regexp_extract("header", f"\r\n{name}: {value}\r\n", 1)
     number = lambda name: F.try_to_number(F.nullif(field(name, "<urn:page:(-?[0-9]+)>"), F.lit("")), F.lit("S9999999999999999999")).cast("long")
-    rows = heads.join(held, "digest")
+    rows = heads.join(held, "key")
     out = [number("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), "payload_bytes", "payload_digest"]
     if with_bytes:
         body = F.when(field("WARC-Type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
