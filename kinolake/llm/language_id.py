@@ -6,7 +6,9 @@ over its words of the word's probability, which a forward pass sums over all its
 turn the scores into a distribution over languages.
 
 The sample: of labelled documents that are not held out, the TRAIN_DOCS of each language that come first by a
-hash of doc_id (at most TRAIN_ROWS in all); these bounds are parameters. Every text is then scored whole.
+hash of doc_id (at most TRAIN_ROWS in all, and no more than TRAIN_BYTES of text: a document beyond that is passed over; rows equal in doc_id and text
+count once); these bounds are parameters. Every text is then scored whole. Words are lower-case runs of letters, so the vocabulary's pieces with capitals or
+digits can't be part of any, and none is longer than LONGEST: all segmentations into the public vocabulary are summed, of words of any length.
 
 A document is held out if crc32 of its doc_id as text leaves 2 modulo 4 (a null doc_id counts as the text ''). Text that is null or has no
 letter is `und` with score 0, as is everything when no language was learned. Ties go to the smallest language. Repeated rows and extra
@@ -24,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import byte_texts
 
 TRAIN_DOCS = 200
 TRAIN_ROWS = 20_000
+TRAIN_BYTES = 64_000_000
 ROUNDS = 2
 SMOOTH = 0.05
 UNKNOWN = 1e-7
@@ -60,12 +64,15 @@ def learn(counts: Counter, pieces: list[str], rounds: int = ROUNDS) -> np.ndarra
     p = np.full(len(pieces), 1 / len(pieces))
     lattice = []
     for word, times in counts.items():
-        if len(word) <= 64:  # longer ones are no words to learn from
+        if word:
             arcs = [(i, j, k) for i in range(len(word)) for j in range(i + 1, min(len(word), i + LONGEST) + 1) if (k := index.get(word[i:j])) is not None]
             lattice.append((len(word), arcs, times))
     for _ in range(rounds):
         expected, prob = [0.0] * len(pieces), p.tolist()
         for n, arcs, times in lattice:
+            if n > 64:  # products of so many probabilities underflow
+                _expect_long(n, arcs, times, prob, expected)
+                continue
             fwd, bwd = [1.0] + [0.0] * n, [0.0] * n + [1.0]
             starts = {i for i, _, _ in arcs}
             for i, j, k in arcs:
@@ -81,6 +88,19 @@ def learn(counts: Counter, pieces: list[str], rounds: int = ROUNDS) -> np.ndarra
     return np.log(p)
 
 
+def _expect_long(n: int, arcs: list[tuple], times: int, prob: list[float], expected: list[float]) -> None:
+    """Adds the expected uses of the pieces in a long word, in logarithms."""
+    fwd, bwd = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    fwd[0] = bwd[n] = 0.0
+    for i, j, k in arcs:
+        fwd[j] = np.logaddexp(fwd[j], fwd[i] + math.log(prob[k]))
+    for i, j, k in reversed(arcs):
+        bwd[i] = np.logaddexp(bwd[i], math.log(prob[k]) + bwd[j])
+    if fwd[n] > -np.inf:
+        for i, j, k in arcs:
+            expected[k] += times * math.exp(fwd[i] + math.log(prob[k]) + bwd[j] - fwd[n])
+
+
 class Scorer:
     """Log probabilities of texts under each language. White-space tokens are scored once and kept, in a newer and an older half of
     CACHE tokens each; words of one length are scored together."""
@@ -164,24 +184,30 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, per_language: int = TRAIN_DOCS, most_rows: int = TRAIN_ROWS) -> tuple[list[str], list[str], np.ndarray]:
+def train(docs: DataFrame, per_language: int = TRAIN_DOCS, most_rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[str], np.ndarray]:
     """(languages, pieces, log probabilities by language and piece) from the bounded sample."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text"))
-    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang", F.row_number().over(place).alias("nth")).where(F.col("nth") <= per_language).orderBy("nth", "lang").limit(most_rows).collect()
-    chosen = [r["doc_id"] for r in ids]
-    sample = labelled.where(F.col("doc_id").isin(chosen)).select("lang", "text").collect() if chosen else []
+    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("tie", F.xxhash64("text"))
+    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "tie")
+    ids = labelled.select("doc_id", "lang", "tie", F.octet_length("text").alias("bytes"), F.row_number().over(place).alias("nth")).where(F.col("nth") <= per_language).orderBy("nth", "lang").limit(most_rows).collect()
+    chosen, total = set(), 0
+    for r in ids:
+        if total + r["bytes"] <= most_bytes and (r["doc_id"], r["tie"]) not in chosen:
+            chosen.add((r["doc_id"], r["tie"]))
+            total += r["bytes"]
+    wanted = labelled.where(F.col("doc_id").isin(sorted({i for i, _ in chosen})) & F.col("tie").isin(sorted({t for _, t in chosen})))
+    sample = wanted.dropDuplicates(["doc_id", "lang", "tie"]).select("doc_id", "tie", "lang", "text").collect() if chosen else []
     counts: dict[str, Counter] = {}
-    for lang, text in sample:
-        counts.setdefault(lang, Counter()).update(words_of(text))
+    for doc_id, tie, lang, text in sample:
+        if (doc_id, tie) in chosen:
+            counts.setdefault(lang, Counter()).update(words_of(text))
     langs = sorted(k for k, c in counts.items() if c)
     pieces = vocabulary()
     return langs, pieces, np.array([learn(counts[k], pieces) for k in langs]).reshape(len(langs), len(pieces))
 
 
-def language_id(docs: DataFrame, **kw) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score."""
+def language_id(docs: DataFrame, carry: bool = False, **kw) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score; with carry, all columns of docs and then lang_pred and score."""
     langs, pieces, logs = train(docs, **kw)
     # as large as the vocabulary times the languages, whatever the number of documents
     model = docs.sparkSession.sparkContext.broadcast((langs, pieces, logs))
@@ -205,7 +231,10 @@ def language_id(docs: DataFrame, **kw) -> DataFrame:
                 best = int(np.argmax(s[:-1]))
                 preds.append(names[best])
                 scores.append(float(1 / np.exp(s[:-1] - s[best]).sum()))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(preds, pa.string()), "score": pa.array(scores, pa.float64())})
+            own = {n: batch.column(n) for n in batch.schema.names if carry or n != "text"}
+            yield pa.record_batch(own | {"lang_pred": pa.array(preds, pa.string()), "score": pa.array(scores, pa.float64())})
 
+    if carry:
+        return docs.mapInArrow(predict, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(predict, "doc_id bigint, held_out boolean, lang_pred string, score double")

@@ -61,3 +61,27 @@ def test_no_lower_case_piece_is_left_out():
     pieces = set(G.vocabulary())
     assert max(map(len, plain)) <= G.LONGEST
     assert {"▁relationship", "▁professional", "▁international"} <= pieces and max(map(len, pieces)) > 12
+
+
+def test_long_words_are_learned_from():
+    pieces = G.vocabulary()
+    short, long = Counter({"▁" + "ab" * 30: 1}), Counter({"▁" + "ab" * 40: 1, "▁" + "the" * 700: 1})
+    for counts in (short, long):
+        logs = G.learn(counts, pieces)
+        assert np.isfinite(logs).all() and abs(np.exp(logs).sum() - 1) < 1e-9
+    index = {p: i for i, p in enumerate(pieces)}
+    # in logarithms and in plain numbers the expected uses are the same
+    word = "▁" + "ab" * 20
+    arcs = [(i, j, index[word[i:j]]) for i in range(len(word)) for j in range(i + 1, min(len(word), i + G.LONGEST) + 1) if word[i:j] in index]
+    flat, out = [1 / len(pieces)] * len(pieces), [0.0] * len(pieces)
+    G._expect_long(len(word), arcs, 2, flat, out)
+    own = np.exp(G.learn(Counter({word: 2}), pieces, rounds=1))
+    assert np.allclose((np.array(out) + G.SMOOTH) / (np.array(out) + G.SMOOTH).sum(), own, rtol=1e-9)
+
+
+def test_repeated_ids_and_the_bound_in_bytes(documents):
+    rows = [(1, text(EN, 1), "en")] * 500 + [(1, text(DE, 2), "de")] * 3 + [(7, "x " * 5000, "xx")]
+    langs, _, _ = G.train(documents(rows), most_bytes=4000)
+    assert langs == ["de", "en"]
+    kept = G.language_id(documents(rows), carry=True)
+    assert kept.count() == len(rows) and kept.columns == [*documents(rows).columns, "lang_pred", "score"]
