@@ -10,14 +10,19 @@ of the item goes with one value of the document and the other way round, so re-p
 A document is contaminated by an item if its consistent windows cover SPAN tokens running, or all windows of a shorter item; with
 templates alone, windows run over those of the item that have LITERALS plain words.
 
-The benchmark's windows are collected and sent to the executors only while there are at most BROADCAST_WINDOWS of them (templates and exact words apart); beyond that the
-documents' windows are shuffled to them. Null texts, texts or items with fewer than WINDOW words match nothing; repeated rows get equal
+An item of fewer than WINDOW words, but `shortest` at least, is one window by itself and matches by its exact words. The parameter's default, WINDOW, leaves
+such items out; the registered query and the pipeline take SHORTEST, as items of one or two words stand in too many clean texts.
+
+The benchmark's windows are collected and sent to the executors, sorted, only while there are at most BROADCAST_WINDOWS of them (templates and exact words
+apart), about 64 MB; a worker keeps them for all its tasks. Beyond that the documents' windows are shuffled to them, where AQE splits hot ones. Null
+texts and texts or items too short match nothing; texts of any length are whole; repeated rows get equal
 rows; null item_ids are dropped; null doc_ids are kept; extra columns are ignored; empty tables give no match.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +30,32 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from .common import CACHE_WORDS, byte_texts, stored, text_of, window_hashes
 
 WINDOW = 8
 LITERALS = 4
 SPAN = 13
-BROADCAST_WINDOWS = 2_000_000
-#: Units of measure taken as one type each.
+SHORTEST = 3
+#: Bytes of one window with its places and slots, and how many make 64 MB.
+WINDOW_BYTES = 96
+BROADCAST_WINDOWS = 64_000_000 // WINDOW_BYTES
+#: Units of measure taken as one type each. Those that are common words or letters too count as units only behind a number.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs ms kb mb gb tb w kw v a hz khz mhz ghz kmh mph usd eur gbp percent % $ € £ °c °f".split())
+AMBIGUOUS = frozenset("a in m h s t g l v w".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/-]*(%|[a-zµ°]{1,3})?", re.I)
 _KIND, _END = np.uint64(3), np.uint64(4)
-_PLAIN = np.uint64(0xFFFFFFFFFFFFFFF8)
+_AMBIGUOUS = np.uint64(8)
+_PLAIN = np.uint64(0xFFFFFFFFFFFFFFF0)
 _PLACES = np.array([0, 0x1F83D9ABFB41BD68, 0x5BE0CD19137E2178, 0x3C6EF372FE94F828], np.uint64)
 _EXACT = np.uint64(0x5851F42D4C957F2D)
 _PAIRS = [(a, b) for b in range(WINDOW) for a in range(b)]
 
 
 class TemplateWords(dict):
-    """Word (bytes) to the hash of its plain form; lowest bits: 0 plain, 1 number, 2 unit, 3 capitalised; bit 2: ends a sentence."""
+    """Word (bytes) to the hash of its plain form; lowest bits: 0 plain, 1 number, 2 unit, 3 capitalised; bit 2: ends a sentence; bit 3: a unit
+    only behind a number."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE_WORDS:
@@ -51,9 +63,9 @@ class TemplateWords(dict):
         text = word.decode("utf-8", "replace")
         core = text.strip(".,;:!?\"'()[]{}«»“”„…*#&")
         low = core.lower()
-        h = xxhash.xxh3_64_intdigest((low or text).encode()) & ~7
+        h = xxhash.xxh3_64_intdigest((low or text).encode()) & ~15
         kind = 1 if NUMBER.fullmatch(core) else 2 if low in UNITS else 3 if core[:1].isupper() and not core.isupper() else 0
-        self[word] = h = h | kind | (4 if text[-1] in ".!?:" or text.rstrip("\"')»”")[-1:] in (".", "!", "?", ":") else 0)
+        self[word] = h = h | kind | (8 if low in AMBIGUOUS else 0) | (4 if text[-1] in ".!?:" or text.rstrip("\"')»”")[-1:] in (".", "!", "?", ":") else 0)
         return h
 
 
@@ -67,7 +79,9 @@ def template(text: bytes, cache: TemplateWords, first_name: bool = False) -> tup
     if len(x):
         name[0] &= first_name
         name[1:] &= (x[:-1] & _END) == 0
-    kind = np.where((kind == 3) & ~name, np.uint64(0), kind)
+        unit = (x & _AMBIGUOUS) > 0
+        unit[1:] &= kind[:-1] != 1
+        kind = np.where(((kind == 3) & ~name) | ((kind == 2) & unit), np.uint64(0), kind)
     plain = x & _PLAIN
     return np.where(kind > 0, _PLACES[kind], plain), np.where(kind > 0, plain | np.uint64(1), np.uint64(0)), plain
 
@@ -90,14 +104,17 @@ def windows(tokens: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, filled <= WINDOW - LITERALS
 
 
-def exact_windows(words: np.ndarray) -> np.ndarray:
-    return window_hashes(words, WINDOW) ^ _EXACT
+def exact_windows(words: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    return window_hashes(words, size) ^ (_EXACT + np.uint64(WINDOW - size))
 
 
-def item_windows(text: bytes, cache: TemplateWords) -> tuple[np.ndarray, ...]:
-    """(hashes, places, ranks, slots, usable windows): an item's windows as templates, the first one also with its first word as a name, and by
+def item_windows(text: bytes, cache: TemplateWords, shortest: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(hashes, places, ranks, slots, usable windows, words of a window): an item's windows as templates, the first one also with its first word as a name, and by
     their exact words. Ranks count the usable windows; -1 for exact words."""
     tokens, slots, words = template(text, cache)
+    if shortest <= len(words) < WINDOW:
+        zero = np.zeros(1, np.int64)
+        return exact_windows(words, len(words)), zero, zero - 1, np.zeros((1, WINDOW), np.uint64), 0, len(words)
     h, usable = windows(tokens, slots)
     at, every = np.flatnonzero(usable), np.arange(len(h))
     named = template(b" ".join(text.split()[:WINDOW]), cache, first_name=True) if len(h) and usable[0] else None
@@ -107,7 +124,7 @@ def item_windows(text: bytes, cache: TemplateWords) -> tuple[np.ndarray, ...]:
     first = named[1][None] if len(again) else values[:0]
     return (
         np.concatenate((h[at], h0[usable0], exact_windows(words))), np.concatenate((at, again, every)), np.concatenate((np.arange(len(at)), again, np.full(len(h), -1))),
-        np.concatenate((values[at], first, values)), len(at),
+        np.concatenate((values[at], first, values)), len(at), WINDOW,
     )
 
 
@@ -157,23 +174,24 @@ def _one_to_one(group: list[tuple]) -> bool:
 
 
 _LISTS = pa.list_(pa.int64())
+_VERDICT = [StructField("contaminated", BooleanType()), StructField("item_ids", ArrayType(LongType()))]
 
 
-def _item_rows(items: DataFrame) -> DataFrame:
+def _item_rows(items: DataFrame, shortest: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = TemplateWords()
         for batch in batches:
             for item, text in zip(batch.column("item_id").to_pylist(), byte_texts(batch.column("text")), strict=True):
-                h, at, rank, slots, usable = item_windows(text, cache)
+                h, at, rank, slots, usable, size = item_windows(text, cache, shortest)
                 if len(h):
                     same = lambda x: pa.array(np.full(len(h), x), pa.int32())  # noqa: E731, B023
-                    yield pa.record_batch({"h": pa.array(h.view(np.int64)), "item_id": pa.array([item] * len(h), pa.int64()), "n": same(at.max() + 1), "usable": same(usable), "at": pa.array(at, pa.int32()), "rank": pa.array(rank, pa.int32()), "slots": pa.array(list(slots.view(np.int64)), _LISTS)})
+                    yield pa.record_batch({"h": pa.array(h.view(np.int64)), "item_id": pa.array([item] * len(h), pa.int64()), "n": same(at.max() + 1), "usable": same(usable), "size": same(size), "at": pa.array(at, pa.int32()), "rank": pa.array(rank, pa.int32()), "slots": pa.array(list(slots.view(np.int64)), _LISTS)})
 
-    return items.mapInArrow(rows, "h bigint, item_id bigint, n int, usable int, at int, rank int, slots array<bigint>")
+    return items.mapInArrow(rows, "h bigint, item_id bigint, n int, usable int, size int, at int, rank int, slots array<bigint>")
 
 
-def _document_rows(docs: DataFrame) -> DataFrame:
-    """Windows as templates with their slots, and by their exact words without."""
+def _document_rows(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """Windows as templates with their slots, and by their exact words without, those of shorter sizes too."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = TemplateWords()
@@ -181,12 +199,13 @@ def _document_rows(docs: DataFrame) -> DataFrame:
             for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), byte_texts(batch.column("text")), strict=True):
                 tokens, slots, words = template(text, cache)
                 h, usable = windows(tokens, slots)
-                if not len(h):
-                    continue
                 at = np.flatnonzero(usable)
-                values = [*slots.view(np.int64)[at[:, None] + np.arange(WINDOW)], *[None] * len(h)]
-                places, n = np.concatenate((at, np.arange(len(h)))), len(at) + len(h)
-                yield pa.record_batch({"h": pa.array(np.concatenate((h[at], exact_windows(words))).view(np.int64)), "doc_id": pa.array([doc] * n, pa.int64()), "key": pa.array([key] * n, pa.int64()), "doc_at": pa.array(places, pa.int32()), "doc_slots": pa.array(values, _LISTS)})
+                same = [exact_windows(words, k) for k in (*sizes, WINDOW)]
+                values = [*slots.view(np.int64)[at[:, None] + np.arange(WINDOW)], *[None] * sum(map(len, same))]
+                places, n = np.concatenate((at, *(np.arange(len(x)) for x in same))), len(values)
+                if not n:
+                    continue
+                yield pa.record_batch({"h": pa.array(np.concatenate((h[at], *same)).view(np.int64)), "doc_id": pa.array([doc] * n, pa.int64()), "key": pa.array([key] * n, pa.int64()), "doc_at": pa.array(places, pa.int32()), "doc_slots": pa.array(values, _LISTS)})
 
     return docs.mapInArrow(rows, "h bigint, doc_id bigint, key bigint, doc_at int, doc_slots array<bigint>")
 
@@ -194,19 +213,21 @@ def _document_rows(docs: DataFrame) -> DataFrame:
 class Items:
     """The benchmark's windows as arrays sorted by hash, with a bitmap in front."""
 
-    def __init__(self, h: np.ndarray, *columns: np.ndarray):
-        order = np.argsort(h, kind="stable")
-        self.h = h[order]
-        self.item, self.n, self.usable, self.at, self.rank, self.slots = (c[order] for c in columns)
+    def __init__(self, sizes: list[int], h: np.ndarray, *columns: np.ndarray):
+        self.sizes, self.h = sizes, h
+        self.item, self.n, self.usable, self.at, self.rank, self.slots = columns
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.h >> np.uint64(42)).astype(np.int64)] = True
 
     def hits(self, text: bytes, cache: TemplateWords) -> list[tuple]:
         tokens, slots, words = template(text, cache)
-        h, usable = windows(tokens, slots)
-        if not len(h) or not len(self.h):
+        if not len(words) or not len(self.h):
             return []
-        return [*self._found(h, usable, slots), *self._found(exact_windows(words), True, slots)]
+        h, usable = windows(tokens, slots)
+        out = self._found(h, usable, slots)
+        for k in (*self.sizes, WINDOW):
+            out += self._found(exact_windows(words, k), True, slots)
+        return out
 
     def _found(self, h: np.ndarray, usable: np.ndarray | bool, slots: np.ndarray) -> list[tuple]:
         at = np.flatnonzero(self.seen[(h >> np.uint64(42)).astype(np.int64)] & usable)
@@ -214,33 +235,44 @@ class Items:
         return [(int(self.item[k]), int(self.n[k]), int(self.usable[k]), int(self.at[k]), int(self.rank[k]), int(p), self.slots[k], slots[p : p + WINDOW]) for p, a, b in zip(at, lo, hi, strict=True) for k in range(a, b)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document: doc_id, contaminated, item_ids (sorted)."""
+#: A worker's sorted items, under the name of the run that sent them.
+_ITEMS: dict[str, Items] = {}
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS, shortest: int = WINDOW, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, contaminated, item_ids (sorted); with carry, all columns of docs and then contaminated and item_ids."""
     items = benchmark.where(benchmark["item_id"].isNotNull()).select(benchmark["item_id"].cast("long").alias("item_id"), text_of(benchmark).alias("text"))
-    ref = stored(_item_rows(items), "windows")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    if ref.count() <= broadcast_windows:
-        return _by_broadcast(rows, ref)
-    return _by_shuffle(rows, ref)
+    ref = stored(_item_rows(items, shortest), "windows")
+    sizes = sorted(r["size"] for r in ref.where(F.col("size") < WINDOW).select("size").distinct().collect())  # fewer than WINDOW numbers
+    rows = docs if carry else docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    out = _by_broadcast(rows, ref, sizes) if ref.count() <= broadcast_windows else _by_shuffle(rows, ref, sizes)
+    return out if carry else out.select("doc_id", "contaminated", "item_ids")
 
 
-def _by_broadcast(rows: DataFrame, ref: DataFrame) -> DataFrame:
+def _by_broadcast(rows: DataFrame, ref: DataFrame, sizes: list[int]) -> DataFrame:
     got = ref.toArrow().combine_chunks()
-    slots = np.array(got["slots"].to_pylist(), np.int64).reshape(-1, WINDOW).view(np.uint64)
-    sent = rows.sparkSession.sparkContext.broadcast((got["h"].to_numpy().view(np.uint64), *(got[c].to_numpy() for c in ("item_id", "n", "usable", "at", "rank")), slots))
+    lists = got["slots"].chunk(0) if got["slots"].num_chunks else pa.array([], _LISTS)
+    slots = lists.flatten().to_numpy().reshape(-1, WINDOW).view(np.uint64)
+    h = got["h"].to_numpy().view(np.uint64)
+    order, run = np.argsort(h, kind="stable"), uuid.uuid4().hex
+    sent = rows.sparkSession.sparkContext.broadcast((sizes, h[order], *(got[c].to_numpy()[order] for c in ("item_id", "n", "usable", "at", "rank")), slots[order]))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref_items, cache = Items(*sent.value), TemplateWords()
+        if run not in _ITEMS:
+            _ITEMS.clear()
+            _ITEMS[run] = Items(*sent.value)
+        ref_items, cache = _ITEMS[run], TemplateWords()
         for batch in batches:
             found = [judge(ref_items.hits(text, cache)) for text in byte_texts(batch.column("text"))]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "contaminated": pa.array([bool(x) for x in found], pa.bool_()), "item_ids": pa.array(found, pa.list_(pa.int64()))})
+            yield pa.record_batch({n: batch.column(n) for n in batch.schema.names} | {"contaminated": pa.array([bool(x) for x in found], pa.bool_()), "item_ids": pa.array(found, _LISTS)})
 
-    return rows.mapInArrow(check, "doc_id bigint, contaminated boolean, item_ids array<bigint>")
+    return rows.mapInArrow(check, StructType([*rows.schema.fields, *_VERDICT]))
 
 
-def _by_shuffle(rows: DataFrame, ref: DataFrame) -> DataFrame:
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    hits = _document_rows(keyed).join(ref, "h").dropDuplicates(["doc_id", "key", "doc_at", "item_id", "at", "rank"]).withColumn("shift", F.col("doc_at") - F.col("at"))
+def _by_shuffle(rows: DataFrame, ref: DataFrame, sizes: list[int]) -> DataFrame:
+    keyed = rows.withColumn("_key", F.xxhash64("doc_id", "text"))
+    narrow = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_key").alias("key"), F.col("text").cast("string").alias("text"))
+    hits = _document_rows(narrow, sizes).join(ref, "h").dropDuplicates(["doc_id", "key", "doc_at", "item_id", "at", "rank"]).withColumn("shift", F.col("doc_at") - F.col("at"))
 
     def verdict(t: pa.Table) -> pa.Table:
         x = t.to_pylist()
@@ -249,6 +281,6 @@ def _by_shuffle(rows: DataFrame, ref: DataFrame) -> DataFrame:
 
     # one group is one item at one shift of one document: at most twice as many windows as the item has
     pairs = hits.groupBy("doc_id", "key", "item_id", "shift").applyInArrow(verdict, "key bigint, item_id bigint").distinct()
-    found = pairs.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    out = keyed.select("doc_id", "key").join(found, "key", "left")
-    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+    found = pairs.groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
+    out = keyed.join(found, "_key", "left")
+    return out.select(*rows.columns, F.col("_items").isNotNull().alias("contaminated"), F.coalesce("_items", F.array().cast("array<bigint>")).alias("item_ids"))

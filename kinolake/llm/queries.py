@@ -24,7 +24,7 @@ def queries() -> dict[str, Query]:
         "op7_ngram_join": lambda s, d: ngram_join.ngram_join(docs(s, d)),
         "op8_language_id": lambda s, d: language_id.language_id(docs(s, d)),
         "op9_suffix_dedup": lambda s, d: suffix_dedup.suffix_dedup(docs(s, d)),
-        "op10_decontaminate": lambda s, d: decontaminate.decontaminate(docs(s, d), table(s, d, "benchmark")),
+        "op10_decontaminate": lambda s, d: decontaminate.decontaminate(docs(s, d), table(s, d, "benchmark"), shortest=decontaminate.SHORTEST),
     }
 
 
