@@ -1,19 +1,21 @@
 """The corpus pipeline: language ID, near-duplicates, decontamination, mixing, token output.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's docs. All but the last return the columns of documents. Rows with null doc_ids can't be
-joined back to decisions and are only kept by stages that decide row by row.
+Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Rows with null or repeated doc_ids are kept like any others: the first and third stage decide row by row, the others by a hash of the row. Of rows that are equal in
+all columns the second stage keeps one. Reruns give equal rows. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinolake.llm.common import importable, scratch, table
-from kinolake.llm.decontaminate import decontaminate
+from kinolake.llm.common import importable, partitions, scratch, stored, table
+from kinolake.llm.decontaminate import SHORTEST, decontaminate
 from kinolake.llm.language_id import language_id
-from kinolake.llm.mixing import mix
+from kinolake.llm.mixing import placed_rounds, row_key
 from kinolake.llm.ngram_join import ngram_join
 from kinolake.llm.token_output import token_output
 
@@ -21,47 +23,44 @@ from kinolake.llm.token_output import token_output
 LEAST_SCORE = 0.5
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return docs.columns
-
-
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in decisions."""
-    return docs.join(decisions.select(F.col("doc_id")).distinct(), "doc_id", "left_semi").select(*_columns(docs))
-
-
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language with a score of LEAST_SCORE or more."""
     importable(spark)
-    found = language_id(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return _kept(docs, found)
+    return language_id(docs, carry=True).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join, the document with the smallest doc_id."""
+    """Of each component of the n-gram Jaccard join, the document with the smallest doc_id, of several such rows that with the smallest hash."""
     importable(spark)
-    return _kept(docs, ngram_join(docs).where("doc_id = component_id")).dropDuplicates(["doc_id"])
+    nulls = [F.col(c).isNull() for c in docs.columns]
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns, *nulls))
+    found = stored(ngram_join(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct(), "groups")
+    ids = keyed.select("_key", F.col("doc_id").cast("long").alias("_id")).distinct()
+    first = found.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("_last"), "_id", "_key"))["_key"].alias("_key"))
+    return keyed.join(first.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     importable(spark)
-    return _kept(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")))
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), shortest=SHORTEST, carry=True).where(~F.col("contaminated")).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document once for each round in which its source's schedule takes it; where the schedule
-    ends inside a document, the words taken, joined by single blanks. Documents that it never reaches go."""
-    taken = mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    both = docs.join(taken, docs["doc_id"] == taken["_id"]).where("_taken > 0")
-    rounds = both.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size")))).alias("_round"))
-    words = F.least(F.col("_size"), F.col("_taken") - F.col("_round") * F.col("_size"))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), " ")
-    text = F.when(words < F.col("_size"), part).otherwise(F.col("text"))
-    cut = rounds.withColumn("text", text)
+    """The mix in the order of its schedule: a document once for each round in which its source's schedule takes it; where the schedule
+    ends inside a document, the words taken, joined by single blanks. Documents that it never reaches go. Rows are dealt and sorted by slot."""
+    taken = placed_rounds(docs).select(F.col("tie").alias("_key"), F.col("size").alias("_size"), F.explode(F.array(*(F.struct(F.col(f"words{k}").alias("words"), F.col(f"slot{k}").alias("slot")) for k in (0, 1)))).alias("_r"))
+    taken = taken.select("_key", "_size", F.col("_r.words").alias("_words"), F.col("_r.slot").alias("_slot")).where("_words > 0")
+    # rows equal in doc_id, source and text share a key; their rounds all take the text from the first of them
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "source", "text")]
+    keyed = docs.withColumn("_key", row_key(docs))
+    one = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(*rest, F.lit(0)))).where("_nth = 1")
+    both = one.join(taken, "_key")
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
+    cut = both.withColumn("text", F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(words < F.col("_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*_columns(docs))
+        cut = cut.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.repartitionByRange(partitions(spark), "_slot", "_key").sortWithinPartitions("_slot", "_key").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

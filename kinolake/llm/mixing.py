@@ -30,10 +30,16 @@ BLOCK = 1024
 RUN = 4096
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's doc_id, source and text, nulls told apart."""
+    doc_id, source = docs["doc_id"].cast("long"), docs["source"].cast("string")
+    return F.xxhash64(doc_id, doc_id.isNull(), source, source.isNull(), text_of(docs))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), spot: the shuffled place inside its source."""
+    """doc_id, source, size (words), spot: the shuffled place inside its source, tie: its row_key."""
     size = F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))).alias("spot"), F.xxhash64(text_of(docs)).alias("tie"))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))).alias("spot"), row_key(docs).alias("tie"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -97,20 +103,30 @@ def schedule(per: DataFrame, block: int = BLOCK) -> DataFrame:
     return used.unionByName(closing).select("slot", "source", "block", F.least(F.lit(block).cast("long"), F.col("words") - F.col("block") * block).alias("words"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK, **kw) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, first_slot (null if nothing is taken)."""
+def placed_rounds(docs: DataFrame, block: int = BLOCK, **kw) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, tie (its row_key), and of the first and second round in which the mix
+    takes it the words (words0, words1) and the earliest slot (slot0, slot1; null without words)."""
     base = stored(sizes(docs), "sizes")
     per = stored(targets(base, **kw), "targets")
     keyed = base.join(per, base["source"].eqNullSafe(per["source"])).select(base["doc_id"], base["source"], "size", "source_size", "target", "words", "spot", "tie", F.floor(F.conv(F.substring("spot", 1, 8), 16, 10).cast("double") * F.ceil(F.col("n_docs") / RUN) / F.lit(2.0**32)).alias("run"))
     placed = stored(ranked(keyed, ["source"], "run", ["spot", F.col("doc_id").asc_nulls_first(), "tie"], "size").withColumn("row", F.monotonically_increasing_id()), "places")
     # the source's words lie on a ring; a block is [block * b, block * b + words) on the line that winds around it
     slots = stored(schedule(per, block), "slots")
-    pieces = placed.where("size > 0 and words > 0").select("row", F.col("source").alias("_s"), "size", F.explode(F.array(F.col("before"), F.col("before") + F.col("source_size"))).alias("a"), F.col("words").alias("most")).where("a < most")
+    rounds = F.array(*(F.struct(F.lit(k).alias("round"), (F.col("before") + k * F.col("source_size")).alias("a")) for k in (0, 1)))
+    pieces = placed.where("size > 0 and words > 0").select("row", F.col("source").alias("_s"), "size", F.explode(rounds).alias("r"), F.col("words").alias("most")).select("row", "_s", "size", "r.round", "r.a", "most").where("a < most")
     pieces = pieces.select("*", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.least(F.col("a") + F.col("size"), F.col("most")) - 1) / block))).alias("_b"))
     hit = pieces.join(slots, [pieces["_s"].eqNullSafe(slots["source"]), pieces["_b"] == slots["block"]])
     part = F.least(F.col("a") + F.col("size"), F.col("block") * block + F.col("words")) - F.greatest(F.col("a"), F.col("block") * block)
-    got = hit.groupBy("row").agg(F.sum(part).alias("taken"), F.min("slot").alias("first_slot"))
-    return placed.join(got, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    of = lambda k, x: F.when(F.col("round") == k, x)
+    got = hit.groupBy("row").agg(*(F.sum(of(k, part)).alias(f"words{k}") for k in (0, 1)), *(F.min(of(k, F.col("slot"))).alias(f"slot{k}") for k in (0, 1)))
+    words = [F.coalesce(f"words{k}", F.lit(0)).cast("long").alias(f"words{k}") for k in (0, 1)]
+    return placed.drop("words").join(got, "row", "left").select("doc_id", "source", "size", "source_size", "target", "tie", *words, "slot0", "slot1")
+
+
+def mix(docs: DataFrame, block: int = BLOCK, **kw) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, first_slot (null if nothing is taken)."""
+    rows = placed_rounds(docs, block, **kw)
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("words0") + F.col("words1")).alias("taken"), F.least("slot0", "slot1").alias("first_slot"))
 
 
 ORACLE = r"""
