@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,25 +32,30 @@ def interval_join(left: DataFrame, right: DataFrame, overlap: str = "full", how:
 
     Without bucket, an equi-join on vid with the range as residual. With bucket (seconds), vid and time bucket are the key, so a video
     with very many intervals is spread over many keys; a pair that shares several buckets is kept in the first of them only. how: 'inner', 'left' or 'left_semi'.
+    Rows that lack their vid or a time meet nothing. Whether a row meets anything depends on its vid and times alone, so the semi and left forms go by those: repeated rows stay, and no row needs a number.
     """
     r = right.select(*[F.col(c).alias("r_vid" if c == "vid" else f"r_{c}") for c in right.columns])
-    cond = (left["vid"] == r["r_vid"]) & PREDICATES[overlap](left["start_time"], left["end_time"], r["r_start_time"], r["r_end_time"])
+    times = (left["start_time"], left["end_time"], r["r_start_time"], r["r_end_time"])
+    cond = (left["vid"] == r["r_vid"]) & PREDICATES[overlap](*times)
+    if overlap == "strict":  # whose alternatives could hold without one of the times
+        cond = reduce(lambda a, b: a & b.isNotNull(), times, cond)
     if bucket is None:
         out = left.join(r, cond, how)
         return out if how == "left_semi" else out.drop("r_vid")
     cell = lambda c: F.floor(c / bucket)
     spread = lambda df, s, e, name: df.withColumn(name, F.explode(F.sequence(cell(F.col(s)), cell(F.col(e)))))
-    keyed = left.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else left
-    a, b = spread(keyed, "start_time", "end_time", "_cell"), spread(r, "r_start_time", "r_end_time", "_r_cell")
+    key = ["vid", "start_time", "end_time"]
+    own = left.select(*key).distinct() if how == "left_semi" else left
+    a, b = spread(own, "start_time", "end_time", "_cell"), spread(r, "r_start_time", "r_end_time", "_r_cell")
     first = F.col("_cell") == F.greatest(cell(F.col("start_time")), cell(F.col("r_start_time")))
     on = (F.col("vid") == F.col("r_vid")) & (F.col("_cell") == F.col("_r_cell")) & first & PREDICATES[overlap](F.col("start_time"), F.col("end_time"), F.col("r_start_time"), F.col("r_end_time"))
     if how == "left_semi":
-        return a.join(b, on, "left_semi").drop("_cell").dropDuplicates()
+        return left.join(a.join(b, on, "left_semi").select(*key), key, "left_semi").select(*left.columns)
     met = a.join(b, on).drop("_cell", "_r_cell", "r_vid")
     if how == "inner":
         return met
-    missing = keyed.join(met.select("_row"), "_row", "left_anti")
-    return met.unionByName(missing, allowMissingColumns=True).drop("_row")
+    hit = spread(left.select(*key).distinct(), "start_time", "end_time", "_cell").join(b, on, "left_semi").select(*key)
+    return met.unionByName(left.join(hit, key, "left_anti"), allowMissingColumns=True)
 
 
 def shared(s1: Column, e1: Column, s2: Column, e2: Column) -> tuple[Column, Column]:

@@ -76,3 +76,8 @@ EXTRACTORS = ("clip", "r3d", "i3d", "mvit", "pot")
 def extractor(name: Column) -> Column:
     """VX04: the extractor whose prefix a feature name has; null without one."""
     return F.coalesce(*[F.when(name.startswith(prefix), F.lit(prefix)) for prefix in EXTRACTORS])
+
+
+def named(column: Column, name: str) -> Column:
+    """FN10: whether a feature's name is this one, whatever the case of its letters."""
+    return F.lower(column) == name.lower()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.intervals import PREDICATES, interval_join
+from ..functions.intervals import interval_join
 
 
 def scan(features: DataFrame, vids: list[int] | DataFrame | None = None) -> DataFrame:
@@ -25,14 +25,14 @@ def for_clips(features: DataFrame, clips: DataFrame, overlap: str = "full", buck
     return interval_join(features, clips.select("vid", "start_time", "end_time"), overlap, "left_semi", bucket)
 
 
-def nearest(base: DataFrame, overlay: DataFrame) -> DataFrame:
+def nearest(base: DataFrame, overlay: DataFrame, bucket: float | None = None) -> DataFrame:
     """JN06, one step: for each base row the overlay row inside it whose start lies nearest to the middle (as a part of the base's length), vectors
     concatenated; base rows without one go. Ties: earlier start, then smaller id. A base row of no length keeps its first overlay row.
 
-    Ranking moves ids only; the winners' vectors are joined at the end."""
-    b = base.select("fid", "vid", "start_time", "end_time")
-    o = overlay.select(F.col("fid").alias("o_fid"), F.col("vid").alias("o_vid"), F.col("start_time").alias("o_start"), F.col("end_time").alias("o_end"))
-    met = b.join(o, (F.col("vid") == F.col("o_vid")) & PREDICATES["full"](F.col("o_start"), F.col("o_end"), F.col("start_time"), F.col("end_time")))
+    Ranking moves ids only; the winners' vectors are joined at the end. With bucket (seconds), a video's windows are spread over time buckets."""
+    narrow = lambda df: df.select("fid", "vid", "start_time", "end_time")
+    inner = interval_join(narrow(overlay), narrow(base), "full", "inner", bucket)
+    met = inner.select(F.col("r_fid").alias("fid"), F.col("r_start_time").alias("start_time"), F.col("r_end_time").alias("end_time"), F.col("fid").alias("o_fid"), F.col("start_time").alias("o_start"))
     off = F.abs(0.5 - F.try_divide(F.col("o_start") - F.col("start_time"), F.col("end_time") - F.col("start_time")))
     best = met.withColumn("_off", off).withColumn("_n", F.row_number().over(Window.partitionBy("fid").orderBy(F.col("_off").asc_nulls_last(), "o_start", "o_fid"))).where("_n = 1")
     left = base.join(best.select("fid", "o_fid"), "fid")
@@ -40,9 +40,9 @@ def nearest(base: DataFrame, overlay: DataFrame) -> DataFrame:
     return left.join(right, "o_fid").withColumn("feature", V.concat(F.col("feature"), F.col("_other"))).drop("_other")
 
 
-def concatenated(features: list[DataFrame]) -> DataFrame:
+def concatenated(features: list[DataFrame], bucket: float | None = None) -> DataFrame:
     """JN06: features of several extractors, the first giving rows and windows."""
-    return reduce(lambda a, b: nearest(a, b).drop("o_fid"), features)
+    return reduce(lambda a, b: nearest(a, b, bucket).drop("o_fid"), features)
 
 
 def strided(features: DataFrame, odd: bool = True) -> DataFrame:
@@ -90,3 +90,10 @@ def materialised(requested: DataFrame, stored: DataFrame, extract, only_stored:
     """VX08: stored rows of the requested videos, and those that `extract` makes (a function from a table of vids to feature rows) for the missing ones."""
     have = scan(stored, requested)
     return have if only_stored else have.unionByName(extract(missing(requested, stored)))
+
+
+def eager_sample(requested: DataFrame, stored: DataFrame, n: int = 10, seed: int = 0, in_progress: DataFrame | None = None) -> DataFrame:
+    """STM03: the videos that idle time goes to next: n of those without features, by a seeded hash of vid; whoever calls it when nothing waits
+    extracts them with `materialised`."""
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("vid").cast("string")))
+    return missing(requested, stored, in_progress).orderBy(place, "vid").limit(n)

@@ -42,17 +42,16 @@ def labels_within(clips: DataFrame, annotations: DataFrame, bucket: float | None
     return met.select("vid", start.alias("start_time"), end.alias("end_time"), F.col("r_label").alias("label"))
 
 
-def label_counts(features: DataFrame, annotations: DataFrame, overlap: str = "full") -> DataFrame:
+def label_counts(features: DataFrame, annotations: DataFrame, overlap: str = "full", bucket: float | None = None) -> DataFrame:
     """AG01: distinct feature rows of each label."""
-    met = interval_join(features.select("fid", *KEY), annotations.select(*KEY, "label"), overlap)
+    met = interval_join(features.select("fid", *KEY), annotations.select(*KEY, "label"), overlap, "inner", bucket)
     return met.groupBy(F.col("r_label").alias("label")).agg(F.countDistinct("fid").alias("n"))
 
 
-def label_counts_two(features: DataFrame, overlay: DataFrame, annotations: DataFrame) -> DataFrame:
+def label_counts_two(features: DataFrame, overlay: DataFrame, annotations: DataFrame, bucket: float | None = None) -> DataFrame:
     """AG02: distinct feature rows of each label that hold a row of a second feature (FULL)."""
-    o = overlay.select(F.col("vid").alias("o_vid"), F.col("start_time").alias("o_start"), F.col("end_time").alias("o_end"))
-    holding = features.join(o, (F.col("vid") == F.col("o_vid")) & (F.col("o_start") >= F.col("start_time")) & (F.col("o_end") <= F.col("end_time")), "left_semi")
-    return label_counts(holding, annotations)
+    held = interval_join(overlay.select(*KEY), features.select("fid", *KEY), "full", "inner", bucket).select(F.col("r_fid").alias("fid"))
+    return label_counts(features.join(held, "fid", "left_semi"), annotations, "full", bucket)
 
 
 def label_seconds(annotations: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -226,3 +226,17 @@ def predictions_of_all(features: DataFrame, stored: DataFrame, mid: int, run) ->
 def saved_results(results: DataFrame, path: str) -> None:
     """SNK06: results appended as Parquet."""
     results.write.mode("append").parquet(path)
+
+
+def save_model(model, classes: list[str], path: str) -> None:
+    """A fitted pipeline and its classes in order."""
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.active().createDataFrame(list(enumerate(classes)), "i int, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}/classes")
+
+
+def evaluated(labeled: DataFrame, path: str, threshold: float = 0.4) -> DataFrame:
+    """ML17: the metrics of a saved model on labeled rows with vectors."""
+    from pyspark.ml import PipelineModel
+
+    classes = [r["label"] for r in labeled.sparkSession.read.parquet(f"{path}/classes").orderBy("i").collect()]  # one row a class
+    return metrics(truth(infer(PipelineModel.load(f"{path}/model"), classes, labeled.drop("labels"), 0), labeled), threshold)

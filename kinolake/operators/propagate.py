@@ -97,3 +97,29 @@ def least_certain(predictions: DataFrame, k: int) -> DataFrame:
     """LB02: the k windows whose largest probability is smallest."""
     top = predictions.groupBy("vid", "start_time", "end_time").agg(F.max("probability").alias("top"))
     return top.orderBy("top", "vid", "start_time", "end_time").limit(k)
+
+
+def random_stretches(rows: DataFrame, budget: int, seconds: float = 30.0, seed: int = 0) -> DataFrame:
+    """ML16, random30sec: whole stretches of `seconds` of a video, by a seeded hash, until they hold at least `budget` rows. Only counts of
+    stretches are ranked."""
+    cells = rows.withColumn("_cell", F.floor(F.col("start_time") / seconds))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("vid").cast("string"), F.col("_cell").cast("string")))
+    sizes = cells.groupBy("vid", "_cell").agg(F.count("*").alias("_n")).withColumn("_place", place)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_place", "vid", "_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a stretch holds a row at least, so the first `budget` of them are enough
+    taken = sizes.orderBy("_place", "vid", "_cell").limit(budget).withColumn("_before", before).where(F.col("_before") < budget)
+    return cells.join(taken.select("vid", "_cell"), ["vid", "_cell"], "left_semi").drop("_cell")
+
+
+def reclustered(rows: DataFrame, cluster: int, parts: int, next_id: int, dims: int = 8, seed: int = 0) -> DataFrame:
+    """LB07, LB08: one cluster's rows split by KMeans on their principal components; new clusters are numbered from next_id."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA
+
+    from .models import vectorised
+
+    own = vectorised(rows.where(F.col("cluster") == cluster))
+    flat = PCA(k=dims, inputCol="x", outputCol="z").fit(own).transform(own)
+    split = KMeans(featuresCol="z", predictionCol="_c", k=parts, seed=seed).fit(flat).transform(flat)
+    new = split.withColumn("cluster", (F.col("_c") + next_id).cast(rows.schema["cluster"].dataType)).select(*rows.columns)
+    return rows.where(F.col("cluster") != cluster).unionByName(new)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import overlaps, rounded, touches
+from ..functions.intervals import interval_join, rounded, touches
 
 
 def search_videos(videos: DataFrame, annotations: DataFrame, predictions: DataFrame, date_range: tuple | None = None, labels: list[str] | None = None, predicted: list[str] | None = None, confidence: float = 0.0, mid: int | None = None) -> DataFrame:
@@ -99,11 +99,12 @@ def predictions_json(pivoted: DataFrame) -> DataFrame:
     return pivoted.withColumn("predictions", F.to_json(F.map_from_entries("predictions")))
 
 
-def predictions_for_clips(clips: DataFrame, predictions: DataFrame) -> DataFrame:
-    """JN14: each clip with the predicted windows of its video that overlap it (STRICT), nested in order; clips without any keep an empty list."""
-    p = predictions.select(F.col("vid").alias("p_vid"), F.struct(F.col("start_time").alias("start_time"), F.col("end_time").alias("end_time"), "label", "probability").alias("p"))
-    on = (F.col("vid") == F.col("p_vid")) & overlaps(F.col("start_time"), F.col("end_time"), F.col("p.start_time"), F.col("p.end_time"))
-    return clips.join(p, on, "left").groupBy("vid", "start_time", "end_time").agg(F.array_sort(F.collect_list("p")).alias("predictions"))
+def predictions_for_clips(clips: DataFrame, predictions: DataFrame, bucket: float | None = None) -> DataFrame:
+    """JN14: each clip with the predicted windows of its video that overlap it (STRICT), nested in order; clips without any keep an empty list. With
+    bucket (seconds), a video's windows are spread over time buckets."""
+    met = interval_join(clips.select("vid", "start_time", "end_time"), predictions.select("vid", "start_time", "end_time", "label", "probability"), "strict", "left", bucket)
+    p = F.struct(F.col("r_start_time").alias("start_time"), F.col("r_end_time").alias("end_time"), F.col("r_label").alias("label"), F.col("r_probability").alias("probability"))
+    return met.groupBy("vid", "start_time", "end_time").agg(F.array_sort(F.collect_list(F.when(F.col("r_start_time").isNotNull(), p))).alias("predictions"))
 
 
 def context_pruned(explored: DataFrame) -> DataFrame:

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 
-def numbered(rows: DataFrame, id_column: str, start: Column | int, order: list, run: int = 100_000) -> DataFrame:
-    """SNK02: dense ids from start + 1 in the given order. Rows are ranged over partitions and numbered in each; only the partitions' counts
-    go through one task."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    local = placed.withColumn("_i", inside)
-    counts = local.groupBy("_p").agg(F.count("*").alias("_n"))
+
+def numbered(rows: DataFrame, id_column: str, start: Column | int, order: list) -> DataFrame:
+    """SNK02: dense ids from start + 1 in the given order. Rows are ranged over partitions, sorted, and stored with their partition and place in it, so that
+    retries and different uses see the same ones; only the partitions' counts (a row each) pass one task."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(ranged.withColumn("_m", F.monotonically_increasing_id()), "ids")
+    part, place = F.shiftright("_m", 33), F.col("_m") % F.lit(1 << 33)
+    counts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_p", before.alias("_before"))
+    offsets = F.broadcast(counts.select("_p", before.alias("_before")))  # a row each partition
     first = start if isinstance(start, Column) else F.lit(start)
-    return local.join(offsets, "_p").withColumn(id_column, (first + F.col("_before") + F.col("_i")).cast("bigint")).drop("_p", "_i", "_before")
+    return placed.withColumn("_p", part).join(offsets, "_p").withColumn(id_column, (first + F.col("_before") + place + 1).cast("bigint")).drop("_p", "_m", "_before")
 
 
 def top(table: DataFrame, id_column: str) -> DataFrame:

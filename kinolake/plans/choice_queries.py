@@ -34,9 +34,9 @@ SPLITS = "select vid, vstart, i * 86400.0::double as start_time, (i + 1) * 86400
 HOUR = "select vid, i * 3600.0::double as start_time, (i + 1) * 3600.0::double as end_time from (select vid, unnest(range((vduration / 3600)::bigint)) as i from vm)"
 
 
-@query("ex01_random_candidates", "vm ann", f"with c as ({HOUR}) select vid, start_time from c where not exists (select 1 from ann a where a.vid = c.vid and c.start_time >= a.start_time and c.end_time <= a.end_time) and vid < 20")
+@query("ex01_random_candidates", "vm ann", f"with c as ({HOUR}) select vid, start_time from c where not exists (select 1 from ann a where a.vid = c.vid and c.start_time >= a.start_time and c.end_time <= a.end_time)")
 def _(t):
-    return SL.unlabeled_splits(t.vm.where("vid < 20"), t.ann, 3600.0, "full").select("vid", "start_time")
+    return SL.unlabeled_splits(t.vm, t.ann, 3600.0, "full").select("vid", "start_time")
 
 
 @query("ex01_random_clips", "vm ann", f"with c as ({SPLITS}) select vid, start_time, end_time from c where not exists (select 1 from ann a where a.vid = c.vid and c.start_time >= a.start_time and c.end_time <= a.end_time) order by md5(concat('0:', vid, ':', start_time::bigint)), vid, start_time limit 20")
@@ -107,15 +107,15 @@ def _(t):
     return t.spark.createDataFrame(got, "vid bigint, start_time double, end_time double")
 
 
-@query("ex09_label_seconds", "vm ann", "select label, ceil(sum(end_time - start_time))::bigint as seconds from ann where aid % 11 = 0 group by label")
+@query("ex09_label_seconds", "vm ann", "select label, ceil(sum(end_time - start_time))::bigint as seconds from ann group by label")
 def _(t):
-    return t.ann.where("aid % 11 = 0").groupBy("label").agg(F.ceil(F.sum(F.col("end_time") - F.col("start_time"))).alias("seconds"))
+    return t.ann.groupBy("label").agg(F.ceil(F.sum(F.col("end_time") - F.col("start_time"))).alias("seconds"))
 
 
 @query("ex11_uniformity")
 def _(t):
     seconds = {r["label"]: float(r["seconds"]) for r in LB.label_seconds(t.ann).collect()}  # one row a label
-    return t.spark.createDataFrame([("binom", SL.binomial_uniform(seconds, 0.001, 2.0)), ("cvm", SL.cvm_uniform(seconds))], "test string, uniform boolean")
+    return t.spark.createDataFrame([("binom", SL.binomial_uniform(seconds, 0.001, 2.0)), ("cvm", SL.cvm_uniform(seconds)), ("aks", SL.ad_uniform(seconds))], "test string, uniform boolean")
 
 
 @query("ex12_tester_names", "", "select * from (values ('cvm_pval0.05', 'cvm', 0.05::double, null::double), ('binom_pval0.001_m2.5', 'binom', 0.001, 2.5), ('random', 'aks', 0.001, null)) as x(name, kind, pval, m)")
@@ -337,9 +337,9 @@ def _(t):
     return P.least_certain(t.pred, 25).select("vid", "start_time", F.round("top", 9).alias("top"))
 
 
-@query("lb11_oracle_labels", "vm ann feat", "select f.vid, greatest(f.start_time, a.start_time) as start_time, least(f.end_time, a.end_time) as end_time, a.label from feat f join ann a on f.vid = a.vid and f.start_time <= a.end_time and a.start_time <= f.end_time where f.fid % 10 = 0")
+@query("lb11_oracle_labels", "vm ann feat", "select f.vid, greatest(f.start_time, a.start_time) as start_time, least(f.end_time, a.end_time) as end_time, a.label from feat f join ann a on f.vid = a.vid and f.start_time <= a.end_time and a.start_time <= f.end_time")
 def _(t):
-    return LB.labels_within(slim(t).where("fid % 10 = 0"), t.ann)
+    return LB.labels_within(slim(t), t.ann)
 
 
 @query("ml15_augmented", "vm ann", """with m as (select vid, start_time, label from ann where aid % 5 = 0), r as (select aid as fid, vid, start_time from ann)
@@ -437,7 +437,7 @@ def _(t):
     return t.ann.groupBy("label").agg(F.max("vid").alias("last"), F.countDistinct("vid").alias("done"))
 
 
-@query("src12_bandit_series")
+@query("src12_bandit_series", "", "select 'b' as file, 1 as line_no, 'r3d' as feature, [0.1, 0.2]::double[] as y_k, [1000000.0, 0.05]::double[] as w_k, [1, 0.9]::double[] as u_k, [0.1, 0.15]::double[] as l_k")
 def _(t):
     rows = [("b", 1, "  r3d: y_k=[0.1, 0.2], w_k=[1000000.0, 0.05], u_k=[1, 0.9], l_k=[0.1, 0.15]"), ("b", 2, "After step 2")]
     return LG.bandit_series(t.spark.createDataFrame(rows, "file string, line_no int, line string"))
@@ -465,7 +465,7 @@ def _(t):
 
 
 
-# --- the façade, simulation and extraction ---
+# --- the façade and extraction ---
 
 
 def store(t):
@@ -524,29 +524,20 @@ def _(t):
     return t.feat.select("fid", spread(x).alias("p"), F.element_at(grid_ranks(x), 1).alias("rank1")).select("fid", F.round(F.col("p")[1], 6).alias("q1"), F.round(F.col("p")[2], 6).alias("q2"), F.col("p")[4].alias("top"), "rank1")
 
 
-@query("vx05_extracted", "feat", "select fid as vid, 0.0::double as start_time, round(feature[1]::double, 5) as x from feat where fid < 50")
+@query("vx05_extracted", "feat", "select fid as vid, 0.0::double as start_time, round(feature[1]::double, 5) as x from feat")
 def _(t):
     import numpy as np
 
     from ..operators.extract import extracted
 
-    files = t.feat.where("fid < 50").select(F.col("fid").alias("vid"), F.encode(F.format_string("%.9f", F.element_at("feature", 1).cast("double")), "UTF-8").alias("content"))
+    files = t.feat.select(F.col("fid").alias("vid"), F.encode(F.format_string("%.9f", F.element_at("feature", 1).cast("double")), "UTF-8").alias("content"))
     got = extracted(files, lambda content: [(0.0, 1.0, np.array([float(content.decode())]))])
     return got.select("vid", "start_time", F.round(F.element_at("feature", 1).cast("double"), 5).alias("x"))
 
 
-@query("lb01_simulated_rounds")
-def _(t):
-    from ..operators.simulate import simulated
-
-    return simulated(marked(t).withColumn("truth", F.coalesce("hard_label", F.lit("none"))), "kmeans", 2, 3)
-
-
 @query("lb07_reclustered")
 def _(t):
-    from ..operators.simulate import reclustered
-
-    return reclustered(t.clustered, 0, 3, 100).groupBy("cluster").agg(F.count("*").alias("n"))
+    return P.reclustered(t.clustered, 0, 3, 100).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query("ml05_tuned_threshold")
@@ -589,3 +580,22 @@ def _(t):
 @query("fn27_gaussian_weights", "", "select d::int as d, round(exp(-d * d / 50.0::double), 9) as w from (select unnest(range(15)) as d)")
 def _(t):
     return t.spark.range(15).select(F.col("id").cast("int").alias("d"), F.round(V.gaussian_weight(F.col("id").cast("double")), 9).alias("w"))
+
+
+@query("fn10_features_of_name", "", "select * from (values ('R3D_18'), ('r3d_18')) as x(name)")
+def _(t):
+    return t.spark.createDataFrame([("R3D_18",), ("r3d_18",), ("r3d_34",), (None,)], "name string").where(L.named(F.col("name"), "R3d_18"))
+
+
+@query("stm03_eager_sample", "vm feat", "select vid from vm where vid not in (select vid from feat where fid % 4 = 0) order by md5(concat('3:', vid::varchar)), vid limit 10")
+def _(t):
+    from ..operators.features import eager_sample
+
+    return eager_sample(t.vm, t.feat.where("fid % 4 = 0"), 10, seed=3)
+
+
+@query("ml16_random_stretches", "vm ann", """with c as (select aid, vid, floor(start_time / 3600)::bigint as cell from ann), s as (select vid, cell, count(*) as n from c group by all),
+    r as (select *, coalesce(sum(n) over (order by md5(concat('0:', vid::varchar, ':', cell::varchar)), vid, cell rows between unbounded preceding and 1 preceding), 0) as before from s)
+    select aid from c join r on c.vid = r.vid and c.cell = r.cell where before < 200""")
+def _(t):
+    return P.random_stretches(t.ann, 200, 3600.0).select("aid")

@@ -332,6 +332,11 @@ def _(t):
     return FE.nearest(t.feat, t.feat2).select("fid", "o_fid", F.element_at("feature", 1).alias("first"), F.element_at("feature", -1).alias("last"), F.size("feature").alias("n"))
 
 
+@query("jn06_nearest_bucketed", "feat feat2", f"select fid, o_fid, (len(f1) + len(f2))::int as n from ({NEAREST})")
+def _(t):
+    return FE.nearest(t.feat, t.feat2, 3600.0).select("fid", "o_fid", F.size("feature").alias("n"))
+
+
 @query("jn06_three_features", "feat feat2", f"select fid, (3 * 64)::int as n from ({NEAREST})")
 def _(t):
     return FE.concatenated([t.feat, t.feat2, t.feat2]).select("fid", F.size("feature").alias("n"))
@@ -371,11 +376,16 @@ def _(t):
 STRICT = "(a.start_time < f.start_time and f.start_time < a.end_time) or (a.start_time < f.end_time and f.end_time < a.end_time) or (f.start_time < a.start_time and a.start_time < f.end_time) or (f.start_time < a.end_time and a.end_time < f.end_time) or (f.start_time >= a.start_time and f.end_time <= a.end_time) or (a.start_time >= f.start_time and a.end_time <= f.end_time)"
 
 
-@query("jn14_predictions_for_clips", "vm ann pred", f"select f.aid, count(a.vid) as n, coalesce(sum(a.probability), 0) as p from ann f left join pred a on f.vid = a.vid and ({STRICT}) where f.aid % 4 = 0 group by f.aid")
+@query("jn14_predictions_for_clips", "vm ann pred", f"select f.aid, count(a.vid) as n, coalesce(sum(a.probability), 0) as p from ann f left join pred a on f.vid = a.vid and ({STRICT}) group by f.aid")
 def _(t):
-    clips = t.ann.where("aid % 4 = 0")
-    own = SE.predictions_for_clips(clips.select(*LOW).distinct(), t.pred)
-    return clips.join(own, LOW).select("aid", F.size("predictions").cast("bigint").alias("n"), F.aggregate("predictions", F.lit(0.0), lambda a, p: a + p["probability"]).alias("p"))
+    own = SE.predictions_for_clips(t.ann.select(*LOW).distinct(), t.pred)
+    return t.ann.join(own, LOW).select("aid", F.size("predictions").cast("bigint").alias("n"), F.aggregate("predictions", F.lit(0.0), lambda a, p: a + p["probability"]).alias("p"))
+
+
+@query("jn14_predictions_bucketed", "vm ann pred", f"select f.aid, count(a.vid) as n from ann f left join pred a on f.vid = a.vid and ({STRICT}) group by f.aid")
+def _(t):
+    own = SE.predictions_for_clips(t.ann.select(*LOW), t.pred, 3600.0)
+    return t.ann.select("aid", *LOW).join(own, LOW).join(t.ann.groupBy(*LOW).agg(F.count("*").alias("same")), LOW).select("aid", (F.size("predictions") / F.col("same")).cast("bigint").alias("n"))
 
 
 @query("jn15_paths_of_label", "vm ann", "select distinct a.label, v.vpath from vm v join ann a on v.vid = a.vid where a.label in ('signup', 'purchase')")
@@ -401,9 +411,14 @@ def _(t):
     return LB.label_counts(t.feat, t.ann, "partial")
 
 
-@query("ag02_label_counts_two", "vm ann feat feat2", f"select a.label, count(distinct f.fid) as n from feat f join ann a on f.vid = a.vid and {FULL} where exists (select 1 from feat2 o where o.vid = f.vid and o.start_time >= f.start_time and o.end_time <= f.end_time and o.fid % 3 = 0) group by a.label")
+@query("ag02_label_counts_two", "vm ann feat feat2", f"select a.label, count(distinct f.fid) as n from feat f join ann a on f.vid = a.vid and {FULL} where exists (select 1 from feat2 o where o.vid = f.vid and o.start_time >= f.start_time and o.end_time <= f.end_time) group by a.label")
+def _(t):
+    return LB.label_counts_two(slim(t), t.feat2, t.ann)
+
+
+@query("ag02_label_counts_two_bucketed", "vm ann feat feat2", f"select a.label, count(distinct f.fid) as n from feat f join ann a on f.vid = a.vid and {FULL} where exists (select 1 from feat2 o where o.vid = f.vid and o.start_time >= f.start_time and o.end_time <= f.end_time) group by a.label")
 def _(t):
-    return LB.label_counts_two(slim(t), t.feat2.where("fid % 3 = 0"), t.ann)
+    return LB.label_counts_two(slim(t), t.feat2, t.ann, 3600.0)
 
 
 @query("ag03_label_seconds", "vm ann", "select label, sum(end_time::decimal(18,3) - start_time::decimal(18,3))::double as seconds from ann group by label")

@@ -30,6 +30,16 @@ def from_folder(spark: SparkSession, folder: str, thumbs: str, duration=None, pa
     return files.select(path.alias("vpath"), F.lit(None).cast("timestamp").alias("vstart"), seconds.alias("vduration"), thumb_path(path, thumbs).alias("thumbpath"))
 
 
+def ingested(spark: SparkSession, folder: str, thumbs: str, vstart=None, duration=None, label=None, pattern: str = "*.mp4") -> tuple[DataFrame, DataFrame]:
+    """DML15: (videos, labels) of a tree of files. The callables map (path, content) columns to a start time, a duration, and a label of the whole
+    video; files without a label give none. Contents are read only where a callable asks for them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    path = F.regexp_replace("path", "^file:", "")
+    of = lambda f, kind: (f(path, F.col("content")) if f else F.lit(None)).cast(kind)
+    rows = files.select(path.alias("vpath"), of(vstart, "timestamp").alias("vstart"), of(duration, "double").alias("vduration"), thumb_path(path, thumbs).alias("thumbpath"), of(label, "string").alias("label"))
+    return rows.drop("label"), rows.where("label is not null").select("vpath", F.lit(0.0).alias("start_time"), F.col("vduration").alias("end_time"), "label")
+
+
 def readable(spark: SparkSession, path: str, schema) -> DataFrame:
     """SRC03: a Parquet folder without its unreadable files; nothing is deleted."""
     return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
