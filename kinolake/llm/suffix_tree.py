@@ -7,14 +7,15 @@ nats for each next word it stores. Distributions are smoothed by their parents:
 more are stored, the mass of those seen once (and PRIOR more) goes to the parent; the root is the base unigram
 model. A text is scored by the longest retained suffix at each word.
 
-Texts become runs of word numbers once, written to the shared folder and bucketed by run, so later passes move none of them. For each order, runs send
-their distinct (context, next word) pairs, counted and packed, to the context's owner and get aligned
-counts back; what is exchanged grows with the corpus and nothing of it goes to the driver but two totals. A hot context is one entry a run and next word.
+Texts become runs of word numbers once, written to the shared folder and bucketed by run, so later passes move none of them. The words' owners number
+them, frequent words first. For each order, runs send their distinct (context, next word) pairs, counted and packed, to the context's owner and get aligned
+counts back; next words go as steps between ascending numbers. What is exchanged grows with the corpus and nothing of it goes to the driver but
+two totals. A hot context is one entry a run and next word.
 
 Words are lower-cased (A-Z) runs without ASCII white space; every text ends in an end token. Training: documents with crc32(doc_id as text)
 mod 10 not 0 (a null doc_id counts as the text ''). Null text is empty (its end alone is scored); repeated rows each count and are each
 scored; extra columns change nothing; an empty table gives an empty result; without training rows all scores are those of an empty model (0).
-Words are told apart by 64-bit hashes, next words within one context by 48 bits of them.
+Words are told apart by 64-bit hashes, contexts of two words or more by 64-bit hashes of their numbers.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,30 +56,53 @@ def _cuts(bucket: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *at], [*at, len(bucket)], strict=True)) if len(bucket) else []
 
 
-def _planes(h: np.ndarray, n: int = 6) -> bytes:
-    """The n upper bytes of each hash, plane by plane."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - n :].T.tobytes()
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpacked(code: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(code)
+
+
+def _planes(numbers: np.ndarray, n: int = 6) -> bytes:
+    """The n lower bytes of each number, plane by plane, packed."""
+    return _packed(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes())
+
+
+def _from_planes(code: bytes, n: int = 6) -> np.ndarray:
+    low = np.frombuffer(_unpacked(code), np.uint8)
+    wide = np.zeros((len(low) // n, 8), np.uint8)
+    wide[:, :n] = low.reshape(n, -1).T
+    return wide.view("<u8").ravel()
+
+
+def _steps(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences of numbers that ascend in each group; a group's first number (at the places `first`) stays."""
+    out = np.diff(numbers, prepend=np.uint64(0))
+    out[first] = numbers[first]
+    return out
+
+
+def _from_steps(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    sums = np.cumsum(steps, dtype=np.uint64)
+    first = np.cumsum(sizes, dtype=np.int64) - sizes
+    return sums - np.repeat(sums[first] - steps[first], sizes)
 
 
 def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in one byte each, how many there are before them; from 255 on, in eight bytes behind them."""
+    """Counts in one byte each, how many there are before them; from 255 on, in eight bytes behind them; packed."""
     counts = counts.astype("<i8")
-    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].tobytes()
+    return _packed(len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].tobytes())
 
 
 def _widened(code: bytes) -> np.ndarray:
+    code = _unpacked(code)
     n = int.from_bytes(code[:8], "little")
     counts = np.frombuffer(code, np.uint8, n, 8).astype(np.int64)
     counts[counts == 255] = np.frombuffer(code[8 + n :], "<i8")
     return counts
 
 
-def _from_planes(code: bytes, n: int = 6) -> np.ndarray:
-    wide = np.zeros((len(code) // n, 8), np.uint8)
-    wide[:, 8 - n :] = np.frombuffer(code, np.uint8).reshape(n, -1).T
-    return wide.view("<u8").ravel()
-
-
 def _runs(docs: DataFrame) -> DataFrame:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, nth = WordHashes(), TaskContext.get().partitionId(), 0
@@ -123,6 +148,8 @@ class _Tokens:
         self.answers = [[a for a in by if a["order"] == k] for k in range(max((a["order"] for a in by), default=-1) + 1)]
         if self.answers:
             self.c = np.concatenate([_widened(a["totals"]) for a in self.answers[0]])
+            self.numbers = np.concatenate([_from_planes(a["stored"]) for a in self.answers[0]])
+            self.end = int(np.searchsorted(self.words, END))
             self.base = ((self.c + ALPHA) / (n + ALPHA * (v + 1)))[self.ids]
             self.known = (self.c > 0)[self.ids]
 
@@ -130,36 +157,39 @@ class _Tokens:
         """Hash of the k tokens before each token (an end stands before a document), and whether they lie inside it."""
         h, inside = None, np.ones(len(self.ids), bool)
         place = np.arange(len(self.ids)) - np.repeat(self.first, self.lens)
-        own = self.words[self.ids]
+        own = self.numbers[self.ids]
         for j in range(1, k + 1):
-            w = np.full(len(own), END)
+            w = np.full(len(own), self.numbers[self.end])
             w[j:] = own[:-j]
-            w[place < j] = END
+            w[place < j] = self.numbers[self.end]
             inside &= place >= j - 1  # at most one end, the nearest
-            h = w if h is None else mix64(h * _A + w * _B)
+            h = mix64(w * _B if h is None else h * _A + w * _B)
         return h, inside
 
     def climb(self, orders: int, meet=None) -> np.ndarray:
         """Follows the tree through the answered orders and returns each token's probability. With meet, the order `orders` isn't
         answered yet: meet(probabilities, tokens, pair of each, first token of each pair, context number of each pair, context, word) is called."""
-        p, w = self.base, self.words[self.ids]
+        p, rank = self.base, np.empty(len(self.words), np.uint64)
+        rank[np.argsort(self.numbers)] = np.arange(len(self.words), dtype=np.uint64)
+        rank, bits = rank[self.ids], np.uint64(len(self.words).bit_length())
         prev = np.empty(len(self.ids), np.int64)
         prev[1:] = self.ids[:-1]
-        prev[self.first] = np.searchsorted(self.words, END)
+        prev[self.first] = self.end
         live = (self.c >= MIN_CONTEXT)[prev]  # a context of one word is alive by that word's count
         for k in range(1, orders + 1):
             contexts, inside = self.before(k)
             rows = np.flatnonzero(live & inside)
             if not len(rows):
                 break
-            rows = rows[np.lexsort((w[rows] >> np.uint64(16), contexts[rows]))]
-            c, x = contexts[rows], w[rows] >> np.uint64(16)
+            # by context, then by word: contexts equal in the upper bits may mix, which gives owners a pair twice and changes no total
+            rows = rows[np.argsort((contexts[rows] >> bits << bits) | rank[rows], kind="stable")]
+            c, x = contexts[rows], rank[rows]
             new_c = np.concatenate(([True], c[1:] != c[:-1]))
             new = new_c | np.concatenate(([True], x[1:] != x[:-1]))
             pair, at = np.cumsum(new) - 1, np.flatnonzero(new)
             group = np.cumsum(new_c[at]) - 1
             if meet and k == orders:
-                meet(p, rows, pair, at, group, c[at], w[rows][at])
+                meet(p, rows, pair, at, group, c[at], self.numbers[self.ids[rows[at]]])
                 break
             totals, held, spare = (np.concatenate([_widened(a[name]) for a in self.answers[k]]) for name in ("totals", "stored", "spare"))
             use = (spare > 0)[group][pair]
@@ -186,8 +216,8 @@ def _send(n: int, v: int, order: int, buckets: int):
             parents = np.clip(np.rint(-4 * np.log2(p[rows][at])), 0, 255).astype(np.uint8)
             for a, b in _cuts(_owner(contexts, buckets)):
                 first = np.flatnonzero(np.concatenate(([True], group[a + 1 : b] != group[a : b - 1])))
-                sizes = np.diff(np.append(first, b - a)).astype("<u4")
-                out.append((int(_owner(contexts[a : a + 1], buckets)[0]), run["run"], contexts[a:b][first].astype("<u8").tobytes(), sizes.tobytes(), _planes(words[a:b]), _narrow(counts[a:b]), parents[a:b].tobytes()))
+                sizes = np.diff(np.append(first, b - a))
+                out.append((int(_owner(contexts[a : a + 1], buckets)[0]), run["run"], contexts[a:b][first].astype("<u8").tobytes(), _narrow(sizes), _planes(_steps(words[a:b], first)), _narrow(counts[a:b]), _packed(parents[a:b].tobytes())))
 
         tokens.climb(order, meet)
         return _table(out, _SENT)
@@ -214,14 +244,22 @@ def _count_words(buckets: int):
     return send
 
 
-def _own_words(t: pa.Table) -> pa.Table:
-    rows = t.to_pylist()
-    words = [np.frombuffer(r["contexts"], "<u8") for r in rows]
-    every, at = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([_widened(r["counts"]) for r in rows]), minlength=len(every)).astype(np.int64)
-    ends = np.cumsum([len(w) for w in words])
-    out = [(r["run"], 0, r["bucket"], _narrow(total[at[e - len(w) : e]]), b"", b"", None, None) for r, w, e in zip(rows, words, ends, strict=True)]
-    return _table([*out, (None, 0, rows[0]["bucket"], b"", b"", b"", int(total.sum()), int((total > 0).sum()))], _BACK)
+def _own_words(buckets: int):
+    """Counts words, numbers them (an owner's most frequent word first, owners in turn) and answers each run with totals and numbers of its words."""
+
+    def own(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        bucket = rows[0]["bucket"]
+        words = [np.frombuffer(r["contexts"], "<u8") for r in rows]
+        every, at = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([_widened(r["counts"]) for r in rows]), minlength=len(every)).astype(np.int64)
+        number = np.empty(len(every), np.uint64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(every), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
+        ends = np.cumsum([len(w) for w in words])
+        out = [(r["run"], 0, bucket, _narrow(total[at[e - len(w) : e]]), _planes(number[at[e - len(w) : e]]), b"", None, None) for r, w, e in zip(rows, words, ends, strict=True)]
+        return _table([*out, (None, 0, bucket, b"", b"", b"", int(total.sum()), int((total > 0).sum()))], _BACK)
+
+    return own
 
 
 def _own_contexts(order: int):
@@ -231,12 +269,12 @@ def _own_contexts(order: int):
     def own(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         ctx = [np.frombuffer(r["contexts"], "<u8") for r in rows]
-        sizes = [np.frombuffer(r["sizes"], "<u4") for r in rows]
+        sizes = [_widened(r["sizes"]) for r in rows]
         names, which = np.unique(np.concatenate(ctx), return_inverse=True)
         group = np.repeat(which, np.concatenate(sizes))
-        nxt = np.concatenate([_from_planes(r["next"]) for r in rows])
+        nxt = np.concatenate([_from_steps(_from_planes(r["next"]), s) for r, s in zip(rows, sizes, strict=True)])
         counts = np.concatenate([_widened(r["counts"]) for r in rows])
-        parents = np.concatenate([np.frombuffer(r["parents"], np.uint8) for r in rows])
+        parents = np.concatenate([np.frombuffer(_unpacked(r["parents"]), np.uint8) for r in rows])
         sort = np.lexsort((nxt, group))
         g, x = group[sort], nxt[sort]
         new = np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])))
@@ -281,7 +319,7 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     buckets = 2 * partitions(docs.sparkSession)
     runs = _runs(docs)
-    words = stored(runs.mapInArrow(_count_words(buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_own_words, _BACK_SQL), "words", free=True)
+    words = stored(runs.mapInArrow(_count_words(buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_own_words(buckets), _BACK_SQL), "words", free=True)
     n, v = words.where("run is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     answers = words.where("run is not null")
     for k in range(1, order + 1):
