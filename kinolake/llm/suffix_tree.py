@@ -8,14 +8,15 @@ more are stored, the mass of those seen once (and PRIOR more) goes to the parent
 model. A text is scored by the longest retained suffix at each word.
 
 Texts become runs of word numbers once, written to the shared folder and bucketed by run, so later passes move none of them. The words' owners number
-them, frequent words first. For each order, runs send their distinct (context, next word) pairs, counted and packed, to the context's owner and get aligned
-counts back; next words go as steps between ascending numbers. What is exchanged grows with the corpus and nothing of it goes to the driver but
+them, frequent words first; a candidate context of more words gets the number that the owner of its last pair gives it. For each order, runs send their
+distinct (context, next word) pairs, counted and packed, to the context's owner and get aligned
+counts and numbers back; contexts and next words go as steps between ascending numbers. What is exchanged grows with the corpus and nothing of it goes to the driver but
 two totals. A hot context is one entry a run and next word.
 
 Words are lower-cased (A-Z) runs without ASCII white space; every text ends in an end token. Training: documents with crc32(doc_id as text)
 mod 10 not 0 (a null doc_id counts as the text ''). Null text is empty (its end alone is scored); repeated rows each count and are each
 scored; extra columns change nothing; an empty table gives an empty result; without training rows all scores are those of an empty model (0).
-Words are told apart by 64-bit hashes, contexts of two words or more by 64-bit hashes of their numbers.
+Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,13 +39,12 @@ PRIOR = 4
 ALPHA = 0.1
 RUN_TOKENS = 1_200_000
 END = np.uint64(0x8D12E5A7C34F96B1)
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 _RUN_SQL = "run bigint, docs array<bigint>, held array<boolean>, lens array<int>, ids binary, words binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("contexts", pa.binary()), ("sizes", pa.binary()), ("next", pa.binary()), ("counts", pa.binary()), ("parents", pa.binary())])
 _SENT_SQL = "bucket int, run bigint, contexts binary, sizes binary, next binary, counts binary, parents binary"
-_BACK = pa.schema([("run", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("stored", pa.binary()), ("spare", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
-_BACK_SQL = "run bigint, order int, bucket int, totals binary, stored binary, spare binary, n bigint, v bigint"
+_BACK = pa.schema([("run", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("stored", pa.binary()), ("spare", pa.binary()), ("states", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+_BACK_SQL = "run bigint, order int, bucket int, totals binary, stored binary, spare binary, states binary, n bigint, v bigint"
 
 
 def _owner(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -138,7 +138,8 @@ def _runs(docs: DataFrame) -> DataFrame:
 class _Tokens:
     """A run's tokens with what the owners have answered so far."""
 
-    def __init__(self, run: dict, answers: list[dict], n: int, v: int):
+    def __init__(self, run: dict, answers: list[dict], n: int, v: int, buckets: int):
+        self.buckets = buckets
         self.words = np.frombuffer(run["words"], "<u8")
         self.ids = np.frombuffer(run["ids"], "<u4").astype(np.int64)
         self.lens = np.array(run["lens"], np.int64)
@@ -148,48 +149,38 @@ class _Tokens:
         self.answers = [[a for a in by if a["order"] == k] for k in range(max((a["order"] for a in by), default=-1) + 1)]
         if self.answers:
             self.c = np.concatenate([_widened(a["totals"]) for a in self.answers[0]])
-            self.numbers = np.concatenate([_from_planes(a["stored"]) for a in self.answers[0]])
+            self.numbers = np.concatenate([_from_planes(a["states"]) for a in self.answers[0]])
             self.end = int(np.searchsorted(self.words, END))
             self.base = ((self.c + ALPHA) / (n + ALPHA * (v + 1)))[self.ids]
             self.known = (self.c > 0)[self.ids]
 
-    def before(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the k tokens before each token (an end stands before a document), and whether they lie inside it."""
-        h, inside = None, np.ones(len(self.ids), bool)
-        place = np.arange(len(self.ids)) - np.repeat(self.first, self.lens)
-        own = self.numbers[self.ids]
-        for j in range(1, k + 1):
-            w = np.full(len(own), self.numbers[self.end])
-            w[j:] = own[:-j]
-            w[place < j] = self.numbers[self.end]
-            inside &= place >= j - 1  # at most one end, the nearest
-            h = mix64(w * _B if h is None else h * _A + w * _B)
-        return h, inside
-
     def climb(self, orders: int, meet=None) -> np.ndarray:
         """Follows the tree through the answered orders and returns each token's probability. With meet, the order `orders` isn't
         answered yet: meet(probabilities, tokens, pair of each, first token of each pair, context number of each pair, context, word) is called."""
         p, rank = self.base, np.empty(len(self.words), np.uint64)
         rank[np.argsort(self.numbers)] = np.arange(len(self.words), dtype=np.uint64)
         rank, bits = rank[self.ids], np.uint64(len(self.words).bit_length())
-        prev = np.empty(len(self.ids), np.int64)
-        prev[1:] = self.ids[:-1]
-        prev[self.first] = self.end
-        live = (self.c >= MIN_CONTEXT)[prev]  # a context of one word is alive by that word's count
+        # names: numbers of the contexts of this order; which: each token's place among them, if live
+        names, which = self.numbers, np.empty(len(self.ids), np.int64)
+        which[1:] = self.ids[:-1]
+        which[self.first] = self.end  # an end stands before a document
+        live = (self.c >= MIN_CONTEXT)[which]  # a context of one word is alive by that word's count
         for k in range(1, orders + 1):
-            contexts, inside = self.before(k)
-            rows = np.flatnonzero(live & inside)
+            rows = np.flatnonzero(live)
             if not len(rows):
                 break
-            # by context, then by word: contexts equal in the upper bits may mix, which gives owners a pair twice and changes no total
-            rows = rows[np.argsort((contexts[rows] >> bits << bits) | rank[rows], kind="stable")]
-            c, x = contexts[rows], rank[rows]
-            new_c = np.concatenate(([True], c[1:] != c[:-1]))
-            new = new_c | np.concatenate(([True], x[1:] != x[:-1]))
+            by = np.lexsort((names, _owner(mix64(names), self.buckets)))
+            place = np.empty(len(by), np.uint64)
+            place[by] = np.arange(len(by), dtype=np.uint64)
+            key = (place[which[rows]] << bits) | rank[rows]
+            sort = np.argsort(key, kind="stable")
+            rows, key = rows[sort], key[sort]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
             pair, at = np.cumsum(new) - 1, np.flatnonzero(new)
-            group = np.cumsum(new_c[at]) - 1
+            context = key[at] >> bits
+            group = np.cumsum(np.concatenate(([True], context[1:] != context[:-1]))) - 1
             if meet and k == orders:
-                meet(p, rows, pair, at, group, c[at], self.numbers[self.ids[rows[at]]])
+                meet(p, rows, pair, at, group, names[by[context.astype(np.int64)]], self.numbers[self.ids[rows[at]]])
                 break
             totals, held, spare = (np.concatenate([_widened(a[name]) for a in self.answers[k]]) for name in ("totals", "stored", "spare"))
             use = (spare > 0)[group][pair]
@@ -197,27 +188,30 @@ class _Tokens:
             p = p.copy()
             p[own] = (t + spare[g] * p[own]) / (held[g] + spare[g])
             # the next order's context at a token is the pair that ends right before it: alive if that was seen often enough
-            often = np.zeros(len(self.ids), bool)
-            often[rows] = totals[pair] >= MIN_CONTEXT
-            live = np.zeros(len(self.ids), bool)
-            live[1:] = often[:-1]
+            often, nth = totals >= MIN_CONTEXT, np.zeros(len(self.ids), np.int64)
+            nth[rows] = np.where(often, np.cumsum(often), 0)[pair]
+            live, which = np.zeros(len(self.ids), bool), np.zeros(len(self.ids), np.int64)
+            which[1:] = nth[:-1] - 1
+            live[1:] = nth[:-1] > 0
             live[self.first] = False
+            names = np.concatenate([np.cumsum(_from_planes(a["states"]), dtype=np.uint64) * np.uint64(self.buckets) + np.uint64(a["bucket"]) for a in self.answers[k]])
         return p
 
 
 def _send(n: int, v: int, order: int, buckets: int):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         (run,) = left.to_pylist()
-        tokens = _Tokens(run, right.to_pylist(), n, v)
+        tokens = _Tokens(run, right.to_pylist(), n, v, buckets)
         out = []
 
         def meet(p, rows, pair, at, group, contexts, words) -> None:
             counts = np.bincount(pair, weights=tokens.train[rows], minlength=len(at)).astype("<u4")
             parents = np.clip(np.rint(-4 * np.log2(p[rows][at])), 0, 255).astype(np.uint8)
-            for a, b in _cuts(_owner(contexts, buckets)):
+            owner = _owner(mix64(contexts), buckets)
+            for a, b in _cuts(owner):
                 first = np.flatnonzero(np.concatenate(([True], group[a + 1 : b] != group[a : b - 1])))
                 sizes = np.diff(np.append(first, b - a))
-                out.append((int(_owner(contexts[a : a + 1], buckets)[0]), run["run"], contexts[a:b][first].astype("<u8").tobytes(), _narrow(sizes), _planes(_steps(words[a:b], first)), _narrow(counts[a:b]), _packed(parents[a:b].tobytes())))
+                out.append((int(owner[a]), run["run"], _planes(np.diff(contexts[a:b][first], prepend=np.uint64(0))), _narrow(sizes), _planes(_steps(words[a:b], first)), _narrow(counts[a:b]), _packed(parents[a:b].tobytes())))
 
         tokens.climb(order, meet)
         return _table(out, _SENT)
@@ -256,19 +250,19 @@ def _own_words(buckets: int):
         number = np.empty(len(every), np.uint64)
         number[np.argsort(-total, kind="stable")] = np.arange(len(every), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
         ends = np.cumsum([len(w) for w in words])
-        out = [(r["run"], 0, bucket, _narrow(total[at[e - len(w) : e]]), _planes(number[at[e - len(w) : e]]), b"", None, None) for r, w, e in zip(rows, words, ends, strict=True)]
-        return _table([*out, (None, 0, bucket, b"", b"", b"", int(total.sum()), int((total > 0).sum()))], _BACK)
+        out = [(r["run"], 0, bucket, _narrow(total[at[e - len(w) : e]]), b"", b"", _planes(number[at[e - len(w) : e]]), None, None) for r, w, e in zip(rows, words, ends, strict=True)]
+        return _table([*out, (None, 0, bucket, b"", b"", b"", b"", int(total.sum()), int((total > 0).sum()))], _BACK)
 
     return own
 
 
 def _own_contexts(order: int):
     """Counts pairs, tests contexts, and answers each run: totals of its pairs, 0 where neither its context nor the next order uses them;
-    stored and spare mass of its contexts, 0 if not retained."""
+    stored and spare mass of its contexts, 0 if not retained; numbers of the pairs that are candidates of the next order, as steps."""
 
     def own(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        ctx = [np.frombuffer(r["contexts"], "<u8") for r in rows]
+        ctx = [np.cumsum(_from_planes(r["contexts"]), dtype=np.uint64) for r in rows]
         sizes = [_widened(r["sizes"]) for r in rows]
         names, which = np.unique(np.concatenate(ctx), return_inverse=True)
         group = np.repeat(which, np.concatenate(sizes))
@@ -291,10 +285,15 @@ def _own_contexts(order: int):
         keep = (held + once >= MIN_CONTEXT) & (n_stored > 0) & (gain >= GAIN * n_stored)
         held, spare = np.where(keep, held, 0), np.where(keep, spare, 0)
         total = np.where((total >= MIN_CONTEXT) | (many & keep[g]), total, 0)
-        each = np.empty(len(group), np.int64)
-        each[sort] = total[np.cumsum(new) - 1]
-        pair_ends, ctx_ends = np.cumsum([s.sum() for s in sizes]), np.cumsum([len(c) for c in ctx])
-        out = [(r["run"], order, r["bucket"], _narrow(each[int(pe) - int(s.sum()) : int(pe)]), _narrow(held[which[ce - len(c) : ce]]), _narrow(spare[which[ce - len(c) : ce]]), None, None) for r, c, s, pe, ce in zip(rows, ctx, sizes, pair_ends, ctx_ends, strict=True)]
+        nth = np.cumsum(total >= MIN_CONTEXT) - 1
+        place = np.empty(len(group), np.int64)
+        place[sort] = np.cumsum(new) - 1
+        out, pe, ce = [], 0, 0
+        for r, c, s in zip(rows, ctx, sizes, strict=True):
+            mine, own_c = place[pe : pe + int(s.sum())], which[ce : ce + len(c)]
+            pe, ce = pe + len(mine), ce + len(c)
+            states = nth[mine[total[mine] >= MIN_CONTEXT]].astype(np.uint64)
+            out.append((r["run"], order, r["bucket"], _narrow(total[mine]), _narrow(held[own_c]), _narrow(spare[own_c]), _planes(np.diff(states, prepend=np.uint64(0))), None, None))
         return _table(out, _BACK)
 
     return own
@@ -304,10 +303,10 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
 _SCORES_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _score(n: int, v: int, orders: int):
+def _score(n: int, v: int, orders: int, buckets: int):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         (run,) = left.to_pylist()
-        tokens = _Tokens(run, right.to_pylist(), n, v)
+        tokens = _Tokens(run, right.to_pylist(), n, v, buckets)
         p = tokens.climb(orders)
         per = lambda x: np.add.reduceat(x, tokens.first)
         return pa.table([pa.array(run["docs"], pa.int64()), pa.array(run["held"], pa.bool_()), pa.array(tokens.lens), pa.array(per(tokens.known.astype(np.int64))), pa.array(np.full(len(tokens.lens), n, np.int64)), pa.array(per(np.log10(tokens.base))), pa.array(per(np.log10(p)))], schema=_SCORES)
@@ -325,4 +324,4 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     for k in range(1, order + 1):
         sent = runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_send(int(n), int(v), k, buckets), _SENT_SQL)
         answers = answers.union(stored(sent.groupBy("bucket").applyInArrow(_own_contexts(k), _BACK_SQL), f"order{k}", free=True))
-    return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_score(int(n), int(v), order), _SCORES_SQL)
+    return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_score(int(n), int(v), order, buckets), _SCORES_SQL)
