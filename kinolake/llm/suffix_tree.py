@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, bucketed, byte_texts, mix64, partitions, stored
 
-ORDER = 2
+ORDER = 3
 MIN_CONTEXT = 16
 GAIN = 2.0
 PRIOR = 4
