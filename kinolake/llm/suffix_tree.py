@@ -37,7 +37,7 @@ MIN_CONTEXT = 16
 GAIN = 2.0
 PRIOR = 4
 ALPHA = 0.1
-RUN_TOKENS = 1_200_000
+RUN_TOKENS = 2_400_000
 END = np.uint64(0x8D12E5A7C34F96B1)
 
 _RUN_SQL = "run bigint, docs array<bigint>, held array<boolean>, lens array<int>, ids binary, words binary"
