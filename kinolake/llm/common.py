@@ -62,16 +62,40 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, by: str, free: bool = False) -> DataFrame:
     """Writes df to the shared folder in as many buckets of column `by` as there are shuffle partitions and reads it back, so that grouping by it moves
-    nothing. Buckets need a table's name while they are written; it leaves the catalogue at once, the files stay."""
+    nothing. Buckets need a table's name while they are written; it leaves the catalogue at once, the files stay. free as in stored."""
     spark, table_name = df.sparkSession, f"kinolake_{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(partitions(spark), by).option("compression", "zstd").option("path", scratch(spark, name)).saveAsTable(table_name)
+    del df
     out = spark.table(table_name).select("*")
     spark.sql(f"DROP TABLE {table_name}")
+    if free:
+        release(spark)
     return out
 
 
+def bucketed_pair(df: DataFrame, name: str, by: str) -> tuple[DataFrame, DataFrame, str]:
+    """As bucketed, for rows of which those with true in column `brief` are needed only for a while: (the lasting rows in buckets, the brief
+    rows, the brief rows' folder). Each kind has a folder of its own."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table_name, n = f"kinolake_{name}_{uuid.uuid4().hex}", partitions(spark)
+    df.write.partitionBy("brief").bucketBy(n, by).option("compression", "zstd").option("path", path).saveAsTable(table_name)
+    spark.sql(f"DROP TABLE {table_name}")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "brief")
+    spark.sql(f"CREATE TABLE {table_name} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {n} BUCKETS LOCATION '{path}/brief=false'")
+    lasting = spark.table(table_name).select("*")
+    spark.sql(f"DROP TABLE {table_name}")
+    return lasting, spark.read.schema(df.schema).parquet(path).where("brief").drop("brief"), f"{path}/brief=true"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own in the shared folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Spark removes a finished stage's shuffle files when the driver collects its garbage, which may be hours later; this asks for it after
     stages whose shuffles are large. The first collection clears what holds the plan, the second finds the shuffles unreachable."""

@@ -7,7 +7,8 @@ nats for each next word it stores. Distributions are smoothed by their parents:
 more are stored, the mass of those seen once (and PRIOR more) goes to the parent; the root is the base unigram
 model. A text is scored by the longest retained suffix at each word.
 
-Texts become runs of word numbers once, written to the shared folder and bucketed by run, so later passes move none of them. The words' owners number
+Texts become runs of word numbers once, written to the shared folder and bucketed by run, as the answers are, so later passes move none of them; a
+run's words themselves are kept apart and deleted once their owners' numbers are written. The owners number
 them, frequent words first; a candidate context of more words gets the number that the owner of its last pair gives it. For each order, runs send their
 distinct (context, next word) pairs, counted and packed, to the context's owner and get aligned
 counts and numbers back; contexts and next words go as steps between ascending numbers. What is exchanged grows with the corpus and nothing of it goes to the driver but
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bucketed, byte_texts, mix64, partitions, stored
+from .common import WordHashes, bucketed, bucketed_pair, byte_texts, mix64, partitions, remove
 
 ORDER = 3
 MIN_CONTEXT = 16
@@ -40,7 +41,8 @@ ALPHA = 0.1
 RUN_TOKENS = 2_400_000
 END = np.uint64(0x8D12E5A7C34F96B1)
 
-_RUN_SQL = "run bigint, docs array<bigint>, held array<boolean>, lens array<int>, ids binary, words binary"
+_RUN = pa.schema([("brief", pa.bool_()), ("run", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int32())), ("ids", pa.binary()), ("last", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+_RUN_SQL = "brief boolean, run bigint, docs array<bigint>, held array<boolean>, lens array<int>, ids binary, last int, words binary, counts binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("contexts", pa.binary()), ("sizes", pa.binary()), ("next", pa.binary()), ("counts", pa.binary()), ("parents", pa.binary())])
 _SENT_SQL = "bucket int, run bigint, contexts binary, sizes binary, next binary, counts binary, parents binary"
 _BACK = pa.schema([("run", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("stored", pa.binary()), ("spare", pa.binary()), ("states", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
@@ -103,16 +105,31 @@ def _widened(code: bytes) -> np.ndarray:
     return counts
 
 
-def _runs(docs: DataFrame) -> DataFrame:
+def _order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The order by high, then low, then place; all three are sorted as one number where they fit in 64 bits."""
+    n, m = len(low).bit_length(), int(low.max(initial=0)).bit_length()
+    if int(high.max(initial=0)).bit_length() + m + n > 64:
+        return np.lexsort((low, high))
+    both = ((high.astype(np.uint64) << np.uint64(m)) | low.astype(np.uint64)) << np.uint64(n)
+    both |= np.arange(len(low), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << n) - 1)).astype(np.int64)
+
+
+def _runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(runs by word number, their words with counts in training, the folder of the words)."""
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, nth = WordHashes(), TaskContext.get().partitionId(), 0
         ids, held, parts, total = [], [], [], 0
 
-        def row() -> pa.RecordBatch:
+        def rows() -> pa.RecordBatch:
             every = np.concatenate(parts)
             words, at = np.unique(every, return_inverse=True)
-            lens = [len(p) for p in parts]
-            return pa.record_batch({"run": pa.array([(part << 24) + nth], pa.int64()), "docs": pa.array([ids], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())), "lens": pa.array([lens], pa.list_(pa.int32())), "ids": pa.array([at.astype("<u4").tobytes()], pa.binary()), "words": pa.array([words.astype("<u8").tobytes()], pa.binary())})
+            lens, run = [len(p) for p in parts], (part << 24) + nth
+            counts = np.bincount(at[~np.repeat(np.array(held, bool), lens)], minlength=len(words)).astype("<u4")
+            texts = (False, run, ids, held, lens, at.astype("<u4").tobytes(), int(np.searchsorted(words, END)), None, None)
+            return _table([texts, (True, run, None, None, None, None, None, words.astype("<u8").tobytes(), counts.tobytes())], _RUN).to_batches()[0]
 
         for batch in batches:
             for doc_id, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), byte_texts(batch.column("text")), strict=True):
@@ -125,14 +142,14 @@ def _runs(docs: DataFrame) -> DataFrame:
                 parts.append(h)
                 total += len(h)
                 if total >= RUN_TOKENS:
-                    yield row()
+                    yield rows()
                     nth, ids, held, parts, total = nth + 1, [], [], [], 0
         if ids:
-            yield row()
+            yield rows()
 
     key = F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.crc32(key) % 10 == 0).alias("held_out"), docs["text"].cast("string").alias("text"))
-    return bucketed(rows.mapInArrow(runs, _RUN_SQL), "runs", "run")
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.crc32(key) % 10 == 0).alias("held_out"), docs["text"].cast("string").alias("text"))
+    return bucketed_pair(docs.mapInArrow(runs, _RUN_SQL), "runs", "run")
 
 
 class _Tokens:
@@ -140,7 +157,6 @@ class _Tokens:
 
     def __init__(self, run: dict, answers: list[dict], n: int, v: int, buckets: int):
         self.buckets = buckets
-        self.words = np.frombuffer(run["words"], "<u8")
         self.ids = np.frombuffer(run["ids"], "<u4").astype(np.int64)
         self.lens = np.array(run["lens"], np.int64)
         self.train = ~np.repeat(np.array(run["held"], bool), self.lens)
@@ -150,16 +166,16 @@ class _Tokens:
         if self.answers:
             self.c = np.concatenate([_widened(a["totals"]) for a in self.answers[0]])
             self.numbers = np.concatenate([_from_planes(a["states"]) for a in self.answers[0]])
-            self.end = int(np.searchsorted(self.words, END))
+            self.end = run["last"]
             self.base = ((self.c + ALPHA) / (n + ALPHA * (v + 1)))[self.ids]
             self.known = (self.c > 0)[self.ids]
 
     def climb(self, orders: int, meet=None) -> np.ndarray:
         """Follows the tree through the answered orders and returns each token's probability. With meet, the order `orders` isn't
         answered yet: meet(probabilities, tokens, pair of each, first token of each pair, context number of each pair, context, word) is called."""
-        p, rank = self.base, np.empty(len(self.words), np.uint64)
-        rank[np.argsort(self.numbers)] = np.arange(len(self.words), dtype=np.uint64)
-        rank, bits = rank[self.ids], np.uint64(len(self.words).bit_length())
+        p, rank = self.base, np.empty(len(self.numbers), np.uint64)
+        rank[np.argsort(self.numbers)] = np.arange(len(self.numbers), dtype=np.uint64)
+        rank, bits = rank[self.ids], np.uint64(len(self.numbers).bit_length())
         # names: numbers of the contexts of this order; which: each token's place among them, if live
         names, which = self.numbers, np.empty(len(self.ids), np.int64)
         which[1:] = self.ids[:-1]
@@ -169,12 +185,11 @@ class _Tokens:
             rows = np.flatnonzero(live)
             if not len(rows):
                 break
-            by = np.lexsort((names, _owner(mix64(names), self.buckets)))
+            by = _order(_owner(mix64(names), self.buckets), names)
             place = np.empty(len(by), np.uint64)
             place[by] = np.arange(len(by), dtype=np.uint64)
+            rows = rows[_order(place[which[rows]], rank[rows])]
             key = (place[which[rows]] << bits) | rank[rows]
-            sort = np.argsort(key, kind="stable")
-            rows, key = rows[sort], key[sort]
             new = np.concatenate(([True], key[1:] != key[:-1]))
             pair, at = np.cumsum(new) - 1, np.flatnonzero(new)
             context = key[at] >> bits
@@ -229,9 +244,7 @@ def _count_words(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in batch.to_pylist():
-                words = np.frombuffer(run["words"], "<u8")
-                train = ~np.repeat(np.array(run["held"], bool), run["lens"])
-                counts = np.bincount(np.frombuffer(run["ids"], "<u4")[train], minlength=len(words)).astype("<u4")
+                words, counts = np.frombuffer(run["words"], "<u8"), np.frombuffer(run["counts"], "<u4")
                 rows = [(int(_owner(words[a : a + 1], buckets)[0]), run["run"], words[a:b].tobytes(), b"", b"", _narrow(counts[a:b]), b"") for a, b in _cuts(_owner(words, buckets))]
                 yield from _table(rows, _SENT).to_batches()
 
@@ -269,7 +282,7 @@ def _own_contexts(order: int):
         nxt = np.concatenate([_from_steps(_from_planes(r["next"]), s) for r, s in zip(rows, sizes, strict=True)])
         counts = np.concatenate([_widened(r["counts"]) for r in rows])
         parents = np.concatenate([np.frombuffer(_unpacked(r["parents"]), np.uint8) for r in rows])
-        sort = np.lexsort((nxt, group))
+        sort = _order(group, nxt)
         g, x = group[sort], nxt[sort]
         new = np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])))
         first = np.flatnonzero(new)
@@ -316,12 +329,16 @@ def _score(n: int, v: int, orders: int, buckets: int):
 
 def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    buckets = 2 * partitions(docs.sparkSession)
-    runs = _runs(docs)
-    words = stored(runs.mapInArrow(_count_words(buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_own_words(buckets), _BACK_SQL), "words", free=True)
-    n, v = words.where("run is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    answers = words.where("run is not null")
+    spark = docs.sparkSession
+    n_buckets = partitions(spark)
+    buckets = 2 * n_buckets
+    runs, counted, folder = _runs(docs)
+    answered = lambda df, owner, name: bucketed(df.groupBy("bucket").applyInArrow(owner, _BACK_SQL).repartition(n_buckets, "run"), name, "run", free=True)
+    answers = answered(counted.mapInArrow(_count_words(buckets), _SENT_SQL), _own_words(buckets), "words")
+    remove(spark, folder)
+    n, v = answers.where("run is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    answers = answers.where("run is not null")
     for k in range(1, order + 1):
         sent = runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_send(int(n), int(v), k, buckets), _SENT_SQL)
-        answers = answers.union(stored(sent.groupBy("bucket").applyInArrow(_own_contexts(k), _BACK_SQL), f"order{k}", free=True))
+        answers = answers.union(answered(sent, _own_contexts(k), f"order{k}"))
     return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_score(int(n), int(v), order, buckets), _SCORES_SQL)
