@@ -62,19 +62,26 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, by: str, free: bool = False) -> DataFrame:
+def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
     """Writes df to the shared folder in as many buckets of column `by` as there are shuffle partitions and reads it back, so that grouping by it moves
-    nothing. Buckets need a table's name while they are written; it leaves the catalogue at once, the files stay. free as in stored."""
+    nothing. Buckets need a table's name while they are written; it leaves the catalogue at once, the files stay."""
     spark, table_name = df.sparkSession, f"kinolake_{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(partitions(spark), by).option("compression", "zstd").option("path", scratch(spark, name)).saveAsTable(table_name)
-    del df
     out = spark.table(table_name).select("*")
     spark.sql(f"DROP TABLE {table_name}")
-    if free:
-        release(spark)
     return out
 
 
+def appended(df: DataFrame, table_name: str, path: str, by: str) -> DataFrame:
+    """Adds df to the table of that name at path, in the shared folder, bucketed as in bucketed, and reads all of it, so that grouping all that was
+    added by `by` moves nothing (a union of bucketed tables would). Shuffle files of finished stages go; the caller drops the table, the files stay."""
+    spark, n = df.sparkSession, partitions(df.sparkSession)
+    df.repartition(n, by).write.mode("append").bucketBy(n, by).option("compression", "zstd").option("path", path).saveAsTable(table_name)
+    del df
+    release(spark)
+    return spark.table(table_name).select("*")
+
+
 def bucketed_pair(df: DataFrame, name: str, by: str) -> tuple[DataFrame, DataFrame, str]:
     """As bucketed, for rows of which those with true in column `brief` are needed only for a while: (the lasting rows in buckets, the brief
     rows, the brief rows' folder). Each kind has a folder of its own."""

@@ -22,6 +22,7 @@ Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bucketed, bucketed_pair, byte_texts, mix64, partitions, remove
+from .common import WordHashes, appended, bucketed_pair, byte_texts, mix64, partitions, remove, scratch
 
 ORDER = 3
 MIN_CONTEXT = 16
@@ -215,6 +216,8 @@ class _Tokens:
 
 def _send(n: int, v: int, order: int, buckets: int):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:  # the owners' totals, which belong to no run
+            return _SENT.empty_table()
         (run,) = left.to_pylist()
         tokens = _Tokens(run, right.to_pylist(), n, v, buckets)
         out = []
@@ -318,6 +321,8 @@ _SCORES_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint,
 
 def _score(n: int, v: int, orders: int, buckets: int):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _SCORES.empty_table()
         (run,) = left.to_pylist()
         tokens = _Tokens(run, right.to_pylist(), n, v, buckets)
         p = tokens.climb(orders)
@@ -330,15 +335,17 @@ def _score(n: int, v: int, orders: int, buckets: int):
 def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    n_buckets = partitions(spark)
-    buckets = 2 * n_buckets
+    buckets = 2 * partitions(spark)
     runs, counted, folder = _runs(docs)
-    answered = lambda df, owner, name: bucketed(df.groupBy("bucket").applyInArrow(owner, _BACK_SQL).repartition(n_buckets, "run"), name, "run", free=True)
-    answers = answered(counted.mapInArrow(_count_words(buckets), _SENT_SQL), _own_words(buckets), "words")
-    remove(spark, folder)
-    n, v = answers.where("run is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    answers = answers.where("run is not null")
-    for k in range(1, order + 1):
-        sent = runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_send(int(n), int(v), k, buckets), _SENT_SQL)
-        answers = answers.union(answered(sent, _own_contexts(k), f"order{k}"))
+    name, path = f"kinolake_answers_{uuid.uuid4().hex}", scratch(spark, "answers")
+    answered = lambda df, owner: appended(df.groupBy("bucket").applyInArrow(owner, _BACK_SQL), name, path, "run")
+    try:
+        answers = answered(counted.mapInArrow(_count_words(buckets), _SENT_SQL), _own_words(buckets))
+        remove(spark, folder)
+        n, v = answers.where("run is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+        for k in range(1, order + 1):
+            sent = runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_send(int(n), int(v), k, buckets), _SENT_SQL)
+            answers = answered(sent, _own_contexts(k))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_score(int(n), int(v), order, buckets), _SCORES_SQL)
