@@ -111,10 +111,14 @@ def _order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     n, m = len(low).bit_length(), int(low.max(initial=0)).bit_length()
     if int(high.max(initial=0)).bit_length() + m + n > 64:
         return np.lexsort((low, high))
-    both = ((high.astype(np.uint64) << np.uint64(m)) | low.astype(np.uint64)) << np.uint64(n)
+    both = high.astype(np.uint64)  # in place from here on, as runs are large
+    both <<= np.uint64(m)
+    both |= low.astype(np.uint64)
+    both <<= np.uint64(n)
     both |= np.arange(len(low), dtype=np.uint64)
     both.sort()
-    return (both & np.uint64((1 << n) - 1)).astype(np.int64)
+    both &= np.uint64((1 << n) - 1)
+    return both.view(np.int64)
 
 
 def _runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:

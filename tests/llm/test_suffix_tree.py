@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from kinolake.llm import suffix_tree as S
 
@@ -94,3 +95,18 @@ def test_narrow_counts():
     counts = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
     assert S._widened(S._narrow(counts)).tolist() == counts.tolist()
     assert S._widened(S._narrow(counts[:0])).tolist() == []
+
+
+@pytest.mark.parametrize("width", [3, 20, 62])
+def test_order_is_the_stable_one_whether_or_not_it_fits_a_number(width):
+    rng = np.random.default_rng(width)
+    for size in (0, 1, 500):
+        high, low = rng.integers(0, 9, size), rng.integers(0, 1 << width, size).astype(np.uint64)
+        low[: size // 2] = low[size // 2 : size // 2 * 2]  # ties
+        assert S._order(high, low).tolist() == np.lexsort((low, high)).tolist()
+
+
+def test_no_table_stays_in_the_catalogue(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c")], "doc_id long, text string")
+    assert S.score_texts(docs).count() == 2
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("kinolake")]
