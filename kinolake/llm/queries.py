@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, suffix_dedup, suffix_tree, token_output, warc
+from . import decontaminate, divergence, exact_dedup, fingerprints, language_id, mixing, ngram_join, periodic_runs, pii, suffix_dedup, suffix_tree, token_output, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,11 @@ def queries() -> dict[str, Query]:
         "op8_language_id": lambda s, d: language_id.language_id(docs(s, d)),
         "op9_suffix_dedup": lambda s, d: suffix_dedup.suffix_dedup(docs(s, d)),
         "op10_decontaminate": lambda s, d: decontaminate.decontaminate(docs(s, d), table(s, d, "benchmark"), shortest=decontaminate.SHORTEST),
+        "op11_periodic_runs": lambda s, d: periodic_runs.op11_periodic_runs(docs(s, d)),
+        "op12_divergence": lambda s, d: divergence.divergence(docs(s, d)),
+        "op13_fingerprints": lambda s, d: fingerprints.op13_fingerprints(docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_warc": warc.ORACLE, "op7_ngram_join": ngram_join.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_warc": warc.ORACLE, "op7_ngram_join": ngram_join.ORACLE, "op12_divergence": divergence.ORACLE}
