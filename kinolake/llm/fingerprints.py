@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, partitions, text_of
+from .common import WORD, ascii_lowered, partitions, text_of
 
 SHINGLE = 5
 BINS = 512
@@ -44,7 +44,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def minima(text: Column) -> Column:
     """The least hash of each bin, null where the bin is empty; in the order of the bins."""
     sentinels = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), lambda b: F.shiftleft(b, REST).bitwiseOR(F.lit(LOW)))
-    words = F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(ascii_lowered(text), F.lit(WORD), F.lit(0))
     # a text of one to four words has one slice, all of it
     hashes = let(words, lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(w, i, F.lit(SHINGLE))), 1))).otherwise(F.array().cast("array<bigint>")))
     bin_of = lambda h: F.shiftright(h, REST)
