@@ -15,6 +15,7 @@ from . import models as M
 from . import search as SE
 from . import select as SL
 from . import store as ST
+from .cluster import average_linkage
 
 KEY = ["vid", "start_time", "end_time"]
 
@@ -122,7 +123,7 @@ def _cluster_margin(s: Store, k, t, feature, label, step, seed, start: int = 50)
     if step * k < start or s.predictions.isEmpty():
         return _random(s, k, t, feature, label, step, seed)
     rows = s.features[feature]
-    clustered = clusters(rows, max(2, rows.count() // 50), seed)
+    clustered = clusters(rows, seed=seed)
     free = s.labeled(feature).where(F.col("labels") == NONE).select("fid")
     unsure = SL.margin_ranked(SE.predictions_pivoted(s.predictions, SE.latest_model(s.models).first()["mid"])).select(*KEY, "uncertainty")
     pool = clustered.join(free, "fid", "left_semi").where(~F.col("fid").isin(list(s.shown)) if s.shown else F.lit(True)).join(unsure, KEY)
@@ -131,12 +132,9 @@ def _cluster_margin(s: Store, k, t, feature, label, step, seed, start: int = 50)
     return rows.join(picked.select("fid"), "fid", "left_semi")
 
 
-def clusters(features: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """EX06: hierarchical clusters by bisection, which needs no distance matrix; (fid, vid, start_time, end_time, cluster)."""
-    from pyspark.ml.clustering import BisectingKMeans
-
-    rows = M.vectorised(features)
-    return BisectingKMeans(featuresCol="x", predictionCol="cluster", k=k, seed=seed).fit(rows).transform(rows).select("fid", *KEY, "cluster")
+def clusters(features: DataFrame, average: int = 10, seed: int = 0) -> DataFrame:
+    """EX06: count // average clusters by average linkage; (fid, vid, start_time, end_time, cluster)."""
+    return average_linkage(features, average, seed=seed).select("fid", *KEY, "cluster")
 
 
 def _label_uncertainty(s: Store, k, t, feature, label, step, seed) -> DataFrame:

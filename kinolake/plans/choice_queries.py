@@ -9,6 +9,7 @@ from ..functions import intervals as I
 from ..functions import labels as L
 from ..functions import vectors as V
 from ..operators import bandit as B
+from ..operators import cluster as C
 from ..operators import labels as LB
 from ..operators import models as M
 from ..operators import propagate as P
@@ -65,6 +66,22 @@ def _(t):
     return SL.cluster_medoids(t.feat, labeled(t).where("labels <> 'none'").select("fid"), 5)
 
 
+@query("ex03_k_medoids")
+def _(t):
+    own, _, _ = C.k_medoids(t.feat, 8)
+    return own.groupBy("cluster").agg(F.count("*").alias("size"), F.min_by("fid", F.struct("distance", "fid")).alias("medoid"))
+
+
+@query("ex06_average_linkage")
+def _(t):
+    return C.average_linkage(t.feat).select("fid", "cluster")
+
+
+@query("ml16_medoid_budget")
+def _(t):
+    return C.medoid_budget(t.feat, 30, seconds=7200.0).select("fid", *LOW)
+
+
 @query("tk04_medoids", "clustered labeled", """with d as (select *, list_distance(feature::double[], (select feature::double[] from feat where fid = 0)) as distance, count(*) over (partition by cluster) as size from clustered),
     m as (select * from d qualify row_number() over (partition by cluster order by distance, fid) = 1)
     select fid, cluster, size from m where fid not in (select fid from labeled where labels <> 'none')""")
