@@ -83,3 +83,48 @@ def best(results: DataFrame) -> DataFrame:
 def cutoff(budget: int, model_seconds: float, user_seconds: float) -> int:
     """BD08: labels after which training has to start to be ready in time."""
     return budget - -(-int(model_seconds * 1000) // max(1, int(user_seconds * 1000)))
+
+
+def eliminations(series: DataFrame, keys: list[str]) -> DataFrame:
+    """BD07: when each feature of an experiment (keys) goes, (*keys, feature_name, step), from full series of lower and upper bounds: rows
+    (*keys, feature_name, l, u), l and u arrays over steps counted from 0.
+
+    From step 2 on, a feature goes if the lower bound of another one that was left at the step's start reaches its upper bound; the fold ends at a step that
+    starts with one feature. Features left at the start of the last step looked at have a further row at the number of steps + 1, even if that step removes them. Series have the
+    length of that of the first feature by name; experiments of at most two steps have no rows. One row an experiment is folded, its features are few."""
+    both = series.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature_name", F.struct("l", "u")))).alias("_b"), F.sort_array(F.collect_list("feature_name")).alias("_f"))
+    bound = lambda f, which, i: F.get(F.element_at("_b", f)[which], i)
+    n = F.size(F.element_at("_b", F.get("_f", F.lit(0)))["l"])
+
+    def step(state: Column, i: Column) -> Column:
+        left = state["left"]
+        gone = F.filter(left, lambda f: F.exists(left, lambda g: (g != f) & (bound(g, "l", i) >= bound(f, "u", i))))
+        log = F.concat(state["log"], F.transform(gone, lambda f: F.struct(f.alias("feature_name"), i.alias("step"))))
+        new = F.struct(F.array_except(left, gone).alias("left"), left.alias("start"), log.alias("log"), (F.size(left) == 1).alias("done"))
+        return F.when(state["done"], state).otherwise(new)
+
+    rows = both.where(n > 2).withColumn("_n", n)
+    empty = F.array().cast("array<struct<feature_name:string,step:int>>")
+    start = F.struct(F.col("_f").alias("left"), F.col("_f").alias("start"), empty.alias("log"), F.lit(False).alias("done"))
+    end = rows.withColumn("_s", F.aggregate(F.sequence(F.lit(2), F.col("_n") - 1), start, step))
+    last = F.transform(F.col("_s.start"), lambda f: F.struct(f.alias("feature_name"), (F.col("_n") + 1).alias("step")))
+    return end.select(*keys, F.explode(F.concat("_s.log", last)).alias("_e")).select(*keys, "_e.feature_name", "_e.step")
+
+
+def eliminated(series: DataFrame, keys: list[str]) -> DataFrame:
+    """BD07 for series that end where their feature went: features with fewer steps than the longest series went at their length; among the others, by name,
+    each that is still left removes those whose last upper bound its last lower bound reaches. If one feature is left, it has a row at the longest length + 1; an
+    experiment that doesn't come down to one has no rows. rows: (*keys, feature_name, l, u)."""
+    sized = series.withColumn("_n", F.size("l"))
+    both = sized.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("feature_name", F.col("_n").alias("n"), F.element_at("l", -1).alias("l"), F.element_at("u", -1).alias("u")))).alias("_f"), F.max("_n").alias("_m"))
+    long = F.filter("_f", lambda f: f["n"] == F.col("_m"))
+
+    def turn(left: Column, f: Column) -> Column:
+        # a candidate that was removed earlier removes nobody
+        inside = F.exists(left, lambda g: g["feature_name"] == f["feature_name"])
+        return F.when(inside, F.filter(left, lambda g: (g["feature_name"] == f["feature_name"]) | ~(f["l"] >= g["u"]))).otherwise(left)
+
+    rows = both.withColumn("_long", long).withColumn("_left", F.aggregate("_long", F.col("_long"), turn)).where(F.size("_left") == 1)
+    winner = F.get("_left", F.lit(0))["feature_name"]
+    step = F.when(F.col("f.feature_name") == F.col("_winner"), F.col("_m") + 1).otherwise(F.col("f.n"))
+    return rows.select(*keys, "_m", winner.alias("_winner"), F.explode("_f").alias("f")).select(*keys, "f.feature_name", step.alias("step"))

@@ -10,6 +10,7 @@ from ..functions import labels as L
 from ..functions import vectors as V
 from ..operators import bandit as B
 from ..operators import cluster as C
+from ..operators import discriminant as D
 from ..operators import labels as LB
 from ..operators import models as M
 from ..operators import propagate as P
@@ -201,12 +202,6 @@ def _(t):
     return B.best(t.scores)
 
 
-@query("bd07_elimination_steps", "scores", "select t, count(*) as n_left from scores s where y >= 0.5 * (select max(y) from scores m where m.t = s.t) group by t")
-def _(t):
-    w = F.max("y").over(Window.partitionBy("t"))
-    return t.scores.withColumn("m", w).where("y >= 0.5 * m").groupBy("t").agg(F.count("*").alias("n_left"))
-
-
 # --- models ---
 
 TRUTH = "select p.vid, p.start_time, p.end_time, p.label, p.probability, list_contains(string_split(l.labels, '_'), p.label)::int as y from pred p join (select distinct vid, start_time, end_time, labels from labeled where labels <> 'none') l on p.vid = l.vid and p.start_time = l.start_time and p.end_time = l.end_time"
@@ -616,3 +611,131 @@ def _(t):
     select aid from c join r on c.vid = r.vid and c.cell = r.cell where before < 200""")
 def _(t):
     return P.random_stretches(t.ann, 200, 3600.0).select("aid")
+
+
+# --- elimination step by step ---
+
+#: Bounds around the mean value of each event type by step, narrower with every step; experiments are groups of users.
+BOUNDED = """select experiment, feature_name, list(round(y - {0} / (t + 1), 6) order by t) as l, list(round(y + {0} / (t + 1), 6) order by t) as u
+    from (select user_id % 20 as experiment, event_type as feature_name, event_id % 12 as t, round(avg(value), 6) as y from events group by all) group by experiment, feature_name"""
+
+
+def bounded(t, width):
+    y = t.events.groupBy((F.col("user_id") % 20).alias("experiment"), F.col("event_type").alias("feature_name"), (F.col("event_id") % 12).alias("t")).agg(F.round(F.avg("value"), 6).alias("y"))
+    rows = y.select("experiment", "feature_name", F.struct("t", F.round(F.col("y") - width / (F.col("t") + 1), 6).alias("l"), F.round(F.col("y") + width / (F.col("t") + 1), 6).alias("u")).alias("b"))
+    return rows.groupBy("experiment", "feature_name").agg(F.array_sort(F.collect_list("b")).alias("b")).select("experiment", "feature_name", F.transform("b", lambda b: b["l"]).alias("l"), F.transform("b", lambda b: b["u"]).alias("u"))
+
+
+@query("bd07_elimination_steps", "", f"""with recursive s as ({BOUNDED.format('120.0::double')}),
+    e as (select experiment, map_from_entries(list((feature_name, l))) as lo, map_from_entries(list((feature_name, u))) as hi, list_sort(list(feature_name)) as f, max(len(l)) as n from s group by experiment),
+    r as (select experiment, 2 as i, f as start, list_filter(f, lambda g: len(list_filter(f, lambda h: h <> g and lo[h][3] >= hi[g][3])) = 0) as rest from e where n > 2
+      union all select r.experiment, r.i + 1, r.rest, list_filter(r.rest, lambda g: len(list_filter(r.rest, lambda h: h <> g and e.lo[h][r.i + 2] >= e.hi[g][r.i + 2])) = 0) from r join e on e.experiment = r.experiment where r.i + 1 < e.n and len(r.start) <> 1),
+    z as (select *, row_number() over (partition by experiment order by i desc) as last from r)
+    select experiment, unnest(list_filter(start, lambda g: not list_contains(rest, g))) as feature_name, i as step from r
+    union all select z.experiment, unnest(start), (n + 1)::int from z join e on e.experiment = z.experiment where last = 1""")
+def _(t):
+    return B.eliminations(bounded(t, 120.0), ["experiment"])
+
+
+@query("bd07_eliminated_at_end", "", f"""with recursive s as ({BOUNDED.format('60.0::double')}),
+    c as (select experiment, feature_name as f, l[:12 - (ascii(feature_name) + experiment) % 2] as l, u[:12 - (ascii(feature_name) + experiment) % 2] as u from s),
+    m as (select *, len(l) as n, max(len(l)) over (partition by experiment) as m from c),
+    e as (select experiment, map_from_entries(list((f, l[-1]))) as lo, map_from_entries(list((f, u[-1]))) as hi, list_sort(list(f) filter (where n = m)) as f, max(m) as m from m group by experiment),
+    r as (select experiment, 1 as k, f as kept from e union all
+      select r.experiment, k + 1, case when list_contains(kept, e.f[k]) then list_filter(kept, lambda g: g = e.f[k] or not e.lo[e.f[k]] >= e.hi[g]) else kept end from r join e on e.experiment = r.experiment where k <= len(e.f)),
+    z as (select r.experiment, kept from r join e on e.experiment = r.experiment where k = len(e.f) + 1 and len(kept) = 1)
+    select m.experiment, m.f as feature_name, (case when list_contains(kept, m.f) then m + 1 else n end)::int as step from m join z on z.experiment = m.experiment""")
+def _(t):
+    cut = F.lit(12) - (F.ascii("feature_name") + F.col("experiment")) % 2
+    rows = bounded(t, 60.0).select("experiment", "feature_name", F.slice("l", F.lit(1), cut.cast("int")).alias("l"), F.slice("u", F.lit(1), cut.cast("int")).alias("u"))
+    return B.eliminated(rows, ["experiment"])
+
+
+# --- discriminants, mixtures, label cleaning ---
+
+TOPS = "select f.fid, f.cluster, l.hard_label, p.top, p.predicted from clustered f join (select vid, start_time, max(probability) as top, min_by(label, (-probability, label)) as predicted from (select distinct vid, start_time, end_time, label, probability from pred qualify row_number() over (partition by vid, start_time, end_time, label order by probability desc) = 1) group by vid, start_time) p on f.vid = p.vid and f.start_time = p.start_time join (select fid, case when labels <> 'none' then string_split(labels, '_')[1] end as hard_label from labeled) l on f.fid = l.fid"
+
+
+def hard(t):
+    """fid with the first label of its window, null without one."""
+    return labeled(t).select("fid", F.when(F.col("labels") != "none", F.element_at(L.pieces(F.col("labels")), 1)).alias("hard_label"))
+
+
+def tops(t):
+    best = SE.predictions_pivoted(t.pred, 1).select("vid", "start_time", F.element_at(F.array_sort(F.transform("predictions", lambda p: F.struct((-p["probability"]).alias("p"), p["label"].alias("label")))), 1).alias("b"))
+    return t.clustered.select("fid", "vid", "start_time", "cluster").join(best.select("vid", "start_time", (-F.col("b.p")).alias("top"), F.col("b.label").alias("predicted")), ["vid", "start_time"]).join(hard(t), "fid")
+
+
+@query("lb04_wrong_cluster", "clustered pred labeled", f"select cluster from ({TOPS}) group by cluster having count(hard_label) > 0 and count(hard_label) < count(*) order by sum((hard_label <> predicted)::int) desc, cluster limit 1")
+def _(t):
+    return D.wrong_cluster(tops(t))
+
+
+@query("lb04_doubtful_cluster", "clustered pred labeled", f"select cluster from ({TOPS}) group by cluster having count(hard_label) < count(*) order by avg(top), cluster limit 1")
+def _(t):
+    return D.doubtful_cluster(tops(t))
+
+
+@query("lb05_doubtful_elements", "clustered pred labeled", f"select cluster, min_by(fid, (top, fid)) as fid from ({TOPS}) where hard_label is null group by cluster")
+def _(t):
+    return D.doubtful_element(tops(t))
+
+
+LEARNED = "select f.fid, feature[1]::double as x, feature[2]::double as y, case when labels <> 'none' then string_split(labels, '_')[1] end as label from feat f join labeled l on f.fid = l.fid"
+
+
+def learned(t):
+    """Two places of each vector with the window's first label."""
+    return t.feat.select("fid", F.slice("feature", 1, 2).alias("feature")).join(hard(t).withColumnRenamed("hard_label", "label"), "fid")
+
+
+@query("lb02_quadratic", "feat labeled", f"""with r as ({LEARNED}),
+    m as (select label, count(*) as n, avg(x) as mx, avg(y) as my, 0.9 * var_samp(x) + 0.1 as a, 0.9 * covar_samp(x, y) as b, 0.9 * var_samp(y) + 0.1 as c from r where label is not null group by label),
+    s as (select fid, m.label, -0.5 * ((c * pow(x - mx, 2) - 2 * b * (x - mx) * (y - my) + a * pow(y - my, 2)) / (a * c - b * b) + ln(a * c - b * b)) + ln(n / sum(n) over (partition by fid)) as s from r cross join m)
+    select fid, label, round(exp(s) / sum(exp(s)) over (partition by fid), 6) as probability from s""")
+def _(t):
+    rows = learned(t)
+    model = D.Quadratic.fit(rows, 0.1)
+    out = D.probabilities(rows, model).select("fid", F.explode(F.arrays_zip(F.array(*map(F.lit, model.classes)).alias("label"), "probabilities")).alias("p"))
+    return out.select("fid", "p.label", F.round("p.probabilities", 6).alias("probability"))
+
+
+@query("lb04_linear", "feat labeled", f"""with r as ({LEARNED}), k as (select * from r where label is not null),
+    m as (select label, count(*) as n, avg(x) as mx, avg(y) as my from k group by label),
+    w as (select sum(pow(x - mx, 2)) / d as a, sum((x - mx) * (y - my)) / d as b, sum(pow(y - my, 2)) / d as c from k join m on k.label = m.label, (select (sum(n) - count(*))::double as d from m) group by d),
+    s as (select fid, m.label, (c * x * mx - b * (x * my + y * mx) + a * y * my - 0.5 * (c * mx * mx - 2 * b * mx * my + a * my * my)) / (a * c - b * b) + ln(n / sum(n) over (partition by fid)) as s from r cross join m cross join w)
+    select fid, label, round(exp(s) / sum(exp(s)) over (partition by fid), 6) as probability from s""")
+def _(t):
+    rows = learned(t)
+    model = D.Linear.fit(rows, tolerance=1e-9)
+    out = D.probabilities(rows, model).select("fid", F.explode(F.arrays_zip(F.array(*map(F.lit, model.classes)).alias("label"), "probabilities")).alias("p"))
+    return out.select("fid", "p.label", F.round("p.probabilities", 6).alias("probability"))
+
+
+CLEANED = f"""with c as (select f.*, p.p from ({CLUSTERED}) f join (select vid, start_time, max(case when label = 'click' then probability end) as p from pred group by vid, start_time) p on f.vid = p.vid and f.start_time = p.start_time),
+    b as (select *, coalesce(hard_label, case when fid % 3 = 0 then 'click' when fid % 3 = 1 then 'view' end) as label from c),
+    a as (select cluster, avg(p) as p, count(hard_label) as hard from b group by cluster), v as (select cluster, label, count(*) as n from b group by cluster, label),
+    m as (select cluster, label as mode from v qualify row_number() over (partition by cluster order by n desc, label is not null, label) = 1),
+    k as (select a.cluster, case when p >= 1 - p then 'click' else 'other' end as class from a join m on a.cluster = m.cluster where greatest(p, 1 - p) >= 0.797 and (hard = 0 or case when p >= 1 - p then 'click' else 'other' end is distinct from mode))
+    select fid, case when hard_label is null and class is not null then class else label end as label from b left join k on b.cluster = k.cluster"""
+
+
+@query("lb08_cleaned", "clustered labeled pred", CLEANED)
+def _(t):
+    p = t.pred.where("label = 'click'").groupBy("vid", "start_time").agg(F.max("probability").alias("p"))
+    rows = marked(t).join(p, ["vid", "start_time"]).withColumn("label", F.coalesce("hard_label", F.when(F.col("fid") % 3 == 0, "click").when(F.col("fid") % 3 == 1, "view")))
+    out, _ = D.cleaned(rows.select("fid", "cluster", "hard_label", "label", F.array("p", 1 - F.col("p")).alias("probabilities")), ["click", "other"], least=0.797)
+    return out.select("fid", "label")
+
+
+@query("lb04_mixture")
+def _(t):
+    own = D.mixture(t.feat, 4, dims=3, rounds=20).join(hard(t), "fid")
+    return D.mixed_labels(own).select("fid", "cluster", F.round("top", 6).alias("top"), "label", F.round("weight", 6).alias("weight"))
+
+
+@query("lb08_discriminant_round")
+def _(t):
+    rows = t.clustered.select("fid", "feature", "cluster").join(hard(t), "fid").withColumn("label", F.lit(None).cast("string"))
+    out, _ = D.discriminant_round(rows, 100)
+    return out.select("fid", "cluster", "label")
