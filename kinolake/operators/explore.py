@@ -18,6 +18,8 @@ from . import store as ST
 from .cluster import average_linkage
 
 KEY = ["vid", "start_time", "end_time"]
+#: The cluster explorer looks for medoids up to so many rows, by KMeans beyond.
+MEDOID_ROWS = 20_000
 
 
 @dataclass
@@ -75,7 +77,7 @@ class Store:
 
     def explore(self, explorer: str, k: int, t: float, feature: str, label: str | None = None, step: int = 0, seed: int = 0) -> DataFrame:
         """EX14: k clips by the named explorer, widened to t seconds, aligned to the feature's windows, with the newest model's predictions nested."""
-        clips = EXPLORERS[explorer](self, k, t, feature, label, step, seed).select(*KEY)
+        clips = named_explorer(explorer)(self, k, t, feature, label, step, seed).select(*KEY)
         s, e = expanded(F.col("start_time"), F.col("end_time"), t)
         windows = self.features[feature].groupBy("vid").agg(F.array_sort(F.collect_list(F.struct(F.col("start_time").alias("start"), F.col("end_time").alias("end")))).alias("_w"))
         wide = clips.select("vid", s.alias("start_time"), e.alias("end_time")).join(windows, "vid", "left")
@@ -99,13 +101,18 @@ def _temporal(s: Store, k, t, feature, label, step, seed) -> DataFrame:
 
 
 def _cluster(s: Store, k, t, feature, label, step, seed) -> DataFrame:
-    return SL.cluster_medoids(s.features[feature], s.labeled(feature, "partial").where(F.col("labels") != NONE).select("fid"), k, seed)
+    return SL.cluster_medoids(s.features[feature], s.labeled(feature, "partial").where(F.col("labels") != NONE).select("fid"), k, seed, most_rows=MEDOID_ROWS)
+
+
+def _shown(s: Store) -> DataFrame:
+    """fids shown before: k a round, as a table."""
+    return s.videos.sparkSession.createDataFrame([(f,) for f in sorted(s.shown)], "fid bigint")
 
 
 def _coreset(s: Store, k, t, feature, label, step, seed) -> DataFrame:
     """EX04: windows shown before belong to the coreset but aren't returned."""
     rows = s.features[feature]
-    done = rows.join(s.labeled(feature).where(F.col("labels") != NONE).select("fid"), "fid", "left_semi") if not s.shown else rows.where(F.col("fid").isin(list(s.shown)))
+    done = rows.join(s.labeled(feature).where(F.col("labels") != NONE).select("fid"), "fid", "left_semi") if not s.shown else rows.join(_shown(s), "fid", "left_semi")
     out = SL.coreset(rows, k, done, seed)
     s.shown |= {r["fid"] for r in out.select("fid").collect()}
     return out
@@ -126,7 +133,7 @@ def _cluster_margin(s: Store, k, t, feature, label, step, seed, start: int = 50)
     clustered = clusters(rows, seed=seed)
     free = s.labeled(feature).where(F.col("labels") == NONE).select("fid")
     unsure = SL.margin_ranked(SE.predictions_pivoted(s.predictions, SE.latest_model(s.models).first()["mid"])).select(*KEY, "uncertainty")
-    pool = clustered.join(free, "fid", "left_semi").where(~F.col("fid").isin(list(s.shown)) if s.shown else F.lit(True)).join(unsure, KEY)
+    pool = clustered.join(free, "fid", "left_semi").join(_shown(s), "fid", "left_anti").join(unsure, KEY)
     picked = SL.cluster_margin(pool.select("fid", "cluster", "uncertainty"), k, seed=seed)
     s.shown |= {r["fid"] for r in picked.select("fid").collect()}
     return rows.join(picked.select("fid"), "fid", "left_semi")
@@ -147,19 +154,30 @@ def _label_uncertainty(s: Store, k, t, feature, label, step, seed) -> DataFrame:
     return s.videos.sparkSession.createDataFrame(SL.apart(ranked, k, t), "vid bigint, start_time double, end_time double")
 
 
-def _if_uniform(other):
-    """EX09, EX10: by chance while the labels' seconds look uniform, else the other explorer."""
+def _if_uniform(other, tester: str = "cvm"):
+    """EX09, EX10: by chance while the labels' seconds look uniform to the named test, else the other explorer."""
 
     def run(s: Store, k, t, feature, label, step, seed) -> DataFrame:
         seconds = {r["label"]: float(r["seconds"]) for r in LB.label_seconds(s.annotations).collect()}
-        return (_random if SL.cvm_uniform(seconds) else other)(s, k, t, feature, label, step, seed)
+        return (_random if SL.uniform(seconds, tester, seed) else other)(s, k, t, feature, label, step, seed)
 
     return run
 
 
+def named_explorer(name: str):
+    """The explorer of a name; the two that ask whether labels are uniform take the test's name behind an underscore, such as randomifuniform_binom_pval0.01_m2."""
+    if name in EXPLORERS:
+        return EXPLORERS[name]
+    kind, _, tester = name.partition("_")
+    if kind in UNIFORM and tester:
+        return _if_uniform(UNIFORM[kind], tester)
+    raise ValueError(f"no explorer {name}")
+
+
+UNIFORM = {"randomifuniform": _coreset, "randomifuniformcm": _cluster_margin}
 EXPLORERS = {
     "random": _random, "temporal": _temporal, "cluster": _cluster, "coreset": _coreset, "clustercoreset": _cluster_coreset, "clustermargin": _cluster_margin,
-    "uncertainty": _label_uncertainty, "randomifuniform": _if_uniform(_coreset), "randomifuniformcm": _if_uniform(_cluster_margin),
+    "uncertainty": _label_uncertainty, **{name: _if_uniform(other) for name, other in UNIFORM.items()},
 }
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -52,27 +54,34 @@ def strided(features: DataFrame, odd: bool = True) -> DataFrame:
 
 
 def pooled(features: DataFrame, length: int, how: str = "max") -> DataFrame:
-    """AG15, AG18: rows of a video in order of start, each `length` of them pooled place by place (max or mean)."""
+    """AG15, AG18: rows of a video in order of start, each `length` of them pooled place by place (max or mean). Whole vectors are aggregated: a task sends one
+    for each group. Rows without a vector count as places in the order, but aren't pooled; vectors of a group have one length."""
     n = F.row_number().over(Window.partitionBy("vid").orderBy("start_time", "fid")) - 1
-    rows = features.withColumn("_g", F.floor(n / length)).select("vid", "_g", "start_time", "end_time", F.posexplode(V.doubles(F.col("feature"))).alias("_i", "_v"))
-    f = F.max("_v") if how == "max" else F.avg("_v")
-    each = rows.groupBy("vid", "_g", "_i").agg(f.alias("_v"), F.min("start_time").alias("_s"), F.max("end_time").alias("_e"))
-    out = each.groupBy("vid", "_g").agg(F.min("_s").alias("start_time"), F.max("_e").alias("end_time"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("feature"))
-    return out.withColumnRenamed("_g", "part")
+    rows = features.select("vid", F.floor(n / length).alias("part"), "start_time", "end_time", _vector(F.col("feature")).alias("_x")).where("_x is not null")
+    f = Summarizer.max if how == "max" else Summarizer.mean
+    out = rows.groupBy("vid", "part").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), f(F.col("_x")).alias("_x"))
+    return out.withColumn("feature", vector_to_array("_x")).drop("_x")
+
+
+def _vector(x: Column) -> Column:
+    return F.when(x.isNotNull(), array_to_vector(V.doubles(F.coalesce(x, F.array().cast("array<float>")))))
 
 
 def pyramid_pooled(features: DataFrame, levels: int = 4) -> DataFrame:
     """AG16: for each of the 2 ** l windows of every level of a video's series: sum, counts of rises and falls over two steps by more than .01, and
-    maximum, for each place of the vector."""
+    maximum, for each place of the vector. A row goes to its windows as a whole vector, and vectors are added up before they are sent or unrolled."""
     w = Window.partitionBy("vid").orderBy("start_time", "fid")
     rows = features.select("vid", (F.row_number().over(w) - 1).alias("t"), F.count("*").over(Window.partitionBy("vid")).alias("n"), V.doubles(F.col("feature")).alias("x"), V.doubles(F.lag("feature", 2).over(w)).alias("before"))
     spans = [(level, k) for level in range(levels) for k in range(2**level)]
     at = lambda frac: F.floor((F.col("n") - 1) * F.lit(frac + 0.000001) + 0.5)
     bounds = F.array(*[F.struct(F.lit(lv).alias("level"), F.lit(k).alias("k"), at(k / 2**lv).alias("lo"), at((k + 1) / 2**lv).alias("hi")) for lv, k in spans])
     mine = F.filter(bounds, lambda b: (F.col("t") >= b["lo"]) & (F.col("t") <= b["hi"]))
-    part = rows.select("vid", "t", "x", "before", F.explode(mine).alias("b")).select("vid", "b.level", "b.k", F.posexplode(F.arrays_zip("x", F.coalesce("before", F.array().cast("array<double>")).alias("before"))).alias("i", "v"))
-    rise = F.col("v.x") - F.col("v.before")
-    return part.groupBy("vid", "level", "k", "i").agg(F.sum("v.x").alias("sum"), F.sum(F.when(rise > 0.01, 1).otherwise(0)).alias("rises"), F.sum(F.when(rise < -0.01, 1).otherwise(0)).alias("falls"), F.max("v.x").alias("max"))
+    # a first and second row have no earlier one: they rise and fall nowhere
+    change = lambda sign: F.when(F.col("before").isNull(), F.transform("x", lambda v: F.lit(0.0))).otherwise(F.zip_with("x", "before", lambda v, u: F.when(sign * (v - u) > 0.01, 1.0).otherwise(0.0)))
+    part = rows.where("x is not null").select("vid", array_to_vector("x").alias("x"), array_to_vector(change(1)).alias("up"), array_to_vector(change(-1)).alias("down"), F.explode(mine).alias("b"))
+    each = part.groupBy("vid", "b.level", "b.k").agg(*[vector_to_array(f(F.col(c))).alias(name) for name, f, c in (("sum", Summarizer.sum, "x"), ("rises", Summarizer.sum, "up"), ("falls", Summarizer.sum, "down"), ("max", Summarizer.max, "x"))])
+    out = each.select("vid", "level", "k", F.posexplode(F.arrays_zip("sum", "rises", "falls", "max")).alias("i", "v"))
+    return out.select("vid", "level", "k", "i", "v.sum", F.col("v.rises").cast("bigint").alias("rises"), F.col("v.falls").cast("bigint").alias("falls"), "v.max")
 
 
 def vids_with_all(tables: dict[str, DataFrame]) -> DataFrame:

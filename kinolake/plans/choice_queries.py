@@ -739,3 +739,11 @@ def _(t):
     rows = t.clustered.select("fid", "feature", "cluster").join(hard(t), "fid").withColumn("label", F.lit(None).cast("string"))
     out, _ = D.discriminant_round(rows, 100)
     return out.select("fid", "cluster", "label")
+
+
+@query("ml04_network")
+def _(t):
+    from ..operators import network as N
+
+    rows = LB.with_columns_of(labeled(t), t.feat).where("labels <> 'none'")
+    return N.infer_network(N.fit_network(rows, rounds=5), t.feat, 9)
