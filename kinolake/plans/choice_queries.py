@@ -46,9 +46,9 @@ def _(t):
     return SL.random_clips(t.vm, t.ann, 20, seed=0, t=86400.0)
 
 
-@query("ex02_temporal_clips", "vm ann", f"with c as ({SPLITS}) select vid, start_time, end_time from c where vid not in (select vid from ann where aid % 97 = 0) order by vstart nulls last, start_time, vid limit 15")
+@query("ex02_temporal_clips", "vm ann", f"with c as ({SPLITS}) select vid, start_time, end_time from c where vid not in (select vid from ann where label = 'error' and end_time - start_time > 72000) order by vstart nulls last, start_time, vid limit 15")
 def _(t):
-    return SL.temporal_clips(t.vm, t.ann.where("aid % 97 = 0"), 15, 86400.0).select(*LOW)
+    return SL.temporal_clips(t.vm, t.ann.where("label = 'error' and end_time - start_time > 72000"), 15, 86400.0).select(*LOW)
 
 
 @query("ex04_coreset_step", "feat", """with s as (select feature from feat where fid in (0, 7, 30))
@@ -136,10 +136,12 @@ def _(t):
     return t.spark.createDataFrame([("binom", SL.binomial_uniform(seconds, 0.001, 2.0)), ("cvm", SL.cvm_uniform(seconds)), ("aks", SL.ad_uniform(seconds))], "test string, uniform boolean")
 
 
-@query("ex12_tester_names", "", "select * from (values ('cvm_pval0.05', 'cvm', 0.05::double, null::double), ('binom_pval0.001_m2.5', 'binom', 0.001, 2.5), ('random', 'aks', 0.001, null)) as x(name, kind, pval, m)")
+@query("ex12_tester_names", "", """select event_id, case event_id % 3 when 0 then 'cvm' when 1 then 'binom' else 'aks' end as kind, case when event_id % 3 = 2 then 0.001::double else ('0.0' || (c % 9 + 1)::varchar)::double end as pval,
+    case when event_id % 3 = 1 then ((c % 5 + 1)::varchar || '.5')::double end as m from (select event_id, round(value * 100)::bigint as c from events)""")
 def _(t):
-    rows = t.spark.createDataFrame([("cvm_pval0.05",), ("binom_pval0.001_m2.5",), ("random",)], "name string")
-    return rows.select("name", L.tester(F.col("name")).alias("t")).select("name", "t.kind", "t.pval", "t.m")
+    pval, m = (F.col("c") % 9 + 1).cast("string"), (F.col("c") % 5 + 1).cast("string")
+    name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("cvm_pval0.0"), pval)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("binom_pval0.0"), pval, F.lit("_m"), m, F.lit(".5"))).otherwise(F.col("event_type"))
+    return t.cents.select("event_id", L.tester(name).alias("t")).select("event_id", "t.kind", "t.pval", "t.m")
 
 
 ZIPF = """with l as (select label, row_number() over (order by md5(concat('5:', label)), label) - 1 as i from (select distinct label from ann)),
@@ -172,25 +174,28 @@ def _(t):
     return B.ewma(t.scores, 5).select("feature_name", F.col("t").cast("bigint").alias("t"), F.round("l", 9).alias("l"))
 
 
-@query("bd05_cost_normalised", "scores", """with recursive c as (select feature_name, case when feature_name = 'f0' then 1.0::double else 1 - (1 + right(feature_name, 1)::int) / 2.0::double * 0.1 end as k from (select distinct feature_name from scores)),
+@query("bd05_cost_normalised", "scores", """with recursive c as (select feature_name, case when feature_name = 'fview' then 1.0::double else 1 - (length(feature_name) / 5.0::double) / 2.0::double * 0.1 end as k from (select distinct feature_name from scores)),
     e as (select s.feature_name, t, greatest(k * y, 0) as l, k from scores s join c on s.feature_name = c.feature_name where t = 1
       union all select s.feature_name, s.t, greatest(e.k * ((1 - 2 / 6.0::double) * e.l + 2 / 6.0::double * s.y), 0), e.k from e join scores s on s.feature_name = e.feature_name and s.t = e.t + 1)
     select feature_name, t, round(l, 9) as l from e""")
 def _(t):
-    costs = t.scores.select("feature_name").distinct().withColumn("cost", F.lit(3.0) * (F.substring("feature_name", 2, 1).cast("int") + 1))
+    costs = t.scores.select("feature_name").distinct().withColumn("cost", F.length("feature_name").cast("double"))
     return B.cost_normalised(t.scores, costs, 5, 0.1).select("feature_name", F.col("t").cast("bigint").alias("t"), F.round("l", 9).alias("l"))
 
 
-@query("bd02_growth", "scores", """with z as (select feature_name, list(y order by t) as l from scores group by feature_name)
-    select feature_name, round((l[12] - l[(list_filter(list_reverse(range(1, 13 - 4)), lambda i: l[i] <= l[12]))[1]]) / (12 - (list_filter(list_reverse(range(1, 13 - 4)), lambda i: l[i] <= l[12]))[1]), 9) as w from z""")
+#: The place of BD02: the nearest at least four steps back whose value isn't larger than the last; null if none.
+BACK = "(list_filter(list_reverse(range(1, 9)), lambda i: l[i] <= l[12]))[1]"
+
+
+@query("bd02_growth", "scores", f"""with z as (select feature_name, list(y order by t) as l from scores group by feature_name), i as (select *, {BACK} as i from z)
+    select feature_name, round(case when i is null then l[12] / 11 else (l[12] - l[i]) / (12 - i) end, 9) as w from i""")
 def _(t):
     series = t.scores.groupBy("feature_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "y"))), lambda x: x["y"]).alias("l"))
     return series.select("feature_name", F.round(B.growth(F.col("l"), 4), 9).alias("w"))
 
 
-@query("bd01_survivors", "scores", """with z as (select feature_name, list(y order by t) as l from scores group by feature_name),
-    s as (select feature_name, l[12] as l, (list_filter(list_reverse(range(1, 9)), lambda i: l[i] <= l[12]))[1] as i, l as a from z),
-    u as (select feature_name, l, least(l + (l - a[i]) / (12 - i) * 2, 1) as u from s)
+@query("bd01_survivors", "scores", f"""with z as (select feature_name, list(y order by t) as l from scores group by feature_name), i as (select *, {BACK} as i from z),
+    u as (select feature_name, l[12] as l, least(l[12] + case when i is null then l[12] / 11 else (l[12] - l[i]) / (12 - i) end * 2, 1) as u from i)
     select feature_name, round(u, 9) as u from u where feature_name = (select feature_name from u order by l desc, feature_name limit 1) or u > (select max(l) from u)""")
 def _(t):
     state = B.bounds(t.scores.withColumn("l", F.col("y")), c=4, horizon=14)
@@ -387,61 +392,80 @@ def _(t):
 # --- logs ---
 
 
-@query("src08_piped_lines", "", "select * from (values ('a', 1, 0.5::double), ('b', 2, null)) as x(label, step, ap)")
+@query("src08_piped_lines", "", "select event_type as label, event_id::int as step, case when event_id % 5 > 0 then concat(c // 100, '.', lpad((c % 100)::varchar, 2, '0'))::double end as ap from (select *, round(value * 100)::bigint as c from events)")
 def _(t):
-    return LG.piped(t.spark.createDataFrame([("a|1|0.5",), ("b|2|",)], "value string"), "label string, step int, ap double")
+    amount = F.when(F.col("event_id") % 5 > 0, F.format_string("%d.%02d", F.expr("c div 100"), F.col("c") % 100)).otherwise("")
+    return LG.piped(t.cents.select(F.concat_ws("|", "event_type", F.col("event_id").cast("string"), amount).alias("value")), "label string, step int, ap double")
+
+
+STEPPED = r"""with s as (select *, last_value(nullif(regexp_extract(line, '^\*\*\* Step (\d+)', 1), '')::int ignore nulls) over (partition by file order by line_no rows between unbounded preceding and current row) as step,
+    coalesce(max((line like 'Args%')::int) over b, 0) = 1 as past_setup,
+    coalesce(last_value(case when contains(line, '*** Evaluating labels') then 1 when contains(line, '*** Performance') then 0 end ignore nulls) over b, 0) = 1 as in_eval
+    from loglines window b as (partition by file order by line_no rows between unbounded preceding and 1 preceding)),
+    p as (select * from s where in_eval and step is not null and contains(line, '*** Performance {'))"""
 
 
-INEVAL = """with s as (select *, max(nullif(regexp_extract(line, '^\\*\\*\\* Step (\\d+)', 1), '')::int) over (partition by file order by line_no) as step from loglines)"""
+def grabbed(pattern, kind="double", when="true"):
+    return f"max(case when {when} then nullif(regexp_extract(line, '{pattern}', 1), '')::{kind} end)"
 
 
-@query("src09_step_values", "loglines", INEVAL + """ select file, step, max(nullif(regexp_extract(line, 'explore took ([\\d.]+) seconds', 1), '')::double) as explore_seconds,
-    max(nullif(regexp_extract(line, 'explore \\(feature \\[''(.*)''\\]', 1), '')) as feature, max(nullif(regexp_extract(line, 'Training set size (\\d+)', 1), '')::int) as training_size,
-    max(nullif(regexp_extract(line, 'split pred \\(len=(\\d+)\\)', 1), '')::int) as eval_size, max(nullif(regexp_extract(line, 'multilabel_threshold=([\\d.]+);', 1), '')::double) as f1_threshold,
-    max(nullif(regexp_extract(line, 'best on split=([\\d.]+)', 1), '')::double) as best_threshold from s where step is not null group by file, step""")
+@query("src09_step_values", "loglines", STEPPED + f""" select file, step, {grabbed('explore took ([0-9.]+) seconds')} as explore_seconds, {grabbed("explore [(]feature .''(.*)''.[)]", 'varchar')} as feature, {grabbed('Training set size ([0-9]+)', 'int', 'in_eval')} as training_size,
+    {grabbed('split pred [(]len=([0-9]+)[)]', 'int', 'in_eval')} as eval_size, {grabbed('multilabel_threshold=([0-9.]+);', when='in_eval')} as f1_threshold, {grabbed('best on split=([0-9.]+)', when='in_eval')} as best_threshold from s where step is not null group by file, step""")
 def _(t):
     return LG.step_values(t.loglines)
 
 
-@query("src09_label_precisions", "loglines", "select * from (values ('a.txt', 0, 'bedded', 0.5::double), ('a.txt', 0, 'chewing', 0.25), ('a.txt', 1, 'bedded', 0.625), ('a.txt', 1, 'chewing', 0.5)) as x(file, step, label, ap)")
+def scored_key(key):
+    return f"replace(regexp_extract(line, '{key}.: ([0-9.]+|nan)', 1), 'nan', '-1')::double"
+
+
+@query("src09_label_precisions", "loglines", STEPPED + " union all ".join(f" select file, step, '{x}' as label, {scored_key(f'pred_avgprecision_{x}')} as ap from p" for x in ("bedded", "chewing")))
 def _(t):
     return LG.label_precisions(t.loglines)
 
 
-@query("src09_label_f1", "loglines", "select * from (values ('a.txt', 0, 'bedded', 0.6::double), ('a.txt', 1, 'bedded', 0.7)) as x(file, step, label, f1)")
+@query("src09_label_f1", "loglines", STEPPED + f" select file, step, 'bedded' as label, {scored_key('pred_ml_f1_score_bedded')} as f1 from p")
 def _(t):
     return LG.label_f1(t.loglines)
 
 
-@query("src09_aggregates", "loglines", "select * from (values ('a.txt', 0, 0.375::double, 0.3::double), ('a.txt', 1, 0.5625, 0.45)) as x(file, step, map, f1_macro)")
+@query("src09_aggregates", "loglines", STEPPED + f" select file, step, max({scored_key('pred_mAP')}) as map, max({scored_key('pred_ml_f1_score_macro')}) as f1_macro from p group by file, step")
 def _(t):
     return LG.aggregate_results(t.loglines)
 
 
-@query("src09_label_totals", "loglines", "select * from (values ('a.txt', 0, 'bedded', 7), ('a.txt', 0, 'chewing', 5), ('a.txt', 1, 'bedded', 11), ('a.txt', 1, 'chewing', 9)) as x(file, step, label, n)")
+@query("src09_label_totals", "loglines", STEPPED + r""", y as (select *, row_number() over (partition by file, step order by line_no) as k from s where in_eval and step is not null and contains(line, 'y_train (len=')),
+    z as (select file, step, unnest(['bedded', 'chewing', 'snow']) as label, line from y where k = 1), n as (select file, step, label, regexp_extract(line, concat(label, '., ([0-9]+)'), 1)::int as n from z) select * from n where n > 0""")
 def _(t):
     return LG.label_totals(t.loglines)
 
 
-@query("src09_setup_values", "loglines", "select * from (values ('a.txt', 'nsteps', '3'), ('a.txt', 'strategy', 'coresets'), ('a.txt', 'k', '5'), ('a.txt', 'nsteps', '3'), ('b.txt', 'nsteps', '1'), ('b.txt', 'k', '10'), ('b.txt', 'nsteps', '1')) as x(file, key, value)")
+@query("src09_setup_values", "loglines", STEPPED + r""" select file, split_part(line, '=', 1) as key, replace(substr(line, strpos(line, '=') + 1), '"', '') as value from s where not past_setup and contains(line, '=') and not contains(line, '===') and not line like 'Args%'
+    union all select file, k, regexp_extract(line, concat('--', k, '., .([0-9]+)'), 1) from (select *, unnest(['k', 'nsteps']) as k from s where line like 'Args%')""")
 def _(t):
-    return LG.setup_values(t.loglines.where("file <> 'c.txt'"))
+    return LG.setup_values(t.loglines)
 
 
-@query("src10_latencies", "", "select * from (values ('l', 3, 2.5::double), ('l', 7, 1.25)) as x(file, line_no, seconds)")
+@query("src10_latencies", "", """with m as (select user_id, event_id, concat(event_id, '.', lpad((round(value * 100)::bigint % 100)::varchar, 2, '0'))::double as sec, event_type as kind from events where event_type in ('click', 'view')),
+    p as (select *, lag(kind) over w as before, lag(sec) over w as since from m window w as (partition by user_id order by event_id)) select user_id::varchar as file, event_id::bigint as line_no, sec - since as seconds from p where kind = 'view' and before = 'click'""")
 def _(t):
-    rows = [("l", 1, "10.0 begin explore"), ("l", 2, "11.0 note"), ("l", 3, "12.5 end explore"), ("l", 4, "13.0 end explore"), ("l", 5, "14.0 begin explore"), ("l", 6, "15.0 begin explore"), ("l", 7, "16.25 end explore")]
-    return LG.durations(t.spark.createDataFrame(rows, "file string, line_no int, line string"), "begin explore", "end explore")
+    at = F.format_string("%d.%02d", F.col("event_id").cast("bigint"), F.col("c") % 100)
+    what = F.when(F.col("event_type") == "click", "begin explore").when(F.col("event_type") == "view", "end explore").otherwise("note")
+    rows = t.cents.select(F.col("user_id").cast("string").alias("file"), F.col("event_id").cast("bigint").alias("line_no"), F.concat_ws(" ", at, what).alias("line"))
+    return LG.durations(rows, "begin explore", "end explore")
+
+
+RESULTS = "select file, " + ", ".join(f"regexp_extract(line, '{k}: ([^|}}]*?) *[|}}]', 1){cast} as {name}" for k, name, cast in (("dataset_name", "dataset", ""), ("feature_name", "feature", ""), ("nworkers", "nworkers", "::int"), ("npipe", "npipe", "::int"), ("vidtime", "vidtime", "::double"))) + " from loglines where line like 'Results: {%'"
 
 
-@query("src11_throughput", "loglines", "select * from (values ('c.txt', 'deer', 'r3d', 4, 2, 12.5::double), ('c.txt', 'deer', 'r3d', 4, 2, 13.5), ('c.txt', 'deer', 'clip', 4, 2, 8.0)) as x(file, dataset, feature, nworkers, npipe, vidtime)")
+@query("src11_throughput", "loglines", RESULTS)
 def _(t):
     return LG.throughput(t.loglines)
 
 
-@query("ag10_feature_costs", "loglines", "select * from (values ('r3d', 13.0::double), ('clip', 8.0)) as x(feature, cost)")
+@query("ag10_feature_costs", "loglines", f"select feature, round(avg(vidtime), 6) as cost from ({RESULTS}) where dataset = 'deer' and nworkers = 4 and npipe = 2 group by feature")
 def _(t):
-    return LG.feature_costs(LG.throughput(t.loglines), "deer")
+    return LG.feature_costs(LG.throughput(t.loglines), "deer").select("feature", F.round("cost", 6).alias("cost"))
 
 
 @query("ag12_done_experiments", "vm ann", "select label, max(vid) as last, count(distinct vid) as done from ann group by label")
@@ -449,31 +473,39 @@ def _(t):
     return t.ann.groupBy("label").agg(F.max("vid").alias("last"), F.countDistinct("vid").alias("done"))
 
 
-@query("src12_bandit_series", "", "select 'b' as file, 1 as line_no, 'r3d' as feature, [0.1, 0.2]::double[] as y_k, [1000000.0, 0.05]::double[] as w_k, [1, 0.9]::double[] as u_k, [0.1, 0.15]::double[] as l_k")
+@query("src12_bandit_series", "", """select user_id::varchar as file, event_id::bigint as line_no, event_type as feature, [c % 50 / 64.0::double, c % 7 / 64.0::double] as y_k, [1000000.0::double, c % 9 / 64.0::double] as w_k, [1.0::double, 0.5] as u_k, [c % 5 / 64.0::double] as l_k
+    from (select *, round(value * 100)::bigint as c from events) where event_id % 2 = 0""")
 def _(t):
-    rows = [("b", 1, "  r3d: y_k=[0.1, 0.2], w_k=[1000000.0, 0.05], u_k=[1, 0.9], l_k=[0.1, 0.15]"), ("b", 2, "After step 2")]
-    return LG.bandit_series(t.spark.createDataFrame(rows, "file string, line_no int, line string"))
+    part = lambda n: (F.col("c") % n / F.lit(64.0)).cast("string")
+    line = F.concat(F.lit("  "), F.col("event_type"), F.lit(": y_k=["), part(50), F.lit(", "), part(7), F.lit("], w_k=[1000000.0, "), part(9), F.lit("], u_k=[1, 0.5], l_k=["), part(5), F.lit("]"))
+    rows = t.cents.select(F.col("user_id").cast("string").alias("file"), F.col("event_id").cast("bigint").alias("line_no"), F.when(F.col("event_id") % 2 == 0, line).otherwise("After step 2").alias("line"))
+    return LG.bandit_series(rows)
 
 
-@query("dml16_fixed_up", "", "select * from (values ('wait', 'exact'), ('lazy', 'fuzzy')) as x(condition, oracle)")
+@query("dml16_fixed_up", "", "select event_id, event_type as condition, case when event_id % 3 = 0 then 'exact' else event_type end as oracle from events")
 def _(t):
-    return LG.fixed_up(t.spark.createDataFrame([("suspendwait", None), ("lazy", "fuzzy")], "condition string, oracle string"))
+    condition = F.concat(F.when(F.col("event_id") % 2 == 0, "suspend").otherwise(""), "event_type")
+    return LG.fixed_up(t.events.select("event_id", condition.alias("condition"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("oracle")))
 
 
 ALIGN = [(0.1, 1.5), (0.75, 2.25), (1.5, 3.0), (2.25, 3.75), (3.0, 7.0)]
 
 
-@query("fn20_aligned", "", "select * from (values (0.0::double, 1.7::double, 0.0::double, 1.7::double), (-2, -1, -2, 1.5), (7.1, 7.2, 3.0, 7.2), (0.5, 1.6, 0.1, 1.6), (1.6, 2.3, 1.5, 3.0), (5, 8, 3.0, 8)) as x(s, e, start, \"end\")")
+@query("fn20_aligned", "", """with r as (select event_id, round(value * 100)::bigint % 800 / 100.0::double - 0.5 as s, round(value * 100)::bigint % 800 / 100.0::double - 0.5 + event_id % 30 / 10.0::double as e from events),
+    w as (select * from (values (0, 0.1::double, 1.5::double), (1, 0.75, 2.25), (2, 1.5, 3.0), (3, 2.25, 3.75), (4, 3.0, 7.0)) as x(i, ws, we)),
+    t as (select event_id, min(row(greatest(e, we) - least(s, ws) - (e - s), i, least(s, ws), greatest(e, we))) as best from r join w on we >= s and ws <= e group by event_id)
+    select r.event_id, case when s > 7.0 then 3.0 when best is not null then best[3] else s end as start, case when s > 7.0 or best is null and e >= 0.1 then e when best is not null then best[4] else 1.5 end as "end" from r left join t on r.event_id = t.event_id""")
 def _(t):
     sub = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ALIGN])
-    rows = t.spark.createDataFrame([(0.0, 1.7), (-2.0, -1.0), (7.1, 7.2), (0.5, 1.6), (1.6, 2.3), (5.0, 8.0)], "s double, e double")
-    return rows.select("s", "e", I.aligned(sub, F.col("s"), F.col("e")).alias("c")).select("s", "e", "c.start", "c.end")
+    s = F.col("c") % 800 / F.lit(100.0) - 0.5
+    rows = t.cents.select("event_id", s.alias("s"), (s + F.col("event_id") % 30 / F.lit(10.0)).alias("e"))
+    return rows.select("event_id", I.aligned(sub, F.col("s"), F.col("e")).alias("c")).select("event_id", "c.start", "c.end")
 
 
-@query("vx04_extractor_names", "", "select * from (values ('r3d_18_ap', 'r3d'), ('clip_vitb32', 'clip'), ('pot_hog', 'pot'), ('x', null)) as x(name, extractor)")
+@query("vx04_extractor_names", "", "select event_id, case event_id % 6 when 0 then 'clip' when 1 then 'r3d' when 2 then 'i3d' when 3 then 'mvit' when 4 then 'pot' end as extractor from events")
 def _(t):
-    rows = t.spark.createDataFrame([("r3d_18_ap",), ("clip_vitb32",), ("pot_hog",), ("x",)], "name string")
-    return rows.select("name", L.extractor(F.col("name")).alias("extractor"))
+    prefix = F.element_at(F.array(*map(F.lit, ("clip_", "r3d_18_", "i3d", "mvit_", "pot_", "x_clip"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return t.events.select("event_id", L.extractor(F.concat(prefix, "event_type")).alias("extractor"))
 
 
 
@@ -589,14 +621,15 @@ def _(t):
     return t.feat.select("fid", F.size(V.concat(F.col("feature"), F.when(F.col("fid") % 2 == 0, F.col("feature")))).alias("n"))
 
 
-@query("fn27_gaussian_weights", "", "select d::int as d, round(exp(-d * d / 50.0::double), 9) as w from (select unnest(range(15)) as d)")
+@query("fn27_gaussian_weights", "", "select event_id, round(exp(-d * d / 50.0::double), 9) as w from (select event_id, round(value * 100)::bigint % 150 / 10.0::double as d from events)")
 def _(t):
-    return t.spark.range(15).select(F.col("id").cast("int").alias("d"), F.round(V.gaussian_weight(F.col("id").cast("double")), 9).alias("w"))
+    return t.cents.select("event_id", F.round(V.gaussian_weight(F.col("c") % 150 / F.lit(10.0)), 9).alias("w"))
 
 
-@query("fn10_features_of_name", "", "select * from (values ('R3D_18'), ('r3d_18')) as x(name)")
+@query("fn10_features_of_name", "", "select event_id from events where event_id % 5 < 2")
 def _(t):
-    return t.spark.createDataFrame([("R3D_18",), ("r3d_18",), ("r3d_34",), (None,)], "name string").where(L.named(F.col("name"), "R3d_18"))
+    name = F.element_at(F.array(F.lit("R3D_18"), F.lit("r3d_18"), F.lit("r3d_34"), F.col("event_type"), F.lit(None).cast("string")), (F.col("event_id") % 5 + 1).cast("int"))
+    return t.events.where(L.named(name, "R3d_18")).select("event_id")
 
 
 @query("stm03_eager_sample", "vm feat", "select vid from vm where vid not in (select vid from feat where fid % 4 = 0) order by md5(concat('3:', vid::varchar)), vid limit 10")
@@ -627,7 +660,7 @@ def bounded(t, width):
 
 
 @query("bd07_elimination_steps", "", f"""with recursive s as ({BOUNDED.format('120.0::double')}),
-    e as (select experiment, map_from_entries(list((feature_name, l))) as lo, map_from_entries(list((feature_name, u))) as hi, list_sort(list(feature_name)) as f, max(len(l)) as n from s group by experiment),
+    e as (select experiment, map_from_entries(list((feature_name, l))) as lo, map_from_entries(list((feature_name, u))) as hi, list_sort(list(feature_name)) as f, len(min_by(l, feature_name)) as n from s group by experiment),
     r as (select experiment, 2 as i, f as start, list_filter(f, lambda g: len(list_filter(f, lambda h: h <> g and lo[h][3] >= hi[g][3])) = 0) as rest from e where n > 2
       union all select r.experiment, r.i + 1, r.rest, list_filter(r.rest, lambda g: len(list_filter(r.rest, lambda h: h <> g and e.lo[h][r.i + 2] >= e.hi[g][r.i + 2])) = 0) from r join e on e.experiment = r.experiment where r.i + 1 < e.n and len(r.start) <> 1),
     z as (select *, row_number() over (partition by experiment order by i desc) as last from r)

@@ -213,9 +213,9 @@ def _(t):
     return SE.whole_videos(t.vm).select("vid", "clip_start", "clip_end")
 
 
-@query("flt04_latest_model", "models", "select mid from models where feature_name = 'r3d' and not list_has_any(labels, ['error']) and list_has_all(labels, ['view']) order by creation_time desc limit 1")
+@query("flt04_latest_model", "models", "select mid from models where feature_name = 'r3d' and not list_has_any(labels, ['view']) and list_has_all(labels, ['purchase']) order by creation_time desc limit 1")
 def _(t):
-    return SE.latest_model(t.models, "r3d", ["error"], ["view"]).select("mid")
+    return SE.latest_model(t.models, "r3d", ["view"], ["purchase"]).select("mid")
 
 
 @query("flt05_model_by_id", "models", "select mid, feature_name, f1_threshold, ntrain::bigint as ntrain from models where mid = 4")
@@ -362,9 +362,9 @@ def _(t):
     return t.vm.join(t.ann.where(F.col("label").isin("signup", "error")).select("vid"), "vid", "left_semi").select("vid")
 
 
-@query("jn12_vids_without_label", "vm ann", "select vid from vm where vid not in (select vid from ann where label = 'error' and aid % 20 = 0)")
+@query("jn12_vids_without_label", "vm ann", "select vid from vm where vid not in (select vid from ann where label = 'error' and end_time - start_time > 72000)")
 def _(t):
-    return t.vm.join(t.ann.where("label = 'error' and aid % 20 = 0").select("vid"), "vid", "left_anti").select("vid")
+    return t.vm.join(t.ann.where("label = 'error' and end_time - start_time > 72000").select("vid"), "vid", "left_anti").select("vid")
 
 
 @query("jn13_time_span", "vm", "select vid, (epoch_us(v.vstart) - epoch_us(p.t0)) // 1000 / 1000.0::double as since from vm v cross join (select min(vstart) as t0 from vm) p")
@@ -503,14 +503,14 @@ def _(t):
     return FE.vids_with_all({"a": t.feat, "b": t.ann.where("label = 'signup'")})
 
 
-@query("st02_vids_without_features", "vm feat", "select vid from vm where vid not in (select vid from feat where fid % 9 = 0)")
+@query("st02_vids_without_features", "vm feat", "select vid from vm where vid not in (select vid from feat where feature[1] > 0.25)")
 def _(t):
-    return FE.missing(t.vm, t.feat.where("fid % 9 = 0"))
+    return FE.missing(t.vm, t.feat.where(F.element_at("feature", 1) > F.lit(0.25).cast("float")))
 
 
-@query("st03_unlabeled_vids", "vm ann feat", "select vid from feat where fid % 2 = 0 except select vid from ann where aid % 40 = 0")
+@query("st03_unlabeled_vids", "vm ann feat", "select vid from feat except select vid from ann where end_time - start_time > 80000")
 def _(t):
-    return t.feat.where("fid % 2 = 0").select("vid").subtract(t.ann.where("aid % 40 = 0").select("vid"))
+    return t.feat.select("vid").subtract(t.ann.where("end_time - start_time > 80000").select("vid"))
 
 
 @query("st04_new_vids", "vm", "select vid from vm where vid % 3 <> 0")
@@ -535,9 +535,9 @@ def _(t):
     return t.models.select("mid", F.concat(F.lit("["), F.array_join(u, ", "), F.lit("]")).alias("labels"))
 
 
-@query("st08_whitelisted_minus", "vm ann", "select distinct vid from ann where label in ('click', 'signup') and vid not in (select vid from ann where label = 'error' and aid % 15 = 0)")
+@query("st08_whitelisted_minus", "vm ann", "select distinct vid from ann where label in ('click', 'signup') and vid not in (select vid from ann where label = 'error' and end_time - start_time > 60000)")
 def _(t):
-    out = t.ann.where(F.col("label").isin("click", "signup")).join(t.ann.where("label = 'error' and aid % 15 = 0").select("vid"), "vid", "left_anti")
+    out = t.ann.where(F.col("label").isin("click", "signup")).join(t.ann.where("label = 'error' and end_time - start_time > 60000").select("vid"), "vid", "left_anti")
     return out.select("vid").distinct()
 
 
@@ -554,11 +554,13 @@ def _(t):
     return t.ann.join(t.vm, "vid").select("aid", F.unix_micros(I.seconds_after(F.col("vstart"), F.col("end_time"))).alias("us"))
 
 
-@query("fn14_name_numbers", "", "select * from (values ('r3d_16fps_2fstride', 16.0::double, 2.0::double, null::double), ('clip_8x4maxpool', null, null, 8.0), ('mvit', null, null, null)) as x(name, fps, stride, pool)")
+@query("fn14_name_numbers", "", "select event_id, case event_id % 3 when 0 then (c % 60)::double end as fps, case event_id % 3 when 0 then (c % 7)::double end as stride, case event_id % 3 when 1 then (c % 9)::double end as pool from (select event_id, round(value * 100)::bigint as c from events)")
 def _(t):
-    names = t.spark.createDataFrame([("r3d_16fps_2fstride",), ("clip_8x4maxpool",), ("mvit",)], "name string")
+    text = lambda n: (F.col("c") % n).cast("string")
+    name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("r3d_"), text(60), F.lit("fps_"), text(7), F.lit("fstride"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("clip_"), text(9), F.lit("x4maxpool"))).otherwise(F.col("event_type"))
+    names = t.cents.select("event_id", name.alias("name"))
     n = lambda p: L.name_number(F.col("name"), p)
-    return names.select("name", n(r"(\d+)fps").alias("fps"), n(r"(\d+)fstride").alias("stride"), n(r"(\d+)x\d+maxpool").alias("pool"))
+    return names.select("event_id", n(r"(\d+)fps").alias("fps"), n(r"(\d+)fstride").alias("stride"), n(r"(\d+)x\d+maxpool").alias("pool"))
 
 
 @query("fn15_strides", "vm", "select vid, ceil(29.97::double / (case when vid % 5 = 0 then 1 else vid % 5 end))::bigint as by_fps, ceil(vduration / 64)::bigint as per_video from vm")
@@ -591,10 +593,10 @@ def _(t):
     return SE.physical_clip(t.vm, 4, 5.0, 905.0)
 
 
-@query("fn21_unique_class", "", "select * from (values ('bedded', 'bedded'), ('chewing_bedded', 'bedded_chewing'), ('chewing_snow', 'snow'), ('bedded_grooming_travel', 'grooming'), ('a_b', null)) as x(labels, class)")
+@query("fn21_unique_class", "", "select event_id, x.class from events join (values (0, 'bedded'), (1, 'bedded_chewing'), (2, 'snow'), (3, 'grooming'), (4, null)) as x(k, class) on event_id % 5 = k")
 def _(t):
-    rows = t.spark.createDataFrame([("bedded",), ("chewing_bedded",), ("chewing_snow",), ("bedded_grooming_travel",), ("a_b",)], "labels string")
-    return rows.select("labels", L.unique_class(F.col("labels")).alias("class"))
+    known = F.get(F.array(*map(F.lit, ("bedded", "chewing_bedded", "chewing_snow", "bedded_grooming_travel"))), (F.col("event_id") % 5).cast("int"))
+    return t.events.select("event_id", L.unique_class(F.coalesce(known, F.concat("event_type", F.lit("_b")))).alias("class"))
 
 
 @query("fn23_chi_square", "feat feat2", """with p as (select a.fid, list_transform(a.feature, lambda x: abs(x::double)) as x, list_transform(b.feature, lambda x: abs(x::double)) as y from feat a join feat b on a.fid + 1 = b.fid)

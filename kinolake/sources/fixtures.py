@@ -2,62 +2,51 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LABELS = ("click", "error", "purchase", "signup", "view")
+from ..session import stored
 
-#: (mid, feature_name, creation_time, labels, f1_threshold, ntrain)
-MODELS = (
-    (1, "r3d", "2024-01-02 00:00:00", ("click", "view"), 0.4, 120),
-    (2, "r3d", "2024-01-03 00:00:00", ("click", "error", "view"), 0.35, 150),
-    (3, "clip", "2024-01-04 00:00:00", ("purchase", "signup"), 0.5, 90),
-    (4, "clip", "2024-01-05 00:00:00", ("click", "purchase", "view"), 0.3, 180),
-    (5, "r3d+clip", "2024-01-06 00:00:00", ("error", "signup"), 0.45, 60),
-    (6, "r3d", "2024-01-07 00:00:00", ("purchase", "view"), 0.25, 200),
-)
+LABELS = ("click", "error", "purchase", "signup", "view")
 
-#: (file, line number, text): lines of an experiment's log.
-LOG = (
-    ("a.txt", 1, "nsteps=3"),
-    ("a.txt", 2, "strategy=\"coresets\""),
-    ("a.txt", 3, "Args: ['--k', '5', '--nsteps', '3']"),
-    ("a.txt", 4, "*** Step 0"),
-    ("a.txt", 5, "INFO explore took 1.25 seconds"),
-    ("a.txt", 6, "multifeature explore: explore (feature ['r3d'])"),
-    ("a.txt", 7, "*** Evaluating labels"),
-    ("a.txt", 8, "y_train (len=12): [('bedded', 7), ('chewing', 5), ('snow', 0)]"),
-    ("a.txt", 9, "Training set size 12"),
-    ("a.txt", 10, "Results for split pred (len=40)"),
-    ("a.txt", 11, "Passed multilabel_threshold=0.40; best on split=0.25"),
-    ("a.txt", 12, "*** Performance {'pred_avgprecision_bedded': 0.5, 'pred_avgprecision_chewing': 0.25, 'pred_mAP': 0.375, 'pred_ml_f1_score_macro': 0.3, 'pred_ml_f1_score_bedded': 0.6}"),
-    ("a.txt", 13, "*** Step 1"),
-    ("a.txt", 14, "INFO explore took 0.75 seconds"),
-    ("a.txt", 15, "*** Evaluating labels"),
-    ("a.txt", 16, "y_train (len=20): [('bedded', 11), ('chewing', 9)]"),
-    ("a.txt", 17, "Training set size 20"),
-    ("a.txt", 18, "*** Performance {'pred_avgprecision_bedded': 0.625, 'pred_avgprecision_chewing': 0.5, 'pred_mAP': 0.5625, 'pred_ml_f1_score_macro': 0.45, 'pred_ml_f1_score_bedded': 0.7}"),
-    ("b.txt", 1, "nsteps=1"),
-    ("b.txt", 2, "Args: ['--k', '10', '--nsteps', '1']"),
-    ("b.txt", 3, "*** Step 0"),
-    ("b.txt", 4, "INFO explore took 2.5 seconds"),
-    ("b.txt", 5, "*** Evaluating labels"),
-    ("b.txt", 6, "*** Performance: 0"),
-    ("c.txt", 1, "Results: {dataset_name: deer | feature_name: r3d | nworkers: 4 | npipe: 2 | vidtime: 12.5}"),
-    ("c.txt", 2, "Results: {dataset_name: deer | feature_name: r3d | nworkers: 4 | npipe: 2 | vidtime: 13.5}"),
-    ("c.txt", 3, "Results: {dataset_name: deer | feature_name: clip | nworkers: 4 | npipe: 2 | vidtime: 8.0}"),
+#: The line of an experiment's log that an event writes, by the last digit of its number. In brackets, parts made of the event (PARTS).
+LOG_LINES = (
+    "*** Step [step]",
+    "INFO explore took [v] seconds",
+    "multifeature explore: explore (feature ['[type]'])",
+    "*** Evaluating labels",
+    "y_train (len=[c]): [('bedded', [c13]), ('chewing', [c7]), ('snow', 0)]",
+    "Training set size [c500]",
+    "Results for split pred (len=[c90])",
+    "Passed multilabel_threshold=0.[c2]; best on split=0.[c3]",
+    "*** Performance {'pred_avgprecision_bedded': 0.[c2], 'pred_avgprecision_chewing': [nan], 'pred_mAP': 0.[c3], 'pred_ml_f1_score_macro': 0.[c2]5, 'pred_ml_f1_score_bedded': 0.[c3]5}",
 )
+#: The lines of events whose number ends in 9, by type.
+OTHER_LINES = {
+    "click": "nsteps=[c9]",
+    "view": 'strategy="[type]"',
+    "signup": "Args: ['--k', '[c20]', '--nsteps', '[c9]', '--fast']",
+    "error": "Results: {dataset_name: deer | feature_name: f[c3of] | nworkers: 4 | npipe: 2 | vidtime: [v]}",
+    "purchase": "Results: {dataset_name: bears | feature_name: f[c3of] | nworkers: [c9] | npipe: 2 | vidtime: [v]}",
+}
+#: The parts as SQL over event_id, event_type and c (the value in hundredths); // is a division of whole numbers.
+PARTS = {
+    "step": "event_id // 10", "type": "event_type", "c": "c", "c13": "c % 13", "c7": "c % 7", "c500": "c % 500", "c90": "c % 90", "c9": "c % 9", "c20": "c % 20", "c3of": "c % 3",
+    "v": "concat(c // 100, '.', two(c % 100))", "c2": "two(c % 100)", "c3": "two(c // 7 % 100)", "nan": "case when c % 4 = 0 then 'nan' else concat('0.', two(c // 3 % 100)) end",
+}
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _values(rows: tuple) -> str:
-    cell = lambda v: _quoted(v) if isinstance(v, str) else f"[{', '.join(map(_quoted, v))}]" if isinstance(v, tuple) else str(v)
-    return ", ".join(f"({', '.join(map(cell, r))})" for r in rows)
+def _line_sql(spark: bool) -> str:
+    """The line of an event as an SQL expression, in Spark's or DuckDB's form."""
+    quoted = (lambda t: "'" + t.replace("'", "\\'") + "'") if spark else (lambda t: "'" + t.replace("'", "''") + "'")
+    text = lambda line: f"concat({', '.join(PARTS[x] if i % 2 else quoted(x) for i, x in enumerate(re.split(r'\[(' + '|'.join(PARTS) + r')\]', line)))})"
+    first = " ".join(f"when event_id % 10 = {i} then {text(x)}" for i, x in enumerate(LOG_LINES))
+    other = " ".join(f"when event_type = '{t}' then {text(x)}" for t, x in OTHER_LINES.items())
+    out = re.sub(r"two\(([^()]*)\)", r"lpad(cast(\1 as string), 2, '0')", f"case {first} {other} end")
+    return out.replace(" // ", " div ") if spark else out
 
 
 #: Each relation as SQL; a relation may use those before it.
@@ -78,10 +67,14 @@ CTES = {
         abs(cast(list_extract(f.feature, l.i) as double)) / (abs(cast(list_extract(f.feature, 1) as double)) + abs(cast(list_extract(f.feature, 2) as double))
         + abs(cast(list_extract(f.feature, 3) as double)) + abs(cast(list_extract(f.feature, 4) as double)) + abs(cast(list_extract(f.feature, 5) as double))) as probability
         from feat f cross join (values (1,'click'),(2,'error'),(3,'purchase'),(4,'signup'),(5,'view')) as l(i, label)""",
-    "models": f"select mid, feature_name, creation_time::timestamp as creation_time, labels, f1_threshold::double as f1_threshold, ntrain from (values {_values(MODELS)}) as m(mid, feature_name, creation_time, labels, f1_threshold, ntrain)",
-    "loglines": f"select * from (values {_values(LOG)}) as l(file, line_no, line)",
-    # scores of five features over twelve steps
-    "scores": "select concat('f', i // 12) as feature_name, i % 12 + 1 as t, ((i // 12) * 13 + (i % 12) * 7 + (i * i) % 11) / 128.0::double as y from (select unnest(range(60)) as i)",
+    # a model for each of the digits 1 to 6 that the events' numbers end in: trained on them, for the types that are at least as frequent as a fair share
+    "models": """select mid, case when mid % 3 = 0 then 'clip' when mid = 5 then 'r3d+clip' else 'r3d' end as feature_name, max(ts) as creation_time,
+        list_sort(list(event_type) filter (where n * kinds >= total)) as labels, mid / 16.0::double as f1_threshold, sum(n)::int as ntrain
+        from (select (event_id % 10)::int as mid, event_type, max(ts) as ts, count(*) as n, sum(count(*)) over (partition by event_id % 10) as total, count(*) over (partition by event_id % 10) as kinds
+        from events where event_id % 10 between 1 and 6 group by event_id % 10, event_type) group by mid""",
+    "loglines": f"select concat('u', user_id, '.txt') as file, event_id::bigint as line_no, {_line_sql(False)} as line from (select *, round(value * 100)::bigint as c from events)",
+    # mean values of the five event types over twelve steps, as shares of 128
+    "scores": "select concat('f', event_type) as feature_name, (event_id % 12 + 1)::bigint as t, sum(round(value * 100)::bigint) / (count(*) * 12800.0::double) as y from events group by all",
     # label join results used by several queries
     "labeled": """select f.fid, f.vid, f.start_time, f.end_time, coalesce(string_agg(distinct a.label, '_' order by a.label), 'none') as labels
         from feat f join vm v on f.vid = v.vid left join ann a on f.vid = a.vid and f.start_time >= a.start_time and f.end_time <= a.end_time
@@ -162,21 +155,31 @@ class Relations:
         rows = F.array(*[F.struct(F.lit(x).alias("label"), (p(i) / total).alias("probability")) for i, x in enumerate(LABELS, 1)])
         return f.select(F.lit(1).alias("mid"), "vid", "start_time", "end_time", F.explode(rows).alias("x")).select("mid", "vid", "start_time", "end_time", "x.label", "x.probability")
 
+    @cached_property
+    def cents(self) -> DataFrame:
+        """events with their value in hundredths as `c`."""
+        return self.events.withColumn("c", F.round(F.col("value") * 100).cast("bigint"))
+
     @cached_property
     def models(self) -> DataFrame:
-        rows = [(m, f, t, list(ls), th, n) for m, f, t, ls, th, n in MODELS]
-        df = self.spark.createDataFrame(rows, "mid int, feature_name string, creation_time string, labels array<string>, f1_threshold double, ntrain int")
-        return df.withColumn("creation_time", F.to_timestamp("creation_time"))
+        mid = F.col("event_id") % 10
+        own = self.events.where(mid.between(1, 6)).groupBy(mid.cast("int").alias("mid"), "event_type").agg(F.max("ts").alias("ts"), F.count("*").alias("n"))
+        w = Window.partitionBy("mid")  # a row a type
+        own = own.withColumn("often", F.col("n") * F.count("*").over(w) >= F.sum("n").over(w))
+        out = own.groupBy("mid").agg(F.max("ts").alias("creation_time"), F.array_sort(F.collect_list(F.when(F.col("often"), F.col("event_type")))).alias("labels"), F.sum("n").cast("int").alias("ntrain"))
+        name = F.when(F.col("mid") % 3 == 0, "clip").when(F.col("mid") == 5, "r3d+clip").otherwise("r3d")
+        return out.select("mid", name.alias("feature_name"), "creation_time", "labels", (F.col("mid") / F.lit(16.0)).alias("f1_threshold"), "ntrain")
 
     @cached_property
     def loglines(self) -> DataFrame:
-        return self.spark.createDataFrame(list(LOG), "file string, line_no int, line string")
+        # stored, as whoever reads the lines would repeat their making in each of its expressions
+        rows = self.cents.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".txt")).alias("file"), F.col("event_id").cast("bigint").alias("line_no"), F.expr(_line_sql(True)).alias("line"))
+        return stored(rows, "loglines")
 
     @cached_property
     def scores(self) -> DataFrame:
-        i = F.col("id")
-        f, t = F.floor(i / 12), i % 12
-        return self.spark.range(60).select(F.concat(F.lit("f"), f.cast("string")).alias("feature_name"), (t + 1).alias("t"), ((f * 13 + t * 7 + (i * i) % 11) / F.lit(128.0)).alias("y"))
+        y = F.sum("c") / (F.count("*") * F.lit(12800.0))
+        return self.cents.groupBy(F.concat(F.lit("f"), F.col("event_type")).alias("feature_name"), (F.col("event_id") % 12 + 1).cast("bigint").alias("t")).agg(y.alias("y"))
 
     @cached_property
     def clustered(self) -> DataFrame:
