@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,23 +117,21 @@ class Scorer:
     def words(self, words: list[str]) -> np.ndarray:
         """Log probabilities of words (with their start mark) of one length, summed over all segmentations."""
         n, get, none = len(words[0]), self.index.get, self.none
-        spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)]
-        ids = np.array([get(w[i:j], none) for w in words for i, j in spans], np.int64).reshape(len(words), len(spans))
-        single = np.array([j == i + 1 for i, j in spans])
-        ids[(ids == none) & single] = self.unknown
-        fwd, scale = [np.ones((len(words), self.n))], np.zeros((len(words), self.n))
-        k = 0
+        # values of the last LONGEST places only, so a word takes no more memory the longer it is
+        fwd: deque[np.ndarray] = deque([np.ones((len(words), self.n))], LONGEST)
+        scale = np.zeros((len(words), self.n))
         for j in range(1, n + 1):
+            first = max(0, j - LONGEST)
+            ids = np.array([get(w[i:j], none) for w in words for i in range(first, j)], np.int64).reshape(len(words), j - first)
+            ids[ids[:, -1] == none, -1] = self.unknown
             total = np.zeros((len(words), self.n))
-            for i in range(max(0, j - LONGEST), j):
-                total += fwd[i] * self.prob[ids[:, k]]
-                k += 1
+            for k, before in enumerate(fwd):
+                total += before * self.prob[ids[:, k]]
             fwd.append(total)
             if j % 16 == 0:  # keep the last values away from underflow
                 scale += np.log(total)
-                for b in range(max(0, j - LONGEST + 1), j + 1):
-                    fwd[b] = fwd[b] / total
-        return np.log(fwd[n]) + scale
+                fwd = deque([x / total for x in fwd], LONGEST)
+        return np.log(fwd[-1]) + scale
 
     def learn_tokens(self, tokens: set[bytes]) -> None:
         new = tokens.difference(self.known)
