@@ -15,7 +15,7 @@ such items out; the registered query and the pipeline take SHORTEST, as items of
 
 The benchmark's windows are collected and sent to the executors, sorted, only while there are at most BROADCAST_WINDOWS of them (templates and exact words
 apart), about 64 MB; a worker keeps them for all its tasks. Beyond that the documents' windows are shuffled to them, where AQE splits hot ones. Null
-texts and texts or items too short match nothing; texts of any length are whole; repeated rows get equal
+texts and texts or items too short match nothing; texts of any length are whole, and repetitive ones take no more memory than others (HITS); repeated rows get equal
 rows; null item_ids are dropped; null doc_ids are kept; extra columns are ignored; empty tables give no match.
 """
 
@@ -41,6 +41,8 @@ SHORTEST = 3
 #: Bytes of one window with its places and slots, and how many make 64 MB.
 WINDOW_BYTES = 96
 BROADCAST_WINDOWS = 64_000_000 // WINDOW_BYTES
+#: Pairs of a text's and items' windows, and windows of a text, that are held together.
+HITS = 100_000
 #: Units of measure taken as one type each. Those that are common words or letters too count as units only behind a number.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs ms kb mb gb tb w kw v a hz khz mhz ghz kmh mph usd eur gbp percent % $ € £ °c °f".split())
 AMBIGUOUS = frozenset("a in m h s t g l v w".split())
@@ -201,11 +203,14 @@ def _document_rows(docs: DataFrame, sizes: list[int]) -> DataFrame:
                 h, usable = windows(tokens, slots)
                 at = np.flatnonzero(usable)
                 same = [exact_windows(words, k) for k in (*sizes, WINDOW)]
-                values = [*slots.view(np.int64)[at[:, None] + np.arange(WINDOW)], *[None] * sum(map(len, same))]
-                places, n = np.concatenate((at, *(np.arange(len(x)) for x in same))), len(values)
-                if not n:
-                    continue
-                yield pa.record_batch({"h": pa.array(np.concatenate((h[at], *same)).view(np.int64)), "doc_id": pa.array([doc] * n, pa.int64()), "key": pa.array([key] * n, pa.int64()), "doc_at": pa.array(places, pa.int32()), "doc_slots": pa.array(values, _LISTS)})
+                hashes, places = np.concatenate((h[at], *same)), np.concatenate((at, *(np.arange(len(x)) for x in same)))
+                for a in range(0, len(hashes), HITS):
+                    n = min(HITS, len(hashes) - a)
+                    # exact words, behind the templates, have no slots
+                    own = slots.view(np.int64)[at[a : a + n, None] + np.arange(WINDOW)]
+                    ends = np.minimum(np.arange(n + 1), len(own)).astype(np.int32) * WINDOW
+                    values = pa.ListArray.from_arrays(pa.array(ends), pa.array(own.ravel()))
+                    yield pa.record_batch({"h": pa.array(hashes[a : a + n].view(np.int64)), "doc_id": pa.array([doc] * n, pa.int64()), "key": pa.array([key] * n, pa.int64()), "doc_at": pa.array(places[a : a + n], pa.int32()), "doc_slots": values})
 
     return docs.mapInArrow(rows, "h bigint, doc_id bigint, key bigint, doc_at int, doc_slots array<bigint>")
 
@@ -219,20 +224,58 @@ class Items:
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.h >> np.uint64(42)).astype(np.int64)] = True
 
-    def hits(self, text: bytes, cache: TemplateWords) -> list[tuple]:
+    def contaminants(self, text: bytes, cache: TemplateWords) -> list[int]:
+        """Items that contaminate a text (judge). Its windows that some item has are taken in order of their places, as many at a time as make HITS pairs with
+        items' windows; an item's pairs of one shift are judged once no later place can add to them, and an item that was found is left alone."""
         tokens, slots, words = template(text, cache)
         if not len(words) or not len(self.h):
             return []
         h, usable = windows(tokens, slots)
-        out = self._found(h, usable, slots)
-        for k in (*self.sizes, WINDOW):
-            out += self._found(exact_windows(words, k), True, slots)
-        return out
-
-    def _found(self, h: np.ndarray, usable: np.ndarray | bool, slots: np.ndarray) -> list[tuple]:
+        met = [self._met(h, usable)] + [self._met(exact_windows(words, k), True) for k in (*self.sizes, WINDOW)]
+        place, lo, hi = (np.concatenate(x) for x in zip(*met, strict=True))
+        order = np.argsort(place, kind="stable")
+        place, lo, hi = place[order], lo[order], hi[order]
+        ends = np.cumsum(hi - lo)
+        found: set[int] = set()
+        window, at = np.empty(0, np.int64), np.empty(0, np.int64)
+        done = 0
+        while done < len(place):
+            to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + HITS, "right")))
+            each = hi[done:to] - lo[done:to]
+            new = np.repeat(lo[done:to], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            window, at = np.concatenate((window, new)), np.concatenate((at, np.repeat(place[done:to], each)))
+            done = to
+            if found:
+                free = ~np.isin(self.item[window], np.array(sorted(found)))
+                window, at = window[free], at[free]
+            shift = at - self.at[window]
+            ready = np.ones(len(at), bool) if done == len(place) else shift + self.n[window] <= place[done]
+            found |= self._judged(window[ready], at[ready], shift[ready], slots)
+            window, at = window[~ready], at[~ready]
+        return sorted(found)
+
+    def _met(self, h: np.ndarray, usable: np.ndarray | bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, first and end of the items' windows with the same hash) of a text's windows that items have."""
         at = np.flatnonzero(self.seen[(h >> np.uint64(42)).astype(np.int64)] & usable)
         lo, hi = np.searchsorted(self.h, h[at], "left"), np.searchsorted(self.h, h[at], "right")
-        return [(int(self.item[k]), int(self.n[k]), int(self.usable[k]), int(self.at[k]), int(self.rank[k]), int(p), self.slots[k], slots[p : p + WINDOW]) for p, a, b in zip(at, lo, hi, strict=True) for k in range(a, b)]
+        return at[hi > lo], lo[hi > lo], hi[hi > lo]
+
+    def _judged(self, window: np.ndarray, at: np.ndarray, shift: np.ndarray, slots: np.ndarray) -> set[int]:
+        """Items found among whole groups of one item and shift."""
+        found: set[int] = set()
+        if not len(window):
+            return found
+        order = np.lexsort((shift, self.item[window]))
+        window, at, shift = window[order], at[order], shift[order]
+        item = self.item[window]
+        cut = np.flatnonzero((item[1:] != item[:-1]) | (shift[1:] != shift[:-1])) + 1
+        starts, stops = np.concatenate(([0], cut)), np.concatenate((cut, [len(item)]))
+        # fewer windows than the shortest run that counts can't match
+        least = np.minimum(SPAN - WINDOW + 1, np.minimum(self.n[window[starts]], np.maximum(1, self.usable[window[starts]])))
+        for a, b in zip(starts[stops - starts >= least], stops[stops - starts >= least], strict=True):
+            if int(item[a]) not in found:
+                found.update(judge([(int(item[k]), int(self.n[w]), int(self.usable[w]), int(self.at[w]), int(self.rank[w]), int(p), self.slots[w], slots[p : p + WINDOW]) for k, w, p in zip(range(a, b), window[a:b], at[a:b], strict=True)]))
+        return found
 
 
 #: A worker's sorted items, under the name of the run that sent them.
@@ -263,7 +306,7 @@ def _by_broadcast(rows: DataFrame, ref: DataFrame, sizes: list[int]) -> DataFram
             _ITEMS[run] = Items(*sent.value)
         ref_items, cache = _ITEMS[run], TemplateWords()
         for batch in batches:
-            found = [judge(ref_items.hits(text, cache)) for text in byte_texts(batch.column("text"))]
+            found = [ref_items.contaminants(text, cache) for text in byte_texts(batch.column("text"))]
             yield pa.record_batch({n: batch.column(n) for n in batch.schema.names} | {"contaminated": pa.array([bool(x) for x in found], pa.bool_()), "item_ids": pa.array(found, _LISTS)})
 
     return rows.mapInArrow(check, StructType([*rows.schema.fields, *_VERDICT]))

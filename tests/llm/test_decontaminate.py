@@ -151,3 +151,20 @@ def test_as_brute_force(documents, spark):
     for kw in ({}, {"broadcast_windows": 0}):
         got = {r["doc_id"]: r["item_ids"] for r in C.decontaminate(documents(rows), bench, shortest=C.SHORTEST, **kw).collect()}
         assert got == want
+
+
+def test_repetitive_items_and_texts_as_brute_force(documents, spark, monkeypatch):
+    """Few words, so windows meet in many places; pairs are judged a few at a time."""
+    import random
+
+    monkeypatch.setattr(C, "HITS", 13)
+    rnd = random.Random(5)
+    make = lambda n, vocab: " ".join(rnd.choice(vocab) for _ in range(n))
+    items = [(i, make(rnd.choice([8, 10, 14, 20]), ["a", "b", "3"][: 1 + i % 3])) for i in range(9)]
+    rows = [(k, make(rnd.randrange(45), ["a", "b", "3", "4"][: 1 + k % 4])) for k in range(40)]
+    want = brute(items, rows, C.SHORTEST)
+    assert any(want.values()) and not all(want.values())
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for kw in ({}, {"broadcast_windows": 0}):
+        got = {r["doc_id"]: r["item_ids"] for r in C.decontaminate(documents(rows), bench, shortest=C.SHORTEST, **kw).collect()}
+        assert got == want

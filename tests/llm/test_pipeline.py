@@ -85,3 +85,34 @@ def test_null_and_repeated_doc_ids_stay(spark):
     order = [r["source"] for r in four.collect()]
     assert sum(a != b for a, b in zip(order, order[1:], strict=False)) >= 3
     assert P.tokens(spark, four, SF).count() == four.count()
+
+
+CLASHES = "lang_pred score contaminated item_ids words slot rest row key size nth tie file place number none id hash at r c0 _words _slot _key _id component_id held_out".split()
+
+
+def test_extra_columns_of_any_name(spark):
+    """Columns named like the stages' own, with dots, and of a map type go through all stages unchanged."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = F.create_map(F.lit("k"), F.col("doc_id").cast("string"))
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES], odd.alias("a.map"))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in P.STAGES[:-1]:
+        out, without = stage(spark, docs, SF), stage(spark, plain, SF)
+        assert out.columns == docs.columns and out.schema == docs.schema, name
+        got = out.collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((r["doc_id"], r["text"]) for r in without.collect()), name
+        assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in CLASHES) and all(r["a.map"] == {"k": str(r["doc_id"])} for r in got)
+    assert P.tokens(spark, docs, SF).count() == 60
+
+
+def test_rows_of_files_and_others_are_told_apart_alike(spark, tmp_path):
+    """Equal rows, and rows with the same doc_id: one of each group stays, whether rows come from files or not."""
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words, "en", "a", 1), (1, words, "en", "a", 1), (2, words + " more", "en", "b", 2), (5, "quite another text of its own here", "en", "a", 3), (5, "one more with the same id as another", "en", "a", 4), (None, words, "en", "c", 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(3).write.parquet(str(tmp_path / "d"))
+    for df in (docs, spark.read.parquet(str(tmp_path / "d"))):
+        got = sorted((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, df, SF).collect())
+        assert got == sorted([(1, words), (5, rows[3][1]), (5, rows[4][1])])
