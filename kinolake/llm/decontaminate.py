@@ -232,6 +232,8 @@ class Items:
             return []
         h, usable = windows(tokens, slots)
         met = [self._met(h, usable)] + [self._met(exact_windows(words, k), True) for k in (*self.sizes, WINDOW)]
+        if not any(len(x[0]) for x in met):
+            return []
         place, lo, hi = (np.concatenate(x) for x in zip(*met, strict=True))
         order = np.argsort(place, kind="stable")
         place, lo, hi = place[order], lo[order], hi[order]
