@@ -85,6 +85,17 @@ def cutoff(budget: int, model_seconds: float, user_seconds: float) -> int:
     return budget - -(-int(model_seconds * 1000) // max(1, int(user_seconds * 1000)))
 
 
+def train_starts(budgets: DataFrame, user: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """BD08 for sessions (keys): how many clips are still to be labelled when training starts. budgets has the clips of a round (`budget`), user and model a row a time taken
+    (`seconds`). ceil(median model time / median label time) clips before the end; -1 if that is the whole round or more, so training uses the last round's labels;
+    1 where no time is known yet, or labels take none."""
+    mid = lambda rows, name: rows.groupBy(*keys).agg(F.median("seconds").alias(name))
+    both = budgets.join(mid(user, "_u"), keys, "left").join(mid(model, "_m"), keys, "left")
+    n = F.ceil(F.col("_m") / F.col("_u"))
+    start = F.when(F.coalesce(F.col("_u"), F.lit(0.0)) <= 0, 1).when(F.col("_m").isNull(), 1).when(n < F.col("budget"), n).otherwise(-1)
+    return both.select(*keys, start.cast("bigint").alias("train_start"))
+
+
 def eliminations(series: DataFrame, keys: list[str]) -> DataFrame:
     """BD07: when each feature of an experiment (keys) goes, (*keys, feature_name, step), from full series of lower and upper bounds: rows
     (*keys, feature_name, l, u), l and u arrays over steps counted from 0.

@@ -56,10 +56,15 @@ def predictions_added(predictions: DataFrame, sets: DataFrame, mid: int) -> Data
     return predictions.unionByName(tall).dropDuplicates()
 
 
-def features_added(features: DataFrame, new: DataFrame) -> DataFrame:
-    """SNK01: rows of new get ids after the largest, by (vid, start_time, end_time)."""
+def features_numbered(features: DataFrame, new: DataFrame) -> DataFrame:
+    """SNK01: the rows of new with ids after the largest of features, by (vid, start_time, end_time)."""
     ids = new.crossJoin(F.broadcast(top(features, "fid")))
-    return features.unionByName(numbered(ids, "fid", F.col("_top"), ["vid", "start_time", "end_time"]).drop("_top"))
+    return numbered(ids, "fid", F.col("_top"), ["vid", "start_time", "end_time"]).drop("_top")
+
+
+def features_added(features: DataFrame, new: DataFrame) -> DataFrame:
+    """SNK01: features and the rows of new with their ids."""
+    return features.unionByName(features_numbered(features, new))
 
 
 def write_features(features: DataFrame, path: str, feature_name: str, max_rows: int = 50_000) -> None:

@@ -28,19 +28,22 @@ def session(master: str | None = None, app: str = "kinolake", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the folder that driver and executors share (spark.checkpoint.dir; unset, a folder of this machine on a local master only) and reads it
-    back: what hangs on partitions is then decided once, whatever is run again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder below the one that driver and executors share (spark.checkpoint.dir; unset, a folder of this machine on a local master only)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="kinolake-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/kinolake-{name}-{uuid.uuid4().hex}"
+    return f"{root}/kinolake-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to a shared folder and reads it back: what hangs on partitions is then decided once, whatever is run again."""
+    path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Scheduler pools of a front end (STM07): answers to the user first, then predictions and training, then eager extraction.

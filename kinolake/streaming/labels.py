@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import labels as LB
+from ..operators import models as M
+from ..operators import store as ST
+
 OUT = "vid long, label string, start_time double, end_time double"
 
 
@@ -38,16 +45,90 @@ def coalescing(labels: DataFrame) -> DataFrame:
     return labels.groupBy("vid", "label").applyInPandasWithState(step, OUT, "starts array<double>, ends array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def appended(stream: DataFrame, path: str, checkpoint: str, partition: str | None = None):
-    """STM01, STM02: feature or prediction rows appended batch by batch; a batch that is run again overwrites its own folder only."""
+def appended(stream: DataFrame, path: str, checkpoint: str, partition: str | None = None, mode: str = "append") -> StreamingQuery:
+    """STM01, STM02: feature or prediction rows appended batch by batch; a batch that is run again overwrites its own folder only. `mode` is the stream's output mode."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = batch.write.mode("overwrite")
         (out.partitionBy(partition) if partition else out).parquet(f"{path}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _each(stream, write, checkpoint, mode)
 
 
 def on_labels(stream: DataFrame, retrain: Callable[[DataFrame, int], None], checkpoint: str):
     """STM05: each batch of new labels triggers `retrain`; the checkpoint keeps a batch from being taken twice (STM04)."""
-    return stream.writeStream.foreachBatch(retrain).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _each(stream, retrain, checkpoint)
+
+
+def arriving(rows: DataFrame, phase: Column, phases: int, folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """A table as it would arrive: the rows of phase 0, 1, ... are appended to a folder that a stream reads, and the query that `start` makes of the stream is started
+    after each and goes on from its checkpoint. A phase without rows arrives too; rows whose phase is null or outside never do."""
+    spark = rows.sparkSession
+    for i in range(phases):
+        rows.where(phase == i).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
+
+
+def before(like: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """The rows that earlier batches than this one appended to the path; what this batch wrote before it was run again isn't among them."""
+    try:
+        return like.sparkSession.read.parquet(path).where(F.col("batch") < batch_id).select(*like.columns)
+    except AnalysisException:  # nothing has been written yet
+        return like.limit(0)
+
+
+def _each(stream: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    return stream.writeStream.outputMode(mode).foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def features_appended(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """STM01: feature rows (vid, start_time, end_time and others) appended batch by batch with dense fids after the largest of earlier batches, in a batch by (vid, start_time,
+    end_time). A batch that is run again overwrites its own folder and gives the same fids; rows that agree in all three may swap theirs."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        old = before(batch.withColumn("fid", F.lit(0).cast("bigint")), path, batch_id)
+        ST.features_numbered(old, batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _each(stream, write, checkpoint)
+
+
+def predictions_appended(stream: DataFrame, run: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """STM02: feature windows as they arrive; `run` (feature rows to prediction rows) predicts those of a batch that no earlier batch predicted, and the rows are appended.
+    Windows are told apart by (vid, start_time, end_time); equal ones of one batch are all predicted."""
+    key = ["vid", "start_time", "end_time"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        old = before(batch.select(*key), path, batch_id).distinct()
+        run(batch.join(old, key, "left_anti")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _each(stream, write, checkpoint)
+
+
+def requested(requests: DataFrame, done: DataFrame, key: tuple[str, ...] = ("vid", "feature_name")) -> DataFrame:
+    """STM04: of a stream of requests, those that neither are done (a table) nor were asked for earlier in the stream: each key once. The state is a row a key, which is bounded
+    by the videos times the features, so there is no watermark."""
+    return requests.select(*key).join(done.select(*key).distinct(), list(key), "left_anti").dropDuplicates(list(key))
+
+
+def trained_on_labels(stream: DataFrame, path: str, checkpoint: str, feature_name: str, train: Callable[[DataFrame], DataFrame], allow_stale: bool = False, least_labels: int = 15) -> StreamingQuery:
+    """STM05: labels (with label_time) are appended to path/labels batch by batch; where the rule of ML12 asks for a model after a batch, `train` (all labels so far, to one row of
+    labels and ntrain) makes one, and a row (mid, feature_name, creation_time, labels, ntrain) is appended to path/models. Its creation_time is that of its newest label,
+    so that a batch run again gives the same row."""
+    models = stream.sparkSession.createDataFrame([], "mid int, feature_name string, creation_time timestamp, labels array<string>, ntrain long")
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/labels/batch={batch_id}")
+        so_far = before(batch, f"{path}/labels", batch_id + 1)
+        known = before(models, f"{path}/models", batch_id)
+        if M.needs_training(known, so_far, feature_name, allow_stale, least_labels):
+            newest = so_far.agg(F.max("label_time").alias("creation_time"))
+            row = train(so_far).crossJoin(newest).crossJoin(ST.top(known, "mid"))  # one row each
+            row = row.select((F.col("_top") + 1).cast("int").alias("mid"), F.lit(feature_name).alias("feature_name"), "creation_time", "labels", F.col("ntrain").cast("long"))
+            row.write.mode("overwrite").parquet(f"{path}/models/batch={batch_id}")
+
+    return _each(stream, take, checkpoint)
+
+
+def current_intervals(emitted: DataFrame) -> DataFrame:
+    """STM06: the intervals of a (vid, label) after all batches, from everything that `coalescing` has emitted: an emitted interval lies in the last one that grew from it."""
+    return LB.coalesced(emitted)
