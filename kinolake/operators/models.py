@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -123,23 +123,32 @@ def best_threshold(scored: DataFrame) -> DataFrame:
     return pick.select(F.when(F.col("classes") == 1, F.lit(0.5)).otherwise(F.col("threshold")).alias("threshold"), "f1")
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
-    """ML07: per class the sum of precision times the step of recall over falling probabilities, equal probabilities together; null without a positive.
-
-    Classes are few and rows many, so the running counts are taken over distinct probabilities, summed first."""
+def running(scored: DataFrame) -> DataFrame:
+    """Per class and distinct probability p positives of n rows, and with all that are more probable `tp` of `seen`. Classes are few and rows many, so the running
+    counts are taken over distinct probabilities, summed first."""
     ties = scored.groupBy("label", "probability").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
     w = Window.partitionBy("label").orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, 0)
-    run = ties.withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("n").over(w))
-    return run.groupBy("label").agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("seen")), F.sum("p")).alias("average_precision"))
+    return ties.withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("n").over(w))
+
+
+def average_precision(scored: DataFrame) -> DataFrame:
+    """ML07: per class the sum of precision times the step of recall over falling probabilities, equal probabilities together; null without a positive."""
+    return running(scored).groupBy("label").agg(_precision())
+
+
+def _precision() -> Column:
+    return F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("seen")), F.sum("p")).alias("average_precision")
 
 
 def metrics(scored: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """ML07: one row: macro and micro F1 and accuracy at the threshold, and mAP over classes that have positives."""
-    counts = counts_at(scored, (threshold,))
-    per = f1_scores(counts).agg(F.avg("f1").alias("f1_macro"), F.avg("accuracy").alias("accuracy_macro"))
-    whole = f1_scores(counts.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])).select(F.col("f1").alias("f1_micro"), F.col("accuracy").alias("accuracy_micro"))
-    ap = average_precision(scored).agg(F.avg("average_precision").alias("map"))
-    return per.crossJoin(whole).crossJoin(ap)  # one row each
+    """ML07: one row: macro and micro F1 and accuracy at the threshold, and mAP over classes that have positives. The rows are scored once: all of it comes from the counts by
+    class and probability."""
+    hit, pos, neg = F.col("probability") >= threshold, F.col("p"), F.col("n") - F.col("p")
+    n = lambda c, x: F.sum(F.when(c, x).otherwise(0))
+    per = f1_scores(running(scored).groupBy("label").agg(n(hit, pos).alias("_tp"), n(hit, neg).alias("_fp"), n(~hit, pos).alias("_fn"), n(~hit, neg).alias("_tn"), _precision()).withColumnsRenamed({f"_{c}": c for c in ("tp", "fp", "fn", "tn")}))
+    means = [F.avg("f1").alias("f1_macro"), F.avg("accuracy").alias("accuracy_macro"), F.avg("average_precision").alias("map")]
+    one = f1_scores(per.agg(*means, *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]))
+    return one.select("f1_macro", "accuracy_macro", F.col("f1").alias("f1_micro"), F.col("accuracy").alias("accuracy_micro"), "map")
 
 
 def top_k_accuracy(scored: DataFrame, k: int) -> DataFrame:

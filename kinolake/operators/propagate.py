@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .store import placed_in
 
 
 def cluster_stats(rows: DataFrame, distance: str = "distance") -> DataFrame:
@@ -86,11 +87,11 @@ def augmentation_quality(augmented_rows: DataFrame, rows: DataFrame) -> tuple[Da
 
 
 def temporal_sample(rows: DataFrame, share: float, prefix: Column, order: str) -> DataFrame:
-    """WN06: of each prefix group the first ceil(ceil(share n) / groups) rows in sort order."""
-    sized = rows.withColumn("_p", prefix)
-    state = F.broadcast(sized.agg(F.ceil(F.lit(share) * F.count("*")).alias("_size"), F.countDistinct("_p").alias("_groups")))
-    ranked = sized.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    return ranked.crossJoin(state).where(F.col("_n") <= F.ceil(F.col("_size") / F.col("_groups"))).drop("_p", "_n", "_size", "_groups")
+    """WN06: of each prefix group the first ceil(ceil(share n) / groups) rows in sort order; the last row of several equal ones is by chance of their places. Null is no group of its
+    own in the number of groups. A group's rows lie in many partitions, so one that holds most rows isn't one task."""
+    sized = rows.agg(F.ceil(F.lit(share) * F.count("*")).alias("_size"), F.countDistinct(prefix).alias("_groups"))
+    placed = placed_in(rows, prefix, [order]).crossJoin(F.broadcast(sized))  # one row
+    return placed.where(F.col("_place") <= F.ceil(F.col("_size") / F.col("_groups"))).select(*rows.columns)
 
 
 def least_certain(predictions: DataFrame, k: int) -> DataFrame:

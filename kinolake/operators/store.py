@@ -21,6 +21,13 @@ def numbered(rows: DataFrame, id_column: str, start: Column | int, order: list)
     return placed.withColumn("_p", part).join(offsets, "_p").withColumn(id_column, (first + F.col("_before") + place + 1).cast("bigint")).drop("_p", "_m", "_before")
 
 
+def placed_in(rows: DataFrame, group: Column, order: list) -> DataFrame:
+    """rows with `_g`, their group, and `_place`, their place in it from 1 in the given order. Rows are numbered over all groups first, so no group is one task; null is a group."""
+    ids = numbered(rows.withColumn("_g", group), "_id", 0, ["_g", *order])
+    firsts = ids.groupBy(F.col("_g").alias("_of")).agg(F.min("_id").alias("_first"))  # a row a group
+    return ids.join(firsts, F.col("_g").eqNullSafe(F.col("_of"))).withColumn("_place", F.col("_id") - F.col("_first") + 1).drop("_id", "_of", "_first")
+
+
 def top(table: DataFrame, id_column: str) -> DataFrame:
     """One row: the largest id, 0 without any."""
     return table.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import choice_queries, store_queries, stream_queries, video_queries  # noqa: F401  they register
+from . import choice_queries, store_queries, strategy_queries, stream_queries, video_queries  # noqa: F401  they register
 from .registry import ORACLES, QUERIES
 
 
