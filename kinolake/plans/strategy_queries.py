@@ -21,10 +21,10 @@ def _(t):
     return S.random_budget(labeled(t), 0.07, "labels", seed=3)
 
 
-# fewer rows to take than strata: no strata
+# fewer rows to take than strata, as each row is one: no strata, in tables of any size
 @query("ml15_random_few", "labeled", """select fid from labeled order by md5(concat('0:', fid)), fid limit (select ceil(0.002::double * count(*))::bigint from labeled)""")
 def _(t):
-    return S.random_budget(labeled(t), 0.002, "labels")
+    return S.random_budget(labeled(t), 0.002, "fid")
 
 
 @query("ml16_random_budget", "feat", "select fid from feat order by md5(concat('5:', fid)), fid limit (select ceil(0.13::double * count(*))::bigint from feat)")

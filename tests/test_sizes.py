@@ -1,8 +1,14 @@
 """What failed, or took too long, on larger tables."""
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from kinolake.operators import select as SL
+from kinolake.plans import all_oracles, all_queries
+
+DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("n", [4, 50, 9_999, 10_001, 40_000])
@@ -14,3 +20,13 @@ def test_harmonic_sums(n, power):
 def test_uniformity_of_very_many_seconds():
     """10 ** 11 seconds of labels: a sum over all ranks would need 800 GB."""
     assert SL.ad_uniform({x: 2e10 for x in "abcde"}) and not SL.ad_uniform({"a": 9e10, "b": 1e9, "c": 1e9})
+
+
+def test_random_few_equals_its_sql_with_more_rows_than_strata(spark, tmp_path):
+    spark.range(7000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.read.parquet(f"{DATA}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    for t in ("embeddings", "events"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {r["fid"] for r in all_queries()["ml15_random_few"](spark, str(tmp_path)).collect()}
+    assert got == {f for (f,) in con.sql(all_oracles()["ml15_random_few"]).fetchall()} and len(got) == 42
