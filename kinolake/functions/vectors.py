@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, even where f uses it once an element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def doubles(x: Column) -> Column:
     return x.cast("array<double>")
 
@@ -26,14 +33,12 @@ def norm(a: Column, p: int = 2) -> Column:
 
 def normalised(a: Column, p: int = 2) -> Column:
     """FN24; a zero vector stays as it is."""
-    n = norm(a, p)
-    return F.when(n > 0, F.transform(doubles(a), lambda x: x / n)).otherwise(doubles(a))
+    return _once(doubles(a), lambda x: _once(norm(x, p), lambda n: F.when(n > 0, F.transform(x, lambda v: v / n)).otherwise(x)))
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(doubles(a))
-    e = F.transform(doubles(a), lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / _sum(e))
+    e = _once(doubles(a), lambda x: _once(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))))
+    return _once(e, lambda x: _once(_sum(x), lambda total: F.transform(x, lambda v: v / total)))
 
 
 def margin(probabilities: Column) -> Column:

@@ -1,10 +1,13 @@
 """What failed, or took too long, on larger tables."""
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinolake.functions import vectors as V
 from kinolake.operators import select as SL
 from kinolake.plans import all_oracles, all_queries
 
@@ -30,3 +33,16 @@ def test_random_few_equals_its_sql_with_more_rows_than_strata(spark, tmp_path):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     got = {r["fid"] for r in all_queries()["ml15_random_few"](spark, str(tmp_path)).collect()}
     assert got == {f for (f,) in con.sql(all_oracles()["ml15_random_few"]).fetchall()} and len(got) == 42
+
+
+def test_softmax_and_norms_of_long_vectors(spark):
+    """Sums and maxima are taken once a row, not once a place."""
+    x = np.random.default_rng(1).normal(size=(20, 2000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(20, None), (21, [0.0, 0.0])], "i long, v array<double>")
+    start = time.monotonic()
+    got = df.select("i", V.softmax(F.col("v")).alias("s"), V.normalised(F.col("v"), 1).alias("n"), V.normalised(F.col("v")).alias("m")).orderBy("i").collect()
+    assert time.monotonic() - start < 30
+    e = np.exp(x)
+    for r, a, s in zip(got, x, e, strict=False):
+        assert np.allclose(r["s"], s / s.sum()) and np.allclose(r["n"], a / np.abs(a).sum()) and np.allclose(r["m"], a / np.linalg.norm(a))
+    assert got[20][1:] == (None, None, None) and got[21][1:] == ([0.5, 0.5], [0.0, 0.0], [0.0, 0.0])
