@@ -23,8 +23,8 @@ def vectors_of(column: pd.Series) -> np.ndarray:
     return np.array([np.asarray(x, np.float64) for x in column]).reshape(len(column), -1)
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of a to all of b, in blocks of rows so that differences are exact for close points."""
+def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of a to all of b from differences, in blocks of rows."""
     out = np.empty((len(a), len(b)))
     step = max(1, 4_000_000 // max(1, b.size))
     for i in range(0, len(a), step):
@@ -33,6 +33,39 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of a to all of b by products of matrices, in tiles. Where little is left of the norms, and so of the digits (close or
+    infinite points), they are taken from differences."""
+    out = np.empty((len(a), len(b)))
+    own, other = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    for i in range(0, len(a), 128):
+        for j in range(0, len(b), 2048):
+            one, two = a[i : i + 128], b[j : j + 2048]
+            with np.errstate(invalid="ignore", over="ignore"):
+                square = (-2.0 * one) @ two.T
+                square += own[i : i + 128, None]
+                square += other[j : j + 2048]
+                if not square.min() >= 0.01 * (own[i : i + 128].max() + other[j : j + 2048].max()):
+                    x, y = np.nonzero(~(square >= 0.01 * (own[i : i + 128, None] + other[j : j + 2048])))
+                    for k in range(0, len(x), 20_000):
+                        d = one[x[k : k + 20_000]] - two[y[k : k + 20_000]]
+                        square[x[k : k + 20_000], y[k : k + 20_000]] = np.einsum("ij,ij->i", d, d)
+                np.sqrt(square, out=out[i : i + 128, j : j + 2048])
+    return out
+
+
+def nearest_row(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of a the nearest of b, the first of equals, and its distance, both from differences where others are as close but for rounding."""
+    d = distances(a, b)
+    best = d.argmin(axis=1)
+    close = d <= d[np.arange(len(d)), best][:, None] * (1 + 1e-12)
+    for i in np.flatnonzero(close.sum(axis=1) > 1):
+        at = np.flatnonzero(close[i])
+        best[i] = at[differences(a[i : i + 1], b[at])[0].argmin()]
+    gap = a - b[best]
+    return best, np.sqrt(np.einsum("ij,ij->i", gap, gap))
+
+
 def nearest_of(node: np.ndarray, sums: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each cluster (a row of distance sums to all clusters) the nearest other one by mean distance and that distance; the first of equals."""
     mean = sums / (sizes[node][:, None] * sizes[None, :])
@@ -41,10 +74,10 @@ def nearest_of(node: np.ndarray, sums: np.ndarray, sizes: np.ndarray) -> tuple[n
     return best, mean[np.arange(len(node)), best]
 
 
-def reciprocal(nearest: np.ndarray, height: np.ndarray) -> np.ndarray:
-    """Pairs (a, b), a < b, that are each other's nearest. Rounding may leave ties without a pair: then the closest cluster and its nearest."""
+def reciprocal(nearest: np.ndarray, height: np.ndarray, most: float = np.inf) -> np.ndarray:
+    """Pairs (a, b), a < b, that are each other's nearest, up to a height. Rounding may leave ties without a pair: then the closest cluster and its nearest."""
     own = np.arange(len(nearest))
-    pairs = np.stack([own, nearest], axis=1)[(nearest[nearest] == own) & (own < nearest)]
+    pairs = np.stack([own, nearest], axis=1)[(nearest[nearest] == own) & (own < nearest) & (height <= most)]
     if not len(pairs):
         i = int(height.argmin())
         pairs = np.array([sorted((i, int(nearest[i])))])
@@ -67,66 +100,141 @@ def _folded(sums: np.ndarray, to: np.ndarray) -> np.ndarray:
     return out
 
 
-def dendrogram(points: np.ndarray, session, small: int = 1024) -> list[tuple[int, int, float]]:
-    """All merges of average linkage (a row of each part, the height), by rounds of reciprocal nearest neighbours, which this linkage
-    may merge in any order. A cluster is a row of sums of distances to all others; rows lie in Spark partitions, each round folds the columns and adds the rows
-    that merge, in one shuffle. When `small` clusters are left, their matrix (8 small ** 2 bytes) is finished at the driver. points: the bounded sample."""
+def _pieces(sizes: np.ndarray, most: int = 128) -> np.ndarray:
+    """Bounds of pieces of about `most` points in a row of clusters of these sizes: whole small clusters, or a part of one larger than a piece."""
+    bounds, room = [0], 0
+    for size in sizes:
+        if room and room + size > most:
+            bounds.append(bounds[-1] + room)
+            room = 0
+        while size > most:
+            bounds.append(bounds[-1] + most)
+            size -= most
+        room += int(size)
+    return np.array(bounds + [bounds[-1] + room] if room else bounds)
+
+
+def _by_size(rows: np.ndarray, sizes: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Columns of points, in clusters from the smallest to the largest (rank: the clusters in that order), added to columns of clusters."""
+    out, at = np.empty((len(rows), len(sizes))), 0
+    ranked = sizes[rank]
+    for size in np.unique(ranked):
+        own = rank[np.searchsorted(ranked, size) : np.searchsorted(ranked, size, "right")]
+        block = rows[:, at : at + len(own) * size]
+        at += len(own) * size
+        if size > 16:
+            out[:, own] = np.add.reduceat(block, np.arange(0, block.shape[1], size), axis=1)
+        else:
+            out[:, own] = sum(block[:, k::size] for k in range(size))
+    return out
+
+
+def _sums_of(session, shared, own: np.ndarray, wanted: np.ndarray, nearest: bool) -> DataFrame:
+    """(node, near, height, sums): of the wanted clusters (own: the cluster of each point) the sums of distances to all clusters, or, with nearest, where a cluster lies in one piece,
+    only the nearest one and its height. A cluster cut into pieces has a row of sums a piece. Distances are computed from the points and not kept."""
+    order, sizes = np.argsort(own, kind="stable"), np.bincount(own)
+    starts = np.cumsum(sizes) - sizes
+    rank = np.argsort(sizes, kind="stable")
+    ranked = np.argsort(np.argsort(rank)[own], kind="stable")
+    mine = np.concatenate([order[starts[c] : starts[c] + sizes[c]] for c in wanted])
+    bounds = _pieces(sizes[wanted])
+    many = len(bounds) - 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        points = shared.value
+        by_cluster = points[ranked]
+        for b in batches:
+            for piece in b["id"]:
+                at = mine[bounds[piece] : bounds[piece + 1]]
+                node, first, count = np.unique(own[at], return_index=True, return_counts=True)
+                rows = _by_size(distances(points[at], by_cluster), sizes, rank)
+                rows = rows if len(node) == len(at) else np.add.reduceat(rows, first, axis=0)
+                whole = (count == sizes[node]) & nearest
+                near, height = nearest_of(node, rows, sizes)
+                yield pd.DataFrame({"node": node, "near": near, "height": height, "sums": [None if w else r.tobytes() for w, r in zip(whole, rows, strict=True)]})
+
+    tasks = min(many, max(4 * session.sparkContext.defaultParallelism, many // 64))
+    return session.range(0, many, 1, tasks).mapInPandas(run, "node long, near long, height double, sums binary")
+
+
+def _added(group: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a cluster from those of its parts."""
+    total = sum(np.frombuffer(x) for x in group["sums"])
+    return pd.DataFrame({"node": group["node"].iloc[:1], "sums": [total.tobytes()]})
+
+
+def _nearest_from(rows: DataFrame, sizes: np.ndarray) -> pd.DataFrame:
+    """(node, near, height) of stored sums (node, sums): a row a cluster of the sample."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 256):
+                node = b["node"].to_numpy()[i : i + 256]
+                near, height = nearest_of(node, np.stack([np.frombuffer(x) for x in b["sums"][i : i + 256]]), sizes)
+                yield pd.DataFrame({"node": node, "near": near, "height": height})
+
+    return rows.mapInPandas(run, "node long, near long, height double").toPandas()
+
+
+def dendrogram(points: np.ndarray, session, small: int = 1024, clusters: int = 1) -> list[tuple[int, int, float]]:
+    """The merges of average linkage (a row of each part, the height) that leave `clusters` clusters, and maybe more of them, by rounds of reciprocal nearest neighbours, which this linkage
+    may merge in any order. As a merge brings nothing nearer to another cluster, a round looks anew only at merged clusters and those whose nearest one merged, and
+    none above the height of the last merge that is needed counts.
+
+    The clusters' sums of distances are computed from the points each time: nothing of the size of the square of the sample is kept. When `small` clusters are left, their
+    matrix (8 small ** 2 bytes) is finished at the driver. points: the bounded sample."""
     n = len(points)
-    sizes, one = np.ones(n), np.arange(n)
+    need = n - max(1, clusters)
+    sizes, one, own = np.ones(n), np.arange(n), np.arange(n)
     merges: list[tuple[int, int, float]] = []
-    if n > small:
-        shared = session.sparkContext.broadcast(points)
-        spread = max(session.sparkContext.defaultParallelism, -(-8 * n * n // (64 << 20)))
+    if need <= 0:
+        return merges
 
-        def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for i in range(0, len(b), 256):
-                    node = b["id"].to_numpy()[i : i + 256]
-                    rows = distances(shared.value[node], shared.value)
-                    yield pd.DataFrame({"node": node, "sums": [r.tobytes() for r in rows]})
+    def highest() -> float:
+        """No merge above it is needed."""
+        return np.inf if len(merges) < need else float(np.partition([h for _, _, h in merges], need - 1)[need - 1])
+
+    def merged(pairs: np.ndarray, height: np.ndarray) -> np.ndarray:
+        nonlocal sizes, one, own
+        merges.extend((int(one[a]), int(one[b]), float(height[a])) for a, b in pairs)
+        to, kept = _after(pairs, len(one))
+        sizes, one, own = np.bincount(to, weights=sizes), one[kept], to[own]
+        return to
 
-        rows = stored(session.range(0, n, 1, spread).mapInPandas(first, "node long, sums binary"), "linkage")
+    if n > small:
+        shared = session.sparkContext.broadcast(points)
+        near, height, stale = np.zeros(n, np.int64), np.zeros(n), np.arange(n)
         while len(one) > small:
-            m, known = len(one), sizes
-
-            def nearest(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
-                for b in batches:
-                    for i in range(0, len(b), 256):
-                        node = b["node"].to_numpy()[i : i + 256]
-                        near, height = nearest_of(node, np.stack([np.frombuffer(x) for x in b["sums"][i : i + 256]]), known)
-                        yield pd.DataFrame({"node": node, "near": near, "height": height})
-
-            found = rows.mapInPandas(nearest, "node long, near long, height double").toPandas()  # a row a cluster of the sample
-            near, height = np.empty(m, np.int64), np.empty(m)
-            near[found["node"]], height[found["node"]] = found["near"], found["height"]
-            pairs = reciprocal(near, height)
-            merges += [(int(one[a]), int(one[b]), float(height[a])) for a, b in pairs]
-            to, kept = _after(pairs, m)
-
-            def fold(batches: Iterator[pd.DataFrame], to=to) -> Iterator[pd.DataFrame]:
-                for b in batches:
-                    for i in range(0, len(b), 256):
-                        rows = _folded(np.stack([np.frombuffer(x) for x in b["sums"][i : i + 256]]), to)
-                        yield pd.DataFrame({"node": to[b["node"].to_numpy()[i : i + 256]], "sums": [r.tobytes() for r in rows]})
-
-            def added(group: pd.DataFrame) -> pd.DataFrame:  # one or two rows
-                total = sum(np.frombuffer(x) for x in group["sums"])
-                return pd.DataFrame({"node": group["node"].iloc[:1], "sums": [total.tobytes()]})
-
-            rows = stored(rows.mapInPandas(fold, "node long, sums binary").groupBy("node").applyInPandas(added, "node long, sums binary"), "linkage")
-            sizes, one = np.bincount(to, weights=sizes), one[kept]
-        last = rows.orderBy("node").toPandas()
+            if len(stale):
+                got = _sums_of(session, shared, own, stale, True)
+                if sizes[stale].max() > 128:  # only these come in parts
+                    got = stored(got, "linkage")
+                    parts = _nearest_from(got.where("sums is not null").select("node", "sums").groupBy("node").applyInPandas(_added, "node long, sums binary"), sizes)
+                    found = pd.concat([got.where("sums is null").select("node", "near", "height").toPandas(), parts])
+                else:
+                    found = got.select("node", "near", "height").toPandas()
+                near[found["node"]], height[found["node"]] = found["near"], found["height"]
+            top = highest()
+            if height.min() >= top:
+                return merges
+            pairs = reciprocal(near, height, top)
+            gone = np.zeros(len(one), bool)
+            gone[pairs] = True
+            to = merged(pairs, height)
+            # by new numbers; a cluster is merged, keeps its nearest one, or looks anew unless it was too high already
+            top, first = highest(), np.unique(to, return_index=True)[1]
+            again = gone[first] | (gone[near[first]] & (height[first] <= top))
+            near, height, stale = to[near[first]], height[first], np.flatnonzero(again)
+        rows = _sums_of(session, shared, own, np.arange(len(one)), False).select("node", "sums")
+        last = rows.groupBy("node").applyInPandas(_added, "node long, sums binary").orderBy("node").toPandas()
         sums = np.stack([np.frombuffer(x) for x in last["sums"]])
         shared.unpersist()
     else:
         sums = distances(points, points)
     while len(one) > 1:
         near, height = nearest_of(np.arange(len(one)), sums.copy(), sizes)
-        pairs = reciprocal(near, height)
-        merges += [(int(one[a]), int(one[b]), float(height[a])) for a, b in pairs]
-        to, kept = _after(pairs, len(one))
+        to = merged(reciprocal(near, height), height)
         sums = _folded(_folded(sums, to).T, to)
-        sizes, one = np.bincount(to, weights=sizes), one[kept]
     return merges
 
 
@@ -163,7 +271,8 @@ def average_linkage(features: DataFrame, average: int = 10, most: int = 50_000,
     chosen = known if total <= bound else known.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("fid").cast("string"))), "fid").limit(bound)
     sample = chosen.select("fid", V.doubles(F.col("feature")).alias("feature")).toPandas().sort_values("fid", kind="stable")  # bounded above
     points = vectors_of(sample["feature"])
-    label = cut(dendrogram(points, spark, small), len(points), max(1, total // average))
+    k = max(1, total // average)
+    label = cut(dendrogram(points, spark, small, k), len(points), k)
     if total <= bound:
         own = spark.createDataFrame(pd.DataFrame({"fid": sample["fid"].to_numpy(), "cluster": label.astype(np.int32)}).drop_duplicates("fid"))
         return known.join(own, "fid")
@@ -180,12 +289,12 @@ def assigned(features: DataFrame, centres: np.ndarray, distance: str | None = No
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in range(0, len(b), 1024):
-                part = b.iloc[i : i + 1024]
-                d = distances(vectors_of(part["feature"]), shared.value)
-                best = d.argmin(axis=1)
+            step = min(1024, max(16, 4_000_000 // len(shared.value)))
+            for i in range(0, len(b), step):
+                part = b.iloc[i : i + step]
+                best, d = nearest_row(vectors_of(part["feature"]), shared.value)
                 out = part.assign(cluster=best.astype(np.int32))
-                yield out.assign(**{distance: d[np.arange(len(d)), best]}) if distance else out
+                yield out.assign(**{distance: d}) if distance else out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema if f.name in names)
     return features.mapInPandas(near, schema + ", cluster int" + (f", `{distance}` double" if distance else ""))

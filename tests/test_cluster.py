@@ -183,3 +183,24 @@ def test_cluster_explorer_takes_medoids(spark):
 def test_explorer_makes_a_tenth_as_many_clusters(spark):
     rows = points(200, seed=9)
     assert EX.clusters(spark.createDataFrame(rows, SCHEMA)).select("cluster").distinct().count() == 20
+
+
+def test_sums_computed_from_points_give_the_same_tree(spark):
+    """No matrix of the whole sample is stored; a blob of 300 points is cut into pieces."""
+    x = np.array([p[4] for p in points(300, seed=3, blobs=1)] + [p[4] for p in points(300, seed=5, blobs=60)] + [[5.0, 5.0, 5.0]] * 3)
+    local = C.dendrogram(x, spark)
+    spread = C.dendrogram(x, spark, small=60)
+    assert np.allclose(np.sort([h for _, _, h in local]), np.sort([h for _, _, h in spread]), rtol=1e-10, atol=1e-12)
+    for k in (1, 9, 60, 400, 603):
+        assert parts(C.cut(spread, 603, k)) == parts(C.cut(local, 603, k))
+    assert parts(C.cut(C.dendrogram(x, spark, small=60, clusters=200), 603, 200)) == parts(C.cut(local, 603, 200))
+    assert not C.dendrogram(x, spark, small=60, clusters=700)
+
+
+def test_distances_by_products_are_exact_for_close_and_far_points():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 16)), 1e6 + 1e-3 * rng.normal(size=(50, 16))])
+    x = np.concatenate([x, x[:40], x[:20] + 1e-9])
+    assert np.allclose(C.distances(x, x), C.differences(x, x), rtol=1e-12, atol=0)
+    best, d = C.nearest_row(x, x)
+    assert (best[350:390] == np.arange(40)).all() and not d[350:390].any()
