@@ -133,5 +133,5 @@ def next_element(rows: DataFrame, how: str, predictions: DataFrame | None = None
         return free.select("fid", SL.shuffled(seed + labelled, "fid").alias("_h")).orderBy("_h", "fid").limit(1).select("fid")
     if how == "uncertainty":
         return free.select("fid").join(predictions.select("fid", "top"), "fid").orderBy("top", "fid").limit(1).select("fid")
-    far = SL.farthest(free.select("fid", "feature"), rows.where("hard_label is not null").select("fid", "feature"), "_d")
-    return far.orderBy(F.desc("_d"), "fid").limit(1).select("fid")
+    far = SL.farthest_rows(free.select("fid", "feature"), rows.where("hard_label is not null").select("fid", "feature"))
+    return far.orderBy(F.desc("min_dist"), "fid").limit(1).select("fid")

@@ -46,3 +46,31 @@ def test_softmax_and_norms_of_long_vectors(spark):
     for r, a, s in zip(got, x, e, strict=False):
         assert np.allclose(r["s"], s / s.sum()) and np.allclose(r["n"], a / np.abs(a).sum()) and np.allclose(r["m"], a / np.linalg.norm(a))
     assert got[20][1:] == (None, None, None) and got[21][1:] == ([0.5, 0.5], [0.0, 0.0], [0.0, 0.0])
+
+
+def far_table(spark, n=900):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(n // 3, 8)), 3, axis=0)  # each vector three times
+    return x, spark.createDataFrame([(i, 0, 0.0, 1.0, v.tolist()) for i, v in enumerate(x)], "fid long, vid long, start_time double, end_time double, feature array<double>")
+
+
+def test_far_rows_leave_most_rows_out_and_none_of_the_farthest(spark):
+    x, df = far_table(spark)
+    inside = [i for i in range(900) if i % 9 < 6]
+    outside = sorted(set(range(900)) - set(inside))
+    want = {i: float(np.sqrt(((x[i] - x[inside]) ** 2).sum(-1)).min()) for i in outside}
+    left, below = SL.far_rows(df.where("fid % 9 >= 6"), df.where("fid % 9 < 6"), k=5, part=16, at_once=12)
+    got = {r["fid"]: r["min_dist"] for r in left.collect()}
+    assert 5 <= len(got) < 150 and all(np.isclose(want[i], d) for i, d in got.items())
+    assert all(i in got for i in outside if want[i] >= below) and sum(d >= below for d in want.values()) >= 5
+
+
+def test_coreset_from_many_rows_is_greedy(spark):
+    x, df = far_table(spark)
+    chosen, want = [i for i in range(900) if i % 9 < 6], []
+    for _ in range(7):
+        d = np.sqrt(((x[:, None] - x[None, chosen + want]) ** 2).sum(-1)).min(axis=1)
+        d[chosen + want] = -1
+        want.append(int(np.flatnonzero(np.isclose(d, d.max(), rtol=1e-12))[0]))
+    got = SL.coreset(df, 7, df.where("fid % 9 < 6"), block=16, ahead=4)
+    assert sorted(r["fid"] for r in got.collect()) == sorted(want)
