@@ -343,26 +343,27 @@ def better_medoids(clustered: DataFrame, block: int = 2048) -> DataFrame:
     """(cluster, fid, feature, cost) of each cluster's medoid: the row with the least sum of distances to the cluster's rows, of equals the smallest fid.
 
     A cluster's rows are dealt into blocks of about `block`; every pair of blocks is one group, which adds the distances of each row to the rows of the other
-    block, so neither a large cluster nor its distances meet in one task: a row is sent once a block of its cluster."""
-    sizes = clustered.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    rows = clustered.select("cluster", "fid", "feature").join(sizes, "cluster").withColumn("_b", F.pmod(F.xxhash64("fid"), F.col("_blocks")).cast("int"))
-    both = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("cluster", "fid", "feature", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    block, so neither a large cluster nor its distances meet in one task: a row is sent once a block of its cluster. Rows with equal vectors are one that counts for all."""
+    several = stored(clustered.groupBy("cluster", "feature").agg(F.min("fid").alias("fid"), F.count("*").alias("_n")), "medoids")
+    sizes = several.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    rows = several.join(sizes, "cluster").withColumn("_b", F.pmod(F.xxhash64("fid"), F.col("_blocks")).cast("int"))
+    both = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("cluster", "fid", "feature", "_n", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
 
     def sums(group: pd.DataFrame) -> pd.DataFrame:
         one = group["_b"].to_numpy() == group["_i"].iloc[0]
         x, i, j = vectors_of(group["feature"]), group["_i"].iloc[0], group["_j"].iloc[0]
-        cost = np.zeros(len(group))
+        cost, n = np.zeros(len(group)), group["_n"].to_numpy(np.float64)
         if i == j:
-            cost = distances(x, x).sum(axis=1)
+            cost = distances(x, x) @ n
         else:
             d = distances(x[one], x[~one])
-            cost[one], cost[~one] = d.sum(axis=1), d.sum(axis=0)
+            cost[one], cost[~one] = d @ n[~one], n[one] @ d
         return pd.DataFrame({"cluster": group["cluster"], "fid": group["fid"], "part": cost})
 
     parts = both.groupBy("cluster", "_i", "_j").applyInPandas(sums, "cluster int, fid long, part double")
     cost = parts.groupBy("cluster", "fid").agg(F.sum("part").alias("cost"))
     best = cost.groupBy("cluster").agg(F.min(F.struct("cost", "fid")).alias("_m")).select("cluster", "_m.cost", "_m.fid")
-    return best.join(rows.select("fid", "feature"), "fid").select("cluster", "fid", "feature", "cost")
+    return best.join(several.select("fid", "feature"), "fid").select("cluster", "fid", "feature", "cost")
 
 
 def k_medoids(features: DataFrame, k: int, seed: int = 0, rounds: int = 50, block: int = 2048, start: list[tuple[int, list[float]]] | None = None) -> tuple[DataFrame, list[int], float]:

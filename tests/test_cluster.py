@@ -204,3 +204,11 @@ def test_distances_by_products_are_exact_for_close_and_far_points():
     assert np.allclose(C.distances(x, x), C.differences(x, x), rtol=1e-12, atol=0)
     best, d = C.nearest_row(x, x)
     assert (best[350:390] == np.arange(40)).all() and not d[350:390].any()
+
+
+def test_medoids_of_copies_count_all_of_them(spark):
+    """Equal vectors are one row of the pairs, which counts as many times."""
+    rows = [(i, 0, 0.0, 1.0, [float(v), 0.0], 0) for i, v in enumerate([5, 5, 5, 5, 1, 2, 2, 9])]
+    df = spark.createDataFrame(rows, SCHEMA.replace("array<float>", "array<double>") + ", cluster int")
+    for block in (2, 100):
+        assert [(r["fid"], r["cost"]) for r in C.better_medoids(df, block).collect()] == [(0, 14.0)]
