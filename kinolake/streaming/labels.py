@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -18,31 +19,56 @@ from ..operators import store as ST
 OUT = "vid long, label string, start_time double, end_time double"
 
 
-def _merge(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    out: list[tuple[float, float]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
-    return out
+SPANS = ["vid", "label", "start_time", "end_time"]
+#: A group's state: its keys, how many intervals each has, and the intervals in that order.
+STATE = "vids array<long>, labels array<string>, counts array<int>, starts array<double>, ends array<double>"
 
 
-def coalescing(labels: DataFrame) -> DataFrame:
+def _merge(spans: pd.DataFrame) -> pd.DataFrame:
+    """The disjoint intervals of each (vid, label), keys together; intervals that touch are one, and one without a start stays alone."""
+    key = spans.groupby(["vid", "label"], dropna=False, sort=False).ngroup().to_numpy()
+    order = np.lexsort((spans["end_time"], spans["start_time"], key))
+    spans, key = spans.iloc[order], key[order]
+    ends = spans["end_time"].fillna(-np.inf)
+    reach = ends.groupby(key).cummax().to_numpy()
+    opens = np.ones(len(spans), bool)
+    opens[1:] = (key[1:] != key[:-1]) | ~(spans["start_time"].to_numpy()[1:] <= reach[:-1])
+    out = spans[opens].reset_index(drop=True)
+    if len(out):
+        out["end_time"] = np.maximum.reduceat(ends.to_numpy(), np.flatnonzero(opens))
+    return out.replace({"end_time": {-np.inf: np.nan}})
+
+
+def _spans(state: tuple) -> pd.DataFrame:
+    vids, labels, counts, starts, ends = state
+    each = np.repeat(np.arange(len(counts)), np.array(counts, int))
+    return pd.DataFrame({"vid": pd.array(list(vids), "Int64").take(each), "label": pd.Series(list(labels), dtype=object).take(each).array, "start_time": np.array(starts, float), "end_time": np.array(ends, float)})
+
+
+def _state(spans: pd.DataFrame) -> tuple:
+    each = spans.groupby(["vid", "label"], dropna=False, sort=False).size().reset_index(name="n")
+    plain = lambda c: [None if pd.isna(x) else x for x in each[c].tolist()]
+    return plain("vid"), plain("label"), each["n"].tolist(), spans["start_time"].tolist(), spans["end_time"].tolist()
+
+
+def coalescing(labels: DataFrame, shards: int = 1024) -> DataFrame:
     """STM06: a stream of (vid, label, start_time, end_time); the state of a (vid, label) is its disjoint intervals, and each batch emits those that
-    grew or are new. The last emission that covers a moment is current; over all input the state equals the batch form."""
+    grew or are new. The last emission that covers a moment is current; over all input the state equals the batch form.
+
+    A group costs milliseconds, whatever it holds, so the (vid, label) are dealt by hash over `shards` groups, which are merged whole. A batch writes anew the states of
+    the groups it has rows of. A checkpoint is bound to its number of shards."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        starts, ends = state.get if state.exists else ([], [])
-        before = list(zip(starts, ends, strict=True))
-        spans = list(before)
+        before = _spans(state.get if state.exists else ([], [], [], [], []))
+        spans = before
         for pdf in batches:
-            spans = _merge(spans + list(zip(pdf["start_time"], pdf["end_time"], strict=True)))
-        state.update(([s for s, _ in spans], [e for _, e in spans]))
-        changed = [x for x in spans if x not in set(before)]
-        yield pd.DataFrame({"vid": [key[0]] * len(changed), "label": [key[1]] * len(changed), "start_time": [s for s, _ in changed], "end_time": [e for _, e in changed]})
+            spans = _merge(pd.concat([spans, pdf[SPANS].astype({"vid": "Int64"})], ignore_index=True))
+        state.update(_state(spans))
+        both = spans.merge(before.drop_duplicates(), "left", SPANS, indicator=True)
+        yield both.loc[both["_merge"] == "left_only", SPANS]
 
-    return labels.groupBy("vid", "label").applyInPandasWithState(step, OUT, "starts array<double>, ends array<double>", "update", GroupStateTimeout.NoTimeout)
+    shard = F.pmod(F.xxhash64("vid", "label"), F.lit(shards))
+    return labels.withColumn("_shard", shard).groupBy("_shard").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def appended(stream: DataFrame, path: str, checkpoint: str, partition: str | None = None, mode: str = "append") -> StreamingQuery:
