@@ -28,7 +28,7 @@ def media(t) -> str:
     """A folder with a file for each video, a line for each of its annotations: start and label."""
     path = shared_folder(t.spark, "media")
     lines = t.ann.select("vid", F.concat_ws(" ", F.format_string("%020.6f", "start_time"), "label").alias("line"))
-    lines.repartition("vid").sortWithinPartitions("vid", "line").write.partitionBy("vid").text(path)
+    VS.text_files(lines, path)
     return path
 
 

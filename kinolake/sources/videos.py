@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Subfolders that `text_files` deals files over.
+FOLDERS = 64
+
 
 def thumb_path(path: Column, folder: str) -> Column:
     """A video's thumbnail: its file name with .jpg in the folder."""
@@ -66,6 +75,40 @@ def clip_path(base: str, vid: Column, start: Column, end: Column) -> Column:
     return F.format_string(base.rstrip("/") + "/%s_%06d_%06d.mp4", vid.cast("string"), start.cast("int"), end.cast("int"))
 
 
+def text_files(rows: DataFrame, folder: str) -> None:
+    """A file vid=<vid>.txt for each vid with its lines in order; rows: (vid, line). In the machines' own file system the tasks write the files themselves, dealt by hash over
+    subfolders: without native libraries Spark's writer starts a process for the rights of each file there, and files are listed by a task a folder. A file
+    gets its name when it is whole, so a task may run again. Elsewhere Spark writes a folder for each vid."""
+    at = urlsplit(folder)
+    if at.scheme not in ("", "file"):
+        return rows.repartition("vid").sortWithinPartitions("vid", "line").write.partitionBy("vid").text(folder)
+    root = unquote(at.path) if at.scheme else folder
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, out, n = None, None, 0
+
+        def close() -> None:
+            if out:
+                out.close()
+                os.replace(out.name, f"{os.path.dirname(out.name)}/{name}.txt")
+
+        for b in batches:
+            for part, of, line in zip(b["part"], b["name"], b["line"], strict=True):
+                if of != name:
+                    close()
+                    name, n = of, n + 1
+                    os.makedirs(f"{root}/part={part}", exist_ok=True)
+                    out = open(f"{root}/part={part}/.{name}.{uuid.uuid4().hex}", "w", encoding="utf-8", newline="")  # noqa: SIM115
+                out.write(line + "\n")
+        close()
+        yield pd.DataFrame({"n": [n]})
+
+    os.makedirs(root)
+    name = F.concat(F.lit("vid="), F.coalesce(F.col("vid").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    named = rows.select(F.pmod(F.xxhash64("vid"), F.lit(FOLDERS)).alias("part"), name.alias("name"), F.coalesce("line", F.lit("")).alias("line"))
+    named.repartition("name").sortWithinPartitions("name", "line").mapInPandas(write, "n long").agg(F.sum("n")).collect()  # a row
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
     """SNK04."""
     rows.dropDuplicates().write.mode("overwrite").option("header", True).csv(path)

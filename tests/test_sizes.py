@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinolake.functions import vectors as V
 from kinolake.operators import select as SL
 from kinolake.plans import all_oracles, all_queries
+from kinolake.sources import videos as VS
 
 DATA = "/root/testdata/sf0.001"
 
@@ -74,3 +75,17 @@ def test_coreset_from_many_rows_is_greedy(spark):
         want.append(int(np.flatnonzero(np.isclose(d, d.max(), rtol=1e-12))[0]))
     got = SL.coreset(df, 7, df.where("fid % 9 < 6"), block=16, ahead=4)
     assert sorted(r["fid"] for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_very_many_files_are_written_in_few_folders(spark, tmp_path, scheme):
+    """Spark's writer took some 50 ms a file, and a task of the listing a file."""
+    rows = spark.range(9000).select((F.col("id") % 3000).alias("vid"), F.concat(F.lit("ä "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("line"))
+    start = time.monotonic()
+    VS.text_files(rows.unionByName(spark.createDataFrame([(7, ""), (None, "x"), (-1, None)], "vid long, line string")), f"{scheme}{tmp_path}/a b")
+    assert time.monotonic() - start < 20
+    folders = list((tmp_path / "a b").iterdir())
+    got = {f.name: f.read_bytes().decode() for d in folders for f in d.iterdir()}
+    want = {f"vid={i}.txt": "".join(f"ä {i + k:05}\n" for k in (0, 3000, 6000)) for i in range(3000)}
+    want["vid=7.txt"] = "\n" + want["vid=7.txt"]
+    assert len(folders) <= VS.FOLDERS and got == want | {"vid=__HIVE_DEFAULT_PARTITION__.txt": "x\n", "vid=-1.txt": "\n"}
