@@ -111,10 +111,16 @@ def predictions_json(pivoted: DataFrame) -> DataFrame:
 
 def predictions_for_clips(clips: DataFrame, predictions: DataFrame, bucket: float | None = None) -> DataFrame:
     """JN14: each clip with the predicted windows of its video that overlap it (STRICT), nested in order; clips without any keep an empty list. With
-    bucket (seconds), a video's windows are spread over time buckets."""
-    met = interval_join(clips.select("vid", "start_time", "end_time"), predictions.select("vid", "start_time", "end_time", "label", "probability"), "strict", "left", bucket)
+    bucket (seconds), a video's windows are spread over time buckets, met once, without a row for a clip that meets none."""
+    key = ["vid", "start_time", "end_time"]
     p = F.struct(F.col("r_start_time").alias("start_time"), F.col("r_end_time").alias("end_time"), F.col("r_label").alias("label"), F.col("r_probability").alias("probability"))
-    return met.groupBy("vid", "start_time", "end_time").agg(F.array_sort(F.collect_list(F.when(F.col("r_start_time").isNotNull(), p))).alias("predictions"))
+    rows = predictions.select(*key, "label", "probability")
+    if bucket is None:
+        met = interval_join(clips.select(*key), rows, "strict", "left")
+        return met.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("r_start_time").isNotNull(), p))).alias("predictions"))
+    met = interval_join(clips.select(*key), rows, "strict", "inner", bucket)
+    none = clips.select(*key, F.lit(None).cast(met.select(p.alias("p")).schema["p"].dataType).alias("p"))
+    return met.select(*key, p.alias("p")).unionByName(none).groupBy(*key).agg(F.array_sort(F.collect_list("p")).alias("predictions"))
 
 
 def context_pruned(explored: DataFrame) -> DataFrame:

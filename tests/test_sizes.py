@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinolake.functions import vectors as V
+from kinolake.operators import search as SE
 from kinolake.operators import select as SL
 from kinolake.plans import all_oracles, all_queries
 from kinolake.sources import videos as VS
@@ -115,3 +116,17 @@ def test_unlabeled_clips_of_one_video_with_very_many(spark, overlap):
         return not hit.any()
 
     assert got == [(0, 0.0, 1.0)] + [(1, c, c + 1.0) for c in map(float, range(20_000)) if free(c)] + [(2, 0.0, 1.0), (2, 1.0, 2.0)]
+
+
+def test_bucketed_predictions_spread_each_clip_once(spark):
+    """Clips were spread over their time buckets, and shuffled, a second time to find those that meet nothing."""
+    low = "vid long, start_time double, end_time double"
+    clips = spark.createDataFrame([(1, 0.0, 9.0), (1, 0.0, 9.0), (1, 20.0, 21.0), (2, 0.0, 99.0), (None, 0.0, 1.0), (1, None, 3.0)], low)
+    pred = spark.createDataFrame([(1, 8.0, 12.0, "b", 0.5), (1, 8.0, 12.0, "a", None), (1, 3.0, 4.0, None, 0.1), (1, 9.0, 9.5, "a", 0.3), (2, 99.0, 100.0, "a", 0.2)], f"{low}, label string, probability double")
+    plans, got = [], []
+    for bucket in (None, 2.0):
+        df = SE.predictions_for_clips(clips, pred, bucket)
+        got.append(sorted(str(r) for r in df.collect()))
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    assert got[0] == got[1] and len(got[0]) == 5 and sum("predictions=[]" in x for x in got[0]) == 4
+    assert plans[1].count("Generate explode") == 2
