@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import vectors as V
+from ..session import stored
 from .features import for_clips
 from .labels import label_join, with_columns_of
 
@@ -174,10 +175,10 @@ def evaluable(labeled: DataFrame, n_splits: int) -> bool:
 
 
 def cross_validated(labeled: DataFrame, n_splits: int = 3, threshold: float = 0.4) -> DataFrame | None:
-    """ML08, AG08: medians of the metrics over folds; None if they can't be taken."""
-    if not evaluable(labeled, n_splits):
+    """ML08, AG08: medians of the metrics over folds; None if they can't be taken. The rows with their folds are stored, as training and scoring read them many times."""
+    rows, out = stored(folds(labeled, n_splits), "folds"), None
+    if not evaluable(rows, n_splits):
         return None
-    rows, out = folds(labeled, n_splits), None
     for k in range(n_splits):
         train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
         model, classes = fit_linear(train)

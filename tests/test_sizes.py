@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinolake.functions import vectors as V
+from kinolake.operators import models as M
 from kinolake.operators import search as SE
 from kinolake.operators import select as SL
 from kinolake.plans import all_oracles, all_queries
@@ -130,3 +131,19 @@ def test_bucketed_predictions_spread_each_clip_once(spark):
         plans.append(df._jdf.queryExecution().optimizedPlan().toString())
     assert got[0] == got[1] and len(got[0]) == 5 and sum("predictions=[]" in x for x in got[0]) == 4
     assert plans[1].count("Generate explode") == 2
+
+
+def test_cross_validation_makes_its_rows_once(spark):
+    """Each pass of training and scoring made the labelled rows again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 40, float(i), i + 1.0, "abcd"[i % 40 % 4], (rng.normal(size=3) + i % 4).tolist()) for i in range(200)]
+    schema = "fid long, vid long, start_time double, end_time double, labels string, feature array<double>"
+    row = M.cross_validated(spark.createDataFrame(rows, schema).mapInPandas(counted, schema), 2).first()
+    assert row["f1_macro"] > 0.3 and made.value <= 2 * len(rows)
