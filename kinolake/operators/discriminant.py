@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import stored
 from .cluster import vectors_of
 
 
@@ -262,15 +263,17 @@ def repropagated(rows: DataFrame) -> DataFrame:
 def discriminant_round(rows: DataFrame, expected: int, principal: int = 2, least: float = 0.01, seed: int = 0) -> tuple[DataFrame, Linear | None]:
     """LB08, one round of a discriminant coordinator: rows (fid, feature, cluster, hard_label, label, ...) with clusters, distances and labels anew, and the model. While
     fewer than `least` of the rows have hard labels, or one class, clusters stay and only labels are propagated. Else the discriminant of the hard labels is fitted, all rows
-    are clustered by KMeans on its projection with the principal components (count / expected clusters), and labels propagated in the new clusters."""
+    are clustered by KMeans on its projection with the principal components (count / expected clusters), and labels propagated in the new clusters.
+    The rows and their projection are stored, as each step reads them again."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    rows = stored(rows, "round")
     n, hard, kinds = rows.agg(F.count("*"), F.count("hard_label"), F.countDistinct("hard_label")).first()
     if not n or hard / n < least or kinds < 2:
         return repropagated(rows), None
     model = Linear.fit(rows.drop("label").withColumnRenamed("hard_label", "label"))
-    flat = transformed(rows.select("fid", "feature"), model, principal).select("fid", array_to_vector("feature").alias("_x"))
+    flat = stored(transformed(rows.select("fid", "feature"), model, principal), "projected").select("fid", array_to_vector("feature").alias("_x"))
     fitted = KMeans(featuresCol="_x", predictionCol="_c", k=max(2, -(-n // expected)), seed=seed).fit(flat)
     centres = features_of_centres(rows, fitted.clusterCenters())
     own = fitted.transform(flat).join(F.broadcast(centres), "_c").select("fid", F.col("_c").cast(rows.schema["cluster"].dataType).alias("cluster"), V.distance(vector_to_array("_x"), F.col("_centre")).alias("distance"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinolake.functions import vectors as V
+from kinolake.operators import discriminant as D
 from kinolake.operators import models as M
 from kinolake.operators import search as SE
 from kinolake.operators import select as SL
@@ -147,3 +148,20 @@ def test_cross_validation_makes_its_rows_once(spark):
     schema = "fid long, vid long, start_time double, end_time double, labels string, feature array<double>"
     row = M.cross_validated(spark.createDataFrame(rows, schema).mapInPandas(counted, schema), 2).first()
     assert row["f1_macro"] > 0.3 and made.value <= 2 * len(rows)
+
+
+def test_a_discriminant_round_makes_its_rows_once(spark):
+    """Each step of the fit and of the clustering made the labelled rows again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rng = np.random.default_rng(7)
+    rows = [(i, i % 5, "ab"[i % 2] if i % 3 else None, None, (rng.normal(size=4) + 3 * (i % 2)).tolist()) for i in range(200)]
+    schema = "fid long, cluster long, hard_label string, label string, feature array<double>"
+    out, model = D.discriminant_round(spark.createDataFrame(rows, schema).mapInPandas(counted, schema), 50)
+    got = {r["fid"]: r["label"] for r in out.collect()}
+    assert model is not None and len(got) == 200 and all(got[i] == h for i, _, h, _, _ in rows if h) and made.value == 200
