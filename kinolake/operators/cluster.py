@@ -1,19 +1,22 @@
 """Clusters of feature rows (fid, feature) for the explorers and labelers: average linkage and medoids.
 
-Distances are Euclidean. What the driver holds is bounded by parameters: the sample of average linkage (`most` rows and `most_bytes`), and the medoids asked for.
+Distances are Euclidean. What the driver holds is bounded by parameters: the matrix of the last clusters of average linkage (`small`), and the medoids asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import stored
+from ..session import shared_folder, stored
+from .store import numbered
 
 # --- average linkage ---
 
@@ -66,175 +69,295 @@ def nearest_row(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
 
-def nearest_of(node: np.ndarray, sums: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each cluster (a row of distance sums to all clusters) the nearest other one by mean distance and that distance; the first of equals."""
-    mean = sums / (sizes[node][:, None] * sizes[None, :])
-    mean[np.arange(len(node)), node] = np.inf
-    best = mean.argmin(axis=1)
-    return best, mean[np.arange(len(node)), best]
-
-
-def reciprocal(nearest: np.ndarray, height: np.ndarray, most: float = np.inf) -> np.ndarray:
-    """Pairs (a, b), a < b, that are each other's nearest, up to a height. Rounding may leave ties without a pair: then the closest cluster and its nearest."""
-    own = np.arange(len(nearest))
-    pairs = np.stack([own, nearest], axis=1)[(nearest[nearest] == own) & (own < nearest) & (height <= most)]
-    if not len(pairs):
-        i = int(height.argmin())
-        pairs = np.array([sorted((i, int(nearest[i])))])
-    return pairs
-
-
-def _after(pairs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the new number of each old cluster, the old number of each new one's first part)."""
-    first = np.ones(n, bool)
-    first[pairs[:, 1]] = False
-    to = np.cumsum(first) - 1
-    to[pairs[:, 1]] = to[pairs[:, 0]]
-    return to, np.flatnonzero(first)
-
-
-def _folded(sums: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Columns of merged clusters added."""
-    out = np.zeros((len(sums), int(to.max()) + 1))
-    np.add.at(out.T, to, sums.T)
-    return out
+#: Clusters of tables meet in blocks of about so many points; a larger cluster is cut into so large pieces.
+BLOCK = 1024
+#: Points of changed clusters are sent to all tasks up to so many values of their vectors; more meet the others by pairs of partitions.
+SENT = 1 << 20
+#: Steps in which heights of merges are counted, in one doubling of height.
+STEPS = 4096
 
 
-def _pieces(sizes: np.ndarray, most: int = 128) -> np.ndarray:
-    """Bounds of pieces of about `most` points in a row of clusters of these sizes: whole small clusters, or a part of one larger than a piece."""
-    bounds, room = [0], 0
-    for size in sizes:
-        if room and room + size > most:
-            bounds.append(bounds[-1] + room)
-            room = 0
-        while size > most:
-            bounds.append(bounds[-1] + most)
-            size -= most
-        room += int(size)
-    return np.array(bounds + [bounds[-1] + room] if room else bounds)
-
-
-def _by_size(rows: np.ndarray, sizes: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Columns of points, in clusters from the smallest to the largest (rank: the clusters in that order), added to columns of clusters."""
-    out, at = np.empty((len(rows), len(sizes))), 0
-    ranked = sizes[rank]
-    for size in np.unique(ranked):
-        own = rank[np.searchsorted(ranked, size) : np.searchsorted(ranked, size, "right")]
-        block = rows[:, at : at + len(own) * size]
-        at += len(own) * size
+def _by_size(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Columns of points, in clusters of these sizes, added to columns of clusters."""
+    starts = np.cumsum(sizes) - sizes
+    if (np.diff(sizes) < 0).any():
+        return np.add.reduceat(rows, starts, axis=1)
+    out = np.empty((len(rows), len(sizes)))
+    for size in np.unique(sizes):
+        first, end = np.searchsorted(sizes, size), np.searchsorted(sizes, size, "right")
+        block = rows[:, starts[first] : starts[end - 1] + size]
         if size > 16:
-            out[:, own] = np.add.reduceat(block, np.arange(0, block.shape[1], size), axis=1)
+            out[:, first:end] = np.add.reduceat(block, np.arange(0, block.shape[1], size), axis=1)
         else:
-            out[:, own] = sum(block[:, k::size] for k in range(size))
+            out[:, first:end] = sum(block[:, k::size] for k in range(size))
     return out
 
 
-def _sums_of(session, shared, own: np.ndarray, wanted: np.ndarray, nearest: bool) -> DataFrame:
-    """(node, near, height, sums): of the wanted clusters (own: the cluster of each point) the sums of distances to all clusters, or, with nearest, where a cluster lies in one piece,
-    only the nearest one and its height. A cluster cut into pieces has a row of sums a piece. Distances are computed from the points and not kept."""
-    order, sizes = np.argsort(own, kind="stable"), np.bincount(own)
-    starts = np.cumsum(sizes) - sizes
-    rank = np.argsort(sizes, kind="stable")
-    ranked = np.argsort(np.argsort(rank)[own], kind="stable")
-    mine = np.concatenate([order[starts[c] : starts[c] + sizes[c]] for c in wanted])
-    bounds = _pieces(sizes[wanted])
-    many = len(bounds) - 1
+class _Block:
+    """Points of a block, cluster by cluster: `node` names the clusters, `count` has their points here, `total` their weights and `cut` whether others hold points of them, too."""
+
+    def __init__(self, c, m, w, total, x, block: int):
+        self.node, self.first, self.count = np.unique(np.asarray(c), return_index=True, return_counts=True)
+        turn = np.argsort(self.first)
+        self.node, self.first, self.count = self.node[turn], self.first[turn], self.count[turn]
+        self.total, self.cut, self.w = np.asarray(total)[self.first], np.asarray(m)[self.first] > block, np.asarray(w)
+        self.x = np.asarray(x, np.float64).reshape(len(self.w), -1)
+
+    def sums(self, other: _Block) -> np.ndarray:
+        """Weighted sums of distances of its clusters (rows) to those of another block."""
+        out = np.zeros((len(self.node), len(other.node)))
+        of = np.repeat(np.arange(len(self.node)), self.count)
+        even, evenly = (self.w == self.w[0]).all(), (other.w == other.w[0]).all()
+        for i in range(0, len(self.w), 128):
+            part = distances(self.x[i : i + 128], other.x)
+            if not evenly:
+                part *= other.w
+            if len(other.node) < len(other.w):
+                part = _by_size(part, other.count)
+            if not even:
+                part *= self.w[i : i + 128, None]
+            own = of[i : i + 128]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[0] : own[-1] + 1] += part if len(first) == len(part) else np.add.reduceat(part, first, axis=0)
+        scale = (self.w[0] if even else 1.0) * (other.w[0] if evenly else 1.0)
+        return out if scale == 1.0 else np.multiply(out, scale, out=out)
+
+
+def _turn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number of each pair of clusters, whichever comes first: it decides among equal distances, so that many of those are mutual."""
+    low, high = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
+    h = low * np.uint64(0x9E3779B97F4A7C15) ^ (high + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(1)).astype(np.int64)
+
+
+def _nearest_in(left: _Block, right: _Block, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(near, height, turn) of each cluster on the left: the nearest whole one on the right, without one an infinite height."""
+    mean = sums if (right.total == right.total[0]).all() else sums / right.total
+    mean = mean.copy() if mean is sums and (left.cut.any() or right.cut.any() or len(np.intersect1d(left.node, right.node))) else mean
+    if mean is not sums:
+        mean[left.cut] = np.inf
+        mean[:, right.cut] = np.inf
+        _, i, j = np.intersect1d(left.node, right.node, return_indices=True)
+        mean[i, j] = np.inf
+    best = mean.argmin(axis=1)
+    least = mean[np.arange(len(mean)), best]
+    if np.isnan(least).any():
+        return _nearest_in(left, right, np.where(np.isnan(sums), np.inf, sums))
+    if np.count_nonzero(mean == least[:, None]) > len(mean):
+        for i in np.flatnonzero(((mean == least[:, None]).sum(axis=1) > 1) & np.isfinite(least)):
+            at = np.flatnonzero(mean[i] == least[i])
+            best[i] = at[_turn(left.node[i], right.node[at]).argmin()]
+    height = np.where(np.isfinite(least), sums[np.arange(len(sums)), best] / (left.total * right.total[best]), np.inf)
+    return right.node[best], height, _turn(left.node, right.node[best])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points = shared.value
-        by_cluster = points[ranked]
-        for b in batches:
-            for piece in b["id"]:
-                at = mine[bounds[piece] : bounds[piece + 1]]
-                node, first, count = np.unique(own[at], return_index=True, return_counts=True)
-                rows = _by_size(distances(points[at], by_cluster), sizes, rank)
-                rows = rows if len(node) == len(at) else np.add.reduceat(rows, first, axis=0)
-                whole = (count == sizes[node]) & nearest
-                near, height = nearest_of(node, rows, sizes)
-                yield pd.DataFrame({"node": node, "near": near, "height": height, "sums": [None if w else r.tobytes() for w, r in zip(whole, rows, strict=True)]})
 
-    tasks = min(many, max(4 * session.sparkContext.defaultParallelism, many // 64))
-    return session.range(0, many, 1, tasks).mapInPandas(run, "node long, near long, height double, sums binary")
+def _met(left: DataFrame, right: DataFrame, sent: bool) -> DataFrame:
+    """All pairs of blocks, in columns of the left (l_) and the right (r_)."""
+    flat = lambda df, p: df.select(F.col("block").alias(f"{p}_b"), *[F.col(f"s.{n}").alias(f"{p}_{n}") for n in ("c", "m", "w", "total")], F.flatten("s.x").alias(f"{p}_x"))
+    one, two = flat(left, "l"), flat(right, "r")
+    return two.crossJoin(F.broadcast(one)) if sent else one.hint("shuffle_replicate_nl").crossJoin(two)
+
 
+def _nearest(left: DataFrame, right: DataFrame, sent: bool, cut: bool, block: int) -> DataFrame:
+    """(c, near, height) of the clusters in the blocks on the left: the nearest other cluster on the right by mean distance. Of each pair of blocks only the nearest
+    leave the task, and sums for clusters cut into pieces (cut: there are any)."""
 
-def _added(group: pd.DataFrame) -> pd.DataFrame:
-    """The sums of a cluster from those of its parts."""
-    total = sum(np.frombuffer(x) for x in group["sums"])
-    return pd.DataFrame({"node": group["node"].iloc[:1], "sums": [total.tobytes()]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple] = {}
 
+        def let_go() -> pd.DataFrame:
+            out = pd.concat([pd.DataFrame({"c": c, "near": n, "height": h, "turn": t})[np.isfinite(h)] for c, n, h, t in held.values()])
+            held.clear()
+            return out.assign(part=0.0, both=0.0)
 
-def _nearest_from(rows: DataFrame, sizes: np.ndarray) -> pd.DataFrame:
-    """(node, near, height) of stored sums (node, sums): a row a cluster of the sample."""
+        for b in batches:
+            for r in b.itertuples(index=False):
+                one, two = (_Block(*(getattr(r, f"{p}_{n}") for n in ("c", "m", "w", "total", "x")), block) for p in "lr")
+                sums = one.sums(two)
+                near, height, turn = _nearest_in(one, two, sums)
+                if r.l_b in held:
+                    _, n, h, t = held[r.l_b]
+                    worse = (height > h) | ((height == h) & (turn > t))
+                    near, height, turn = np.where(worse, n, near), np.where(worse, h, height), np.where(worse, t, turn)
+                held[r.l_b] = (one.node, near, height, turn)
+                if len(held) > 64:
+                    yield let_go()
+                for i in np.flatnonzero(one.cut) if not two.cut.any() else range(len(one.node)):
+                    at = np.flatnonzero((two.cut | one.cut[i]) & (two.node != one.node[i]))
+                    if len(at):
+                        yield pd.DataFrame({"c": one.node[i], "near": two.node[at], "height": np.inf, "turn": _turn(one.node[i], two.node[at]), "part": sums[i, at], "both": one.total[i] * two.total[at]})
+        if held:
+            yield let_go()
+
+    out = _met(left, right, sent).mapInPandas(run, "c long, near long, height double, turn long, part double, both double")
+    if cut:
+        out = stored(out, "linkage")  # distances aren't computed for each of the two
+        pieces = out.where("both > 0").groupBy("c", "near", "turn").agg((F.sum("part") / F.first("both")).alias("height"))
+        out = out.where("both = 0").select("c", "near", "height", "turn").unionByName(pieces)
+    return out.groupBy("c").agg(F.min(F.struct("height", "turn", "near")).alias("n")).select("c", "n.near", "n.height")
+
+
+def _blocks(points: DataFrame, many: int, block: int, tasks: int) -> DataFrame:
+    """(block, s): points (c, m, pid, w, total, stale, x) in about `many` blocks, a cluster in one of them unless it is cut into pieces; the small clusters of a block first."""
+    pieces = F.pmod(F.xxhash64("pid"), F.ceil(F.col("m") / block))
+    key = F.when(F.col("m") <= block, F.pmod(F.xxhash64("c"), F.lit(many))).otherwise(F.lit(many) + F.pmod(F.xxhash64("c", pieces), F.lit(1 << 40)))
+    dealt = points.withColumn("block", key).repartition(max(1, min(many, tasks)), "block")
+    return dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("m", "c", "pid", "w", "total", "stale", "x"))).alias("s"))
+
+
+def _step(height: Column) -> Column:
+    """The step in which a height is counted; a larger one is never in a lower step."""
+    return F.coalesce(F.floor(F.log2(height) * STEPS), F.lit(-(1 << 40))).cast("long")
+
+
+def _fate(state: DataFrame) -> DataFrame:
+    """What becomes of the clusters (c, near, height, low, total, m) of a round: (c, into, low, total, m) of the cluster that it belongs to now, whether it `merges` (it and its nearest are
+    each other's nearest), whether its nearest is to be looked for (`stale`), and the step of its height."""
+    other = state.select(F.col("c").alias("near"), F.col("near").alias("_near"), F.col("height").alias("_height"), F.col("low").alias("_low"), F.col("total").alias("_total"), F.col("m").alias("_m"))
+    both = state.join(other, "near", "left").withColumn("merges", F.coalesce(F.col("_near") == F.col("c"), F.lit(False)))
+    gone = both.where("merges").select(F.col("c").alias("near"), F.lit(True).alias("_gone"))
+    new = lambda merged, name: F.when(F.col("merges"), merged).otherwise(F.col(name)).alias(name)
+    low = F.greatest(F.least("height", "_height"), "low", "_low")
+    out = both.join(gone, "near", "left").withColumn("into", F.when(F.col("merges"), F.least("c", "near")).otherwise(F.col("c")))
+    out = out.select("c", "into", "near", "height", "merges", (F.col("merges") | F.col("_gone").isNotNull()).alias("stale"), new(low, "low"), new(F.col("total") + F.col("_total"), "total"), new(F.col("m") + F.col("_m"), "m"))
+    return out.withColumn("step", _step(F.when(F.col("merges"), F.col("low")).otherwise(F.col("height"))))
+
+
+def _finished(blocks: DataFrame, state: pd.DataFrame, block: int) -> list[tuple[int, int, int, float]]:
+    """Merges (turn, a, b, height) of the last few clusters (c, low, total, by c), from the matrix of their sums of distances, which is changed in place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in range(0, len(b), 256):
-                node = b["node"].to_numpy()[i : i + 256]
-                near, height = nearest_of(node, np.stack([np.frombuffer(x) for x in b["sums"][i : i + 256]]), sizes)
-                yield pd.DataFrame({"node": node, "near": near, "height": height})
+            for r in b.itertuples(index=False):
+                one, two = (_Block(*(getattr(r, f"{p}_{n}") for n in ("c", "m", "w", "total", "x")), block) for p in "lr")
+                yield pd.DataFrame({"a": [one.node.astype(np.int64).tobytes()], "b": [two.node.astype(np.int64).tobytes()], "sums": [one.sums(two).tobytes()]})
+
+    name, low, sizes = state["c"].to_numpy(), state["low"].to_numpy().copy(), state["total"].to_numpy(np.float64).copy()
+    sums = np.zeros((len(name), len(name)))
+    for r in _met(blocks, blocks, False).where("l_b <= r_b").mapInPandas(run, "a binary, b binary, sums binary").toLocalIterator(prefetchPartitions=True):
+        a, b = (np.searchsorted(name, np.frombuffer(x, np.int64)) for x in (r["a"], r["b"]))
+        part = np.frombuffer(r["sums"]).reshape(len(a), -1)
+        sums[np.ix_(a, b)] += part
+        if not np.array_equal(a, b):
+            sums[np.ix_(b, a)] += part.T
+    np.fill_diagonal(sums, np.inf)
+    own = np.arange(len(name))
+    near, height, left, merges, turn = np.zeros(len(name), np.int64), np.full(len(name), np.inf), np.ones(len(name), bool), [], 0
+    stale = own
+    while left.sum() > 1:
+        for i in range(0, len(stale), 256):
+            mean = sums[stale[i : i + 256]] / (sizes[stale[i : i + 256], None] * sizes)
+            near[stale[i : i + 256]] = at = mean.argmin(axis=1)
+            height[stale[i : i + 256]] = mean[np.arange(len(at)), at]
+        pairs = own[left & (near[near] == own) & (own < near)]
+        if not len(pairs):  # equal distances, or rounding: then the closest cluster and its nearest
+            i = np.flatnonzero(left)[height[left].argmin()]
+            pairs = np.array([min(i, near[i])])
+            near[pairs] = max(i, near[i])
+        gone = np.zeros(len(name), bool)
+        for a, b in zip(pairs, near[pairs], strict=True):
+            low[a] = max(height[a], low[a], low[b])
+            merges.append((turn, int(name[a]), int(name[b]), float(low[a])))
+            sums[a] += sums[b]
+            sums[:, a] += sums[:, b]
+            sums[b], sums[:, b], sums[a, a] = np.inf, np.inf, np.inf
+            sizes[a] += sizes[b]
+            left[b], gone[a], gone[b] = False, True, True
+        stale = np.flatnonzero(left & (gone | gone[near]))
+        turn += 1
+    return merges
 
-    return rows.mapInPandas(run, "node long, near long, height double").toPandas()
 
+def merges_of(points: DataFrame, n: int, need: int, small: int = 4096, block: int = BLOCK) -> DataFrame:
+    """(turn, a, b, height): at least the `need` lowest merges of average linkage of n points (pid, w: its weight, x: the vector), all different; `b`, a pid, names a cluster that
+    from then on belongs to that of `a`. A merge is no lower than those it stands on, and of equal height comes in a later turn.
+
+    In rounds all pairs of reciprocal nearest neighbours merge, which this linkage allows in any order. A merge brings nothing nearer to another cluster, so a round looks anew only at merged clusters and those
+    whose nearest one merged; once there are enough merges, clusters whose nearest is farther than the last one needed can't matter any more and leave. All tables are
+    Spark's: clusters and their points are stored a round, distances are computed from the points, block by block, and not kept. The driver holds counts of heights, and finishes the last
+    `small` clusters by their matrix (8 small ** 2 bytes)."""
+    spark = points.sparkSession
+    at = shared_folder(spark, "linkage")
+    tasks = max(4 * spark.sparkContext.defaultParallelism, n // (64 * block))
+    many = lambda count: max(1, -(-count // block))
+    schema = "turn int, a long, b long, height double"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    blocks = kept(_blocks(points.select("pid", "w", "x", F.col("pid").alias("c"), F.lit(1).cast("long").alias("m"), F.col("w").alias("total"), F.lit(True).alias("stale")), many(n), block, tasks), "blocks-0")
+    if n <= small:
+        state = points.select(F.col("pid").alias("c"), F.lit(0.0).alias("low"), F.col("w").alias("total")).toPandas().sort_values("c")
+        return spark.createDataFrame(_finished(blocks, state, block), schema)
+    dims = len(points.select("x").first()[0])
+    clusters = points.select(F.col("pid").alias("c"), F.lit(0.0).alias("low"), F.col("w").alias("total"), F.lit(1).cast("long").alias("m"))
+    state = kept(clusters.join(_nearest(blocks, blocks, n * dims <= SENT, False, block), "c"), "state-0")
+    counts: dict[int, int] = {}
+    turns, last = [], []
+
+    def found() -> DataFrame:
+        """The merges of the rounds so far."""
+        made = [spark.read.parquet(*turns).where("merges and c > into").select("turn", F.col("into").alias("a"), F.col("c").alias("b"), F.col("low").alias("height"))] if turns else []
+        made += [spark.createDataFrame(last, schema)] if last or not made else []
+        return reduce(DataFrame.unionByName, made)
+
+    for turn in count(1):
+        fate = kept(_fate(state).withColumn("turn", F.lit(turn)), f"fate-{turn}")
+        seen = fate.where("c = into").groupBy("step", "merges").agg(F.count("*").alias("n"), F.sum("m").alias("m"), F.sum(F.when(F.col("stale"), F.col("m"))).alias("stale"), F.max("m").alias("most"), F.min("height").alias("height")).toPandas()
+        if not seen["merges"].any():  # equal distances, or rounding: then the closest cluster and its nearest
+            first = state.orderBy("height", "c").first()
+            if first is None:
+                return found()
+            pair = state.where(F.col("c") == first["near"]).first()
+            turn_to = F.when(F.col("c") == first["near"], F.lit(first["c"])).otherwise(F.col("near"))
+            state = state.where(F.col("c") != first["c"]) if pair is None else state.withColumn("near", turn_to)
+            continue
+        turns.append(f"{at}/fate-{turn}")
+        for r in seen[seen["merges"]].itertuples():
+            counts[r.step] = counts.get(r.step, 0) + r.n
+        top = _step_of(counts, need)
+        alive = seen if top is None else seen[seen["step"] <= top]
+        if top is not None:
+            least, height = alive["step"].min(), alive["height"].min()
+            lower = sum(v for k, v in counts.items() if k < least)
+            if not len(alive) or lower >= need or sum(v for k, v in counts.items() if k <= least) >= need and found().where(F.col("height") <= float(height)).count() >= need:
+                return found()
+        fate = fate if top is None else fate.where(F.col("step") <= top)
+        moved = blocks.select(F.inline("s")).select("pid", "w", "x", "c").join(fate.select("c", "into", "m", "total", "stale"), "c").drop("c").withColumnRenamed("into", "c")
+        blocks = kept(_blocks(moved, many(int(alive["m"].sum())), block, tasks), f"blocks-{turn}")
+        left = fate.where("c = into").select("c", "near", "height", "low", "total", "m", "stale")
+        if alive["n"].sum() <= small:
+            last = [(turn + 1 + t, a, b, h) for t, a, b, h in _finished(blocks, left.select("c", "low", "total").toPandas().sort_values("c"), block)]
+            return found()
+        stale = int(alive["stale"].sum())
+        fresh = _blocks(blocks.select(F.inline("s")).where("stale"), many(stale), block, tasks)
+        found_now = _nearest(fresh, blocks, stale * dims <= SENT, bool(alive["most"].max() > block), block).select("c", F.col("near").alias("_near"), F.col("height").alias("_height"))
+        both = left.join(found_now, "c", "left").withColumn("near", F.when(F.col("stale"), F.col("_near")).otherwise(F.col("near"))).withColumn("height", F.when(F.col("stale"), F.col("_height")).otherwise(F.col("height")))
+        near_enough = F.col("near").isNotNull() if top is None else F.col("near").isNotNull() & (_step(F.col("height")) <= top)
+        state = kept(both.where(near_enough).select("c", "near", "height", "low", "total", "m"), f"state-{turn}")
+    raise AssertionError
+
+
+def _step_of(counts: dict[int, int], need: int) -> int | None:
+    """The step of the need-th lowest merge; None while there are fewer."""
+    so_far = 0
+    for step in sorted(counts):
+        so_far += counts[step]
+        if so_far >= need:
+            return step
+    return None
 
 def dendrogram(points: np.ndarray, session, small: int = 1024, clusters: int = 1) -> list[tuple[int, int, float]]:
-    """The merges of average linkage (a row of each part, the height) that leave `clusters` clusters, and maybe more of them, by rounds of reciprocal nearest neighbours, which this linkage
-    may merge in any order. As a merge brings nothing nearer to another cluster, a round looks anew only at merged clusters and those whose nearest one merged, and
-    none above the height of the last merge that is needed counts.
-
-    The clusters' sums of distances are computed from the points each time: nothing of the size of the square of the sample is kept. When `small` clusters are left, their
-    matrix (8 small ** 2 bytes) is finished at the driver. points: the bounded sample."""
-    n = len(points)
-    need = n - max(1, clusters)
-    sizes, one, own = np.ones(n), np.arange(n), np.arange(n)
-    merges: list[tuple[int, int, float]] = []
-    if need <= 0:
-        return merges
-
-    def highest() -> float:
-        """No merge above it is needed."""
-        return np.inf if len(merges) < need else float(np.partition([h for _, _, h in merges], need - 1)[need - 1])
-
-    def merged(pairs: np.ndarray, height: np.ndarray) -> np.ndarray:
-        nonlocal sizes, one, own
-        merges.extend((int(one[a]), int(one[b]), float(height[a])) for a, b in pairs)
-        to, kept = _after(pairs, len(one))
-        sizes, one, own = np.bincount(to, weights=sizes), one[kept], to[own]
-        return to
-
-    if n > small:
-        shared = session.sparkContext.broadcast(points)
-        near, height, stale = np.zeros(n, np.int64), np.zeros(n), np.arange(n)
-        while len(one) > small:
-            if len(stale):
-                got = _sums_of(session, shared, own, stale, True)
-                if sizes[stale].max() > 128:  # only these come in parts
-                    got = stored(got, "linkage")
-                    parts = _nearest_from(got.where("sums is not null").select("node", "sums").groupBy("node").applyInPandas(_added, "node long, sums binary"), sizes)
-                    found = pd.concat([got.where("sums is null").select("node", "near", "height").toPandas(), parts])
-                else:
-                    found = got.select("node", "near", "height").toPandas()
-                near[found["node"]], height[found["node"]] = found["near"], found["height"]
-            top = highest()
-            if height.min() >= top:
-                return merges
-            pairs = reciprocal(near, height, top)
-            gone = np.zeros(len(one), bool)
-            gone[pairs] = True
-            to = merged(pairs, height)
-            # by new numbers; a cluster is merged, keeps its nearest one, or looks anew unless it was too high already
-            top, first = highest(), np.unique(to, return_index=True)[1]
-            again = gone[first] | (gone[near[first]] & (height[first] <= top))
-            near, height, stale = to[near[first]], height[first], np.flatnonzero(again)
-        rows = _sums_of(session, shared, own, np.arange(len(one)), False).select("node", "sums")
-        last = rows.groupBy("node").applyInPandas(_added, "node long, sums binary").orderBy("node").toPandas()
-        sums = np.stack([np.frombuffer(x) for x in last["sums"]])
-        shared.unpersist()
-    else:
-        sums = distances(points, points)
-    while len(one) > 1:
-        near, height = nearest_of(np.arange(len(one)), sums.copy(), sizes)
-        to = merged(reciprocal(near, height), height)
-        sums = _folded(_folded(sums, to).T, to)
+    """The merges (a row of each part, the height) of average linkage of a bounded matrix of points that leave `clusters` clusters, and maybe more of them."""
+    _, first, of, same = np.unique(points, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    own = first[of.reshape(-1)]
+    need = len(points) - max(1, clusters)
+    merges = [(int(own[i]), int(i), 0.0) for i in np.flatnonzero(own != np.arange(len(points)))] if need > 0 else []
+    if need > len(merges):
+        rows = session.createDataFrame([(int(i), float(w), points[i].tolist()) for i, w in zip(first, same, strict=True)], "pid long, w double, x array<double>")
+        merges += [(r["a"], r["b"], r["height"]) for r in merges_of(rows, len(first), need - len(merges), small).orderBy("turn", "a").collect()]
     return merges
 
 
@@ -255,27 +378,53 @@ def cut(merges: list[tuple[int, int, float]], n: int, k: int) -> np.ndarray:
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
-def average_linkage(features: DataFrame, average: int = 10, most: int = 50_000, most_bytes: int = 128 << 20, seed: int = 0, small: int = 1024) -> DataFrame:
-    """EX06: features with their cluster, of count // average (1 at least) clusters by average linkage.
+def _roots(merges: DataFrame, need: int) -> DataFrame:
+    """(c, root): the cluster that the `need` lowest merges bring each merged cluster to, by links of links."""
+    taken = merges if merges.count() <= need else numbered(merges, "_n", 0, ["height", "turn", "a"]).where(F.col("_n") <= need)
+    up = stored(taken.select(F.col("b").alias("c"), F.col("a").alias("root")), "linkage")
+    while True:
+        over = up.select(F.col("c").alias("root"), F.col("root").alias("_over"))
+        if up.join(over, "root", "left_semi").isEmpty():
+            return up
+        up = stored(up.join(over, "root", "left").select("c", F.coalesce("_over", "root").alias("root")), "linkage")
 
-    Up to `most` rows (and `most_bytes` of their vectors as doubles) the linkage is that of all rows. Beyond, it is that of so many rows in the order of a seeded hash, and every row goes
-    to the cluster whose mean vector is nearest (the first of equals); a table then has as many clusters as the sample allows. Rows are ordered by fid, so ties
-    don't hang on partitions. Rows without a vector are left out."""
-    spark = features.sparkSession
+
+def average_linkage(features: DataFrame, average: int = 10, most: int | None = None, seed: int = 0, small: int = 4096, block: int = BLOCK) -> DataFrame:
+    """EX06: features with their cluster, of count // average (1 at least) clusters by average linkage of all rows; clusters are numbered by their first row in the order of fid.
+
+    Equal vectors are one point that weighs as many: they merge first. If there are more clusters to make than different vectors, the copies that come first join the first row of their
+    vector. Only whoever asks for it (`most`) gets the linkage of so many rows in the order of a seeded hash, all rows then going to the cluster whose mean vector is nearest (the
+    first of equals). Rows without a vector are left out."""
     known = features.where(F.col("feature").isNotNull())
-    total = known.count()
+    if most is not None and known.count() > most:
+        return _of_sample(known, average, most, seed, small)
+    rows = numbered(known, "_row", 0, ["fid", F.xxhash64("feature")])
+    total = rows.count()
     if not total:
         return known.withColumn("cluster", F.lit(0))
-    dims = len(known.select("feature").first()[0])
-    bound = max(1, min(most, most_bytes // (8 * max(1, dims))))
-    chosen = known if total <= bound else known.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("fid").cast("string"))), "fid").limit(bound)
-    sample = chosen.select("fid", V.doubles(F.col("feature")).alias("feature")).toPandas().sort_values("fid", kind="stable")  # bounded above
-    points = vectors_of(sample["feature"])
     k = max(1, total // average)
-    label = cut(dendrogram(points, spark, small, k), len(points), k)
-    if total <= bound:
-        own = spark.createDataFrame(pd.DataFrame({"fid": sample["fid"].to_numpy(), "cluster": label.astype(np.int32)}).drop_duplicates("fid"))
-        return known.join(own, "fid")
+    points = stored(rows.groupBy("feature").agg(F.min("_row").alias("pid"), F.count("*").cast("double").alias("w")), "linkage")
+    n = points.count()
+    if n > k:
+        up = _roots(merges_of(points.select("pid", "w", F.col("feature").alias("x")), n, n - k, small, block), n - k)
+        to = points.join(up, points["pid"] == up["c"], "left").select("feature", F.coalesce("root", "pid").alias("_root"))
+        own = rows.select("_row", "feature").join(to, "feature").select("_row", "_root")
+    else:
+        copies = rows.select("_row", "feature").join(points.select("feature", "pid"), "feature").where("_row != pid").select("_row", "pid")
+        joined = numbered(copies, "_n", 0, ["_row"]).where(F.col("_n") <= total - k).select("_row", F.col("pid").alias("_root"))
+        own = rows.select("_row").join(joined, "_row", "left").select("_row", F.coalesce("_root", "_row").alias("_root"))
+    own = stored(own, "linkage")
+    names = numbered(own.groupBy("_root").agg(F.min("_row").alias("_first")), "_name", -1, ["_first"]).select("_root", F.col("_name").cast("int").alias("cluster"))
+    return rows.join(own.join(names, "_root").select("_row", "cluster"), "_row").select(*features.columns, "cluster")
+
+
+def _of_sample(known: DataFrame, average: int, most: int, seed: int, small: int) -> DataFrame:
+    """The clusters of `most` rows, and all rows by the nearest mean; as many clusters as the sample allows."""
+    chosen = known.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("fid").cast("string"))), "fid").limit(most)
+    sample = chosen.select("fid", V.doubles(F.col("feature")).alias("feature")).toPandas().sort_values("fid", kind="stable")  # bounded by most
+    points = vectors_of(sample["feature"])
+    k = max(1, known.count() // average)
+    label = cut(dendrogram(points, known.sparkSession, small, k), len(points), k)
     means = np.zeros((label.max() + 1, points.shape[1]))
     np.add.at(means, label, points)
     means /= np.bincount(label)[:, None]

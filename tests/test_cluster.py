@@ -212,3 +212,52 @@ def test_medoids_of_copies_count_all_of_them(spark):
     df = spark.createDataFrame(rows, SCHEMA.replace("array<float>", "array<double>") + ", cluster int")
     for block in (2, 100):
         assert [(r["fid"], r["cost"]) for r in C.better_medoids(df, block).collect()] == [(0, 14.0)]
+
+
+def linkage_of_copies(x, w, k):
+    """Brute force with a matrix of sums, each point counting as many times as w says."""
+    s = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) * np.outer(w, w)
+    groups, size = [{i} for i in range(len(x))], w.astype(float)
+    while len(groups) > k:
+        m = s / np.outer(size, size)
+        np.fill_diagonal(m, np.inf)
+        a, b = sorted(np.unravel_index(m.argmin(), m.shape))
+        groups[a] |= groups.pop(b)
+        s[a] += s[b]
+        s[:, a] += s[:, b]
+        size[a] += size[b]
+        s, size = np.delete(np.delete(s, b, 0), b, 1), np.delete(size, b)
+    return {frozenset(map(int, g)) for g in groups}
+
+
+def copied_rows(spark, n, times):
+    """n vectors, the i-th times(i) times; (features, vectors, times)."""
+    x = np.array([np.float32(p[4]) for p in points(n, seed=10, blobs=12)], np.float64)
+    w = np.array([times(i) for i in range(n)])
+    shape = spark.createDataFrame([(i, int(t), v.tolist()) for i, (t, v) in enumerate(zip(w, x, strict=True))], "i long, t int, feature array<float>")
+    rows = shape.withColumn("k", F.explode(F.sequence(F.lit(1), "t")))
+    return rows.select((F.col("k") * 1000 + F.col("i")).alias("fid"), F.lit(0).cast("long").alias("vid"), F.lit(0.0).alias("start_time"), F.lit(1.0).alias("end_time"), "feature"), x, w
+
+
+def test_more_than_50_000_rows_are_all_linked(spark):
+    """Beyond 50,000 rows the linkage was that of a sample, and the other rows went to the nearest mean."""
+    df, x, w = copied_rows(spark, 300, lambda i: 150 + i % 67)
+    got = C.average_linkage(df, average=1000).groupBy((F.col("fid") % 1000).alias("i")).agg(F.count_distinct("cluster").alias("n"), F.first("cluster").alias("cluster"), F.count("*").alias("rows")).orderBy("i").collect()
+    assert sum(r["rows"] for r in got) == w.sum() > 50_000 and {r["n"] for r in got} == {1}
+    assert parts([r["cluster"] for r in got]) == linkage_of_copies(x, w, w.sum() // 1000)
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_rounds_over_small_blocks_equal_brute_force(spark, monkeypatch, sent):
+    """Weights differ, clusters are cut into pieces, blocks meet by pairs of partitions or are sent."""
+    monkeypatch.setattr(C, "SENT", sent)
+    df, x, w = copied_rows(spark, 90, lambda i: 1 + i % 3)
+    got = {r["fid"] % 1000: r["cluster"] for r in C.average_linkage(df, average=18, small=2, block=6).collect()}
+    assert parts([got[i] for i in range(90)]) == linkage_of_copies(x, w, 10)
+
+
+def test_more_clusters_than_vectors(spark):
+    df, x, w = copied_rows(spark, 4, lambda i: 10)
+    got = C.average_linkage(df, average=5).collect()
+    assert len(got) == 40 and {r["cluster"] for r in got} == set(range(8))
+    assert all(len({r["fid"] % 1000 for r in got if r["cluster"] == c}) == 1 for c in range(8))
