@@ -130,7 +130,7 @@ def _cluster_margin(s: Store, k, t, feature, label, step, seed, start: int = 50)
     if step * k < start or s.predictions.isEmpty():
         return _random(s, k, t, feature, label, step, seed)
     rows = s.features[feature]
-    clustered = clusters(rows, seed=seed)
+    clustered = clusters(rows)
     free = s.labeled(feature).where(F.col("labels") == NONE).select("fid")
     unsure = SL.margin_ranked(SE.predictions_pivoted(s.predictions, SE.latest_model(s.models).first()["mid"])).select(*KEY, "uncertainty")
     pool = clustered.join(free, "fid", "left_semi").join(_shown(s), "fid", "left_anti").join(unsure, KEY)
@@ -139,9 +139,9 @@ def _cluster_margin(s: Store, k, t, feature, label, step, seed, start: int = 50)
     return rows.join(picked.select("fid"), "fid", "left_semi")
 
 
-def clusters(features: DataFrame, average: int = 10, seed: int = 0) -> DataFrame:
-    """EX06: count // average clusters by average linkage; (fid, vid, start_time, end_time, cluster)."""
-    return average_linkage(features, average, seed=seed).select("fid", *KEY, "cluster")
+def clusters(features: DataFrame, average: int = 10) -> DataFrame:
+    """EX06: count // average clusters by average linkage of all rows, however many; (fid, vid, start_time, end_time, cluster)."""
+    return average_linkage(features, average).select("fid", *KEY, "cluster")
 
 
 def _label_uncertainty(s: Store, k, t, feature, label, step, seed) -> DataFrame:

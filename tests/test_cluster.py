@@ -261,3 +261,21 @@ def test_more_clusters_than_vectors(spark):
     got = C.average_linkage(df, average=5).collect()
     assert len(got) == 40 and {r["cluster"] for r in got} == set(range(8))
     assert all(len({r["fid"] % 1000 for r in got if r["cluster"] == c}) == 1 for c in range(8))
+
+
+@pytest.mark.parametrize("name", ["clustermargin"])
+def test_margin_explorers_link_more_than_50_000_rows(spark, monkeypatch, name):
+    """Beyond 50,000 rows both took turns over clusters of a sample."""
+    every = EX.clusters
+    monkeypatch.setattr(EX, "clusters", lambda rows, **kw: every(rows, 1000, **kw))
+    df, x, w = copied_rows(spark, 300, lambda i: 150 + i % 67)
+    low = "vid long, start_time double, end_time double"
+    videos = spark.sql("select vid, '' as vpath, timestamp'2024-01-01' as vstart, 9e4D as vduration, '' as thumbpath from values (0L), (9L) as t(vid)")
+    ann = spark.createDataFrame([(1, 9, 0.0, 5000.0, "a"), (2, 9, 0.0, 2.0, "b"), (3, 9, 0.0, 1.0, "c")], f"aid long, {low}, label string").withColumn("label_time", F.lit("2024-01-01").cast("timestamp"))
+    models = spark.sql("select 1 as mid, 'r3d' as feature_name, timestamp'2024-01-01' as creation_time, array('a', 'b') as labels, 0.5D as f1_threshold, 9 as ntrain")
+    pred = spark.createDataFrame([(1, 0, 0.0, 1.0, "a", 0.6), (1, 0, 0.0, 1.0, "b", 0.4)], f"mid int, {low}, label string, probability double")
+    picked = EX.named_explorer(name)(EX.Store(videos, ann, {"r3d": df}, models, pred), 30, 60.0, "r3d", None, 20, 0)
+    groups = sorted(linkage_of_copies(x, w, w.sum() // 1000), key=min)
+    rows = [(1000 + i, c, 0.8) for c, g in enumerate(groups) for i in g]
+    want = SL.cluster_margin(spark.createDataFrame(rows, "fid long, cluster int, uncertainty double"), 30)
+    assert sorted(r["fid"] for r in picked.select("fid").collect()) == sorted(r["fid"] for r in want.select("fid").collect())
