@@ -263,7 +263,7 @@ def test_more_clusters_than_vectors(spark):
     assert all(len({r["fid"] % 1000 for r in got if r["cluster"] == c}) == 1 for c in range(8))
 
 
-@pytest.mark.parametrize("name", ["clustermargin"])
+@pytest.mark.parametrize("name", ["clustermargin", "randomifuniformcm_cvm_pval0.001"])
 def test_margin_explorers_link_more_than_50_000_rows(spark, monkeypatch, name):
     """Beyond 50,000 rows both took turns over clusters of a sample."""
     every = EX.clusters
