@@ -165,3 +165,9 @@ def test_a_discriminant_round_makes_its_rows_once(spark):
     out, model = D.discriminant_round(spark.createDataFrame(rows, schema).mapInPandas(counted, schema), 50)
     got = {r["fid"]: r["label"] for r in out.collect()}
     assert model is not None and len(got) == 200 and all(got[i] == h for i, _, h, _, _ in rows if h) and made.value == 200
+
+
+def test_frame_windows_are_made_by_many_tasks(spark):
+    """The few rows of videos were brought into one task, which made and wrote all windows."""
+    got = all_queries()["fn16_frame_windows"](spark, "/root/testdata/sf0.01")
+    assert got.groupBy(F.spark_partition_id()).count().count() > 8
